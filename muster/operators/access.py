@@ -77,7 +77,7 @@ ACCESS_STATUS = {"allowed": 200, "invalid_token": 401, "unauthenticated": 401, "
 
 
 def access_decision(requests: DataFrame, tokens: DataFrame, users: DataFrame, as_of,
-                    header_col: str = "authorization", guarded_col: str = "guarded") -> DataFrame:
+                    header_col: str = "auth_header", guarded_col: str = "guarded") -> DataFrame:
     """Outcome per request, checks in the reference's order.
 
     no header → anonymous; not exactly ``Bearer <token>`` → invalid_token; token text

@@ -41,6 +41,7 @@ STANDIN: dict[str, str] = {
     "formations": ("SELECT 'F' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, "
                    "'R' || CAST(n_regionkey AS VARCHAR) AS region_id FROM nation"),
     "ranks": "SELECT n_name AS code, n_name AS name FROM nation",
+    "postings": "SELECT 'P' || CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region",
     "users": f"""
         SELECT {uid('c_custkey')} AS id,
                lower(replace(c_name, '#', '.')) ||
@@ -65,7 +66,7 @@ STANDIN: dict[str, str] = {
                'NATION_' || CAST(c_nationkey AS VARCHAR) AS rank_code,
                'R' || CAST(c_nationkey % 5 AS VARCHAR) AS region_id,
                'F' || CAST(c_nationkey AS VARCHAR) AS formation_id,
-               CAST(NULL AS VARCHAR) AS posting_id,
+               'P' || CAST(c_nationkey AS VARCHAR) AS posting_id,
                {EPOCH} + to_seconds(c_custkey * 60) AS created_at,
                CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS archived_at,
                CAST(c_custkey % 3 + 1 AS INTEGER) AS version
@@ -153,7 +154,7 @@ STANDIN: dict[str, str] = {
                     WHEN event_type = 'error' THEN 'Token ' || {TOKEN}
                     WHEN event_type = 'purchase' THEN 'Bearer ' || {TOKEN} || ' extra'
                     WHEN event_type = 'view' THEN 'Bearer ' || substr({TOKEN}, 2, 25)
-                    ELSE 'Bearer ' || {TOKEN} END AS authorization,
+                    ELSE 'Bearer ' || {TOKEN} END AS auth_header,
                event_type <> 'view' AS guarded
         FROM events""",
 }

@@ -14,7 +14,7 @@ attributes, e.g. a negative account balance.
 | facilitators         | supplier     | key_uuid(s_suppkey)                 |
 | attendance, feedback, session_facilitators | lineitem | line_id(orderkey, linenumber, partkey, suppkey, quantity) |
 | tokens, requests     | events       | hash of lpad(event_id, 26, 'A')     |
-| regions / formations / ranks | region / nation | 'R'+key / 'F'+key / n_name   |
+| regions, postings / formations, ranks | region / nation | 'R'/'P'+key / 'F'+key, n_name |
 
 Timestamps stay ``timestamp_ntz`` like the driver data.
 """
@@ -71,6 +71,12 @@ class StandIns:
             F.col("n_name").alias("name"),
             F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region_id"))
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.raw("region").select(
+            F.concat(F.lit("P"), F.col("r_regionkey").cast("string")).alias("id"),
+            F.col("r_name").alias("name"))
+
     @cached_property
     def ranks(self) -> DataFrame:
         return self.raw("nation").select(F.col("n_name").alias("code"),
@@ -115,7 +121,7 @@ class StandIns:
             F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("rank_code"),
             F.concat(F.lit("R"), (F.col("c_nationkey") % 5).cast("string")).alias("region_id"),
             F.concat(F.lit("F"), F.col("c_nationkey").cast("string")).alias("formation_id"),
-            _null("string").alias("posting_id"),
+            F.concat(F.lit("P"), F.col("c_nationkey").cast("string")).alias("posting_id"),
             plus_seconds(ts_lit(EPOCH), F.col("c_custkey") * 60).alias("created_at"),
             _null("timestamp_ntz").alias("updated_at"),
             _null("timestamp_ntz").alias("archived_at"),
@@ -279,7 +285,7 @@ class StandIns:
                         F.concat(F.lit("Bearer "), F.substring(tok, 2, 25)))
                   .otherwise(F.concat(F.lit("Bearer "), tok)))
         return e.select(F.col("event_id").alias("request_id"),
-                        header.alias("authorization"),
+                        header.alias("auth_header"),
                         (F.col("event_type") != "view").alias("guarded"))
 
     def table(self, name: str) -> DataFrame:
