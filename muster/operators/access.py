@@ -111,29 +111,35 @@ def access_decision(requests: DataFrame, tokens: DataFrame, users: DataFrame, as
 
 
 def redeem_tokens(presented: DataFrame, tokens: DataFrame, users: DataFrame, as_of,
-                  scope: str = SCOPE_ACTIVATION, token_col: str = "token"):
+                  scope: str = SCOPE_ACTIVATION, token_col: str = "token",
+                  order_col: str | None = None):
     """M6: activation by token. Returns ``(new_users, new_tokens, report)``.
 
-    Live tokens of the scope resolve to users; each such user is activated once
-    (version + 1); then every token of that user in that scope is removed. The
-    report has one row per presented token: activated / invalid_token.
+    Live tokens of the scope resolve to users. Per user the first presented token
+    (by ``order_col``, default the token text) activates the user (version + 1); then
+    every token of that user in that scope is removed, so a later token of the same
+    user finds nothing: ``invalid_token``, as running the requests one by one would.
+    The winner per user is a ``min`` aggregate (partial aggregation, safe for a hot user).
     """
+    order_col = order_col or token_col
     hashed = presented.withColumn("_hash", token_hash(F.col(token_col)))
     live = live_tokens(tokens, scope, as_of)
     resolved = hashed.join(live, hashed["_hash"] == live["hash"], "left")
-    redeemed = resolved.where(F.col("_token_user").isNotNull()) \
-        .select(F.col("_token_user").alias("_rid")).distinct()
+    firsts = resolved.where(F.col("_token_user").isNotNull()).groupBy("_token_user") \
+        .agg(F.min(order_col).alias("_first"))
+    rep = resolved.join(firsts, "_token_user", "left")
+    won = F.col(order_col) == F.col("_first")
+    redeemed = firsts.select(F.col("_token_user").alias("_rid"))
     hit = users.join(redeemed, users["id"] == redeemed["_rid"], "left")
     is_hit = F.col("_rid").isNotNull()
     new_users = hit.select(*[
         (F.when(is_hit, F.lit(True)).otherwise(F.col(c)).alias(c) if c == "activated"
-         else F.when(is_hit, F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == "version"
-         else F.col(c)) for c in users.columns])
+         else F.when(is_hit, F.col(c) + 1).otherwise(F.col(c)).cast("int").alias(c)
+         if c == "version" else F.col(c)) for c in users.columns])
     gone = redeemed.select(F.col("_rid").alias("user_id"), F.lit(scope).alias("scope"))
     new_tokens = tokens.join(gone, ["user_id", "scope"], "left_anti").select(*tokens.columns)
-    report = resolved.select(
-        *[c for c in presented.columns],
-        F.col("_token_user").alias("user_id"),
-        F.when(F.col("_token_user").isNotNull(), "activated").otherwise("invalid_token")
-        .alias("outcome"))
+    report = rep.select(
+        *presented.columns,
+        F.when(won, F.col("_token_user")).alias("user_id"),
+        F.when(won, "activated").otherwise("invalid_token").alias("outcome"))
     return new_users, new_tokens, report
