@@ -86,9 +86,10 @@ def access_decision(requests: DataFrame, tokens: DataFrame, users: DataFrame, as
     """
     h = F.col(header_col)
     parts = F.split(h, " ", -1)
-    tok = F.element_at(parts, 2)
+    tok = F.try_element_at(parts, F.lit(2))
     state = (F.when(h.isNull() | (h == ""), F.lit("anonymous"))
-             .when((F.size(parts) != 2) | (F.element_at(parts, 1) != "Bearer"), "invalid_token")
+             .when((F.size(parts) != 2) | (F.try_element_at(parts, F.lit(1)) != "Bearer"),
+                   "invalid_token")
              .when((tok == "") | (F.octet_length(tok) != TOKEN_TEXT_BYTES), "invalid_token")
              .otherwise("lookup"))
     req = requests.withColumn("_state", state) \

@@ -104,8 +104,9 @@ def numeric_coercion(df: DataFrame, table: str | None = None, columns=None) -> D
 # fixed values: outcome classes and their HTTP status in the reference
 OUTCOME_STATUS = {
     "ok": 200, "created": 201, "bad_input": 400, "unauthenticated": 401, "inactive": 403,
-    "not_found": 404, "conflict": 409, "invalid": 422, "rate_limited": 429,
-    "constraint_violation": 500,
+    "not_found": 404, "conflict": 409, "invalid": 422, "duplicate": 422, "rate_limited": 429,
+    "constraint_violation": 500, "check_violation": 500, "fk_violation": 500,
+    "numeric_overflow": 500,
 }
 
 

@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from muster.plans import q_access, q_listing, q_mutate, q_rules  # noqa: F401
+    from muster.plans import q_access, q_ingest, q_listing, q_mutate, q_rules  # noqa: F401
