@@ -99,7 +99,7 @@ def filter_fulltext(t):
     return L.apply_filters(t.courses, spec, {"title": "Widget, cold!"}).select(*PUBLIC["courses"])
 
 
-DOC_QUERY = "the report"
+DOC_QUERY = "The LICENSE"
 
 
 @query("filter_fulltext_docs",

@@ -22,6 +22,7 @@ Timestamps stay ``timestamp_ntz`` like the driver data.
 from __future__ import annotations
 
 import datetime as dt
+import os
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,11 @@ from pyspark.sql import functions as F
 
 from muster.functions.ids import key_uuid, line_id
 from muster.schemas import SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, SCOPE_PASSWORD_RESET
-from muster.sources.tables import load_table
+from muster.session import spread
+from muster.sources.tables import load_table, table_path
+
+# a single-file input at least this large is spread over all cores (see session.spread)
+SPREAD_MIN_BYTES = 1 << 20
 
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = "2024-01-15 12:00:00"  # the fixed "now" of every time-dependent query
@@ -55,7 +60,11 @@ class StandIns:
         self.spark, self.root = spark, root
 
     def raw(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.root, name)
+        df = load_table(self.spark, self.root, name)
+        path = table_path(self.root, name)
+        if os.path.isfile(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
+            df = spread(df)
+        return df
 
     # --- lookup tables --------------------------------------------------------------
     @cached_property

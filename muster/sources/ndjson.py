@@ -34,16 +34,8 @@ from pyspark.sql import functions as F
 from muster.functions.predicates import RFC3339_PATTERN
 
 MAX_BODY_BYTES = 1_048_576
-_WS = "[ \\t\\n\\r]"
-
-# JSON types schema_of_variant may name, per declared field kind
-_ACCEPT = {
-    "string": ("STRING",),
-    "time": ("STRING",),
-    "bool": ("BOOLEAN",),
-    "int": ("BIGINT", "INT", "SMALLINT", "TINYINT"),
-    "number": ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL"),
-}
+
+
 _SPARK_TYPE = {"string": "string", "time": "timestamp_ntz", "bool": "boolean", "int": "bigint",
                "number": "double"}
 
@@ -81,60 +73,76 @@ INPUTS: dict[str, tuple[InputField, ...]] = {
 }
 
 
-def _type_of(x: Column) -> Column:
-    """Base JSON type name of a variant: DECIMAL(2,1) → DECIMAL, OBJECT<...> → OBJECT."""
-    return F.regexp_extract(F.schema_of_variant(x), r"^([A-Z]+)", 1)
+# JSON type codes of a member value (from ``schema_of_variant``)
+T_NULL, T_STRING, T_BOOL, T_INT, T_FRACTION, T_OTHER = 0, 1, 2, 3, 4, 5
+_ACCEPT_CODES = {"string": (T_STRING,), "time": (T_STRING,), "bool": (T_BOOL,), "int": (T_INT,),
+                 "number": (T_INT, T_FRACTION)}
+_KIND_CODE = {"string": 1, "time": 2, "bool": 3, "int": 4, "number": 5}
+
+
+def _type_code(x: Column) -> Column:
+    s = F.schema_of_variant(x)
+    return (F.when(s == "STRING", T_STRING).when(s == "VOID", T_NULL)
+            .when(s == "BIGINT", T_INT).when(s == "BOOLEAN", T_BOOL)
+            .when((s == "DOUBLE") | (s == "FLOAT") | s.startswith("DECIMAL"), T_FRACTION)
+            .when(s.isin("INT", "SMALLINT", "TINYINT"), T_INT).otherwise(T_OTHER))
 
 
 def members(v: Column) -> Column:
-    """Every member of the top-level object, in document order, repeats included."""
-    return F.map_entries(F.from_json(v, "map<string,variant>"))
+    """Every member of the top-level object in document order, repeats included, as
+    struct(k, lk = lower(k), x = value, tc = JSON type code); NULL when ``v`` does not
+    start with a JSON object. Each member's key case and type are computed once here."""
+    raw = F.map_entries(F.from_json(v, "map<string,variant>"))
+    return F.transform(raw, lambda e: F.struct(
+        e["key"].alias("k"), F.lower(e["key"]).alias("lk"), e["value"].alias("x"),
+        _type_code(e["value"]).alias("tc")))
 
 
 def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = None) -> Column:
     """Reject code of one line (NULL when the line is accepted); ``entries`` = members(v)."""
-    known = {f.name.lower(): f for f in spec}
-    wrapped = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>")
-    first = F.try_parse_json(v)
-    keys = F.json_object_keys(v)
     entries = members(v) if entries is None else entries
-    head = F.regexp_replace(v, f"^{_WS}+", "")
+    kind_of = F.create_map(*[x for f in spec
+                             for x in (F.lit(f.name.lower()), F.lit(_KIND_CODE[f.kind]))])
+    name_of = F.create_map(*[x for f in spec for x in (F.lit(f.name.lower()), F.lit(f.name))])
+
+    def accepted(kind: Column, tc: Column) -> Column:
+        cond = None
+        for k, code in _KIND_CODE.items():
+            term = (kind == code) & tc.isin(list(_ACCEPT_CODES[k]))
+            cond = term if cond is None else cond | term
+        return cond
 
     def member_problem(e: Column) -> Column:
-        k, x = e["key"], e["value"]
-        lk = F.lower(k)
-        t = _type_of(x)
-        expr = F.when(~lk.isin(list(known)), F.concat(F.lit("unknown_field:"), k)) \
-            .when(t == "VOID", F.lit(None).cast("string"))
-        for name, f in known.items():
-            bad = ~t.isin(list(_ACCEPT[f.kind]))
-            expr = expr.when((lk == name) & bad, F.lit(f"wrong_type:{f.name}"))
-            if f.kind == "time":
-                s = x.cast("string")
-                expr = expr.when((lk == name) & ~s.rlike(RFC3339_PATTERN),
-                                 F.lit(f"bad_time:{f.name}"))
-        return expr
+        kind = kind_of[e["lk"]]
+        name = name_of[e["lk"]]
+        return (F.when(kind.isNull(), F.concat(F.lit("unknown_field:"), e["k"]))
+                .when(e["tc"] == T_NULL, F.lit(None).cast("string"))
+                .when(~accepted(kind, e["tc"]), F.concat(F.lit("wrong_type:"), name))
+                .when((kind == _KIND_CODE["time"]) & ~e["x"].cast("string").rlike(RFC3339_PATTERN),
+                      F.concat(F.lit("bad_time:"), name)))
 
     first_problem = F.try_element_at(
         F.filter(F.transform(entries, member_problem), lambda p: p.isNotNull()), F.lit(1))
+    wrapped = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>")
+    first = F.try_parse_json(v)
+    head = F.ltrim(v, F.lit(" \t\n\r"))
     is_object = head.startswith("{")
-    is_null = head.rlike(f"^null{_WS}*$")
+    is_null = F.rtrim(head, F.lit(" \t\n\r")) == "null"
     single = F.coalesce(F.size(wrapped) == 1, F.lit(False))
-    malformed = wrapped.isNull() & first.isNull() & keys.isNull() & ~is_null
+    malformed = wrapped.isNull() & first.isNull() & entries.isNull() & ~is_null
     return (F.when(F.octet_length(v) > MAX_BODY_BYTES, F.lit("too_large"))
-            .when(v.isNull() | v.rlike(f"^{_WS}*$"), F.lit("empty"))
+            .when(v.isNull() | (head == ""), F.lit("empty"))
             .when(malformed, F.lit("malformed"))
             .when(~is_object & ~is_null, F.lit("wrong_type"))
-            .when(is_object & keys.isNull(), F.lit("malformed"))
+            .when(is_object & entries.isNull(), F.lit("malformed"))
             .when(first_problem.isNotNull(), first_problem)
             .when(~single & ~is_null, F.lit("multiple_values")))
 
 
 def field_value(entries: Column, f: InputField) -> Column:
     """Typed value of one field: the last non-null occurrence of its key (any case)."""
-    hits = F.filter(entries, lambda e: (F.lower(e["key"]) == f.name.lower())
-                    & (_type_of(e["value"]) != "VOID"))
-    x = F.try_element_at(hits, F.lit(-1))["value"]
+    hits = F.filter(entries, lambda e: (e["lk"] == f.name.lower()) & (e["tc"] != T_NULL))
+    x = F.try_element_at(hits, F.lit(-1))["x"]
     if f.kind == "time":
         return F.to_timestamp(x.cast("string")).cast("timestamp_ntz")
     return x.cast(_SPARK_TYPE[f.kind])
@@ -148,11 +156,15 @@ def ingest_ndjson(df: DataFrame, spec: tuple[InputField, ...], text_col: str = "
     (default: all but the text).
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else list(keep)
-    # parse the members once; the optimizer keeps this projection rather than
-    # inlining the parse into every consumer
-    parsed = df.select(*keep, F.col(text_col).alias("_v"), members(F.col(text_col)).alias("_e"))
-    with_code = parsed.select(*keep, "_e",
-                              classify(F.col("_v"), spec, F.col("_e")).alias("reject_code"))
+    # The parse and the reject code are produced as generator outputs (a one-row
+    # inline): a later filter on them (e.g. "accepted rows only") cannot be pushed
+    # below the generator, so the optimizer never copies the parse into a predicate
+    # and each line is parsed exactly once.
+    v = F.col(text_col)
+    parsed = df.select(*keep, F.inline(F.array(F.struct(v.alias("_v"), members(v).alias("_e")))))
+    with_code = parsed.select(*keep, F.inline(F.array(F.struct(
+        F.col("_e").alias("_e"),
+        classify(F.col("_v"), spec, F.col("_e")).alias("reject_code")))))
     ok = F.col("reject_code").isNull()
     return with_code.select(
         *keep, "reject_code",
