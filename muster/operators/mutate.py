@@ -163,7 +163,7 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
         parent = order[i]
         i += 1
         for fk in fks:
-            if fk.parent != parent or fk.on_delete != "cascade" or fk.child not in tables:
+            if fk.parent != parent or fk.on_delete != "cascade" or not _applies(fk, tables):
                 continue
             hit = _referencing(tables[fk.child], fk, closure[parent])
             closure[fk.child] = (closure[fk.child].unionByName(hit) if fk.child in closure
@@ -174,7 +174,7 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
     blocked_parts = [
         _referencing(tables[fk.child], fk, closure[fk.parent]).select("_root")
         for fk in fks
-        if fk.on_delete == "restrict" and fk.parent in closure and fk.child in tables]
+        if fk.on_delete == "restrict" and fk.parent in closure and _applies(fk, tables)]
     blocked = (reduce(DataFrame.unionByName, blocked_parts).distinct() if blocked_parts
                else None)
 
@@ -190,7 +190,7 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
     report_parts = [d.select(F.lit(t).alias("table_name"), "id", F.lit("deleted").alias("action"),
                              F.col("_root").alias("root_id")) for t, d in deleted.items()]
     for fk in fks:
-        if fk.on_delete != "set_null" or fk.parent not in deleted or fk.child not in tables:
+        if fk.on_delete != "set_null" or fk.parent not in deleted or not _applies(fk, tables):
             continue
         gone = deleted[fk.parent].select(F.col("id").alias("_gone"), "_root")
         child = new_tables[fk.child]
@@ -214,6 +214,11 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
     return new_tables, report
 
 
+def _applies(fk: ForeignKey, tables: dict[str, DataFrame]) -> bool:
+    """The child table is given and carries the reference column."""
+    return fk.child in tables and fk.column in tables[fk.child].columns
+
+
 def _referencing(child: DataFrame, fk: ForeignKey, parents: DataFrame) -> DataFrame:
     """Child rows whose ``fk.column`` points at a row of ``parents`` (id, _root)."""
     p = parents.select(F.col("id").alias("_pid"), "_root")

@@ -98,9 +98,21 @@ def members(v: Column) -> Column:
         _type_code(e["value"]).alias("tc")))
 
 
-def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = None) -> Column:
-    """Reject code of one line (NULL when the line is accepted); ``entries`` = members(v)."""
+def value_count(v: Column) -> Column:
+    """Number of comma-separated JSON values in ``v`` (NULL when ``[v]`` is not valid JSON)."""
+    return F.size(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"))
+
+
+def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = None,
+             n_values: Column | None = None, first_ok: Column | None = None) -> Column:
+    """Reject code of one line (NULL when the line is accepted).
+
+    ``entries`` = members(v), ``n_values`` = value_count(v), ``first_ok`` = whether the
+    first value parses; pass precomputed columns to parse each line only once.
+    """
     entries = members(v) if entries is None else entries
+    n_values = value_count(v) if n_values is None else n_values
+    first_ok = F.try_parse_json(v).isNotNull() if first_ok is None else first_ok
     kind_of = F.create_map(*[x for f in spec
                              for x in (F.lit(f.name.lower()), F.lit(_KIND_CODE[f.kind]))])
     name_of = F.create_map(*[x for f in spec for x in (F.lit(f.name.lower()), F.lit(f.name))])
@@ -123,13 +135,11 @@ def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = N
 
     first_problem = F.try_element_at(
         F.filter(F.transform(entries, member_problem), lambda p: p.isNotNull()), F.lit(1))
-    wrapped = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>")
-    first = F.try_parse_json(v)
     head = F.ltrim(v, F.lit(" \t\n\r"))
     is_object = head.startswith("{")
     is_null = F.rtrim(head, F.lit(" \t\n\r")) == "null"
-    single = F.coalesce(F.size(wrapped) == 1, F.lit(False))
-    malformed = wrapped.isNull() & first.isNull() & entries.isNull() & ~is_null
+    single = F.coalesce(n_values == 1, F.lit(False))
+    malformed = n_values.isNull() & ~first_ok & entries.isNull() & ~is_null
     return (F.when(F.octet_length(v) > MAX_BODY_BYTES, F.lit("too_large"))
             .when(v.isNull() | (head == ""), F.lit("empty"))
             .when(malformed, F.lit("malformed"))
@@ -161,10 +171,12 @@ def ingest_ndjson(df: DataFrame, spec: tuple[InputField, ...], text_col: str = "
     # below the generator, so the optimizer never copies the parse into a predicate
     # and each line is parsed exactly once.
     v = F.col(text_col)
-    parsed = df.select(*keep, F.inline(F.array(F.struct(v.alias("_v"), members(v).alias("_e")))))
+    parsed = df.select(*keep, F.inline(F.array(F.struct(
+        v.alias("_v"), members(v).alias("_e"), value_count(v).alias("_n"),
+        F.try_parse_json(v).isNotNull().alias("_p")))))
     with_code = parsed.select(*keep, F.inline(F.array(F.struct(
         F.col("_e").alias("_e"),
-        classify(F.col("_v"), spec, F.col("_e")).alias("reject_code")))))
+        classify(F.col("_v"), spec, F.col("_e"), F.col("_n"), F.col("_p")).alias("reject_code")))))
     ok = F.col("reject_code").isNull()
     return with_code.select(
         *keep, "reject_code",
