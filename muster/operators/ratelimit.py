@@ -56,23 +56,29 @@ def segment_events(events: DataFrame, key: str, ts: str, event_id: str, capacity
     e = events.withColumn("_t", _micros(ts)).withColumn("_b", F.floor(F.col("_t") / bucket_us))
     in_bucket = Window.partitionBy(key, "_b").orderBy("_t", event_id)
     e = e.withColumn("_prev", F.lag("_t").over(in_bucket))
-    # last event time of the key's previous non-empty bucket (one row per bucket)
-    spans = e.groupBy(key, "_b").agg(F.max("_t").alias("_last"))
+    inner_start = F.col("_prev").isNotNull() & (F.col("_t") - F.col("_prev") >= capacity_us)
+    # one row per (key, bucket): first and last time, latest start found inside it
+    spans = e.groupBy(key, "_b").agg(
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+        F.max(F.when(inner_start, F.col("_t"))).alias("_inner"))
     by_bucket = Window.partitionBy(key).orderBy("_b")
-    spans = spans.withColumn("_prev_last", F.lag("_last").over(by_bucket)).drop("_last")
+    spans = spans.withColumn("_prev_last", F.lag("_last").over(by_bucket))
+    first_starts = F.col("_prev_last").isNull() | (F.col("_first") - F.col("_prev_last")
+                                                   >= capacity_us)
+    spans = spans.withColumn(
+        "_bs", F.greatest(F.col("_inner"), F.when(first_starts, F.col("_first"))))
+    carried = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(key, "_b", "_prev_last",
+                         F.max("_bs").over(carried).alias("_carry"))
     e = e.join(spans, [key, "_b"], "left")
     prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
-    e = e.withColumn("_start", prev.isNull() | (F.col("_t") - prev >= capacity_us))
+    start = prev.isNull() | (F.col("_t") - prev >= capacity_us)
     # segment id = time of the latest start at or before the event: inside the bucket
-    # by a running max, else carried from earlier buckets (again one row per bucket)
+    # by a running max, else the latest start carried from earlier buckets
     run = in_bucket.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("_seg_in", F.max(F.when(F.col("_start"), F.col("_t"))).over(run))
-    starts = e.groupBy(key, "_b").agg(F.max(F.when(F.col("_start"), F.col("_t"))).alias("_bs"))
-    carried = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("_carry", F.max("_bs").over(carried)).drop("_bs")
-    e = e.join(starts, [key, "_b"], "left")
-    return e.withColumn("_seg", F.coalesce(F.col("_seg_in"), F.col("_carry"))) \
-        .drop("_b", "_prev", "_prev_last", "_start", "_seg_in", "_carry")
+    seg_in = F.max(F.when(start, F.col("_t"))).over(run)
+    return e.withColumn("_seg", F.coalesce(seg_in, F.col("_carry"))) \
+        .drop("_b", "_prev", "_prev_last", "_carry")
 
 
 def _fold(key: str, event_id: str, cost: int, capacity: int):

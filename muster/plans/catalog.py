@@ -33,4 +33,12 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from muster.plans import q_access, q_ingest, q_listing, q_mutate, q_rules, q_stream  # noqa: F401,E501
+    from muster.plans import (  # noqa: F401
+        q_access,
+        q_derived,
+        q_ingest,
+        q_listing,
+        q_mutate,
+        q_rules,
+        q_stream,
+    )
