@@ -113,3 +113,18 @@ def test_deep_page_uses_positions(officers, spark, monkeypatch):
     monkeypatch.setattr(L, "TOPK_LIMIT", 1)
     got = rows(page(officers, page=2, page_size=1, sort="first_name"), "first_name", "total_records")
     assert got == [("Bob", 3)]
+
+
+def test_id_filter_and_projection_reach_parquet_scan(spark, tmp_path):
+    from muster.schemas import SCHEMAS
+    from muster.sources.tables import load_table
+    t = ts("2024-01-01 10:00:00")
+    data = [(f"s{i}", f"c{i % 3}", t, t, None, None, None, "Main Hall", None, None, t, None, 1)
+            for i in range(30)]
+    spark.createDataFrame(data, SCHEMAS["sessions"]).write.parquet(str(tmp_path / "sessions"))
+    df = load_table(spark, str(tmp_path), "sessions")
+    p = L.list_page(df, LIST_SPECS["sessions"], PageArgs(filters={"course_id": "c1"}))
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(course_id,c1)" in plan
+    assert "facilitator_notes" not in plan.split("ReadSchema:")[1].split("\n")[0]
+    assert sorted(rows(p, "id"))[:2] == [("s1",), ("s10",)]
