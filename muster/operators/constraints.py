@@ -52,8 +52,28 @@ def duplicate_keys(df: DataFrame, table: str, keys: tuple[str, ...]) -> DataFram
 
 
 def unique_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every declared unique and primary key of every given table."""
-    parts = [duplicate_keys(df, t, k) for t, df in tables.items() for k in UNIQUE_KEYS.get(t, ())]
+    """Every declared unique and primary key of every given table.
+
+    One scan per table: each row emits one (key columns, key parts) pair per key set
+    (parts as an array, so composite keys cannot collide), rows with a NULL part are
+    exempt, and a single partially aggregated group-by counts all key sets at once.
+    """
+    parts = []
+    for t, df in tables.items():
+        sets = [k for k in UNIQUE_KEYS.get(t, ()) if all(c in df.columns for c in k)]
+        if not sets:
+            continue
+        pairs = F.array(*[F.struct(
+            F.lit(",".join(k)).alias("key_columns"),
+            F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]),
+                   F.array(*[F.col(c).cast("string") for c in k])).alias("key_parts"))
+            for k in sets])
+        keyed = df.select(F.inline(pairs)).where(F.col("key_parts").isNotNull())
+        counted = keyed.groupBy("key_columns", "key_parts") \
+            .agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
+        parts.append(counted.select(F.lit(t).alias("table_name"), "key_columns",
+                                    F.array_join("key_parts", "|").alias("key_value"),
+                                    "row_count"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -71,10 +91,32 @@ def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
 
 
 def fk_audit(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
-    """C3 for every foreign key whose child and parent tables are both given."""
-    parts = [orphans(tables[fk.child], tables[fk.parent], fk) for fk in fks
-             if fk.child in tables and fk.parent in tables and fk.column in tables[fk.child].columns]
-    return reduce(DataFrame.unionByName, parts)
+    """C3 for every foreign key whose child and parent tables are both given.
+
+    One scan per child table emits (fk, value) for each of its references; the
+    distinct values are counted with partial aggregation (a hot parent key costs one
+    row per task); one anti-join against the union of all parent keys, tagged by
+    parent table, finds the orphans of all foreign keys together.
+    """
+    live = [fk for fk in fks if fk.child in tables and fk.parent in tables
+            and fk.column in tables[fk.child].columns]
+    refs = []
+    for child in dict.fromkeys(fk.child for fk in live):
+        mine = [fk for fk in live if fk.child == child]
+        pairs = F.array(*[F.struct(F.lit(fk.column).alias("column_name"),
+                                   F.lit(fk.parent).alias("parent_table"),
+                                   F.col(fk.column).cast("string").alias("key_value"))
+                          for fk in mine])
+        refs.append(tables[child].select(F.lit(child).alias("child_table"), F.inline(pairs)))
+    values = reduce(DataFrame.unionByName, refs).where(F.col("key_value").isNotNull()) \
+        .groupBy("child_table", "column_name", "parent_table", "key_value") \
+        .agg(F.count(F.lit(1)).alias("row_count"))
+    keys = reduce(DataFrame.unionByName, [
+        tables[p].select(F.lit(p).alias("parent_table"),
+                         F.col(col).cast("string").alias("key_value"))
+        for p, col in dict.fromkeys((fk.parent, fk.parent_column) for fk in live)])
+    return values.join(keys, ["parent_table", "key_value"], "left_anti") \
+        .select("child_table", "column_name", "parent_table", "key_value", "row_count")
 
 
 # --- C4 -------------------------------------------------------------------------------------
