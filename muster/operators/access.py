@@ -14,19 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.time import as_of_literal
 from muster.functions.tokens import token_hash
 from muster.schemas import SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, TOKEN_LIFETIME_SECONDS, \
     TOKEN_TEXT_BYTES
 
 
-def _ts(as_of) -> Column:
-    if isinstance(as_of, Column):
-        return as_of
-    import datetime as dt
-    v = dt.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
-    return F.lit(v).cast("timestamp_ntz")
-
-
 def token_lifetime_seconds(scope: Column) -> Column:
     expr = None
     for s, secs in TOKEN_LIFETIME_SECONDS.items():
@@ -54,7 +47,7 @@ def register_tokens(requests: DataFrame, token_col: str = "token", user_col: str
 
 def live_tokens(tokens: DataFrame, scope: str, as_of) -> DataFrame:
     """tokens of one scope whose expiry is strictly after ``as_of``."""
-    return tokens.where((F.col("scope") == scope) & (F.col("expiry") > _ts(as_of))) \
+    return tokens.where((F.col("scope") == scope) & (F.col("expiry") > as_of_literal(as_of))) \
         .select("hash", F.col("user_id").alias("_token_user"))
 
 

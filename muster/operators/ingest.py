@@ -14,20 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.time import as_of_literal
 from muster.operators.constraints import coerce_numeric, outcome_column, with_status
 from muster.operators.validate import RULES, ddl_check_rules, validate_columns, fields_of
 from muster.operators.validate import _ok as rule_ok
 from muster.schemas import FOREIGN_KEYS, NUMERIC_COLUMNS, SCHEMAS, UNIQUE_KEYS
 
 
-def _ts(as_of) -> Column:
-    import datetime as dt
-    if isinstance(as_of, Column):
-        return as_of
-    v = dt.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
-    return F.lit(v).cast("timestamp_ntz")
-
-
 def _first_in_batch(rows: DataFrame, keys: tuple[str, ...], seq_col: str, eligible: Column,
                     flag: str) -> DataFrame:
     """Flag rows whose non-NULL key already appeared earlier (lower seq) in the batch."""
@@ -106,7 +99,7 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
         if f"_dec_{f.name}" in created.columns:
             row.append(F.col(f"_dec_{f.name}").cast(f.dataType).alias(f.name))
         elif f.name == "created_at":
-            row.append(_ts(as_of).alias(f.name))
+            row.append(as_of_literal(as_of).alias(f.name))
         elif f.name == "version":
             row.append(F.lit(1).alias(f.name))
         elif f.name == "activated" and f.name not in created.columns:
@@ -165,7 +158,7 @@ def import_ledger(job_id: str, job_type: str, user_id: str, created_at, finished
             F.lit(" of "), F.col("rows_read").cast("string"), F.lit(" rows not imported")))
         .alias("error_message"),
         F.lit(user_id).alias("created_by_user_id"),
-        _ts(created_at).alias("created_at"), _ts(finished_at).alias("finished_at"),
+        as_of_literal(created_at).alias("created_at"), as_of_literal(finished_at).alias("finished_at"),
         F.lit(1).alias("version"),
         F.col("rows_read").cast("bigint").alias("rows_read"),
         F.col("rows_rejected").cast("bigint").alias("rows_rejected"),

@@ -18,21 +18,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.time import as_of_literal
 from muster.operators.validate import validate_columns, fields_of
 from muster.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STAMPS_UPDATED_AT, ForeignKey
 
 
-def _ts(as_of) -> Column:
-    import datetime as dt
-    if isinstance(as_of, Column):
-        return as_of
-    v = dt.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
-    return F.lit(v).cast("timestamp_ntz")
-
-
 # --- M1 -----------------------------------------------------------------------------------------
 def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
                       stamp_updated_at: bool = False, key: str = "id",
@@ -69,7 +62,7 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
         elif c == "version":
             out_cols.append(F.when(hit, F.col(c) + 1).otherwise(F.col(c)).cast("int").alias(c))
         elif c == "updated_at" and stamp_updated_at:
-            out_cols.append(F.when(hit, _ts(as_of)).otherwise(F.col(c)).alias(c))
+            out_cols.append(F.when(hit, as_of_literal(as_of)).otherwise(F.col(c)).alias(c))
         else:
             out_cols.append(F.col(c))
     return merged.select(*out_cols), report

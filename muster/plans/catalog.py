@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(standins) -> DataFrame`` under ``name`` with its oracle SQL."""
     def deco(fn: Callable[[StandIns], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(StandIns(spark, sf_dir))
+            return fn(StandIns.of(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -247,7 +247,7 @@ _ENV_ARGS, _ENV_WHERE, _ENV_ORDER = LIST_CASES["officers"]
 
 @query("json_page_envelope", f"""
     WITH p AS ({_list_sql('officers', _ENV_WHERE, _ENV_ORDER, _ENV_ARGS.page,
-                          _ENV_ARGS.page_size).replace('WITH ', 'WITH ', 1)}),
+                          _ENV_ARGS.page_size)}),
          m AS ({_meta_sql(_list_sql('officers', _ENV_WHERE, _ENV_ORDER, _ENV_ARGS.page,
                                     _ENV_ARGS.page_size), _ENV_ARGS.page, _ENV_ARGS.page_size)})
     SELECT '{{"officers":[' || coalesce((SELECT string_agg({_officer_json_sql('p.')}, ','

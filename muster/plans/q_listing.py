@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from muster.functions.text import query_terms
 from muster.operators import listing as L
 from muster.plans.catalog import query
-from muster.plans.oracle_sql import has_all, toks, with_tables
+from muster.plans.oracle_sql import has_all, with_tables
 from muster.plans.specs import LIST_SPECS, PageArgs
 from muster.schemas import PUBLIC
 
@@ -218,5 +218,3 @@ def validate_page_requests(t):
     """V12 over a request log built from events (officer listing safelist)."""
     return L.validate_page_requests(_page_requests(t), LIST_SPECS["officers"])
 
-
-_ = toks  # re-exported helper used by other query modules

@@ -100,7 +100,7 @@ _M1_CTE = (with_tables("officers") + f""",
           WHERE stored IS NOT NULL AND (expected_version IS NULL OR expected_version = stored)
           GROUP BY id),
     rep AS (SELECT j.*, w.win FROM j LEFT JOIN w ON j.id = w.id)
-""").replace("WITH ", "WITH ", 1)
+""")
 
 _M1_REPORT_SQL = (_M1_CTE + """
     SELECT id, seq, expected_version,
@@ -192,7 +192,7 @@ def _course_patches(t):
            CASE WHEN NOT present THEN 'not_found' WHEN NOT ok THEN 'invalid' ELSE 'updated' END
              AS outcome,
            CAST(CASE WHEN present AND ok THEN stored + 1 END AS INTEGER) AS version
-    FROM v""".replace("WITH ", "WITH ", 1))
+    FROM v""")
 def partial_patch(t):
     """M2: NULL members keep stored values; merged rows re-validated (V2), then M1."""
     _, report = M.partial_patch(t.courses, _course_patches(t), PATCHABLE["courses"],

@@ -35,6 +35,7 @@ from muster.sources.tables import load_table, table_path
 
 # a single-file input at least this large is spread over all cores (see session.spread)
 SPREAD_MIN_BYTES = 1 << 20
+SINGLE_SPLIT_BYTES = 128 << 20
 
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = "2024-01-15 12:00:00"  # the fixed "now" of every time-dependent query
@@ -56,15 +57,32 @@ def _null(type_: str) -> Column:
 class StandIns:
     """Lazily derived domain tables over one driver data folder."""
 
+    _shared: dict[tuple[int, str], StandIns] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._raw: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, root: str) -> StandIns:
+        """One set of stand-in DataFrames per (session, folder), reused across queries
+        like a catalog of views (DataFrames are immutable; building them is driver work)."""
+        key = (id(spark._jsparkSession), os.path.abspath(root))
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, root)
+        return cls._shared[key]
 
     def raw(self, name: str) -> DataFrame:
-        df = load_table(self.spark, self.root, name)
-        path = table_path(self.root, name)
-        if os.path.isfile(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
-            df = spread(df)
-        return df
+        """A driver table. A single file of at least 1 MiB (one row group, one split
+        below 128 MiB) is spread over the cores; a directory of many files is not."""
+        if name not in self._raw:
+            df = load_table(self.spark, self.root, name)
+            path = table_path(self.root, name)
+            size = os.path.getsize(path) if os.path.isfile(path) else 0
+            if SPREAD_MIN_BYTES <= size < SINGLE_SPLIT_BYTES:
+                df = spread(df, partitions=1)
+            self._raw[name] = df
+        return self._raw[name]
 
     # --- lookup tables --------------------------------------------------------------
     @cached_property

@@ -48,17 +48,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None,
+           partitions: int | None = None) -> DataFrame:
     """Round-robin an under-partitioned input over the cluster's cores.
 
     A small unsplittable file (one Parquet row group) scans as one task, so every
     row-local step before the first shuffle would run on one core. When the input
     has fewer partitions than the default parallelism it is redistributed; on a big
     input (thousands of splits) this is a no-op. Filters and column pruning still
-    reach the scan: Catalyst pushes them through a repartition.
+    reach the scan: Catalyst pushes them through a repartition. Pass ``partitions``
+    when the caller knows it (asking the DataFrame plans the scan).
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    have = df.rdd.getNumPartitions() if partitions is None else partitions
+    return df.repartition(want) if have < want else df
 
 
 def pin(df: DataFrame) -> DataFrame:
