@@ -118,10 +118,18 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
 
 def insert_if_absent(base: DataFrame, batch: DataFrame, keys: tuple[str, ...],
                      seq_col: str = "seq") -> DataFrame:
-    """Rows of ``batch`` whose key is held neither by ``base`` nor by an earlier batch row."""
-    firsts = batch.groupBy(*keys).agg(F.min(seq_col).alias("_first"))
-    once = batch.join(firsts, list(keys)).where(F.col(seq_col) == F.col("_first")).drop("_first")
-    return once.join(base.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows of ``batch`` whose key is held neither by ``base`` nor by an earlier batch row.
+
+    The first row per key is one ``min_by`` aggregate (partial aggregation: a key
+    repeated a million times costs one row per task before the shuffle), then one
+    anti-join against the base keys.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    firsts = batch.groupBy(*keys).agg(
+        F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(seq_col)).alias("_row"))
+    once = firsts.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return once.join(base.select(*keys).distinct(), list(keys), "left_anti") \
+        .select(*batch.columns)
 
 
 def insert_select(base: DataFrame, source: DataFrame, table: str, as_of, mapping: dict,

@@ -34,6 +34,33 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.5,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings for a cluster job that reads ``input_bytes`` on ``total_cores``.
+
+    Shuffle partitions are sized so one reduce partition holds about
+    ``target_partition_bytes`` of the expected shuffle volume (``shuffle_fraction`` of
+    the pruned input), never fewer than two waves of tasks; AQE then coalesces small
+    partitions and splits skewed ones (a key holding a third of the rows) at runtime.
+    Broadcasts are left to AQE's runtime size check. ``spark.checkpoint.dir`` is the
+    cluster's shared folder and is never set here.
+    """
+    shuffle_bytes = int(input_bytes * shuffle_fraction)
+    partitions = max(2 * total_cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder, creating a scratch one only if unset."""
     current = spark.conf.get(CHECKPOINT_CONF, None)

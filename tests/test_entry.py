@@ -42,3 +42,15 @@ def test_against_duckdb_oracle(spark):
         s = digest(sdf.columns, [tuple(r) for r in sdf.collect()])[0]
         d = digest([x[0] for x in res.description], res.fetchall())[0]
         assert s == d, name
+
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+                "FlatMapGroupsInPandasWithState", "MapInArrow")
+
+
+def test_no_python_in_plans_outside_the_bucket_fold(spark):
+    for name, fn in E.queries().items():
+        if name.startswith("token_bucket"):
+            continue
+        plan = fn(spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert not any(n in plan for n in PYTHON_NODES), name
