@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from muster.functions.time import epoch_micros
+
 # fixed values: the reference's admission rate and burst per client
 RATE_PER_SECOND = 2
 BURST = 4
@@ -46,14 +48,11 @@ def costs(rate_per_second: float = RATE_PER_SECOND, burst: int = BURST) -> tuple
     return cost, cost * burst
 
 
-def _micros(col: str):
-    return F.unix_micros(F.col(col).cast("timestamp"))
-
-
 def segment_events(events: DataFrame, key: str, ts: str, event_id: str, capacity_us: int,
                    bucket_us: int = 3600 * US) -> DataFrame:
     """Add ``_t`` (µs) and ``_seg`` (start time of the event's segment) to every event."""
-    e = events.withColumn("_t", _micros(ts)).withColumn("_b", F.floor(F.col("_t") / bucket_us))
+    e = events.withColumn("_t", epoch_micros(F.col(ts), events.schema[ts].dataType))
+    e = e.withColumn("_b", F.floor(F.col("_t") / bucket_us))
     in_bucket = Window.partitionBy(key, "_b").orderBy("_t", event_id)
     e = e.withColumn("_prev", F.lag("_t").over(in_bucket))
     inner_start = F.col("_prev").isNotNull() & (F.col("_t") - F.col("_prev") >= capacity_us)

@@ -79,13 +79,15 @@ def ndjson_rejects(t):
 # --- session create bodies (RFC 3339 times) ---------------------------------------------------
 def session_lines(t):
     o = t.raw("orders")
-    start = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    end = F.date_format(F.timestamp_add("HOUR", F.lit(2), F.col("o_orderdate")),
-                        "yyyy-MM-dd'T'HH:mm:ss")
+
+    def iso(ts):  # wall-clock text of a timestamp_ntz, independent of the session zone
+        return F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))
+
+    start = iso(F.col("o_orderdate"))
+    end = iso(F.timestamp_add("SECOND", F.lit(7200), F.col("o_orderdate")))
     k = F.col("o_orderkey") % 4
     start_json = (F.when(k == 0, F.concat(F.lit('"'), start, F.lit('Z"')))
-                  .when(k == 1, F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"),
-                                         F.lit('"')))
+                  .when(k == 1, F.concat(F.lit('"'), F.substring(start, 1, 10), F.lit('"')))
                   .when(k == 2, F.col("o_orderkey").cast("string"))
                   .otherwise(F.concat(F.lit('"'), start, F.lit('+02:00"'))))
     body = F.concat(F.lit('{"course_id":"'), key_uuid("o_custkey"), F.lit('","start_datetime":'),

@@ -21,7 +21,6 @@ Timestamps stay ``timestamp_ntz`` like the driver data.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 from functools import cached_property
 
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.ids import key_uuid, line_id
+from muster.functions.time import ntz_literal
 from muster.schemas import SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, SCOPE_PASSWORD_RESET
 from muster.session import spread
 from muster.sources.tables import load_table, table_path
@@ -42,7 +42,7 @@ AS_OF = "2024-01-15 12:00:00"  # the fixed "now" of every time-dependent query
 
 
 def ts_lit(text: str) -> Column:
-    return F.lit(dt.datetime.fromisoformat(text)).cast("timestamp_ntz")
+    return ntz_literal(text)
 
 
 def plus_seconds(ts: Column, seconds: Column | int) -> Column:

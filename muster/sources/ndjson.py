@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.predicates import RFC3339_PATTERN
+from muster.functions.time import instant_to_utc_ntz
 
 MAX_BODY_BYTES = 1_048_576
 
@@ -154,7 +155,7 @@ def field_value(entries: Column, f: InputField) -> Column:
     hits = F.filter(entries, lambda e: (e["lk"] == f.name.lower()) & (e["tc"] != T_NULL))
     x = F.try_element_at(hits, F.lit(-1))["x"]
     if f.kind == "time":
-        return F.to_timestamp(x.cast("string")).cast("timestamp_ntz")
+        return instant_to_utc_ntz(F.to_timestamp(x.cast("string")))
     return x.cast(_SPARK_TYPE[f.kind])
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from muster.functions.time import epoch_micros
 from muster.operators.ratelimit import BURST, IDLE_EVICT_SECONDS, RATE_PER_SECOND, US, costs
 from muster.session import checkpoint_dir
 
@@ -64,8 +65,8 @@ def token_bucket_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts",
     cost, capacity = costs(rate_per_second, burst)
     idle_us = max(idle_evict_s * US, capacity)
     s = (stream.select(key, ts, event_id)
-         .withColumn("_ets", F.col(ts).cast("timestamp"))
-         .withColumn("_t", F.unix_micros(F.col("_ets")))
+         .withColumn("_t", epoch_micros(F.col(ts), stream.schema[ts].dataType))
+         .withColumn("_ets", F.timestamp_micros(F.col("_t")))
          .withWatermark("_ets", watermark))
     kt = stream.schema[key].dataType.simpleString()
     it = stream.schema[event_id].dataType.simpleString()
