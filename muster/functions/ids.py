@@ -23,3 +23,16 @@ def line_id(*parts: Column | str) -> Column:
     """Composite text id of integer parts joined by '-' (used where a table has no single key)."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.concat_ws("-", *[c.cast("bigint").cast("string") for c in cols])
+
+
+def content_uuid(*cols: Column | str) -> Column:
+    """Deterministic UUID-shaped id (version nibble 5) from the SHA-256 of the given values.
+
+    Unlike ``uuid()``, a recomputation after a lost executor yields the same id, so a
+    retried task cannot give an inserted row a second identity.
+    """
+    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
+    h = F.sha2(F.to_json(F.struct(*parts)), 256)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
+                       F.concat(F.lit("5"), F.substring(h, 14, 3)),
+                       F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))

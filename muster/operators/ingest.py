@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.ids import content_uuid
 from muster.functions.time import as_of_literal
 from muster.operators.constraints import coerce_numeric, outcome_column, with_status
 from muster.operators.validate import RULES, ddl_check_rules, validate_columns, fields_of
@@ -39,9 +40,9 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     Outcomes (first that applies): invalid (rule set, with ``errors``), check_violation
     (DDL CHECK), numeric_overflow, fk_violation (a non-NULL reference with no parent
     in ``parents``), duplicate (a unique key held by the base or by an earlier row of
-    the batch), created. Generated columns: ``id`` (``id_expr``; ``uuid()`` by default,
-    so write the result before reading it twice), ``created_at`` = ``as_of``,
-    ``version`` = 1, NULL for other absent columns.
+    the batch), created. Generated columns: ``id`` (``id_expr``; by default a
+    UUID-shaped hash of the row's values including ``seq``, stable under recomputation),
+    ``created_at`` = ``as_of``, ``version`` = 1, NULL for other absent columns.
     """
     parents = parents or {}
     rules = RULES.get(table, []) if rules is None else rules
@@ -49,7 +50,9 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     cols = [f.name for f in schema.fields]
     b = batch
     if "id" not in b.columns:
-        b = b.withColumn("id", id_expr if id_expr is not None else F.expr("uuid()"))
+        # deterministic by default: a retried task must not mint a different id
+        b = b.withColumn("id", id_expr if id_expr is not None
+                         else content_uuid(F.lit(table), *[F.col(c) for c in batch.columns]))
     checked = validate_columns(b, rules, prefix="_err_") if rules else b.withColumn(
         "valid", F.lit(True))
     errs = fields_of(rules)

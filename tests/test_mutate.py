@@ -159,3 +159,15 @@ def test_insert_if_absent(spark):
                                   "seq int, session_id string, facilitator_id string")
     got = I.insert_if_absent(base, batch, ("session_id", "facilitator_id"))
     assert rows(got, "seq") == [(2,)]
+
+
+def test_generated_ids_are_deterministic(spark):
+    base = spark.createDataFrame([], "id string, type string, status string, error_message string, "
+                                     "created_by_user_id string, created_at timestamp_ntz, "
+                                     "finished_at timestamp_ntz, version int")
+    batch = spark.createDataFrame([(1, "officers", "pending", "u1"), (2, "officers", "pending", "u1")],
+                                  "seq int, type string, status string, created_by_user_id string")
+    ids1 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW)[1], "id"))
+    ids2 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW)[1], "id"))
+    assert ids1 == ids2 and len(set(ids1)) == 2
+    assert all(len(i[0]) == 36 and i[0][14] == "5" for i in ids1)
