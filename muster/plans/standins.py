@@ -67,7 +67,7 @@ class StandIns:
     def of(cls, spark: SparkSession, root: str) -> StandIns:
         """One set of stand-in DataFrames per (session, folder), reused across queries
         like a catalog of views (DataFrames are immutable; building them is driver work)."""
-        key = (id(spark._jsparkSession), os.path.abspath(root))
+        key = (id(getattr(spark, "_jsparkSession", spark)), os.path.abspath(root))
         if key not in cls._shared:
             cls._shared[key] = cls(spark, root)
         return cls._shared[key]

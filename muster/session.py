@@ -68,8 +68,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="muster-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
+        current = tempfile.mkdtemp(prefix="muster-ckpt-")  # local runs and tests only
+        try:
+            spark.conf.set(CHECKPOINT_CONF, current)
+        except Exception:  # a core config may be read-only at runtime; the context is enough
+            pass
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
