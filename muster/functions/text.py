@@ -1,12 +1,15 @@
 """Full-text matching: every query term occurs as a whole token of the column.
 
 Semantics (plain text query, 'simple' configuration): the column is lower-cased and
-split on every run of characters that are neither letters nor digits; the query is
-split the same way; a row matches when each query term is one of its tokens, in any
-order. No stemming, no stop words. A query with no terms matches nothing.
+split on every run of characters that are neither letters nor digits; a hyphenated
+compound (``state-of-the-art``) is also a token of its own, next to its parts, as the
+PostgreSQL parser emits it. The query is tokenised the same way; a row matches when
+each query term is one of its tokens, in any order. No stemming, no stop words. A
+query with no terms matches nothing.
 
-All of it is one JVM-side expression (``split`` + ``forall`` + ``array_contains``),
-so it stays inside whole-stage code generation and needs no UDF.
+All of it is one JVM-side expression (``split`` / ``regexp_extract_all`` + ``forall``
++ ``array_contains``) and needs no UDF. Compound tokens of the text are only
+extracted when the query has a compound term.
 """
 
 from __future__ import annotations
@@ -18,18 +21,28 @@ from pyspark.sql import functions as F
 
 # fixed value: a token is a maximal run of letters and digits
 SEPARATOR_PATTERN = r"[^\p{L}\p{N}]+"
+# fixed value: a hyphenated compound is two or more such runs joined by single hyphens
+COMPOUND_PATTERN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+"
 _SEPARATOR = regex.compile(SEPARATOR_PATTERN)
+_COMPOUND = regex.compile(COMPOUND_PATTERN)
 
 
 def query_terms(q: str) -> list[str]:
-    """Distinct lower-case terms of a query, in first-seen order."""
+    """Distinct lower-case terms of a query (compounds, then parts), first-seen order."""
     seen: dict[str, None] = {}
-    for t in _SEPARATOR.split(q.lower()):
+    low = q.lower()
+    for t in _COMPOUND.findall(low) + _SEPARATOR.split(low):
         if t:
             seen.setdefault(t, None)
     return list(seen)
 
 
+def compound_tokens(col: Column | str) -> Column:
+    """array<string> of the hyphenated compounds of ``col``, lower-cased."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(COMPOUND_PATTERN), 0)
+
+
 def text_tokens(col: Column | str) -> Column:
     """array<string> of the lower-case tokens of ``col`` (NULL text → no tokens)."""
     c = F.col(col) if isinstance(col, str) else col
@@ -42,7 +55,13 @@ def matches_all_terms(col: Column | str, q: str) -> Column:
     terms = query_terms(q)
     if not terms:
         return F.lit(False)
-    toks = text_tokens(col)
-    if len(terms) == 1:
-        return F.array_contains(toks, F.lit(terms[0]))
-    return F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(toks, t))
+    def all_in(group: list[str], arr: Column) -> Column:
+        if len(group) == 1:
+            return F.array_contains(arr, F.lit(group[0]))
+        return F.forall(F.array(*[F.lit(t) for t in group]), lambda t: F.array_contains(arr, t))
+
+    simple = [t for t in terms if "-" not in t]
+    compound = [t for t in terms if "-" in t]
+    preds = ([all_in(simple, text_tokens(col))] if simple else []) + \
+        ([all_in(compound, compound_tokens(col))] if compound else [])
+    return preds[0] if len(preds) == 1 else preds[0] & preds[1]

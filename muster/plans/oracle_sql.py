@@ -15,8 +15,11 @@ def uid(expr: str) -> str:
 
 
 def toks(expr: str) -> str:
-    return (f"list_filter(regexp_split_to_array(lower(coalesce({expr}, '')), "
-            f"'[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')")
+    """Tokens of a text: runs of letters/digits plus hyphenated compounds, lower-cased."""
+    low = f"lower(coalesce({expr}, ''))"
+    return (f"list_concat(list_filter(regexp_split_to_array({low}, "
+            f"'[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), "
+            f"regexp_extract_all({low}, '[\\p{{L}}\\p{{N}}]+(?:-[\\p{{L}}\\p{{N}}]+)+'))")
 
 
 def has_all(expr: str, terms: list[str]) -> str:

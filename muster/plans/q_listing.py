@@ -218,3 +218,16 @@ def validate_page_requests(t):
     """V12 over a request log built from events (officer listing safelist)."""
     return L.validate_page_requests(_page_requests(t), LIST_SPECS["officers"])
 
+
+
+COMPOUND_QUERY = "Hall 1-URGENT"
+
+
+@query("filter_fulltext_compound", with_tables("sessions") +
+       f"SELECT {_cols('sessions')} FROM sessions "
+       f"WHERE {has_all('location_text', query_terms(COMPOUND_QUERY))}")
+def filter_fulltext_compound(t):
+    """F3 with a hyphenated term: the compound must occur as such, not only its parts."""
+    spec = LIST_SPECS["sessions"]
+    return L.apply_filters(t.sessions, spec, {"location": COMPOUND_QUERY}) \
+        .select(*PUBLIC["sessions"])

@@ -128,3 +128,13 @@ def test_id_filter_and_projection_reach_parquet_scan(spark, tmp_path):
     assert "EqualTo(course_id,c1)" in plan
     assert "facilitator_notes" not in plan.split("ReadSchema:")[1].split("\n")[0]
     assert sorted(rows(p, "id"))[:2] == [("s1",), ("s10",)]
+
+
+def test_hyphenated_compounds_are_tokens_too(spark):
+    df = spark.createDataFrame(
+        [("1", "State-of-the-art design"), ("2", "the art of the state"), ("3", "state of the art")],
+        "id string, title string")
+    spec = LIST_SPECS["courses"]
+    got = rows(L.apply_filters(df, spec, {"title": "state-of-the-art"}), "id")
+    assert got == [("1",)]
+    assert len(L.apply_filters(df, spec, {"title": "art state"}).collect()) == 3
