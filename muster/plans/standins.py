@@ -57,7 +57,7 @@ def _null(type_: str) -> Column:
 class StandIns:
     """Lazily derived domain tables over one driver data folder."""
 
-    _shared: dict[tuple[int, str], StandIns] = {}
+    _shared: dict[tuple[str, str], StandIns] = {}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -67,7 +67,11 @@ class StandIns:
     def of(cls, spark: SparkSession, root: str) -> StandIns:
         """One set of stand-in DataFrames per (session, folder), reused across queries
         like a catalog of views (DataFrames are immutable; building them is driver work)."""
-        key = (id(getattr(spark, "_jsparkSession", spark)), os.path.abspath(root))
+        try:  # the JVM session's own id survives Python object reuse
+            ident = str(spark._jsparkSession.sessionUUID())
+        except Exception:
+            ident = str(id(spark))
+        key = (ident, os.path.abspath(root))
         if key not in cls._shared:
             cls._shared[key] = cls(spark, root)
         return cls._shared[key]
