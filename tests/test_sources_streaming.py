@@ -60,3 +60,18 @@ def test_idle_keys_are_evicted(spark):
     assert state_rows and state_rows[-1] == 1  # key 1 idle for days: dropped
     assert sorted(rows(spark.read.parquet(os.path.join(out, "o")), "event_id", "admitted")) == [
         (1, True), (2, True), (3, True), (4, True)]
+
+
+def test_ingest_stream_splits_accepted_and_rejects(spark, tmp_path):
+    from muster.streaming.ingest import run_ingest_stream
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.ndjson").write_text('{"type":"officers"}\n{"type":1}\n')
+    (src / "b.ndjson").write_text('{"type":"courses","x":2}\n{"TYPE":"attendance"}\n')
+    out = tmp_path / "out"
+    q = run_ingest_stream(spark, str(src), N.INPUTS["import_jobs"], str(out))
+    q.awaitTermination()
+    good = sorted(r.type for r in spark.read.parquet(str(out / "accepted")).collect())
+    bad = sorted(r.reject_code for r in spark.read.parquet(str(out / "rejects")).collect())
+    assert good == ["attendance", "officers"]
+    assert bad == ["unknown_field:x", "wrong_type:type"]
