@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from muster.functions.ids import content_uuid
 from muster.functions.time import as_of_literal
 from muster.operators.constraints import coerce_numeric, outcome_column, with_status
+from muster.operators.constraints import missing_from
 from muster.operators.validate import RULES, ddl_check_rules, validate_columns, fields_of
 from muster.operators.validate import _ok as rule_ok
 from muster.schemas import FOREIGN_KEYS, NUMERIC_COLUMNS, SCHEMAS, UNIQUE_KEYS
@@ -131,8 +132,7 @@ def insert_if_absent(base: DataFrame, batch: DataFrame, keys: tuple[str, ...],
     firsts = batch.groupBy(*keys).agg(
         F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(seq_col)).alias("_row"))
     once = firsts.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return once.join(base.select(*keys).distinct(), list(keys), "left_anti") \
-        .select(*batch.columns)
+    return missing_from(once, base.select(*keys).distinct(), list(keys)).select(*batch.columns)
 
 
 def insert_select(base: DataFrame, source: DataFrame, table: str, as_of, mapping: dict,

@@ -99,3 +99,16 @@ def test_numeric_coercion_rounds_half_away_and_flags_overflow(spark):
     got = [(None if r[0] is None else float(r[0]), r[1]) for r in
            out.select("credited_hours", "credited_hours_overflow").collect()]
     assert got == [(2.3, False), (-2.3, False), (0.0, False), (None, True), (None, False)]
+
+
+def test_fk_audit_aggregates_before_the_parent_join(spark):
+    from muster.schemas import ForeignKey
+    parent = spark.createDataFrame([("p1",)], "id string")
+    child = spark.createDataFrame([("c1", "p1"), ("c2", "p9")], "id string, parent_id string")
+    fk = ForeignKey("kids", "parent_id", "parents", "id", "cascade")
+    plan = C.fk_audit({"kids": child, "parents": parent}, (fk,)) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    # the join sits above the per-key aggregate: child rows are counted before any join
+    join_at = plan.find("Join LeftOuter")
+    assert join_at != -1 and plan.find("Aggregate", join_at) != -1
+    assert "LeftAnti" not in plan
