@@ -109,8 +109,9 @@ def redeem_tokens(presented: DataFrame, tokens: DataFrame, users: DataFrame, as_
                   order_col: str | None = None):
     """M6: activation by token. Returns ``(new_users, new_tokens, report)``.
 
-    Live tokens of the scope resolve to users. Per user the first presented token
-    (by ``order_col``, default the token text) activates the user (version + 1); then
+    Live tokens of the scope resolve to users. Per user the first presentation (by
+    ``order_col``, which must be unique per presented row, e.g. a request id; default
+    the token text) activates the user (version + 1); then
     every token of that user in that scope is removed, so a later token of the same
     user finds nothing: ``invalid_token``, as running the requests one by one would.
     The winner per user is a ``min`` aggregate (partial aggregation, safe for a hot user).

@@ -66,15 +66,16 @@ def access_decision(t):
     p AS (SELECT event_id, {TOKEN} AS token FROM events WHERE event_type IN ('click', 'purchase')),
     r AS (SELECT p.*, k.user_id AS tu FROM p LEFT JOIN tokens k ON k.hash = sha256(p.token)
             AND k.scope = 'activation' AND k.expiry > {AS_OF}),
-    f AS (SELECT tu, min(token) AS first FROM r WHERE tu IS NOT NULL GROUP BY tu)
-    SELECT r.event_id, r.token, CASE WHEN r.token = f.first THEN r.tu END AS user_id,
-           CASE WHEN r.token = f.first THEN 'activated' ELSE 'invalid_token' END AS outcome
+    f AS (SELECT tu, min(event_id) AS first FROM r WHERE tu IS NOT NULL GROUP BY tu)
+    SELECT r.event_id, r.token, CASE WHEN r.event_id = f.first THEN r.tu END AS user_id,
+           CASE WHEN r.event_id = f.first THEN 'activated' ELSE 'invalid_token' END AS outcome
     FROM r LEFT JOIN f ON r.tu = f.tu""")
 def redeem_tokens(t):
     """M6: click events present activation tokens, purchases present reset tokens (wrong scope)."""
     presented = t.raw("events").where(F.col("event_type").isin("click", "purchase")) \
         .select("event_id", StandIns.token_text().alias("token"))
-    _, _, report = A.redeem_tokens(presented, t.tokens, t.users, AS_OF_TEXT)
+    _, _, report = A.redeem_tokens(presented, t.tokens, t.users, AS_OF_TEXT,
+                                   order_col="event_id")
     return report.select("event_id", "token", "user_id", "outcome")
 
 

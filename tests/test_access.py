@@ -61,3 +61,10 @@ def test_redeem_activates_once_and_removes_tokens(spark, world):
     u2 = new_users.where("id = 'u2'").collect()[0]
     assert (u2.activated, u2.version) == (True, 2)
     assert new_tokens.where("scope = 'activation'").count() == 0
+
+
+def test_same_token_presented_twice_activates_once(spark, world):
+    users, tokens = world
+    presented = spark.createDataFrame([(1, "D" * 26), (2, "D" * 26)], "rid int, token string")
+    _, _, rep = A.redeem_tokens(presented, tokens, users, NOW, order_col="rid")
+    assert sorted(rows(rep, "rid", "outcome")) == [(1, "activated"), (2, "invalid_token")]
