@@ -33,7 +33,8 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
     """Version-checked full update. Returns ``(new_base, report)``.
 
     A patch applies when the stored version equals ``expected_version`` (NULL means
-    "whatever is current"). Several patches for one id: the first in ``seq`` order
+    "whatever is current"). ``seq`` orders the patches of one id and should be unique
+    per id. Several patches for one id: the first in ``seq`` order
     among those that match wins; the rest are ``conflict`` (what running them one by
     one with equal expected versions yields). The winner replaces every listed
     column, NULL included, bumps the version and optionally stamps ``updated_at``.
@@ -51,8 +52,11 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
         F.when(F.col("_stored").isNull(), "not_found").when(won, "updated").otherwise("conflict")
         .alias("outcome"),
         F.when(won, F.col("_stored") + 1).otherwise(F.col("_stored")).cast("int").alias("version"))
-    applied = rep.where(won).select(
-        F.col(key).alias("_pk"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    # exactly one applied patch per id even if the caller repeats a seq (seq is meant
+    # to be unique per id): a repeated key must never duplicate a base row
+    applied = rep.where(won).groupBy(key).agg(
+        F.min_by(F.struct(*[F.col(c).alias(f"_new_{c}") for c in columns]), F.col(seq_col))
+        .alias("_p")).select(F.col(key).alias("_pk"), "_p.*")
     merged = base.join(applied, base[key] == applied["_pk"], "left")
     hit = F.col("_pk").isNotNull()
     out_cols = []

@@ -171,3 +171,10 @@ def test_generated_ids_are_deterministic(spark):
     ids2 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW)[1], "id"))
     assert ids1 == ids2 and len(set(ids1)) == 2
     assert all(len(i[0]) == 36 and i[0][14] == "5" for i in ids1)
+
+
+def test_repeated_seq_never_duplicates_base_rows(spark):
+    p = patches(spark, [("c1", 1, 1, "A", "elective", D(4), None),
+                        ("c1", 1, 1, "B", "elective", D(4), None)])
+    new, _ = M.optimistic_update(courses(spark), p, ["title"], NOW)
+    assert new.count() == 2 and new.where("id = 'c1'").count() == 1
