@@ -157,9 +157,9 @@ def import_ledger(job_id: str, job_type: str, user_id: str, created_at, finished
     """
     read = decoded.agg(F.count(F.lit(1)).alias("rows_read"),
                        F.count_if(F.col("reject_code").isNotNull()).alias("rows_rejected"))
-    made = report.agg(F.count_if(F.col("outcome") == "created").alias("rows_created"),
-                      F.count(F.lit(1)).alias("_tried"))
-    j = read.crossJoin(made)
+    made = report.agg(F.struct(F.count_if(F.col("outcome") == "created").alias("rows_created"),
+                               F.count(F.lit(1)).alias("_tried")).alias("m")).scalar()
+    j = read.select("*", made.alias("_m")).select("*", "_m.rows_created", "_m._tried")
     failed = (F.col("rows_rejected") > 0) | (F.col("rows_created") < F.col("_tried"))
     return j.select(
         F.lit(job_id).alias("id"), F.lit(job_type).alias("type"),

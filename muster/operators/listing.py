@@ -7,9 +7,9 @@ Plan shape of ``list_page`` (checked with ``explain``):
 * the page is ``orderBy(...).offset(o).limit(n)``, which plans as one
   ``TakeOrderedAndProject``: every task keeps only its best ``o + n`` rows and the
   driver merges them. No global sort, no shuffle of the table;
-* the total is a separate partial/final ``count`` (map-side combine) whose single
-  row is broadcast and attached to the page rows. A ``count(*) OVER ()`` window
-  would plan an ``Exchange SinglePartition`` of the whole filtered table instead.
+* the total is a separate partial/final ``count`` (map-side combine) attached to the
+  page rows as a scalar subquery. A ``count(*) OVER ()`` window would plan an
+  ``Exchange SinglePartition`` of the whole filtered table instead.
 
 Deep pages (offset + size above ``TOPK_LIMIT``) switch to positions computed by a
 distributed range sort (``global_positions``), so no task ever holds a million rows.
@@ -165,8 +165,10 @@ def list_page(df: DataFrame, spec: ListSpec, args: PageArgs, columns=None) -> Da
         pos = global_positions(projected, order, "_pos")
         page = pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + args.page_size)) \
             .drop("_pos")
-    total = filtered.agg(F.count(F.lit(1)).alias("total_records"))
-    return F.broadcast(total).crossJoin(page).select("total_records", *columns)
+    # the filtered total as a scalar subquery: one partial/final count, attached to the
+    # page rows without any join
+    total = filtered.agg(F.count(F.lit(1)).alias("total_records")).scalar()
+    return page.select(total.alias("total_records"), *columns)
 
 
 # --- page metadata (A2) -------------------------------------------------------------------

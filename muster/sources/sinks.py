@@ -46,9 +46,9 @@ def json_page_envelope(page: DataFrame, metadata: DataFrame, table: str, order:
     rows = page.select(pos.alias("_pos"), json_object(page, table, columns).alias("_j"))
     arr = rows.agg(F.array_sort(F.collect_list(F.struct("_pos", "_j"))).alias("_a"))
     body = arr.select(F.concat_ws(",", F.transform("_a", lambda s: s["_j"])).alias("_rows"))
-    meta = metadata.select(F.to_json(F.struct(*metadata.columns)).alias("_m"))
-    return body.crossJoin(meta).select(
-        F.concat(F.lit(f'{{"{table}":['), F.col("_rows"), F.lit('],"metadata":'), F.col("_m"),
+    meta = metadata.select(F.to_json(F.struct(*metadata.columns)).alias("_m")).scalar()
+    return body.select(
+        F.concat(F.lit(f'{{"{table}":['), F.col("_rows"), F.lit('],"metadata":'), meta,
                  F.lit("}")).alias("json"))
 
 
