@@ -82,7 +82,7 @@ def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     """Distinct non-NULL child key values with no parent row, with how many rows hold each."""
     values = child.where(F.col(fk.column).isNotNull()) \
         .groupBy(F.col(fk.column).alias("key_value")).agg(F.count(F.lit(1)).alias("row_count"))
-    keys = parent.select(F.col(fk.parent_column).alias("key_value")).distinct()
+    keys = parent.select(F.col(fk.parent_column).alias("key_value"))
     missing = missing_from(values, keys, ["key_value"])
     return missing.select(
         F.lit(fk.child).alias("child_table"), F.lit(fk.column).alias("column_name"),
@@ -115,12 +115,13 @@ def fk_audit(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
         tables[p].select(F.lit(p).alias("parent_table"),
                          F.col(col).cast("string").alias("key_value"))
         for p, col in dict.fromkeys((fk.parent, fk.parent_column) for fk in live)])
-    return missing_from(values, keys.distinct(), ["parent_table", "key_value"]) \
+    return missing_from(values, keys, ["parent_table", "key_value"]) \
         .select("child_table", "column_name", "parent_table", "key_value", "row_count")
 
 
 def missing_from(values: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``values`` with no match in ``keys`` (distinct on ``on``).
+    """Rows of ``values`` with no match in ``keys``. ``keys`` need not be distinct: a
+    repeated key only repeats matched rows, and those are dropped.
 
     Written as a left join plus a NULL test rather than ``left_anti``: Catalyst pushes
     an anti join below the aggregate that produced ``values`` when the join keys are

@@ -132,7 +132,7 @@ def insert_if_absent(base: DataFrame, batch: DataFrame, keys: tuple[str, ...],
     firsts = batch.groupBy(*keys).agg(
         F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(seq_col)).alias("_row"))
     once = firsts.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return missing_from(once, base.select(*keys).distinct(), list(keys)).select(*batch.columns)
+    return missing_from(once, base.select(*keys), list(keys)).select(*batch.columns)
 
 
 def insert_select(base: DataFrame, source: DataFrame, table: str, as_of, mapping: dict,
