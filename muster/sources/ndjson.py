@@ -20,8 +20,8 @@ included, and ``schema_of_variant`` names each member's JSON type; an array wrap
 is followed by trailing text. For accepted lines, each field takes the last non-null
 occurrence of its (case-insensitive) key, as sequential decoding does.
 
-Known miss: a line whose first value is the literal ``null`` followed by trailing
-text is classified ``malformed`` instead of ``multiple_values``.
+A first value that is the literal ``null`` decodes to an empty body (every field
+absent); with trailing text it is ``multiple_values``.
 """
 
 from __future__ import annotations
@@ -139,12 +139,13 @@ def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = N
     head = F.ltrim(v, F.lit(" \t\n\r"))
     is_object = head.startswith("{")
     is_null = F.rtrim(head, F.lit(" \t\n\r")) == "null"
+    null_first = first_ok & head.startswith("null")  # a JSON null, maybe with trailing text
     single = F.coalesce(n_values == 1, F.lit(False))
     malformed = n_values.isNull() & ~first_ok & entries.isNull() & ~is_null
     return (F.when(F.octet_length(v) > MAX_BODY_BYTES, F.lit("too_large"))
             .when(v.isNull() | (head == ""), F.lit("empty"))
             .when(malformed, F.lit("malformed"))
-            .when(~is_object & ~is_null, F.lit("wrong_type"))
+            .when(~is_object & ~null_first, F.lit("wrong_type"))
             .when(is_object & entries.isNull(), F.lit("malformed"))
             .when(first_problem.isNotNull(), first_problem)
             .when(~single & ~is_null, F.lit("multiple_values")))

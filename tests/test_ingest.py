@@ -24,6 +24,9 @@ CASES = [
     ('{"title":"a","title":"b"}', None),
     ('{"title":"a","title":3}', "wrong_type:title"),
     ('{"title":null,"description":null}', None),
+    ("null x", "multiple_values"),
+    ("null,1", "multiple_values"),
+    ("nullx", "malformed"),
 ]
 
 
