@@ -21,6 +21,7 @@ from muster.operators.constraints import missing_from
 from muster.operators.validate import RULES, ddl_check_rules, validate_columns, fields_of
 from muster.operators.validate import _ok as rule_ok
 from muster.schemas import FOREIGN_KEYS, NUMERIC_COLUMNS, SCHEMAS, UNIQUE_KEYS
+from muster.session import pin
 
 
 def _first_in_batch(rows: DataFrame, keys: tuple[str, ...], seq_col: str, eligible: Column,
@@ -35,7 +36,7 @@ def _first_in_batch(rows: DataFrame, keys: tuple[str, ...], seq_col: str, eligib
 
 def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
                 parents: dict[str, DataFrame] | None = None, id_expr: Column | None = None,
-                seq_col: str = "seq", rules=None):
+                seq_col: str = "seq", rules=None, pin_batch: bool = False):
     """Insert ``batch`` rows into ``base``. Returns ``(new_base, report)``.
 
     Outcomes (first that applies): invalid (rule set, with ``errors``), check_violation
@@ -44,6 +45,11 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     the batch), created. Generated columns: ``id`` (``id_expr``; by default a
     UUID-shaped hash of the row's values including ``seq``, stable under recomputation),
     ``created_at`` = ``as_of``, ``version`` = 1, NULL for other absent columns.
+
+    The in-batch uniqueness step reads the checked batch twice (the first row per key
+    is a partially aggregated ``min``, joined back). ``pin_batch=True`` writes the
+    checked batch once to the shared checkpoint folder instead of recomputing its
+    rule, CHECK and foreign-key work; worth it for large batches with costly checks.
     """
     parents = parents or {}
     rules = RULES.get(table, []) if rules is None else rules
@@ -80,6 +86,8 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
         checked = checked.join(keys, checked[fk.column] == keys[f"_p{i}"], "left")
         fk_ok = fk_ok & (F.col(fk.column).isNull() | F.col(f"_p{i}").isNotNull())
     checked = checked.withColumn("_fk_ok", fk_ok)
+    if pin_batch:
+        checked = pin(checked)
     eligible = F.col("valid") & F.col("_check_ok") & F.col("_num_ok") & F.col("_fk_ok")
     # unique keys other than the generated id: against the base, then inside the batch
     dup = F.lit(False)

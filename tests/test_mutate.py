@@ -134,6 +134,9 @@ def test_bulk_insert_duplicates_in_batch_and_base(spark):
                                                  "id string"),
                "sessions": spark.createDataFrame([("s1",)], "id string")}
     new, rep = I.bulk_insert(base, batch, "attendance", "2024-02-01 00:00:00", parents=parents)
+    _, pinned = I.bulk_insert(base, batch, "attendance", "2024-02-01 00:00:00", parents=parents,
+                              pin_batch=True)
+    assert sorted(rows(pinned, "seq", "outcome")) == sorted(rows(rep, "seq", "outcome"))
     assert sorted(rows(rep, "seq", "outcome", "status")) == [
         (1, "duplicate", 422), (2, "created", 201), (3, "duplicate", 422), (4, "invalid", 422),
         (5, "numeric_overflow", 500), (6, "fk_violation", 500)]
