@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from muster.functions.time import as_of_literal
 from muster.operators.validate import validate_columns, fields_of
-from muster.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STAMPS_UPDATED_AT, ForeignKey
+from muster.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STAMPS_UPDATED_AT, UNIQUE_KEYS, ForeignKey
 
 
 # --- M1 -----------------------------------------------------------------------------------------
 def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
                       stamp_updated_at: bool = False, key: str = "id",
-                      expected_col: str = "expected_version", seq_col: str = "seq"):
+                      expected_col: str = "expected_version", seq_col: str = "seq",
+                      unique_keys=()):
     """Version-checked full update. Returns ``(new_base, report)``.
 
     A patch applies when the stored version equals ``expected_version`` (NULL means
@@ -38,7 +39,10 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
     among those that match wins; the rest are ``conflict`` (what running them one by
     one with equal expected versions yields). The winner replaces every listed
     column, NULL included, bumps the version and optionally stamps ``updated_at``.
-    Report outcomes: updated / conflict / not_found.
+    A winner whose new value of a unique key (``unique_keys`` whose columns it writes)
+    is held by another row, or by a winner with a lower ``seq``, fails as ``duplicate``
+    and leaves its row unchanged (NULL keys are exempt).
+    Report outcomes: updated / duplicate / conflict / not_found.
     """
     stored = base.select(F.col(key).alias("_k"), F.col("version").alias("_stored"))
     p = patches.join(stored, patches[key] == stored["_k"], "left").drop("_k")
@@ -46,11 +50,29 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
         F.col(expected_col).isNull() | (F.col(expected_col) == F.col("_stored")))
     winners = p.where(matches).groupBy(key).agg(F.min(seq_col).alias("_win"))
     rep = p.join(winners, key, "left")
-    won = F.col(seq_col) == F.col("_win")
+    won = F.coalesce(F.col(seq_col) == F.col("_win"), F.lit(False))
+    dup = F.lit(False)
+    checked = [k for k in unique_keys if k != (key,) and all(c in columns for c in k)]
+    for j, keys in enumerate(checked):
+        present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+        new_vals = rep.where(won & present)
+        held = base.select(F.col(key).alias(f"_hid{j}"), *keys).where(present)
+        clash = new_vals.join(held, list(keys)).where(F.col(f"_hid{j}") != F.col(key)) \
+            .select(key, seq_col).distinct().withColumn(f"_clash{j}", F.lit(True))
+        # within the batch, only winners that do not already clash can claim a value
+        claims = new_vals.join(clash, [key, seq_col], "left") \
+            .where(F.col(f"_clash{j}").isNull())
+        firsts = claims.groupBy(*keys).agg(F.min(seq_col).alias(f"_kf{j}"))
+        rep = rep.join(clash, [key, seq_col], "left").join(firsts, list(keys), "left")
+        dup = dup | (won & present & (F.coalesce(F.col(f"_clash{j}"), F.lit(False))
+                                      | F.coalesce(F.col(seq_col) != F.col(f"_kf{j}"),
+                                                   F.lit(False))))
+    rep = rep.withColumn("_dup", dup)
+    won = won & ~F.col("_dup")
     report = rep.select(
         key, seq_col, expected_col,
-        F.when(F.col("_stored").isNull(), "not_found").when(won, "updated").otherwise("conflict")
-        .alias("outcome"),
+        F.when(F.col("_stored").isNull(), "not_found").when(won, "updated")
+        .when(F.col("_dup"), "duplicate").otherwise("conflict").alias("outcome"),
         F.when(won, F.col("_stored") + 1).otherwise(F.col("_stored")).cast("int").alias("version"))
     # exactly one applied patch per id even if the caller repeats a seq (seq is meant
     # to be unique per id): a repeated key must never duplicate a base row
@@ -73,6 +95,8 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
 
 
 def table_update(base: DataFrame, patches: DataFrame, table: str, columns, as_of, **kw):
+    """M1 with the table's timestamp rule and unique keys."""
+    kw.setdefault("unique_keys", UNIQUE_KEYS.get(table, ()))
     return optimistic_update(base, patches, columns, as_of,
                              stamp_updated_at=table in STAMPS_UPDATED_AT, **kw)
 
@@ -80,7 +104,8 @@ def table_update(base: DataFrame, patches: DataFrame, table: str, columns, as_of
 # --- M2 -----------------------------------------------------------------------------------------
 def partial_patch(base: DataFrame, patches: DataFrame, patchable, rules, as_of,
                   stamp_updated_at: bool = False, key: str = "id",
-                  expected_col: str = "expected_version", seq_col: str = "seq"):
+                  expected_col: str = "expected_version", seq_col: str = "seq",
+                  unique_keys=()):
     """Partial update: an absent (NULL) member keeps the stored value; the merged row
     is re-validated; valid merges go through the version check (M1).
 
@@ -103,7 +128,7 @@ def partial_patch(base: DataFrame, patches: DataFrame, patchable, rules, as_of,
     good = checked.where(F.col("valid") & F.col("_exists")).select(key, seq_col, expected_col,
                                                                    *patchable)
     new_base, upd = optimistic_update(base, good, list(patchable), as_of, stamp_updated_at,
-                                      key, expected_col, seq_col)
+                                      key, expected_col, seq_col, unique_keys)
     rejected = checked.where(~(F.col("valid") & F.col("_exists"))).select(
         key, seq_col, expected_col,
         F.when(~F.col("_exists"), "not_found").otherwise("invalid").alias("outcome"),

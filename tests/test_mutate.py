@@ -181,3 +181,23 @@ def test_repeated_seq_never_duplicates_base_rows(spark):
                         ("c1", 1, 1, "B", "elective", D(4), None)])
     new, _ = M.optimistic_update(courses(spark), p, ["title"], NOW)
     assert new.count() == 2 and new.where("id = 'c1'").count() == 1
+
+
+def test_duplicate_email_on_update(spark):
+    t = ts("2024-01-01 00:00:00")
+    users = spark.createDataFrame(
+        [(u, e, "h", "viewer", t, None, 1, True) for u, e in
+         [("u1", "a@b.org"), ("u2", "c@d.org"), ("u3", "x@y.org"), ("u4", "z@y.org")]],
+        "id string, email string, password_hash string, role string, created_at timestamp_ntz, "
+        "last_login_at timestamp_ntz, version int, activated boolean")
+    p = spark.createDataFrame(
+        [("u2", None, 1, "a@b.org", "viewer", True),    # held by u1 → duplicate
+         ("u1", None, 2, "a@b.org", "admin", True),     # its own address → updated
+         ("u3", None, 3, "e@f.org", "viewer", True),    # first to claim e@f.org → updated
+         ("u4", None, 4, "e@f.org", "viewer", True)],   # second claim → duplicate
+        "id string, expected_version int, seq int, email string, role string, activated boolean")
+    new, rep = M.table_update(users, p, "users", ["email", "role", "activated"], NOW)
+    assert sorted(rows(rep, "id", "outcome")) == [("u1", "updated"), ("u2", "duplicate"),
+                                                 ("u3", "updated"), ("u4", "duplicate")]
+    assert dict(rows(new, "id", "email")) == {"u1": "a@b.org", "u2": "c@d.org",
+                                              "u3": "e@f.org", "u4": "z@y.org"}
