@@ -48,37 +48,41 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
     p = patches.join(stored, patches[key] == stored["_k"], "left").drop("_k")
     matches = F.col("_stored").isNotNull() & (
         F.col(expected_col).isNull() | (F.col(expected_col) == F.col("_stored")))
-    winners = p.where(matches).groupBy(key).agg(F.min(seq_col).alias("_win"))
-    rep = p.join(winners, key, "left")
-    won = F.coalesce(F.col(seq_col) == F.col("_win"), F.lit(False))
+    new_cols = [f"_new_{c}" for c in columns]
+    # one aggregation: the winning seq per id and the winning patch's values (min_by, so
+    # exactly one applied patch per id even if a seq repeats)
+    w = p.where(matches).groupBy(key).agg(
+        F.min(seq_col).alias("_win"),
+        F.min_by(F.struct(*[F.col(c).alias(n) for c, n in zip(columns, new_cols)]),
+                 F.col(seq_col)).alias("_p")).select(key, "_win", "_p.*")
+    # unique keys the update writes, checked on the winners only (one row per id)
     dup = F.lit(False)
     checked = [k for k in unique_keys if k != (key,) and all(c in columns for c in k)]
     for j, keys in enumerate(checked):
-        present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
-        new_vals = rep.where(won & present)
-        held = base.select(F.col(key).alias(f"_hid{j}"), *keys).where(present)
-        clash = new_vals.join(held, list(keys)).where(F.col(f"_hid{j}") != F.col(key)) \
-            .select(key, seq_col).distinct().withColumn(f"_clash{j}", F.lit(True))
+        newk = [f"_new_{c}" for c in keys]
+        present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in newk])
+        held = base.select(F.col(key).alias(f"_hid{j}"),
+                           *[F.col(c).alias(n) for c, n in zip(keys, newk)]).where(present)
+        clash = w.where(present).join(held, newk).where(F.col(f"_hid{j}") != F.col(key)) \
+            .select(key).distinct().withColumn(f"_clash{j}", F.lit(True))
+        w = w.join(clash, key, "left")
         # within the batch, only winners that do not already clash can claim a value
-        claims = new_vals.join(clash, [key, seq_col], "left") \
-            .where(F.col(f"_clash{j}").isNull())
-        firsts = claims.groupBy(*keys).agg(F.min(seq_col).alias(f"_kf{j}"))
-        rep = rep.join(clash, [key, seq_col], "left").join(firsts, list(keys), "left")
-        dup = dup | (won & present & (F.coalesce(F.col(f"_clash{j}"), F.lit(False))
-                                      | F.coalesce(F.col(seq_col) != F.col(f"_kf{j}"),
-                                                   F.lit(False))))
-    rep = rep.withColumn("_dup", dup)
-    won = won & ~F.col("_dup")
+        firsts = w.where(present & F.col(f"_clash{j}").isNull()).groupBy(*newk) \
+            .agg(F.min("_win").alias(f"_kf{j}"))
+        w = w.join(firsts, newk, "left")
+        dup = dup | (present & (F.coalesce(F.col(f"_clash{j}"), F.lit(False))
+                                | F.coalesce(F.col("_win") != F.col(f"_kf{j}"), F.lit(False))))
+    w = w.withColumn("_dup", dup)
+    rep = p.join(w.select(key, "_win", "_dup"), key, "left")
+    won = F.coalesce(F.col(seq_col) == F.col("_win"), F.lit(False)) \
+        & ~F.coalesce(F.col("_dup"), F.lit(False))
     report = rep.select(
         key, seq_col, expected_col,
         F.when(F.col("_stored").isNull(), "not_found").when(won, "updated")
-        .when(F.col("_dup"), "duplicate").otherwise("conflict").alias("outcome"),
+        .when(F.coalesce(F.col(seq_col) == F.col("_win"), F.lit(False)), "duplicate")
+        .otherwise("conflict").alias("outcome"),
         F.when(won, F.col("_stored") + 1).otherwise(F.col("_stored")).cast("int").alias("version"))
-    # exactly one applied patch per id even if the caller repeats a seq (seq is meant
-    # to be unique per id): a repeated key must never duplicate a base row
-    applied = rep.where(won).groupBy(key).agg(
-        F.min_by(F.struct(*[F.col(c).alias(f"_new_{c}") for c in columns]), F.col(seq_col))
-        .alias("_p")).select(F.col(key).alias("_pk"), "_p.*")
+    applied = w.where(~F.col("_dup")).select(F.col(key).alias("_pk"), *new_cols)
     merged = base.join(applied, base[key] == applied["_pk"], "left")
     hit = F.col("_pk").isNotNull()
     out_cols = []
