@@ -3,12 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from muster.llm import bpe
-from muster.llm.common import table
+from muster.llm import bpe, hilbert, quality, token_store
+from muster.llm.common import scratch, table
 from muster.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
+@query("op1_quality_subword")
+def op1_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        quality.accepted().cast("int").alias("predicted"))
+
+
+@query("op3_hilbert_shards")
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.place(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 @query("op9_bpe_round_trip")
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_store")
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the store, look every document up in its index, read its ids from the shards."""
+    docs = table(spark, sf_dir, "documents")
+    store = token_store.TokenStore.write(docs, scratch(spark, "token-store"))
+    found = store.lookup(token_store.every_copy(docs), copy_col="copy")
+    return store.fetch(found).select(F.col("id").alias("doc_id"), "start", "n_tokens",
+                                     F.crc32("ids").alias("ids_crc32"))
