@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, hilbert, quality, token_store
+from muster.llm import bpe, decontaminate, hilbert, langid, licenses, quality, secrets, token_store
 from muster.llm.common import scratch, table
 from muster.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -39,3 +39,24 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = store.lookup(token_store.every_copy(docs), copy_col="copy")
     return store.fetch(found).select(F.col("id").alias("doc_id"), "start", "n_tokens",
                                      F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_language_fusion")
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
+@query("op6_randomness_secrets")
+def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_license_diagonals")
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op8_spaced_seeds")
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -26,14 +26,17 @@ gives a store without shards; further columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +47,9 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_BYTES = 16 << 20  # bytes of text in a shard, about
 BUCKET_KEYS = 1 << 16  # keys in an index bucket, about
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+SLICE_BYTES = 8 << 20  # of text that are encoded at once
+LONG_TEXT = 4 << 20  # bytes from which a text is encoded by itself
 MAGIC = b"MPHIDX01"
 ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("count", "<u8")])
 
@@ -71,55 +76,80 @@ class _Odd(Exception):
     """A space that may not be a pre-token's start."""
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet of such tokenizers: printable bytes stand for themselves, the others
+    for the code points from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class _ChunkIds(dict):
     """Text between two single spaces -> id bytes of ``prefix`` + text, filled on demand.
 
     A space followed by a printable ASCII or alphanumeric character always starts a pre-token, and
-    a line feed between two such characters always is one; texts are cut only there.
+    a line feed between two such characters always is one; texts are cut only there. A chunk that is a
+    word of Latin letters and closing punctuation is two pre-tokens.
     """
 
-    def __init__(self, encode, prefix: str, inner: _ChunkIds | None = None):
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+    def __init__(self, encode, encode_word, prefix: str, bare: _ChunkIds | None = None):
         super().__init__()
-        self._encode, self._prefix, self._inner = encode, prefix, inner
+        self._encode, self._encode_word, self._prefix, self._bare = encode, encode_word, prefix, bare
 
     def __missing__(self, chunk: str) -> bytes:
-        if self._prefix and not (chunk and ("!" <= chunk[0] <= "~" or chunk[0].isalnum())):
+        if self._bare is not None and not (chunk and ("!" <= chunk[0] <= "~" or chunk[0].isalnum())):
             raise _Odd
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self[chunk] = self._lines(chunk) or self._encode(self._prefix + chunk)
+        ids = self[chunk] = self._of(chunk)
         return ids
 
-    def _lines(self, chunk: str) -> bytes | None:
-        if self._inner is None or "\n" not in chunk:
-            return None
-        first, *rest = chunk.split("\n")
-        sound = first and not first[-1].isspace() and all(
-            x and ("!" <= x[0] <= "~" or x[0].isalnum()) and not x[-1].isspace() for x in rest)
-        if not sound:
-            return None
-        feed = self._inner["\n"]
-        return self[first] + b"".join(feed + self._inner[x] for x in rest)
+    def _of(self, chunk: str) -> bytes:
+        if self._bare is None:
+            return self._encode(chunk)
+        if "\n" in chunk:
+            first, *rest = chunk.split("\n")
+            if first and not first[-1].isspace() and all(
+                    x and ("!" <= x[0] <= "~" or x[0].isalnum()) and not x[-1].isspace() for x in rest):
+                feed = self._bare["\n"]
+                return self[first] + b"".join(feed + self._bare[x] for x in rest)
+            return self._encode(self._prefix + chunk)
+        word = chunk.rstrip(",.;:!?")
+        if not (word.isascii() and word.isalpha() or self.LETTERS.fullmatch(word)):
+            return self._encode(self._prefix + chunk)
+        if len(word) < len(chunk):
+            return self[word] + self._bare[chunk[len(word):]]
+        return self._encode_word(self._prefix, word)
 
 
 class Encoder:
     """Ids of a text by the tokenizers library, as little-endian bytes of ``dtype``."""
 
     def __init__(self, tokenizer_path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._cut = re.compile(r" (?=[!-~]|\w)")
-        self._bare = _ChunkIds(self._ids, "")
-        self._spaced = _ChunkIds(self._ids, " ", self._bare)
+        self._letters = _byte_letters()
+        self._blank = chr(self._letters[ord(" ")])
+        self._code = "H" if self.dtype == "<u2" else "I"
+        self._tokenize = self._tokenizer.model.tokenize
+        self._bare = _ChunkIds(self._ids, self._word_ids, "")
+        self._spaced = _ChunkIds(self._ids, self._word_ids, " ", self._bare)
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _word_ids(self, prefix: str, word: str) -> bytes:
+        """The library's model on one pre-token, without splitting again."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        blank = "" if not prefix else self._blank
+        return array(self._code, [t.id for t in self._tokenize(blank + letters)]).tobytes()
+
     def __call__(self, text: str) -> bytes:
         try:
             first, *rest = text.split(" ")
@@ -129,6 +159,51 @@ class Encoder:
             return self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))
 
 
+    def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids per text), the end id after each.
+
+        The distinct chunks of the batch are encoded once and their ids gathered by place. A text with
+        a space that may not start a pre-token, or beyond ``LONG_TEXT`` bytes, is encoded by itself.
+        """
+        n = len(texts)
+        long = np.asarray(pc.greater(pc.binary_length(texts), LONG_TEXT))
+        chunks = pc.split_pattern(pc.if_else(pa.array(long), "", texts), " ")
+        ends = np.asarray(chunks.offsets)[1:].astype(np.int64) - chunks.offsets[0].as_py()
+        firsts = np.concatenate([[0], ends[:-1]])
+        coded = chunks.flatten().dictionary_encode()
+        slots, entries = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        odd = np.array([not (c and ("!" <= c[0] <= "~" or c[0].isalnum())) for c in entries], bool)[slots]
+        odd[firsts] = False
+        alone = long | (np.add.reduceat(odd, firsts, dtype=np.int64) > 0)
+        # the table: every chunk with its space, then each text's beginning, nothing, the end id
+        table = [b"" if not (c and ("!" <= c[0] <= "~" or c[0].isalnum())) else self._spaced[c] for c in entries]
+        for i, first in enumerate(slots[firsts].tolist()):
+            table.append(self(texts[i].as_py()) if alone[i] else self._bare[entries[first]])
+        nothing, end = len(table), len(table) + 1
+        table += [b"", np.asarray([end_id], self.dtype).tobytes()]
+        slots[np.repeat(alone, ends - firsts)] = nothing
+        slots[firsts] = len(entries) + np.arange(n)
+        slots = np.insert(slots, ends, end)
+        sizes = np.array([len(x) for x in table], np.int64) // np.dtype(self.dtype).itemsize
+        flat = np.frombuffer(b"".join(table), self.dtype)
+        sizes_here = sizes[slots]
+        after = np.cumsum(sizes_here)
+        shift = (np.cumsum(sizes) - sizes)[slots] - (after - sizes_here)
+        ids = flat[np.repeat(shift, sizes_here) + np.arange(after[-1])]
+        return ids, np.add.reduceat(sizes_here, firsts + np.arange(n))
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``SLICE_BYTES`` of text, so that a gather stays small."""
+    total = np.cumsum(np.asarray(pc.binary_length(batch.column(column))).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 @lru_cache(maxsize=2)
 def encoder(tokenizer_path: str | None) -> Encoder:
     import public_tokenizers
@@ -139,30 +214,26 @@ def encoder(tokenizer_path: str | None) -> Encoder:
 def _write_shard(batches: Batches, folder: str, tokenizer_path: str | None, end_id: int) -> Batches:
     """Write one partition, which is in id order, as one shard; a row per document."""
     encode, file, name, start, copy, before = encoder(tokenizer_path), None, "", 0, 0, object()
-    end = np.asarray([end_id], encode.dtype).tobytes()
-    shard = TaskContext.get().partitionId()
-    width = len(end)
+    shard, width = TaskContext.get().partitionId(), np.dtype(encode.dtype).itemsize
     try:
         for batch in batches:
-            if file is None and batch.num_rows:
-                name, file = _new_file(folder, f"shard-{shard:06d}", "bin")
-            starts, counts, copies = [], [], []
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(),
-                                    strict=True):
-                ids = encode(text) + end
-                file.write(ids)
-                copy = copy + 1 if doc_id == before else 0
-                before = doc_id
-                starts.append(start)
-                counts.append(len(ids) // width)
-                copies.append(copy)
-                start += len(ids) // width
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(copies, pa.int64()), pa.array([shard] * n, pa.int32()),
-                pa.array([name] * n, pa.string()), pa.array([width] * n, pa.int32()),
-                pa.array(starts, pa.int64()), pa.array(counts, pa.int64())],
-                names=["id", "copy", "shard", "file", "width", "start", "count"])
+            for rows in _slices(batch, "text"):
+                if file is None:
+                    name, file = _new_file(folder, f"shard-{shard:06d}", "bin")
+                ids, counts = encode.batch(rows.column("text"), end_id)
+                file.write(ids.tobytes())
+                copies = []
+                for doc_id in rows.column("id").to_pylist():
+                    copy = copy + 1 if doc_id == before else 0
+                    before = doc_id
+                    copies.append(copy)
+                starts, start = start + np.cumsum(counts) - counts, start + int(counts.sum())
+                n = rows.num_rows
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("id"), pa.array(copies, pa.int64()), pa.array([shard] * n, pa.int32()),
+                    pa.array([name] * n, pa.string()), pa.array([width] * n, pa.int32()),
+                    pa.array(starts, pa.int64()), pa.array(counts, pa.int64())],
+                    names=["id", "copy", "shard", "file", "width", "start", "count"])
     finally:
         if file is not None:
             file.close()

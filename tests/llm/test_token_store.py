@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,6 +50,19 @@ def test_encoder_equals_library_on_awkward_texts(tokenizer):
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("long", [1 << 20, 40])
+def test_batches_equal_single_texts(tokenizer, monkeypatch, long):
+    monkeypatch.setattr(token_store, "LONG_TEXT", long)
+    rnd = random.Random(6)
+    bits = ["one", "two,", " ", " ", " ", "  ", "\n", "é", "x\ny", "　", "'s", "12", ""]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(500)] + ["", " ", "a"]
+    encode = token_store.Encoder(public_tokenizers.path(token_store.DEFAULT_TOKENIZER))
+    for part in (texts, texts[5:9], [""], texts[200:]):
+        ids, counts = encode.batch(pa.array(["skipped", *part]).slice(1), 0)
+        cuts = np.cumsum(counts)[:-1]
+        assert [x.tolist() for x in np.split(ids, cuts)] == [ids_of(tokenizer, t) for t in part]
+
+
 def test_cache_that_overflows_stays_right(tokenizer, monkeypatch):
     monkeypatch.setattr(token_store, "CACHE_ENTRIES", 3)
     encode = token_store.Encoder(public_tokenizers.path(token_store.DEFAULT_TOKENIZER))
