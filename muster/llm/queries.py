@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, decontaminate, hilbert, langid, licenses, quality, secrets, token_store
+from muster.llm import bpe, decontaminate, hilbert, jaccard, langid, licenses, quality, secrets, token_store
 from muster.llm.common import scratch, table
 from muster.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -41,6 +41,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op4_signature_trees")
+def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 @query("op5_language_fusion")
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(table(spark, sf_dir, "documents"))
