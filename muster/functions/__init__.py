@@ -9,11 +9,11 @@ from muster.functions.predicates import (
     octet_len,
     rfc3339_pattern_ok,
 )
-from muster.functions.text import matches_all_terms, query_terms, text_tokens
+from muster.functions.text import matches_all_terms, text_tokens
 from muster.functions.tokens import token_hash
 
 __all__ = [
     "EMAIL_PATTERN", "ci_equal", "id_equal", "in_list", "key_uuid", "line_id",
-    "matches_all_terms", "octet_len", "query_terms", "rfc3339_pattern_ok", "text_tokens",
+    "matches_all_terms", "octet_len", "rfc3339_pattern_ok", "text_tokens",
     "token_hash",
 ]

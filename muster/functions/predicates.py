@@ -12,9 +12,9 @@ EMAIL_PATTERN = (
     r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*\z"
 )
 
-# RFC 3339 date-time (fixed format): date, 'T' or 't', time, optional fraction, zone
+# RFC 3339 date-time (fixed format): date, 'T', time, optional fraction, zone
 RFC3339_PATTERN = (
-    r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z"
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 )
 
 

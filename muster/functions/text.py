@@ -14,8 +14,6 @@ extracted when the query has a compound term.
 
 from __future__ import annotations
 
-import regex
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,20 +21,6 @@ from pyspark.sql import functions as F
 SEPARATOR_PATTERN = r"[^\p{L}\p{N}]+"
 # fixed value: a hyphenated compound is two or more such runs joined by single hyphens
 COMPOUND_PATTERN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+"
-_SEPARATOR = regex.compile(SEPARATOR_PATTERN)
-_COMPOUND = regex.compile(COMPOUND_PATTERN)
-
-
-def query_terms(q: str) -> list[str]:
-    """Distinct lower-case terms of a query (compounds, then parts), first-seen order."""
-    seen: dict[str, None] = {}
-    low = q.lower()
-    for t in _COMPOUND.findall(low) + _SEPARATOR.split(low):
-        if t:
-            seen.setdefault(t, None)
-    return list(seen)
-
-
 def compound_tokens(col: Column | str) -> Column:
     """array<string> of the hyphenated compounds of ``col``, lower-cased."""
     c = F.col(col) if isinstance(col, str) else col
@@ -51,17 +35,15 @@ def text_tokens(col: Column | str) -> Column:
 
 
 def matches_all_terms(col: Column | str, q: str) -> Column:
-    """Boolean column: every term of ``q`` is a token of ``col``."""
-    terms = query_terms(q)
-    if not terms:
-        return F.lit(False)
-    def all_in(group: list[str], arr: Column) -> Column:
-        if len(group) == 1:
-            return F.array_contains(arr, F.lit(group[0]))
-        return F.forall(F.array(*[F.lit(t) for t in group]), lambda t: F.array_contains(arr, t))
+    """Boolean column: every term of ``q`` is a token of ``col``.
 
-    simple = [t for t in terms if "-" not in t]
-    compound = [t for t in terms if "-" in t]
-    preds = ([all_in(simple, text_tokens(col))] if simple else []) + \
-        ([all_in(compound, compound_tokens(col))] if compound else [])
-    return preds[0] if len(preds) == 1 else preds[0] & preds[1]
+    The query is tokenised by the same expressions as the column; as a literal it is folded to
+    constant arrays when the query is planned.
+    """
+    if not q.strip():
+        return F.lit(False)
+    wanted = text_tokens(F.lit(q))
+    found = (F.size(wanted) > 0) & (F.size(F.array_except(wanted, text_tokens(col))) == 0)
+    if "-" not in q:
+        return found
+    return found & (F.size(F.array_except(compound_tokens(F.lit(q)), compound_tokens(col))) == 0)

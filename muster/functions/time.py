@@ -36,6 +36,11 @@ def epoch_micros(col: Column, data_type=None) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), col)
 
 
+def utc_as(col: Column, data_type) -> Column:
+    """A UTC wall-clock time as a column of ``data_type`` (an instant or a wall-clock time)."""
+    return F.timestamp_micros(epoch_micros(col)) if isinstance(data_type, T.TimestampType) else col
+
+
 def instant_to_utc_ntz(col: Column) -> Column:
     """A ``timestamp`` (an instant) as UTC wall-clock ``timestamp_ntz``."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(col), F.expr(_EPOCH_NTZ))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.time import as_of_literal
+from muster.functions.time import as_of_literal, utc_as
 from muster.functions.tokens import token_hash
 from muster.schemas import SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, TOKEN_LIFETIME_SECONDS, \
     TOKEN_TEXT_BYTES
@@ -47,7 +47,9 @@ def register_tokens(requests: DataFrame, token_col: str = "token", user_col: str
 
 def live_tokens(tokens: DataFrame, scope: str, as_of) -> DataFrame:
     """tokens of one scope whose expiry is strictly after ``as_of``."""
-    return tokens.where((F.col("scope") == scope) & (F.col("expiry") > as_of_literal(as_of))) \
+    # "now" takes the column's type, so a stored instant is compared as an instant in any session zone
+    now = utc_as(as_of_literal(as_of), tokens.schema["expiry"].dataType)
+    return tokens.where((F.col("scope") == scope) & (F.col("expiry") > now)) \
         .select("hash", F.col("user_id").alias("_token_user"))
 
 

@@ -11,8 +11,9 @@ Plan shape of ``list_page`` (checked with ``explain``):
   page rows as a scalar subquery. A ``count(*) OVER ()`` window would plan an
   ``Exchange SinglePartition`` of the whole filtered table instead.
 
-Deep pages (offset + size above ``TOPK_LIMIT``) switch to positions computed by a
-distributed range sort (``global_positions``), so no task ever holds a million rows.
+A caller who walks far into a large listing calls ``deep_page`` instead: positions from a
+distributed range sort (``global_positions``), so no task holds the ``o + n`` best rows. Page
+arguments allow at most a million rows of offset, which one task still sorts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from muster.plans.specs import MAX_PAGE, MAX_PAGE_SIZE, ListSpec, PageArgs
 from muster.schemas import PUBLIC
 from muster.session import pin
 
-TOPK_LIMIT = 100_000
 INT_PATTERN = r"^[+-]?[0-9]+\z"
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition index above bit 33
 
@@ -159,18 +159,31 @@ def list_page(df: DataFrame, spec: ListSpec, args: PageArgs, columns=None) -> Da
     order = sort_columns(spec, args.sort)
     offset = (args.page - 1) * args.page_size
     projected = filtered.select(*columns)
-    if offset + args.page_size <= TOPK_LIMIT:
-        page = projected.orderBy(*order).offset(offset).limit(args.page_size)
-    else:
-        pos = global_positions(projected, order, "_pos")
-        page = pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + args.page_size)) \
-            .drop("_pos")
+    page = projected.orderBy(*order).offset(offset).limit(args.page_size)
     # the filtered total as a scalar subquery: one partial/final count, attached to the
     # page rows without any join
     total = filtered.agg(F.count(F.lit(1)).alias("total_records")).scalar()
     return page.select(total.alias("total_records"), *columns)
 
 
+def deep_page(df: DataFrame, spec: ListSpec, args: PageArgs, columns=None) -> DataFrame:
+    """The rows of :func:`list_page` by position after a distributed sort.
+
+    Runs a job when called (the sorted layout is checkpointed), so it is a plan the caller
+    chooses, never one that ``list_page`` switches to.
+    """
+    errors = validate_page_args(spec, args)
+    if errors:
+        raise ValueError(errors)
+    columns = list(columns or PUBLIC[spec.table])
+    filtered = apply_filters(df, spec, args.filters)
+    start = (args.page - 1) * args.page_size
+    total = filtered.agg(F.count(F.lit(1)).alias("total_records")).scalar()
+    placed = global_positions(filtered.select(*columns), sort_columns(spec, args.sort), "_pos")
+    return placed.where(F.col("_pos").between(start, start + args.page_size - 1)) \
+        .select(total.alias("total_records"), *columns)
+
+
 # --- page metadata (A2) -------------------------------------------------------------------
 def page_metadata(page: DataFrame, page_no: int, page_size: int) -> DataFrame:
     """One row: current/size/first/last page and total, all NULL when the page is empty.

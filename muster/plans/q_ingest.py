@@ -233,7 +233,8 @@ def _officer_json_sql(alias: str = "") -> str:
             f"'\"regulation_number\":\"' || {a}regulation_number || '\",' ELSE '' END || "
             f"'\"first_name\":\"' || {a}first_name || '\",\"last_name\":\"' || {a}last_name || "
             f"'\",\"sex\":\"' || {a}sex || '\",\"rank_code\":\"' || {a}rank_code || "
-            f"'\",\"created_at\":\"' || strftime({a}created_at, '%Y-%m-%dT%H:%M:%SZ') || "
+            f"'\",\"created_at\":\"' || strftime({a}created_at, '%Y-%m-%dT%H:%M:%S') || "
+            f"rtrim(rtrim(strftime({a}created_at, '.%f'), '0'), '.') || 'Z' || "
             f"'\",\"version\":' || CAST({a}version AS VARCHAR) || '}}'")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from muster.functions.text import query_terms
 from muster.operators import listing as L
 from muster.plans.catalog import query
 from muster.plans.oracle_sql import has_all, with_tables
@@ -104,7 +103,7 @@ DOC_QUERY = "The LICENSE"
 
 @query("filter_fulltext_docs",
        f"SELECT doc_id, lang, source, n_chars FROM documents "
-       f"WHERE {has_all('text', query_terms(DOC_QUERY))}")
+       f"WHERE {has_all('text', ['the', 'license'])}")
 def filter_fulltext_docs(t):
     """Full-text match over whole documents (every term, whole tokens)."""
     from muster.functions.text import matches_all_terms
@@ -112,14 +111,6 @@ def filter_fulltext_docs(t):
     return d.where(matches_all_terms("text", DOC_QUERY)).select("doc_id", "lang", "source", "n_chars")
 
 
-@query("filter_fulltext_no_terms", with_tables("officers") +
-       f"SELECT {_cols('officers')} FROM officers WHERE FALSE")
-def filter_fulltext_no_terms(t):
-    """A non-empty argument without tokens matches nothing."""
-    spec = LIST_SPECS["officers"]
-    return L.apply_filters(t.officers, spec, {"first_name": "!!"}).select(*PUBLIC["officers"])
-
-
 # --- A2 page metadata --------------------------------------------------------------------
 def _meta_sql(inner: str, page: int, size: int) -> str:
     return (f"SELECT CASE WHEN t > 0 THEN {page} END AS current_page, "
@@ -225,7 +216,7 @@ COMPOUND_QUERY = "Hall 1-URGENT"
 
 @query("filter_fulltext_compound", with_tables("sessions") +
        f"SELECT {_cols('sessions')} FROM sessions "
-       f"WHERE {has_all('location_text', query_terms(COMPOUND_QUERY))}")
+       f"WHERE {has_all('location_text', ['1-urgent', 'hall', '1', 'urgent'])}")
 def filter_fulltext_compound(t):
     """F3 with a hyphenated term: the compound must occur as such, not only its parts."""
     spec = LIST_SPECS["sessions"]

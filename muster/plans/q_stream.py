@@ -46,25 +46,24 @@ def token_bucket_streaming(t):
     per-user buckets with idle eviction, Parquet sink read back."""
     schema = load_table(t.spark, t.root, "events").schema
     return run_to_table(
-        t.spark, t.root, "events.parquet", schema,
+        t.spark, f"{t.root}/events.parquet", schema,
         lambda s: token_bucket_stream(s, "user_id", "ts", "event_id", CHECK_RATE, CHECK_BURST))
 
 
 def _ingest_stream(t):
     """S2 on Structured Streaming: the officer request bodies (derived from customer) land
     as a Parquet file; the stream decodes them into a Parquet sink that is read back."""
-    import os
     import uuid
 
     from muster.plans.q_ingest import officer_lines
     from muster.session import checkpoint_dir
     from muster.sources.ndjson import INPUTS, ingest_ndjson
 
-    landing = os.path.join(checkpoint_dir(t.spark), f"bodies-{uuid.uuid4().hex}")
+    landing = f"{checkpoint_dir(t.spark).rstrip('/')}/bodies-{uuid.uuid4().hex}"
     lines = officer_lines(t)
     lines.write.parquet(landing)
-    return run_to_table(t.spark, landing, "*.parquet", lines.schema,
-                        lambda s: ingest_ndjson(s, INPUTS["officers"]), max_files_per_trigger=4)
+    return run_to_table(t.spark, landing, lines.schema,
+                        lambda s: ingest_ndjson(s, INPUTS["officers"]))
 
 
 def _register_ingest_stream() -> None:

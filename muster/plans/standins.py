@@ -30,12 +30,7 @@ from pyspark.sql import functions as F
 from muster.functions.ids import key_uuid, line_id
 from muster.functions.time import ntz_literal
 from muster.schemas import SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, SCOPE_PASSWORD_RESET
-from muster.session import spread
-from muster.sources.tables import load_table, table_path
-
-# a single-file input at least this large is spread over all cores (see session.spread)
-SPREAD_MIN_BYTES = 1 << 20
-SINGLE_SPLIT_BYTES = 128 << 20
+from muster.sources.tables import load_table
 
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = "2024-01-15 12:00:00"  # the fixed "now" of every time-dependent query
@@ -77,15 +72,9 @@ class StandIns:
         return cls._shared[key]
 
     def raw(self, name: str) -> DataFrame:
-        """A driver table. A single file of at least 1 MiB (one row group, one split
-        below 128 MiB) is spread over the cores; a directory of many files is not."""
+        """A driver table, as Spark splits it."""
         if name not in self._raw:
-            df = load_table(self.spark, self.root, name)
-            path = table_path(self.root, name)
-            size = os.path.getsize(path) if os.path.isfile(path) else 0
-            if SPREAD_MIN_BYTES <= size < SINGLE_SPLIT_BYTES:
-                df = spread(df, partitions=1)
-            self._raw[name] = df
+            self._raw[name] = load_table(self.spark, self.root, name)
         return self._raw[name]
 
     # --- lookup tables --------------------------------------------------------------

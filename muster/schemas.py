@@ -9,7 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-S, TS, I, B = T.StringType(), T.TimestampType(), T.IntegerType(), T.BooleanType()
+# times are UTC wall-clock time, whatever zone a session has
+S, TS, I, B = T.StringType(), T.TimestampNTZType(), T.IntegerType(), T.BooleanType()
 HOURS = T.DecimalType(4, 1)
 RATING = T.DecimalType(2, 1)
 

@@ -1,8 +1,8 @@
 """Session construction and the shared checkpoint folder.
 
 On a cluster the operator of the cluster names a shared folder in
-``spark.checkpoint.dir``; we read it from the session and only set our own
-(a scratch folder) when it is unset, which happens in local tests.
+``spark.checkpoint.dir``; we read it from the session. Only on a local master is a scratch
+folder of our own set when it is unset; elsewhere that raises.
 """
 
 from __future__ import annotations
@@ -62,13 +62,17 @@ def cluster_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's shared checkpoint folder, creating a scratch one only if unset."""
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    """The session's shared checkpoint folder.
+
+    Unset, a scratch folder is made for a local master (tests); on any other master that
+    would be a folder the executors do not share, so it is an error.
+    """
     sc = spark.sparkContext
+    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not current:
-        current = sc.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="muster-ckpt-")  # local runs and tests only
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
+        current = tempfile.mkdtemp(prefix="muster-ckpt-")
         try:
             spark.conf.set(CHECKPOINT_CONF, current)
         except Exception:  # a core config may be read-only at runtime; the context is enough
@@ -78,22 +82,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def spread(df: DataFrame, min_partitions: int | None = None,
-           partitions: int | None = None) -> DataFrame:
-    """Round-robin an under-partitioned input over the cluster's cores.
-
-    A small unsplittable file (one Parquet row group) scans as one task, so every
-    row-local step before the first shuffle would run on one core. When the input
-    has fewer partitions than the default parallelism it is redistributed; on a big
-    input (thousands of splits) this is a no-op. Filters and column pruning still
-    reach the scan: Catalyst pushes them through a repartition. Pass ``partitions``
-    when the caller knows it (asking the DataFrame plans the scan).
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions() if partitions is None else partitions
-    return df.repartition(want) if have < want else df
-
-
 def pin(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder.
 

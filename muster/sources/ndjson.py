@@ -35,7 +35,8 @@ from muster.functions.predicates import RFC3339_PATTERN
 from muster.functions.time import instant_to_utc_ntz
 
 MAX_BODY_BYTES = 1_048_576
-
+# what Spark's reader takes beyond JSON
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
 
 _SPARK_TYPE = {"string": "string", "time": "timestamp_ntz", "bool": "boolean", "int": "bigint",
                "number": "double"}
@@ -93,15 +94,22 @@ def members(v: Column) -> Column:
     """Every member of the top-level object in document order, repeats included, as
     struct(k, lk = lower(k), x = value, tc = JSON type code); NULL when ``v`` does not
     start with a JSON object. Each member's key case and type are computed once here."""
-    raw = F.map_entries(F.from_json(v, "map<string,variant>"))
+    raw = F.map_entries(F.from_json(v, "map<string,variant>", STRICT))
     return F.transform(raw, lambda e: F.struct(
         e["key"].alias("k"), F.lower(e["key"]).alias("lk"), e["value"].alias("x"),
         _type_code(e["value"]).alias("tc")))
 
 
+def parsed_time(text: Column) -> Column:
+    """The instant an RFC 3339 text names; NULL if it breaks the format or names no time
+    (30 February, hour 25, offset +99:00). Digits past the microsecond are dropped."""
+    short = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    return F.when(text.rlike(RFC3339_PATTERN), F.try_to_timestamp(short))
+
+
 def value_count(v: Column) -> Column:
     """Number of comma-separated JSON values in ``v`` (NULL when ``[v]`` is not valid JSON)."""
-    return F.size(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"))
+    return F.size(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>", STRICT))
 
 
 def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = None,
@@ -131,7 +139,7 @@ def classify(v: Column, spec: tuple[InputField, ...], entries: Column | None = N
         return (F.when(kind.isNull(), F.concat(F.lit("unknown_field:"), e["k"]))
                 .when(e["tc"] == T_NULL, F.lit(None).cast("string"))
                 .when(~accepted(kind, e["tc"]), F.concat(F.lit("wrong_type:"), name))
-                .when((kind == _KIND_CODE["time"]) & ~e["x"].cast("string").rlike(RFC3339_PATTERN),
+                .when((kind == _KIND_CODE["time"]) & parsed_time(e["x"].cast("string")).isNull(),
                       F.concat(F.lit("bad_time:"), name)))
 
     first_problem = F.try_element_at(
@@ -156,7 +164,7 @@ def field_value(entries: Column, f: InputField) -> Column:
     hits = F.filter(entries, lambda e: (e["lk"] == f.name.lower()) & (e["tc"] != T_NULL))
     x = F.try_element_at(hits, F.lit(-1))["x"]
     if f.kind == "time":
-        return instant_to_utc_ntz(F.to_timestamp(x.cast("string")))
+        return instant_to_utc_ntz(parsed_time(x.cast("string")))
     return x.cast(_SPARK_TYPE[f.kind])
 
 
@@ -191,7 +199,10 @@ def split_rejects(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
             decoded.where(F.col("reject_code").isNotNull()))
 
 
-def read_ndjson(spark, path: str, spec: tuple[InputField, ...]) -> DataFrame:
-    """Read NDJSON text files (one body per line, with the file name and line position)."""
-    df = spark.read.text(path).withColumn("source_file", F.input_file_name())
+def read_ndjson(spark, path: str, spec: tuple[InputField, ...], keep_text: bool = False) -> DataFrame:
+    """Read NDJSON text files, one body per line feed (a carriage return is JSON whitespace), with
+    the file's name; ``keep_text`` carries the line along."""
+    df = spark.read.option("lineSep", "\n").text(path).withColumn("source_file", F.input_file_name())
+    if keep_text:
+        df = df.withColumn("line", F.col("value"))
     return ingest_ndjson(df, spec, "value")

@@ -2,28 +2,53 @@
 
 JSON members follow the reference's output: NULL members are left out (``to_json``
 drops NULL fields), an empty string in an ``omitempty`` text field is left out too,
-hidden columns never appear (public projection), times are RFC 3339 in UTC.
+hidden columns never appear (public projection), times are RFC 3339 in UTC at full precision,
+decimals print in their shortest form.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from muster.functions.time import instant_to_utc_ntz
 from muster.schemas import PUBLIC
 
-JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
-
 # text columns tagged omitempty on plain strings: '' is dropped like NULL
 OMIT_EMPTY = {"courses": ("description",)}
 
 
+def rfc3339(col: Column, data_type) -> Column:
+    """A UTC time with as many fraction digits as it has (none for whole seconds)."""
+    utc = instant_to_utc_ntz(col) if isinstance(data_type, T.TimestampType) else col
+    fraction = F.rtrim(F.date_format(utc, "SSSSSS"), F.lit("0"))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))
+
+
+def shortest_number(col: Column) -> Column:
+    """A decimal as a JSON number without trailing zeros (2.0 prints as 2)."""
+    text = col.cast("string")
+    return F.parse_json(F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")))
+                        .otherwise(text))
+
+
 def json_object(df: DataFrame, table: str, columns=None) -> Column:
     cols = list(columns or PUBLIC[table])
     empty = set(OMIT_EMPTY.get(table, ()))
-    members = [F.nullif(F.col(c), F.lit("")).alias(c) if c in empty else F.col(c) for c in cols]
-    return F.to_json(F.struct(*members), JSON_OPTIONS)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def member(c: str) -> Column:
+        if c in empty:
+            return F.nullif(F.col(c), F.lit(""))
+        if isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType)):
+            return rfc3339(F.col(c), kinds[c])
+        if isinstance(kinds[c], T.DecimalType):
+            return shortest_number(F.col(c))
+        return F.col(c)
+
+    return F.to_json(F.struct(*[member(c).alias(c) for c in cols]))
 
 
 def json_rows(df: DataFrame, table: str, name: str | None = None, columns=None,

@@ -109,10 +109,19 @@ def test_paginate_all_matches_row_number(spark):
     assert sorted(rows(got, "id", "page", "row_in_page")) == sorted(rows(want, "id", "page", "row"))
 
 
-def test_deep_page_uses_positions(officers, spark, monkeypatch):
-    monkeypatch.setattr(L, "TOPK_LIMIT", 1)
-    got = rows(page(officers, page=2, page_size=1, sort="first_name"), "first_name", "total_records")
-    assert got == [("Bob", 3)]
+def test_deep_page_equals_the_page(officers, spark):
+    for n in (1, 2, 3, 4):
+        args = PageArgs(n, 1, "first_name", {})
+        deep = L.deep_page(officers, LIST_SPECS["officers"], args)
+        assert rows(deep, "first_name", "total_records") == rows(
+            L.list_page(officers, LIST_SPECS["officers"], args), "first_name", "total_records")
+
+
+def test_a_far_page_has_the_same_plan_and_runs_no_job(officers, spark):
+    far = L.list_page(officers, LIST_SPECS["officers"], PageArgs(10_000, 100, "first_name", {}))
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "checkpoint" not in plan.lower()
+    assert far.collect() == []
 
 
 def test_id_filter_and_projection_reach_parquet_scan(spark, tmp_path):

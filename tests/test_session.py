@@ -1,6 +1,10 @@
-"""Session helpers: cluster sizing, spreading small inputs, the shared checkpoint folder."""
+"""Session helpers: cluster sizing and the shared checkpoint folder."""
 
-from muster.session import checkpoint_dir, cluster_conf, pin, spread
+from types import SimpleNamespace
+
+import pytest
+
+from muster.session import checkpoint_dir, cluster_conf, pin
 
 
 def test_cluster_conf_sizes_partitions_by_volume():
@@ -12,11 +16,12 @@ def test_cluster_conf_sizes_partitions_by_volume():
     assert "spark.checkpoint.dir" not in big
 
 
-def test_spread_only_when_under_partitioned(spark):
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 2)
-    assert spread(many) is many
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"])
+def test_unset_checkpoint_folder_on_a_cluster_raises(master):
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError):
+        checkpoint_dir(session)
 
 
 def test_pin_uses_the_session_checkpoint_folder(spark):

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from muster.sources import ndjson as N
 from muster.sources import sinks as S
@@ -18,6 +19,57 @@ def test_read_ndjson_text_files(spark, tmp_path):
                                            (None, "empty"), (None, "multiple_values")], key=str)
 
 
+def test_bodies_that_are_not_json_or_name_no_time(spark):
+    times = ["2024-02-30T00:00:00Z", "2024-01-01T25:00:00Z", "2024-01-01T00:00:00+99:00", "2024-01-01t00:00:00z"]
+    lines = ["{'course_id':'x'}", '{"course_id":NaN}', "NaN", "Infinity", '{course_id:"x"}', '{"course_id":"x"}\r'] + [
+        f'{{"start_datetime":"{t}"}}' for t in times] + ['{"start_datetime":"2024-01-01T00:00:00.1234567+01:00"}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "seq int, value string")
+    got = {r.seq: r for r in N.ingest_ndjson(df, N.INPUTS["sessions"]).collect()}
+    assert [got[i].reject_code for i in range(6)] == ["malformed"] * 5 + [None]
+    assert [got[6 + i].reject_code for i in range(4)] == ["bad_time:start_datetime"] * 4
+    assert got[10].reject_code is None
+    assert got[10].start_datetime == dt.datetime(2023, 12, 31, 23, 0, 0, 123456)
+
+
+def test_json_times_in_full_and_numbers_in_short_form(spark):
+    df = spark.createDataFrame(
+        [("c1", "T", "x", 2.0, dt.datetime(2024, 1, 1, 0, 0, 0, 123400)), ("c2", "T", "x", 12.5, dt.datetime(2024, 1, 1)),
+         ("c3", "T", "x", 100.0, None)],
+        "id string, title string, category string, hours double, created_at timestamp_ntz").withColumn(
+        "hours", F.col("hours").cast("decimal(4,1)"))
+    got = [r.json for r in S.json_rows(df, "courses", "c", ["hours", "created_at"]).orderBy("id").collect()]
+    assert got == ['{"c":{"hours":2,"created_at":"2024-01-01T00:00:00.1234Z"}}',
+                   '{"c":{"hours":12.5,"created_at":"2024-01-01T00:00:00Z"}}', '{"c":{"hours":100}}']
+
+
+def test_stored_instants_and_wall_clock_times_agree_in_any_session_zone(spark, tmp_path):
+    from muster.operators.access import live_tokens
+    from muster.sources.tables import load_table
+    spark.createDataFrame([("h", "u", dt.datetime(2024, 1, 1, 12), "s")],
+                          "hash string, user_id string, expiry timestamp_ntz, scope string") \
+        .withColumn("expiry", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01'"), "expiry"))) \
+        .write.parquet(str(tmp_path / "tokens"))
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            raw = spark.read.parquet(str(tmp_path / "tokens"))
+            assert raw.dtypes[2][1] == "timestamp"
+            for tokens in (raw, load_table(spark, str(tmp_path), "tokens")):
+                assert live_tokens(tokens, "s", "2024-01-01 11:59:59").count() == 1
+                assert live_tokens(tokens, "s", "2024-01-01 12:00:00").count() == 0
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_jdbc_needs_a_way_to_read_in_parallel(spark):
+    import pytest
+
+    from muster.schemas import SCHEMAS
+    from muster.sources.tables import load_jdbc
+    with pytest.raises(ValueError):
+        load_jdbc(spark, "jdbc:none", "officers", SCHEMAS["officers"], partition_column="id")
+
+
 def test_write_snapshot_new_directory_only(spark, tmp_path):
     import pytest
     df = spark.createDataFrame([("a", 1)], "id string, version int")
@@ -63,7 +115,7 @@ def test_idle_keys_are_evicted(spark):
 
 
 def test_ingest_stream_splits_accepted_and_rejects(spark, tmp_path):
-    from muster.streaming.ingest import run_ingest_stream
+    from muster.streaming.ingest import read_results, run_ingest_stream
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.ndjson").write_text('{"type":"officers"}\n{"type":1}\n')
@@ -71,7 +123,8 @@ def test_ingest_stream_splits_accepted_and_rejects(spark, tmp_path):
     out = tmp_path / "out"
     q = run_ingest_stream(spark, str(src), N.INPUTS["import_jobs"], str(out))
     q.awaitTermination()
-    good = sorted(r.type for r in spark.read.parquet(str(out / "accepted")).collect())
-    bad = sorted(r.reject_code for r in spark.read.parquet(str(out / "rejects")).collect())
-    assert good == ["attendance", "officers"]
-    assert bad == ["unknown_field:x", "wrong_type:type"]
+    good, bad = read_results(spark, str(out))
+    assert sorted(r.type for r in good.collect()) == ["attendance", "officers"]
+    assert sorted((r.reject_code, r.line) for r in bad.collect()) == [
+        ("unknown_field:x", '{"type":"courses","x":2}'), ("wrong_type:type", '{"type":1}')]
+    assert all(r.source_file and r.line_id for r in bad.collect())
