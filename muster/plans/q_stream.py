@@ -45,8 +45,9 @@ def token_bucket_streaming(t):
     """T1 + T2 on Structured Streaming: the events file as a stream source, stateful
     per-user buckets with idle eviction, Parquet sink read back."""
     schema = load_table(t.spark, t.root, "events").schema
+    # a glob that matches the table alone: a plain path would have to be a folder, and it may be a file
     return run_to_table(
-        t.spark, f"{t.root}/events.parquet", schema,
+        t.spark, f"{t.root}/events.parque[t]", schema,
         lambda s: token_bucket_stream(s, "user_id", "ts", "event_id", CHECK_RATE, CHECK_BURST))
 
 

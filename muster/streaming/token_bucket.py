@@ -87,7 +87,7 @@ def token_bucket_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts",
 
 def run_to_table(spark: SparkSession, source: str, schema, transform,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Drive a stream of Parquet files (a folder, a file or a glob) to completion (``availableNow``)
+    """Drive a stream of Parquet files (a folder, or a glob over files or folders) to completion (``availableNow``)
     into a Parquet sink in the shared checkpoint folder, and read the sink back.
 
     By default a micro-batch takes all files that are there; a limit is the caller's choice.
