@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.ids import content_uuid
-from muster.functions.time import as_of_literal
+from muster.functions.time import as_of_literal, utc_as
 from muster.operators.constraints import coerce_numeric, outcome_column, with_status
 from muster.operators.constraints import missing_from
 from muster.operators.validate import RULES, ddl_check_rules, validate_columns, fields_of
 from muster.operators.validate import _ok as rule_ok
-from muster.schemas import FOREIGN_KEYS, NUMERIC_COLUMNS, SCHEMAS, UNIQUE_KEYS
+from muster.schemas import FOREIGN_KEYS, NUMERIC_COLUMNS, SCHEMAS, UNIQUE_KEYS, not_null_columns
 from muster.session import pin
 
+PENDING = "pending"  # fixed value: the status of an import job that has not run
+GENERATED = ("id", "created_at", "version", "activated")
+
 
 def _first_in_batch(rows: DataFrame, keys: tuple[str, ...], seq_col: str, eligible: Column,
                     flag: str) -> DataFrame:
@@ -40,11 +43,14 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     """Insert ``batch`` rows into ``base``. Returns ``(new_base, report)``.
 
     Outcomes (first that applies): invalid (rule set, with ``errors``), check_violation
-    (DDL CHECK), numeric_overflow, fk_violation (a non-NULL reference with no parent
-    in ``parents``), duplicate (a unique key held by the base or by an earlier row of
-    the batch), created. Generated columns: ``id`` (``id_expr``; by default a
+    (DDL CHECK), numeric_overflow, constraint_violation (NULL in a NOT NULL column),
+    fk_violation (a non-NULL reference with no parent in ``parents``), duplicate (the
+    primary key or a unique key held by the base or by an earlier row of the batch),
+    created. Every reference column of the batch needs its parent table in ``parents``
+    (ValueError otherwise); ``seq`` must be unique and not NULL (a NULL fails the job). Generated columns: ``id`` (``id_expr``; by default a
     UUID-shaped hash of the row's values including ``seq``, stable under recomputation),
-    ``created_at`` = ``as_of``, ``version`` = 1, NULL for other absent columns.
+    ``created_at`` = ``as_of``, ``version`` = 1, an import job's ``status`` = ``pending``,
+    NULL for other absent columns.
 
     The in-batch uniqueness step reads the checked batch twice (the first row per key
     is a partially aggregated ``min``, joined back). ``pin_batch=True`` writes the
@@ -55,11 +61,19 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     rules = RULES.get(table, []) if rules is None else rules
     schema = SCHEMAS[table]
     cols = [f.name for f in schema.fields]
-    b = batch
-    if "id" not in b.columns:
+    missing = sorted({fk.parent for fk in FOREIGN_KEYS if fk.child == table
+                      and fk.column in batch.columns and fk.parent not in parents})
+    if missing:
+        raise ValueError(f"{table} references {', '.join(missing)}: pass them in parents")
+    no_seq = F.raise_error(F.lit(f"{seq_col} must not be NULL")).cast(batch.schema[seq_col].dataType)
+    b = batch.withColumn(seq_col, F.coalesce(F.col(seq_col), no_seq))
+    if table == "import_jobs" and "status" not in b.columns:
+        b = b.withColumn("status", F.lit(PENDING))
+    own_id = "id" in b.columns
+    if not own_id:
         # deterministic by default: a retried task must not mint a different id
         b = b.withColumn("id", id_expr if id_expr is not None
-                         else content_uuid(F.lit(table), *[F.col(c) for c in batch.columns]))
+                         else content_uuid(F.lit(table), *[F.col(c) for c in b.columns]))
     checked = validate_columns(b, rules, prefix="_err_") if rules else b.withColumn(
         "valid", F.lit(True))
     errs = fields_of(rules)
@@ -76,11 +90,14 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
             dec, bad = coerce_numeric(F.col(c), p, s)
             checked = checked.withColumn(f"_dec_{c}", dec)
             num_ok = num_ok & ~bad
-    checked = checked.withColumn("_check_ok", check_ok).withColumn("_num_ok", num_ok)
+    given = [c for c in not_null_columns(table) if c not in GENERATED]
+    null_ok = reduce(lambda a, c: a & (F.col(c).isNotNull() if c in checked.columns else F.lit(False)),
+                     given, F.lit(True))
+    checked = checked.withColumns({"_check_ok": check_ok, "_num_ok": num_ok, "_null_ok": null_ok})
     # foreign keys: one anti-join per reference whose parent is given
     fk_ok = F.lit(True)
     for i, fk in enumerate(fk for fk in FOREIGN_KEYS if fk.child == table):
-        if fk.parent not in parents or fk.column not in checked.columns:
+        if fk.column not in batch.columns:
             continue
         keys = parents[fk.parent].select(F.col(fk.parent_column).alias(f"_p{i}")).distinct()
         checked = checked.join(keys, checked[fk.column] == keys[f"_p{i}"], "left")
@@ -88,10 +105,10 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     checked = checked.withColumn("_fk_ok", fk_ok)
     if pin_batch:
         checked = pin(checked)
-    eligible = F.col("valid") & F.col("_check_ok") & F.col("_num_ok") & F.col("_fk_ok")
-    # unique keys other than the generated id: against the base, then inside the batch
+    eligible = F.col("valid") & F.col("_check_ok") & F.col("_num_ok") & F.col("_null_ok") & F.col("_fk_ok")
+    # keys (but for a generated id): against the base, then inside the batch
     dup = F.lit(False)
-    for j, keys in enumerate(k for k in UNIQUE_KEYS.get(table, ()) if k != ("id",)):
+    for j, keys in enumerate(k for k in UNIQUE_KEYS.get(table, ()) if own_id or k != ("id",)):
         if not all(k in checked.columns for k in keys):
             continue
         held = base.select(*keys).where(
@@ -102,7 +119,8 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
         dup = dup | F.coalesce(F.col(f"_held{j}"), F.lit(False)) | F.col(f"_later{j}")
     outcome = outcome_column(
         (~F.col("valid"), "invalid"), (~F.col("_check_ok"), "check_violation"),
-        (~F.col("_num_ok"), "numeric_overflow"), (~F.col("_fk_ok"), "fk_violation"),
+        (~F.col("_num_ok"), "numeric_overflow"), (~F.col("_null_ok"), "constraint_violation"),
+        (~F.col("_fk_ok"), "fk_violation"),
         (dup, "duplicate"), default="created")
     decided = checked.withColumn("outcome", outcome)
     created = decided.where(F.col("outcome") == "created")
@@ -111,7 +129,8 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
         if f"_dec_{f.name}" in created.columns:
             row.append(F.col(f"_dec_{f.name}").cast(f.dataType).alias(f.name))
         elif f.name == "created_at":
-            row.append(as_of_literal(as_of).alias(f.name))
+            kind = base.schema[f.name].dataType
+            row.append(utc_as(as_of_literal(as_of), kind).alias(f.name))
         elif f.name == "version":
             row.append(F.lit(1).alias(f.name))
         elif f.name == "activated" and f.name not in created.columns:
@@ -145,7 +164,12 @@ def insert_if_absent(base: DataFrame, batch: DataFrame, keys: tuple[str, ...],
 
 def insert_select(base: DataFrame, source: DataFrame, table: str, as_of, mapping: dict,
                   **kw):
-    """``INSERT INTO table SELECT ...``: project ``source`` by ``mapping`` then bulk insert."""
+    """``INSERT INTO table SELECT ...``: project ``source`` by ``mapping`` then bulk insert.
+
+    ``mapping`` names a unique, non-NULL ``seq`` (e.g. the source's key): it orders the rows and
+    keeps the generated ids of equal rows apart."""
+    if kw.get("seq_col", "seq") not in mapping:
+        raise ValueError("mapping must give a unique, non-NULL seq")
     batch = source.select(*[(v if isinstance(v, Column) else F.col(v)).alias(k)
                             for k, v in mapping.items()])
     return bulk_insert(base, batch, table, as_of, **kw)

@@ -21,33 +21,51 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.time import as_of_literal
-from muster.operators.validate import validate_columns, fields_of
-from muster.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STAMPS_UPDATED_AT, UNIQUE_KEYS, ForeignKey
+from muster.functions.time import as_of_literal, utc_as
+from muster.operators.constraints import coerce_numeric
+from muster.operators.validate import RULES, _ok, ddl_check_rules, fields_of, validate_columns
+from muster.schemas import (
+    FOREIGN_KEYS,
+    NUMERIC_COLUMNS,
+    PATCHABLE,
+    PRIMARY_KEYS,
+    SCOPE_PASSWORD_RESET,
+    STAMPS_UPDATED_AT,
+    UNIQUE_KEYS,
+    UPDATABLE,
+    ForeignKey,
+    not_null_columns,
+)
 
 
 # --- M1 -----------------------------------------------------------------------------------------
 def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
                       stamp_updated_at: bool = False, key: str = "id",
                       expected_col: str = "expected_version", seq_col: str = "seq",
-                      unique_keys=()):
+                      unique_keys=(), violations=None):
     """Version-checked full update. Returns ``(new_base, report)``.
 
     A patch applies when the stored version equals ``expected_version`` (NULL means
-    "whatever is current"). ``seq`` orders the patches of one id and should be unique
-    per id. Several patches for one id: the first in ``seq`` order
-    among those that match wins; the rest are ``conflict`` (what running them one by
+    "whatever is current") and it breaks no constraint. ``seq`` orders the patches of one id and
+    should be unique per id. Several patches for one id: the first in ``seq`` order
+    among those that match wins; later ones are ``conflict`` (what running them one by
     one with equal expected versions yields). The winner replaces every listed
-    column, NULL included, bumps the version and optionally stamps ``updated_at``.
+    column, NULL included, bumps the version and optionally stamps ``updated_at``; columns keep
+    the base's types.
+    ``violations`` turns the matched patches into the same rows with a column ``_violation`` (an
+    outcome or NULL); a patch with one leaves its row unchanged and the version free for the next.
     A winner whose new value of a unique key (``unique_keys`` whose columns it writes)
     is held by another row, or by a winner with a lower ``seq``, fails as ``duplicate``
-    and leaves its row unchanged (NULL keys are exempt).
-    Report outcomes: updated / duplicate / conflict / not_found.
+    and leaves its row unchanged (NULL keys are exempt). Rows are compared as they stand before
+    the batch: a value that an earlier patch of the same batch gives up is still held.
+    Report outcomes: updated / duplicate / conflict / not_found / a violation.
     """
     stored = base.select(F.col(key).alias("_k"), F.col("version").alias("_stored"))
     p = patches.join(stored, patches[key] == stored["_k"], "left").drop("_k")
-    matches = F.col("_stored").isNotNull() & (
+    p = violations(p) if violations else p.withColumn("_violation", F.lit(None).cast("string"))
+    current = F.col("_stored").isNotNull() & (
         F.col(expected_col).isNull() | (F.col(expected_col) == F.col("_stored")))
+    matches = current & F.col("_violation").isNull()
     new_cols = [f"_new_{c}" for c in columns]
     # one aggregation: the winning seq per id and the winning patch's values (min_by, so
     # exactly one applied patch per id even if a seq repeats)
@@ -80,6 +98,8 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
         key, seq_col, expected_col,
         F.when(F.col("_stored").isNull(), "not_found").when(won, "updated")
         .when(F.coalesce(F.col(seq_col) == F.col("_win"), F.lit(False)), "duplicate")
+        .when(current & F.col("_violation").isNotNull()
+              & (F.col("_win").isNull() | (F.col(seq_col) < F.col("_win"))), F.col("_violation"))
         .otherwise("conflict").alias("outcome"),
         F.when(won, F.col("_stored") + 1).otherwise(F.col("_stored")).cast("int").alias("version"))
     applied = w.where(~F.col("_dup")).select(F.col(key).alias("_pk"), *new_cols)
@@ -88,41 +108,93 @@ def optimistic_update(base: DataFrame, patches: DataFrame, columns, as_of,
     out_cols = []
     for c in base.columns:
         if c in columns:
-            out_cols.append(F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
+            kind = base.schema[c].dataType
+            out_cols.append(F.when(hit, F.col(f"_new_{c}").cast(kind)).otherwise(F.col(c)).alias(c))
         elif c == "version":
             out_cols.append(F.when(hit, F.col(c) + 1).otherwise(F.col(c)).cast("int").alias(c))
         elif c == "updated_at" and stamp_updated_at:
-            out_cols.append(F.when(hit, as_of_literal(as_of)).otherwise(F.col(c)).alias(c))
+            now = utc_as(as_of_literal(as_of), base.schema[c].dataType)
+            out_cols.append(F.when(hit, now).otherwise(F.col(c)).alias(c))
         else:
             out_cols.append(F.col(c))
     return merged.select(*out_cols), report
 
 
-def table_update(base: DataFrame, patches: DataFrame, table: str, columns, as_of, **kw):
-    """M1 with the table's timestamp rule and unique keys."""
+def constraint_violations(table: str, columns, parents: dict[str, DataFrame] | None = None):
+    """What :func:`optimistic_update` takes as ``violations``: the constraints on the written columns.
+
+    First that applies: check_violation, numeric_overflow, constraint_violation (NULL in a NOT NULL
+    column), fk_violation. Numerics are brought to their scale. Every written reference needs its
+    parent table (ValueError otherwise).
+    """
+    parents = parents or {}
+    fks = [fk for fk in FOREIGN_KEYS if fk.child == table and fk.column in columns]
+    missing = sorted({fk.parent for fk in fks} - parents.keys())
+    if missing:
+        raise ValueError(f"{table} references {', '.join(missing)}: pass them in parents")
+
+    def judge(p: DataFrame) -> DataFrame:
+        cases = [(~_ok(r), "check_violation") for r in ddl_check_rules(table) if r.field in columns]
+        numbers = {}
+        for c, precision, scale in NUMERIC_COLUMNS.get(table, ()):
+            if c in columns:
+                numbers[f"_dec_{c}"], bad = coerce_numeric(F.col(c), precision, scale)
+                cases.append((bad, "numeric_overflow"))
+        cases += [(F.col(c).isNull(), "constraint_violation") for c in not_null_columns(table) if c in columns]
+        for i, fk in enumerate(fks):
+            keys = parents[fk.parent].select(F.col(fk.parent_column).alias(f"_p{i}")).distinct()
+            p = p.join(keys, p[fk.column] == keys[f"_p{i}"], "left")
+            cases.append((F.col(fk.column).isNotNull() & F.col(f"_p{i}").isNull(), "fk_violation"))
+        violation = F.lit(None).cast("string")
+        for bad, outcome in reversed(cases):
+            violation = F.when(F.coalesce(bad, F.lit(False)), F.lit(outcome)).otherwise(violation)
+        p = p.withColumns({**numbers, "_violation": violation})
+        for name in numbers:
+            p = p.withColumn(name.removeprefix("_dec_"), F.col(name))
+        return p.drop(*numbers, *[f"_p{i}" for i in range(len(fks))])
+
+    return judge
+
+
+def table_update(base: DataFrame, patches: DataFrame, table: str, columns, as_of,
+                 parents: dict[str, DataFrame] | None = None, **kw):
+    """M1 with the table's timestamp rule, unique keys and constraints."""
     kw.setdefault("unique_keys", UNIQUE_KEYS.get(table, ()))
+    kw.setdefault("violations", constraint_violations(table, columns, parents))
     return optimistic_update(base, patches, columns, as_of,
                              stamp_updated_at=table in STAMPS_UPDATED_AT, **kw)
 
 
+def update_password(users: DataFrame, tokens: DataFrame, patches: DataFrame, as_of):
+    """New password hashes (M1), then the users' password-reset tokens go (M4).
+
+    Returns ``(new_users, new_tokens, report)``; tokens of users whose update failed stay.
+    """
+    new_users, report = table_update(users, patches, "users", UPDATABLE["users_password"], as_of)
+    done = report.where(F.col("outcome") == "updated").select(
+        F.col("id").alias("user_id"), F.lit(SCOPE_PASSWORD_RESET).alias("scope"))
+    return new_users, delete_by_predicate(tokens, done, ["user_id", "scope"]), report
+
+
 # --- M2 -----------------------------------------------------------------------------------------
 def partial_patch(base: DataFrame, patches: DataFrame, patchable, rules, as_of,
                   stamp_updated_at: bool = False, key: str = "id",
                   expected_col: str = "expected_version", seq_col: str = "seq",
-                  unique_keys=()):
-    """Partial update: an absent (NULL) member keeps the stored value; the merged row
-    is re-validated; valid merges go through the version check (M1).
+                  unique_keys=(), violations=None):
+    """Partial update: an absent (NULL) member keeps the stored value; the whole merged row
+    is re-validated; valid merges go through the version and constraint checks (M1).
 
     Returns ``(new_base, report)``; report outcomes add ``invalid`` (with the first
     message per field in ``errors``).
     """
-    b = base.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_b_{c}") for c in patchable])
+    kept = [c for c in base.columns if c != key]
+    b = base.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_b_{c}") for c in kept])
     present = [c for c in patchable if c in patches.columns]
     j = patches.join(b, patches[key] == b["_k"], "left")
     merged = j.select(
         key, seq_col, expected_col, F.col("_k").isNotNull().alias("_exists"),
         *[(F.coalesce(F.col(c), F.col(f"_b_{c}")) if c in present else F.col(f"_b_{c}")).alias(c)
-          for c in patchable])
+          for c in kept])
     checked = validate_columns(merged, rules, prefix="_err_")
     msgs = F.map_filter(
         F.map_from_arrays(F.array(*[F.lit(f) for f in fields_of(rules)]),
@@ -132,7 +204,7 @@ def partial_patch(base: DataFrame, patches: DataFrame, patchable, rules, as_of,
     good = checked.where(F.col("valid") & F.col("_exists")).select(key, seq_col, expected_col,
                                                                    *patchable)
     new_base, upd = optimistic_update(base, good, list(patchable), as_of, stamp_updated_at,
-                                      key, expected_col, seq_col, unique_keys)
+                                      key, expected_col, seq_col, unique_keys, violations)
     rejected = checked.where(~(F.col("valid") & F.col("_exists"))).select(
         key, seq_col, expected_col,
         F.when(~F.col("_exists"), "not_found").otherwise("invalid").alias("outcome"),
@@ -142,6 +214,17 @@ def partial_patch(base: DataFrame, patches: DataFrame, patchable, rules, as_of,
     return new_base, upd.unionByName(rejected)
 
 
+def table_patch(base: DataFrame, patches: DataFrame, table: str, as_of,
+                parents: dict[str, DataFrame] | None = None, **kw):
+    """M2 with the table's patchable columns, rules, timestamp rule, unique keys and constraints."""
+    columns = PATCHABLE[table]
+    kw.setdefault("unique_keys", UNIQUE_KEYS.get(table, ()))
+    kw.setdefault("violations", constraint_violations(table, columns, parents))
+    rules = [r for r in RULES[table] if r.field in base.columns]
+    return partial_patch(base, patches, columns, rules, as_of,
+                         stamp_updated_at=table in STAMPS_UPDATED_AT, **kw)
+
+
 # --- M3 / M4 ------------------------------------------------------------------------------------
 def delete_by_key(base: DataFrame, keys: DataFrame, key: str = "id"):
     """Delete the requested keys. Returns ``(new_base, report)``; deleted / not_found."""

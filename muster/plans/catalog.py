@@ -41,4 +41,5 @@ def load_all() -> None:
         q_mutate,
         q_rules,
         q_stream,
+        q_updates,
     )

@@ -210,7 +210,7 @@ def insert_if_absent(t):
 
 # --- S5 insert from a query -----------------------------------------------------------------------
 @query("insert_select", with_tables("officers", "ranks") + """
-    SELECT CAST(NULL AS BIGINT) AS seq, 'fac-' || id AS id,
+    SELECT id AS seq, 'fac-' || id AS id,
            CASE WHEN first_name <> '' AND last_name <> '' THEN 'created' ELSE 'invalid' END
              AS outcome,
            CASE WHEN first_name <> '' AND last_name <> '' THEN 201 ELSE 422 END AS status
@@ -218,7 +218,7 @@ def insert_if_absent(t):
 def insert_select(t):
     """INSERT INTO facilitators SELECT ... FROM officers WHERE sex = 'female'."""
     src = t.officers.where(F.col("sex") == "female")
-    mapping = {"seq": F.lit(None).cast("bigint"), "id": F.concat(F.lit("fac-"), F.col("id")),
+    mapping = {"seq": "id", "id": F.concat(F.lit("fac-"), F.col("id")),
                "officer_id": "id", "first_name": "first_name", "last_name": "last_name",
                "rank_code": "rank_code", "notes": F.lit("from officers")}
     _, report = I.insert_select(t.facilitators, src, "facilitators", AS_OF_TEXT, mapping,

@@ -112,7 +112,7 @@ _M1_REPORT_SQL = (_M1_CTE + """
 
 def _m1(t):
     return M.table_update(t.officers, _officer_patches(t), "officers", UPDATABLE["officers"],
-                          AS_OF_TEXT)
+                          AS_OF_TEXT, parents={"ranks": t.ranks})
 
 
 @query("optimistic_update_report", _M1_REPORT_SQL)

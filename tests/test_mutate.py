@@ -2,11 +2,14 @@
 
 from decimal import Decimal as D
 
+import pytest
 from conftest import rows, ts
+from pyspark.sql import functions as F
 
 from muster.operators import ingest as I
 from muster.operators import mutate as M
 from muster.operators.validate import RULES
+from muster.schemas import SCHEMAS
 
 NOW = "2024-02-01 00:00:00"
 COURSES = "id string, title string, category string, default_credit_hours decimal(4,1), " \
@@ -170,12 +173,69 @@ def test_generated_ids_are_deterministic(spark):
                                      "finished_at timestamp_ntz, version int")
     batch = spark.createDataFrame([(1, "officers", "pending", "u1"), (2, "officers", "pending", "u1")],
                                   "seq int, type string, status string, created_by_user_id string")
-    ids1 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW)[1], "id"))
-    ids2 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW)[1], "id"))
+    parents = {"users": spark.createDataFrame([("u1",)], "id string")}
+    ids1 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW, parents=parents)[1], "id"))
+    ids2 = sorted(rows(I.bulk_insert(base, batch, "import_jobs", NOW, parents=parents)[1], "id"))
     assert ids1 == ids2 and len(set(ids1)) == 2
     assert all(len(i[0]) == 36 and i[0][14] == "5" for i in ids1)
 
 
+def test_insert_checks_keys_nulls_and_parents(spark):
+    t = ts("2024-01-01 00:00:00")
+    base = spark.createDataFrame([("c0", "T", "elective", D(1), None, "u1", t, None, 1)], SCHEMAS["courses"])
+    batch = spark.createDataFrame(
+        [(1, "c0", "A", "elective", 1.0, "u1"), (2, "c1", "A", "elective", 1.0, "u1"), (3, "c1", "B", "elective", 1.0, "u1"),
+         (4, "c2", "A", "elective", 1.0, None)],
+        "seq int, id string, title string, category string, default_credit_hours double, created_by_user_id string")
+    users = spark.createDataFrame([("u1",)], "id string")
+    new, rep = I.bulk_insert(base, batch, "courses", NOW, parents={"users": users})
+    assert sorted(rows(rep, "seq", "outcome")) == [
+        (1, "duplicate"), (2, "created"), (3, "duplicate"), (4, "constraint_violation")]
+    assert sorted(rows(new, "id")) == [("c0",), ("c1",)]
+    with pytest.raises(ValueError):
+        I.bulk_insert(base, batch, "courses", NOW)
+    with pytest.raises(ValueError):
+        I.insert_select(base, batch, "courses", NOW, {"title": "title"}, parents={"users": users})
+    with pytest.raises(Exception, match="seq must not be NULL"):
+        I.bulk_insert(base, batch.withColumn("seq", F.lit(None).cast("int")), "courses", NOW,
+                      parents={"users": users})[1].collect()
+
+
+def test_an_import_job_starts_pending(spark):
+    base = spark.createDataFrame([], SCHEMAS["import_jobs"])
+    batch = spark.createDataFrame([(1, "officers", "u1")], "seq int, type string, created_by_user_id string")
+    new, rep = I.bulk_insert(base, batch, "import_jobs", NOW, parents={"users": spark.createDataFrame([("u1",)], "id string")})
+    assert rows(rep, "outcome") == [("created",)] and rows(new, "status", "version") == [("pending", 1)]
+
+
+def test_update_keeps_constraints_and_types(spark):
+    t = ts("2024-01-01 00:00:00")
+    base = spark.createDataFrame([(f"a{i}", "o1", f"s{i}", "attended", D(8), t, 1) for i in range(5)], SCHEMAS["attendance"])
+    p = spark.createDataFrame(
+        [("a0", 1, 1, "bogus", 1.0), ("a0", 1, 2, "excused", 2.0), ("a0", 1, 3, "bogus", 1.0), ("a1", 1, 1, "absent", 5000.04),
+         ("a2", 1, 1, "absent", None), ("a3", 1, 1, "absent", 0.25), ("a4", 2, 1, "bogus", 1.0)],
+        "id string, expected_version int, seq int, status string, credited_hours double")
+    new, rep = M.table_update(base, p, "attendance", ["status", "credited_hours"], NOW)
+    assert new.schema["credited_hours"].dataType == base.schema["credited_hours"].dataType
+    assert sorted(rows(rep, "id", "seq", "outcome")) == [
+        ("a0", 1, "check_violation"), ("a0", 2, "updated"), ("a0", 3, "conflict"), ("a1", 1, "numeric_overflow"),
+        ("a2", 1, "constraint_violation"), ("a3", 1, "updated"), ("a4", 1, "conflict")]
+    assert sorted(rows(new, "id", "status", "credited_hours", "version")) == [
+        ("a0", "excused", D("2.0"), 2), ("a1", "attended", D("8.0"), 1), ("a2", "attended", D("8.0"), 1),
+        ("a3", "absent", D("0.3"), 2), ("a4", "attended", D("8.0"), 1)]
+
+
+def test_patch_revalidates_the_whole_stored_row(spark):
+    t = ts("2024-01-01 00:00:00")
+    base = spark.createDataFrame([("a0", "o1", "s1", "attended", D(8), t, 1), ("a1", "", "s1", "attended", D(8), t, 1)],
+                                 SCHEMAS["attendance"])
+    p = spark.createDataFrame([("a0", 1, 1, "excused", None), ("a1", 1, 1, "excused", None)],
+                              "id string, expected_version int, seq int, status string, credited_hours double")
+    new, rep = M.table_patch(base, p, "attendance", NOW)
+    assert sorted(rows(rep, "id", "outcome")) == [("a0", "updated"), ("a1", "invalid")]
+    assert ("a0", "excused", D("8.0")) in rows(new, "id", "status", "credited_hours")
+
+
 def test_repeated_seq_never_duplicates_base_rows(spark):
     p = patches(spark, [("c1", 1, 1, "A", "elective", D(4), None),
                         ("c1", 1, 1, "B", "elective", D(4), None)])
