@@ -63,7 +63,7 @@ def access_decision(t):
 
 
 @query("redeem_tokens", with_tables("tokens") + f""",
-    p AS (SELECT event_id, {TOKEN} AS token FROM events WHERE event_type IN ('click', 'purchase')),
+    p AS (SELECT event_id, {TOKEN} AS token FROM events),
     r AS (SELECT p.*, k.user_id AS tu FROM p LEFT JOIN tokens k ON k.hash = sha256(p.token)
             AND k.scope = 'activation' AND k.expiry > {AS_OF}),
     f AS (SELECT tu, min(event_id) AS first FROM r WHERE tu IS NOT NULL GROUP BY tu)
@@ -71,16 +71,15 @@ def access_decision(t):
            CASE WHEN r.event_id = f.first THEN 'activated' ELSE 'invalid_token' END AS outcome
     FROM r LEFT JOIN f ON r.tu = f.tu""")
 def redeem_tokens(t):
-    """M6: click events present activation tokens, purchases present reset tokens (wrong scope)."""
-    presented = t.raw("events").where(F.col("event_type").isin("click", "purchase")) \
-        .select("event_id", StandIns.token_text().alias("token"))
+    """M6: every event presents its token; only live activation tokens redeem."""
+    presented = t.raw("events").select("event_id", StandIns.token_text().alias("token"))
     _, _, report = A.redeem_tokens(presented, t.tokens, t.users, AS_OF_TEXT,
                                    order_col="event_id")
     return report.select("event_id", "token", "user_id", "outcome")
 
 
 @query("redeemed_users", with_tables("tokens", "users") + f""",
-    p AS (SELECT {TOKEN} AS token FROM events WHERE event_type IN ('click', 'purchase')),
+    p AS (SELECT {TOKEN} AS token FROM events),
     hit AS (SELECT DISTINCT k.user_id FROM p JOIN tokens k ON k.hash = sha256(p.token)
             AND k.scope = 'activation' AND k.expiry > {AS_OF})
     SELECT u.id, CASE WHEN h.user_id IS NOT NULL THEN TRUE ELSE u.activated END AS activated,
@@ -89,7 +88,6 @@ def redeem_tokens(t):
     FROM users u LEFT JOIN hit h ON u.id = h.user_id""")
 def redeemed_users(t):
     """M6 new users snapshot: redeemed users activated, version + 1."""
-    presented = t.raw("events").where(F.col("event_type").isin("click", "purchase")) \
-        .select("event_id", StandIns.token_text().alias("token"))
+    presented = t.raw("events").select("event_id", StandIns.token_text().alias("token"))
     users, _, _ = A.redeem_tokens(presented, t.tokens, t.users, AS_OF_TEXT)
     return users.select("id", "activated", "version")

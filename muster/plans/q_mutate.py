@@ -59,8 +59,6 @@ def multi_get_by_name(t):
 # --- M1: officer patches ------------------------------------------------------------------------
 def _officer_patches(t):
     c = t.raw("customer")
-    auto = F.col("c_mktsegment") == "AUTOMOBILE"
-
     def rows(where, seq, id_expr, expected, reg, first):
         return c.where(where).select(
             id_expr.alias("id"), expected.alias("expected_version"), F.lit(seq).alias("seq"),
@@ -69,11 +67,11 @@ def _officer_patches(t):
             F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("rank_code"))
 
     expected = (F.col("c_custkey") % 2 + 1).cast("int")
-    a = rows(auto, 1, key_uuid("c_custkey"), expected, F.lit(None).cast("string"),
+    a = rows(F.lit(True), 1, key_uuid("c_custkey"), expected, F.lit(None).cast("string"),
              F.upper("c_name"))
-    b = rows(auto & (F.col("c_nationkey") < 5), 2, key_uuid("c_custkey"), expected,
+    b = rows(F.col("c_nationkey") < 5, 2, key_uuid("c_custkey"), expected,
              F.lit("REG-B"), F.lower("c_name"))
-    missing = rows((F.col("c_mktsegment") == "FURNITURE") & (F.col("c_nationkey") == 3), 1,
+    missing = rows(F.col("c_nationkey") == 3, 1,
                    key_uuid(F.col("c_custkey") + NOT_FOUND_SHIFT), F.lit(None).cast("int"),
                    F.lit("REG-X"), F.col("c_name"))
     return a.unionByName(b).unionByName(missing)
@@ -86,12 +84,12 @@ _PATCH_ROW = ("SELECT {id} AS id, {exp} AS expected_version, {seq} AS seq, {reg}
 _EXP = "CAST(c_custkey % 2 + 1 AS INTEGER)"
 _OFFICER_PATCHES_SQL = " UNION ALL ".join([
     _PATCH_ROW.format(id=uid("c_custkey"), exp=_EXP, seq=1, reg="CAST(NULL AS VARCHAR)",
-                      first="upper(c_name)", where="c_mktsegment = 'AUTOMOBILE'"),
+                      first="upper(c_name)", where="TRUE"),
     _PATCH_ROW.format(id=uid("c_custkey"), exp=_EXP, seq=2, reg="'REG-B'",
-                      first="lower(c_name)", where="c_mktsegment = 'AUTOMOBILE' AND c_nationkey < 5"),
+                      first="lower(c_name)", where="c_nationkey < 5"),
     _PATCH_ROW.format(id=uid(f"c_custkey + {NOT_FOUND_SHIFT}"), exp="CAST(NULL AS INTEGER)",
                       seq=1, reg="'REG-X'", first="c_name",
-                      where="c_mktsegment = 'FURNITURE' AND c_nationkey = 3"),
+                      where="c_nationkey = 3"),
 ])
 _M1_CTE = (with_tables("officers") + f""",
     patches AS ({_OFFICER_PATCHES_SQL}),
@@ -154,8 +152,7 @@ def mutation_summary(t):
 # --- M2: course patches ---------------------------------------------------------------------------
 def _course_patches(t):
     p = t.raw("part")
-    big = F.col("p_size") > 45
-    upd = p.where(big).select(
+    upd = p.select(
         key_uuid("p_partkey").alias("id"), F.lit(None).cast("int").alias("expected_version"),
         F.lit(1).alias("seq"), F.lit(None).cast("string").alias("title"),
         F.when(F.col("p_size") > 48, F.lit("other")).alias("category"),
@@ -176,7 +173,7 @@ def _course_patches(t):
              CAST(NULL AS VARCHAR) AS title,
              CASE WHEN p_size > 48 THEN 'other' END AS category,
              CAST(NULL AS DECIMAL(4,1)) AS default_credit_hours, 'patched' AS description
-      FROM part WHERE p_size > 45
+      FROM part
       UNION ALL
       SELECT {uid(f'p_partkey + {NOT_FOUND_SHIFT}')}, CAST(NULL AS INTEGER), 1, 'x',
              CAST(NULL AS VARCHAR), CAST(NULL AS DECIMAL(4,1)), CAST(NULL AS VARCHAR)

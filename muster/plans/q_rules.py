@@ -8,7 +8,6 @@ from muster.operators import constraints as C
 from muster.operators import validate as V
 from muster.plans.catalog import query
 from muster.plans.oracle_sql import with_tables
-from muster.schemas import FOREIGN_KEYS, SCHEMAS, UNIQUE_KEYS
 
 
 # --- SQL compiler for rule sets (oracle side) ------------------------------------------------
@@ -138,12 +137,15 @@ _validate_query("validate_token", "tokens", V.RULES["token"], _TOKEN_SQL, ["requ
 _DDL_TABLES = ("users", "officers", "courses", "attendance")
 
 
+# The CHECK lists.
+_CHECKED = {("users", "role"): "'admin', 'contributor', 'viewer'", ("officers", "sex"): "'male', 'female', 'unknown'",
+            ("courses", "category"): "'mandatory', 'elective', 'instructor'",
+            ("attendance", "status"): "'attended', 'absent', 'excused'"}
+
+
 def _ddl_sql() -> str:
-    parts = []
-    for t in _DDL_TABLES:
-        for r in V.ddl_check_rules(t):
-            parts.append(f"SELECT '{t}' AS table_name, id, '{r.field}' AS column_name, "
-                         f"{r.field} AS value FROM {t} WHERE NOT ({_sql_ok(r)})")
+    parts = [f"SELECT '{t}' AS table_name, id, '{c}' AS column_name, {c} AS value FROM {t} "
+             f"WHERE {c} IS NOT NULL AND {c} NOT IN ({values})" for (t, c), values in _CHECKED.items()]
     return with_tables(*_DDL_TABLES) + " UNION ALL ".join(parts)
 
 
@@ -166,66 +168,115 @@ def validate_ddl_checks(t):
 
 
 # --- C1 NOT NULL audit ----------------------------------------------------------------------------
-_AUDIT_TABLES = ("users", "officers", "courses", "sessions", "facilitators", "attendance",
-                 "session_feedback", "session_facilitators", "import_jobs")
+# The oracles state columns, keys and references by hand, apart from the schema the operators read.
+# The columns of every table; "?" marks one that may be NULL.
+_COLUMNS = """
+regions: id name
+postings: id name
+ranks: code name
+formations: id name region_id
+users: id email password_hash role created_at last_login_at? version activated
+officers: id regulation_number? first_name last_name sex rank_code region_id? formation_id? posting_id? \
+created_at updated_at? archived_at? version
+courses: id title category default_credit_hours description? created_by_user_id created_at updated_at? version
+sessions: id course_id start_datetime end_datetime region_id? formation_id? posting_id? location_text? \
+facilitator_notes? credit_hours_override? created_at updated_at? version
+facilitators: id officer_id? first_name? last_name? rank_code? posting_id? notes? version
+session_facilitators: id session_id facilitator_id role? version
+attendance: id officer_id session_id status credited_hours created_at version
+session_feedback: id session_id facilitator_id officer_id rating comments? created_at version
+import_jobs: id type status error_message? created_by_user_id created_at finished_at? version
+tokens: hash user_id expiry scope
+"""
+_AUDITED = {t: c.split() for t, c in (line.split(":") for line in _COLUMNS.strip().splitlines())}
 
 
 def _nn_sql() -> str:
     parts = []
-    for t in _AUDIT_TABLES:
-        for f in SCHEMAS[t].fields:
-            nullable = "TRUE" if f.nullable else "FALSE"
+    for t, columns in _AUDITED.items():
+        for c in columns:
+            name, nullable = c.rstrip("?"), "TRUE" if c.endswith("?") else "FALSE"
             parts.append(
-                f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, {nullable} AS nullable, "
-                f"CAST(count(*) FILTER (WHERE {f.name} IS NULL) AS BIGINT) AS null_count, "
-                f"(NOT {nullable}) AND count(*) FILTER (WHERE {f.name} IS NULL) > 0 AS violation "
+                f"SELECT '{t}' AS table_name, '{name}' AS column_name, {nullable} AS nullable, "
+                f"CAST(count(*) FILTER (WHERE {name} IS NULL) AS BIGINT) AS null_count, "
+                f"(NOT {nullable}) AND count(*) FILTER (WHERE {name} IS NULL) > 0 AS violation "
                 f"FROM {t}")
-    return with_tables(*_AUDIT_TABLES) + " UNION ALL ".join(parts)
+    return with_tables(*_AUDITED) + " UNION ALL ".join(parts)
 
 
 @query("not_null_audit", _nn_sql())
 def not_null_audit(t):
-    return C.not_null_audit({n: t.table(n) for n in _AUDIT_TABLES})
+    """Every column of all 14 tables."""
+    return C.not_null_audit({n: t.table(n) for n in _AUDITED})
 
 
 # --- C2 unique audit ---------------------------------------------------------------------------------
-_UNIQUE_TABLES = ("users", "officers", "attendance", "session_feedback", "session_facilitators")
+# Primary keys, then the other unique keys.
+_KEYS = [(t, ("code",) if t == "ranks" else ("hash",) if t == "tokens" else ("id",)) for t in _AUDITED] + [
+    ("users", ("email",)), ("officers", ("regulation_number",)),
+    ("session_facilitators", ("session_id", "facilitator_id")), ("attendance", ("officer_id", "session_id")),
+    ("session_feedback", ("officer_id", "session_id", "facilitator_id"))]
 
 
 def _uq_sql() -> str:
     parts = []
-    for t in _UNIQUE_TABLES:
-        for keys in UNIQUE_KEYS[t]:
-            present = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-            kv = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-            parts.append(
-                f"SELECT '{t}' AS table_name, '{','.join(keys)}' AS key_columns, "
-                f"concat_ws('|', {kv}) AS key_value, count(*) AS row_count FROM {t} "
-                f"WHERE {present} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
-    return with_tables(*_UNIQUE_TABLES) + " UNION ALL ".join(parts)
+    for t, keys in _KEYS:
+        present = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        kv = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+        parts.append(
+            f"SELECT '{t}' AS table_name, '{','.join(keys)}' AS key_columns, "
+            f"concat_ws('|', {kv}) AS key_value, count(*) AS row_count FROM {t} "
+            f"WHERE {present} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
+    return with_tables(*_AUDITED) + " UNION ALL ".join(parts)
 
 
 @query("unique_audit", _uq_sql())
 def unique_audit(t):
-    return C.unique_audit({n: t.table(n) for n in _UNIQUE_TABLES})
+    """Primary and unique keys of all 14 tables."""
+    return C.unique_audit({n: t.table(n) for n in _AUDITED})
 
 
 # --- C3 foreign-key audit ------------------------------------------------------------------------
-_FK_TABLES = ("regions", "postings", "ranks", "formations", "users", "officers", "courses",
-              "sessions", "facilitators", "session_facilitators", "attendance",
-              "session_feedback", "import_jobs", "tokens")
+# Child.column -> parent (its id; ranks by code).
+_REFERENCES = """
+formations.region_id regions
+officers.rank_code ranks
+officers.region_id regions
+officers.formation_id formations
+officers.posting_id postings
+courses.created_by_user_id users
+sessions.course_id courses
+sessions.region_id regions
+sessions.formation_id formations
+sessions.posting_id postings
+facilitators.officer_id officers
+facilitators.rank_code ranks
+facilitators.posting_id postings
+session_facilitators.session_id sessions
+session_facilitators.facilitator_id facilitators
+attendance.officer_id officers
+attendance.session_id sessions
+session_feedback.session_id sessions
+session_feedback.facilitator_id facilitators
+session_feedback.officer_id officers
+import_jobs.created_by_user_id users
+tokens.user_id users
+"""
+_FK_TABLES = tuple(_AUDITED)
 
 
 def _fk_sql() -> str:
     parts = []
-    for fk in FOREIGN_KEYS:
+    for line in _REFERENCES.strip().splitlines():
+        reference, parent = line.split()
+        child, column = reference.split(".")
+        key = "code" if parent == "ranks" else "id"
         parts.append(
-            f"SELECT '{fk.child}' AS child_table, '{fk.column}' AS column_name, "
-            f"'{fk.parent}' AS parent_table, CAST(c.{fk.column} AS VARCHAR) AS key_value, "
-            f"count(*) AS row_count FROM {fk.child} c "
-            f"WHERE c.{fk.column} IS NOT NULL AND NOT EXISTS "
-            f"(SELECT 1 FROM {fk.parent} p WHERE p.{fk.parent_column} = c.{fk.column}) "
-            f"GROUP BY c.{fk.column}")
+            f"SELECT '{child}' AS child_table, '{column}' AS column_name, "
+            f"'{parent}' AS parent_table, CAST(c.{column} AS VARCHAR) AS key_value, "
+            f"count(*) AS row_count FROM {child} c "
+            f"WHERE c.{column} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{key} = c.{column}) GROUP BY c.{column}")
     return with_tables(*_FK_TABLES) + " UNION ALL ".join(parts)
 
 
