@@ -113,8 +113,9 @@ def spans(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col
         "template", F.size("template_words").alias("template_size"),
         F.posexplode(gram_hashes(F.col("template_words"), tuple(range(GRAM)))).alias("template_place", "gram"))
     rows = _rows(docs, id_col, text_col)
-    grams = rows.select("id", "key", F.posexplode(gram_hashes(word_array(F.col("norm")), tuple(range(GRAM))))
-                        .alias("place", "gram"))
+    # the words are a column of their own: inside the lambda they would be split again for every place
+    grams = (rows.select("id", "key", word_array(F.col("norm")).alias("words"))
+             .select("id", "key", F.posexplode(gram_hashes(F.col("words"), tuple(range(GRAM)))).alias("place", "gram")))
     votes = (grams.join(F.broadcast(template_grams), "gram")  # a constant table
              .groupBy("id", "key", "template", "template_size", (F.col("place") - F.col("template_place")).alias("diagonal"))
              # repeated rows vote for the same places; a place counts once

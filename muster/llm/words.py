@@ -29,7 +29,10 @@ def word_array(norm: Column) -> Column:
 
 
 def gram_hashes(words: Column, offsets: tuple[int, ...], salt: int = 0) -> Column:
-    """Hash of the words at ``offsets`` from every position where they all exist, in order."""
+    """Hash of the words at ``offsets`` from every position where they all exist, in order.
+
+    ``words`` must be a plain column: an expression would be computed again at every position.
+    """
     last = F.size(words) - F.lit(offsets[-1] + 1)
     grams = F.transform(F.sequence(F.lit(0), last),
                         lambda i: F.xxhash64(F.lit(salt), *[F.get(words, i + o) for o in offsets]))
