@@ -9,19 +9,18 @@ for bit.
 
 Plan, built for a key that holds a third of all events:
 
-1. Segments. A gap of at least the bucket capacity refills the bucket completely,
-   so each key splits into independent segments at such gaps. Gaps are found
-   inside (key, time bucket) groups (a window partitioned by key *and* an hour
-   bucket, so a hot key is spread over its buckets); the gap across a bucket
-   boundary comes from a per-(key, bucket) min/max aggregate whose window over the
-   key has one row per bucket, not per event.
-2. Fold. Rows are hash-partitioned by (key, segment) — a hot key's segments land
-   on different tasks — and sorted within partitions; ``mapInPandas`` walks each
-   partition once with O(1) state (level, last time), resetting at every segment.
-   No group is ever materialised as a list, nothing goes to the driver.
-
-Only a single unbroken segment (events of one key always closer than the bucket
-capacity) stays on one task; the recurrence is sequential there by definition.
+1. Events are hash-partitioned by (key, time bucket), so a hot key is as many tasks as it has
+   buckets, and sorted inside. Every (key, bucket) is summarised as the map from the
+   level before its first decision to the level after its last: a few intervals on which the level
+   is either moved by a constant or set to one (an event shifts, clamps at the capacity, and takes a
+   token above one).
+2. The summaries, one row per (key, bucket), are walked per key: each map is applied once, to
+   give every bucket its entry level.
+3. Every (key, bucket) is folded from its entry level, all in parallel.
+
+Both passes over the events read batches and keep the state of one bucket; no group is held as a
+list, nothing goes to the driver. A bucket of one event, the common case of sparse keys, needs
+no map: its summary is one shift.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.time import epoch_micros
@@ -40,6 +39,7 @@ RATE_PER_SECOND = 2
 BURST = 4
 IDLE_EVICT_SECONDS = 180
 US = 1_000_000
+BUCKET_US = 600 * US
 
 
 def costs(rate_per_second: float = RATE_PER_SECOND, burst: int = BURST) -> tuple[int, int]:
@@ -48,73 +48,152 @@ def costs(rate_per_second: float = RATE_PER_SECOND, burst: int = BURST) -> tuple
     return cost, cost * burst
 
 
-def segment_events(events: DataFrame, key: str, ts: str, event_id: str, capacity_us: int,
-                   bucket_us: int = 3600 * US) -> DataFrame:
-    """Add ``_t`` (µs) and ``_seg`` (start time of the event's segment) to every event."""
-    e = events.withColumn("_t", epoch_micros(F.col(ts), events.schema[ts].dataType))
-    e = e.withColumn("_b", F.floor(F.col("_t") / bucket_us))
-    in_bucket = Window.partitionBy(key, "_b").orderBy("_t", event_id)
-    e = e.withColumn("_prev", F.lag("_t").over(in_bucket))
-    inner_start = F.col("_prev").isNotNull() & (F.col("_t") - F.col("_prev") >= capacity_us)
-    # one row per (key, bucket): first and last time, latest start found inside it
-    spans = e.groupBy(key, "_b").agg(
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"),
-        F.max(F.when(inner_start, F.col("_t"))).alias("_inner"))
-    by_bucket = Window.partitionBy(key).orderBy("_b")
-    spans = spans.withColumn("_prev_last", F.lag("_last").over(by_bucket))
-    first_starts = F.col("_prev_last").isNull() | (F.col("_first") - F.col("_prev_last")
-                                                   >= capacity_us)
-    spans = spans.withColumn(
-        "_bs", F.greatest(F.col("_inner"), F.when(first_starts, F.col("_first"))))
-    carried = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(key, "_b", "_prev_last",
-                         F.max("_bs").over(carried).alias("_carry"))
-    e = e.join(spans, [key, "_b"], "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
-    start = prev.isNull() | (F.col("_t") - prev >= capacity_us)
-    # segment id = time of the latest start at or before the event: inside the bucket
-    # by a running max, else the latest start carried from earlier buckets
-    run = in_bucket.rowsBetween(Window.unboundedPreceding, 0)
-    seg_in = F.max(F.when(start, F.col("_t"))).over(run)
-    return e.withColumn("_seg", F.coalesce(seg_in, F.col("_carry"))) \
-        .drop("_b", "_prev", "_prev_last", "_carry")
+class LevelMap:
+    """Level before a run of decisions -> level after it, on [0, capacity].
+
+    ``pieces`` are (first level, moves, value): from that level on the result is the level plus
+    ``value`` if it moves, else ``value``.
+    """
+
+    def __init__(self, cost: int, capacity: int):
+        self.cost, self.capacity = cost, capacity
+        self.pieces = [(0, True, 0)]
+
+    def _split(self, at_result: int) -> Iterator[tuple[int, int, bool, int]]:
+        """(first, last, moves, value) pieces, cut so that results below ``at_result`` stand apart."""
+        ends = [p[0] - 1 for p in self.pieces[1:]] + [self.capacity]
+        for (lo, moves, value), hi in zip(self.pieces, ends, strict=True):
+            border = at_result - value  # first level whose result reaches at_result
+            if moves and lo < border <= hi:
+                yield lo, border - 1, moves, value
+                yield border, hi, moves, value
+            else:
+                yield lo, hi, moves, value
+
+    def _keep(self, pieces: list[tuple[int, bool, int]]) -> None:
+        self.pieces = [p for i, p in enumerate(pieces) if i == 0 or p[1:] != pieces[i - 1][1:]]
+
+    def refill(self, elapsed: int) -> None:
+        full = self.capacity - elapsed
+        out = []
+        for lo, _, moves, value in self._split(full):
+            if (lo + value if moves else value) >= full:
+                out.append((lo, False, self.capacity))
+            else:
+                out.append((lo, moves, value + elapsed))
+        self._keep(out)
+
+    def decide(self) -> None:
+        self._keep([(lo, moves, value - self.cost if (lo + value if moves else value) >= self.cost else value)
+                    for lo, _, moves, value in self._split(self.cost)])
+
+    def apply(self, level: int) -> int:
+        return apply_pieces([p[0] for p in self.pieces], [p[1] for p in self.pieces],
+                            [p[2] for p in self.pieces], level)
+
+
+def apply_pieces(firsts, moves, values, level: int) -> int:
+    at = int(np.searchsorted(np.asarray(firsts), level, "right")) - 1
+    return int(values[at]) + (level if moves[at] else 0)
+
+
+def _runs(pdf: pd.DataFrame, key: str) -> Iterator[tuple[object, int, slice]]:
+    """Contiguous (key, bucket) runs of a sorted batch."""
+    if not len(pdf):
+        return
+    keys, buckets = pdf[key], pdf["_b"].to_numpy()
+    missing = keys.isna().to_numpy()
+    values = keys.to_numpy()
+    same = (buckets[1:] == buckets[:-1]) & (missing[1:] == missing[:-1])
+    same &= missing[1:] | (values[1:] == values[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(pdf)]])
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        yield (None if missing[a] else values[a]), int(buckets[a]), slice(int(a), int(b))
+
+
+def _summarise(key: str, cost: int, capacity: int):
+    def row(ident, first, last, level):
+        firsts, moves, values = (list(x) for x in zip(*level.pieces, strict=True))
+        return {key: ident[0], "_b": ident[1], "first_t": first, "last_t": last, "firsts": firsts,
+                "moves": moves, "changes": values}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = first = last = level = None
+        for pdf in batches:
+            done, ts = [], pdf["_t"].to_numpy(dtype=np.int64)
+            for k, b, part in _runs(pdf, key):
+                if (k, b) != current:
+                    if current is not None:
+                        done.append(row(current, first, last, level))
+                    current, first, last, level = (k, b), int(ts[part.start]), None, LevelMap(cost, capacity)
+                for t in ts[part].tolist():
+                    if last is not None:
+                        level.refill(max(0, t - last))
+                    level.decide()
+                    last = t
+            if done:
+                yield pd.DataFrame(done)
+        if current is not None:
+            yield pd.DataFrame([row(current, first, last, level)])
+    return run
+
+
+def _walk(key: str, capacity: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level, last = object(), 0, 0
+        for pdf in batches:
+            entries = []
+            for k, first, end, firsts, moves, changes in zip(
+                    pdf[key], pdf["first_t"], pdf["last_t"], pdf["firsts"], pdf["moves"], pdf["changes"], strict=True):
+                k = None if pd.isna(k) else k
+                level = capacity if k != current else min(capacity, level + max(0, first - last))
+                current, last = k, end
+                entries.append(level)
+                level = apply_pieces(firsts, moves, changes, level)
+            yield pdf[[key, "_b"]].assign(entry=entries)
+    return run
 
 
 def _fold(key: str, event_id: str, cost: int, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur = None
-        level = last = 0
+        current, level, last = None, 0, 0
         for pdf in batches:
-            keys = pdf[key].to_numpy()
-            segs = pdf["_seg"].to_numpy()
-            ts = pdf["_t"].to_numpy(dtype=np.int64)
-            out = np.empty(len(pdf), dtype=bool)
-            lv = np.empty(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                ident = (keys[i], segs[i])
-                if ident != cur:
-                    cur, level, last = ident, capacity, ts[i]
-                else:
-                    level = min(capacity, level + max(0, ts[i] - last))
-                    last = max(last, ts[i])
-                ok = level >= cost
-                if ok:
-                    level -= cost
-                out[i], lv[i] = ok, level
-            yield pd.DataFrame({key: keys, event_id: pdf[event_id].to_numpy(),
-                                "admitted": out, "level_us": lv})
+            ts, entry = pdf["_t"].to_numpy(dtype=np.int64), pdf["entry"].to_numpy(dtype=np.int64)
+            out, levels = np.empty(len(pdf), bool), np.empty(len(pdf), np.int64)
+            for k, b, part in _runs(pdf, key):
+                at = part.start
+                if (k, b) != current:
+                    current, level, last = (k, b), int(entry[at]), int(ts[at])
+                for i, t in enumerate(ts[part].tolist(), at):
+                    level = min(capacity, level + max(0, t - last))
+                    last = t
+                    ok = level >= cost
+                    if ok:
+                        level -= cost
+                    out[i], levels[i] = ok, level
+            yield pdf[[key, event_id]].assign(admitted=out, level_us=levels)
     return run
 
 
 def token_bucket(events: DataFrame, key: str = "user_id", ts: str = "ts",
                  event_id: str = "event_id", rate_per_second: float = RATE_PER_SECOND,
-                 burst: int = BURST, partitions: int | None = None) -> DataFrame:
+                 burst: int = BURST, bucket_us: int = BUCKET_US) -> DataFrame:
     """Admission decision for every event: key, event id, admitted, level after (µs)."""
     cost, capacity = costs(rate_per_second, burst)
-    seg = segment_events(events.select(key, ts, event_id), key, ts, event_id, capacity)
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = seg.repartition(n, key, "_seg").sortWithinPartitions(key, "_seg", "_t", event_id)
-    schema = (f"{key} {events.schema[key].dataType.simpleString()}, "
-              f"{event_id} {events.schema[event_id].dataType.simpleString()}, "
-              "admitted boolean, level_us bigint")
-    return laid.mapInPandas(_fold(key, event_id, cost, capacity), schema)
+    kind, id_kind = (events.schema[c].dataType.simpleString() for c in (key, event_id))
+    # keys pass as text: pandas would turn whole numbers beside a NULL into floats
+    e = events.select(F.col(key).cast("string").alias("_k"), event_id,
+                      epoch_micros(F.col(ts), events.schema[ts].dataType).alias("_t")) \
+        .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    order = ["_k", "_b", "_t", event_id]
+    laid = e.repartition("_k", "_b")
+    summaries = laid.sortWithinPartitions(*order).mapInPandas(
+        _summarise("_k", cost, capacity),
+        "_k string, _b long, first_t long, last_t long, firsts array<long>, moves array<boolean>, changes array<long>")
+    entries = summaries.repartition("_k").sortWithinPartitions("_k", "_b").mapInPandas(
+        _walk("_k", capacity), "_k string, _b long, entry long") \
+        .withColumnsRenamed({"_k": "_key", "_b": "_bucket"})
+    placed = laid.join(entries, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")))
+    return placed.select(*order, "entry").sortWithinPartitions(*order).mapInPandas(
+        _fold("_k", event_id, cost, capacity), f"_k string, {event_id} {id_kind}, admitted boolean, level_us bigint") \
+        .select(F.col("_k").cast(kind).alias(key), event_id, "admitted", "level_us")

@@ -95,3 +95,49 @@ def test_every_late_event_gets_a_decision(spark):
     assert out.count() == 24 and len(got) == 24
     # the second file comes after the first emptied three of four tokens: one is left, nothing refills
     assert [got[100 + j] for j in range(3)] == [True, False, False]
+
+
+def test_level_map_equals_the_fold():
+    import random
+
+    from muster.operators.ratelimit import LevelMap
+    rnd = random.Random(3)
+    most = 0
+    for _ in range(60):
+        cost = rnd.choice([1, 7, 10])
+        capacity = cost * rnd.randrange(1, 6)
+        level_map, gaps = LevelMap(cost, capacity), [rnd.randrange(0, 3 * cost) for _ in range(rnd.randrange(0, 80))]
+        level_map.decide()
+        for gap in gaps:
+            level_map.refill(gap)
+            level_map.decide()
+        most = max(most, len(level_map.pieces))
+        for level in range(capacity + 1):
+            want = level - cost if level >= cost else level
+            for gap in gaps:
+                want = min(capacity, want + gap)
+                want -= cost if want >= cost else 0
+            assert level_map.apply(level) == want
+    assert most <= 12  # a few pieces, however many events
+
+
+def test_a_hot_key_is_folded_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from muster.operators.ratelimit import token_bucket
+    n = 6_000  # ten events a second of one key at two tokens a second: one unbroken run
+    df = spark.range(n).select(F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("event_id"),
+                               F.timestamp_add("MICROSECOND", F.col("id") * 100_000,
+                                               F.expr("TIMESTAMP_NTZ '2024-01-01'")).alias("ts"))
+    got = token_bucket(df, bucket_us=20_000_000)
+    ev = [(1, t0(i / 10), i) for i in range(n)]
+    assert {r.event_id: r.admitted for r in got.collect()} == brute_force(ev, 2, 4)
+    spread = df.withColumn("b", F.floor(F.col("event_id") / 200)).repartition(16, "user_id", "b")
+    assert spread.groupBy(F.spark_partition_id()).count().count() > 8
+
+
+def test_null_keys_and_buckets_of_one_event(spark):
+    ev = [(None, t0(i * 0.1), i) for i in range(10)] + [(5, t0(i * 4000.0), 100 + i) for i in range(4)]
+    got = decide(spark, ev)
+    assert [got[i] for i in range(10)] == [True] * 4 + [False] + [True] + [False] * 4
+    assert all(got[100 + i] for i in range(4))
