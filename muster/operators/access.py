@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.time import as_of_literal, utc_as
 from muster.functions.tokens import token_hash
-from muster.schemas import SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, TOKEN_LIFETIME_SECONDS, \
+from muster.schemas import ROUTES, SCOPE_ACTIVATION, SCOPE_AUTHENTICATION, TOKEN_LIFETIME_SECONDS, \
     TOKEN_TEXT_BYTES
 
 
@@ -67,6 +67,35 @@ def token_user_join(presented: DataFrame, tokens: DataFrame, users: DataFrame, s
             .drop("_hash", "hash", "_token_user"))
 
 
+def with_route(requests: DataFrame, method_col: str = "method", path_col: str = "path") -> DataFrame:
+    """Adds ``route`` (method and path of the route table, NULL if none) and ``guarded``.
+
+    A path matches literally, else with its last part as an id.
+    """
+    guards = F.create_map(*[x for (m, p), g in ROUTES.items() for x in (F.lit(f"{m} {p}"), F.lit(g))])
+    exact = F.concat_ws(" ", method_col, path_col)
+    by_id = F.regexp_replace(exact, r"^(\S+ /v1/[^/]+)/[^/]+$", "$1/:id")
+    route = F.when(F.map_contains_key(guards, exact), exact).when(F.map_contains_key(guards, by_id), by_id)
+    return requests.withColumn("route", route).withColumn("guarded", F.try_element_at(guards, F.col("route")))
+
+
+def route_access(requests: DataFrame, tokens: DataFrame, users: DataFrame, as_of, header_col: str = "auth_header",
+                 method_col: str = "method", path_col: str = "path") -> DataFrame:
+    """J2 with the route table: a bad token is refused before routing, as every request is authenticated
+    first; then a request without a route is ``not_found`` (404) or, if the path has other methods,
+    ``method_not_allowed`` (405); then the guard decides."""
+    routed = with_route(requests, method_col, path_col)
+    paths = sorted({p for _, p in ROUTES})
+    path = F.col(path_col)
+    known = path.isin(paths) | F.regexp_replace(path, r"^(/v1/[^/]+)/[^/]+$", "$1/:id").isin(paths)
+    decided = access_decision(routed.withColumn("guarded", F.coalesce("guarded", F.lit(False))), tokens, users, as_of,
+                              header_col)
+    missing = F.col("route").isNull() & (F.col("outcome") != "invalid_token")
+    outcome = F.when(missing & known, "method_not_allowed").when(missing, "not_found").otherwise(F.col("outcome"))
+    status = F.when(missing & known, 405).when(missing, 404).otherwise(F.col("status"))
+    return decided.withColumns({"outcome": outcome, "status": status})
+
+
 # fixed values: access outcomes and their HTTP status
 ACCESS_STATUS = {"allowed": 200, "invalid_token": 401, "unauthenticated": 401, "inactive": 403}
 
@@ -91,8 +120,12 @@ def access_decision(requests: DataFrame, tokens: DataFrame, users: DataFrame, as
         .withColumn("_hash", F.when(F.col("_state") == "lookup", token_hash(tok)))
     live = live_tokens(tokens, SCOPE_AUTHENTICATION, as_of)
     u = users.select(F.col("id").alias("_uid"), F.col("activated").alias("_activated"))
-    joined = (req.join(live, req["_hash"] == live["hash"], "left")
-              .join(u, F.col("_token_user") == F.col("_uid"), "left"))
+    # rows without a token match nothing; a key of their own spreads them over the partitions
+    alone = F.concat(F.lit("-"), F.xxhash64(*requests.columns).cast("string"))
+    req = req.withColumn("_key", F.coalesce("_hash", alone))
+    joined = req.join(live, req["_key"] == live["hash"], "left")
+    joined = joined.withColumn("_user_key", F.coalesce("_token_user", F.col("_key")))
+    joined = joined.join(u, F.col("_user_key") == F.col("_uid"), "left").drop("_key", "_user_key")
     found = F.col("_uid").isNotNull()
     guarded = F.coalesce(F.col(guarded_col), F.lit(True))
     outcome = (F.when(F.col("_state") == "invalid_token", "invalid_token")

@@ -158,8 +158,9 @@ def numeric_coercion(df: DataFrame, table: str | None = None, columns=None) -> D
 # --- C5 -------------------------------------------------------------------------------------
 # fixed values: outcome classes and their HTTP status in the reference
 OUTCOME_STATUS = {
-    "ok": 200, "created": 201, "bad_input": 400, "unauthenticated": 401, "inactive": 403,
-    "not_found": 404, "conflict": 409, "invalid": 422, "duplicate": 422, "rate_limited": 429,
+    "ok": 200, "allowed": 200, "updated": 200, "created": 201, "bad_input": 400,
+    "unauthenticated": 401, "invalid_token": 401, "inactive": 403, "not_found": 404,
+    "method_not_allowed": 405, "conflict": 409, "invalid": 422, "duplicate": 422, "rate_limited": 429,
     "constraint_violation": 500, "check_violation": 500, "fk_violation": 500,
     "numeric_overflow": 500,
 }
@@ -176,3 +177,10 @@ def outcome_column(*cases: tuple[Column, str], default: str = "ok") -> Column:
 def with_status(df: DataFrame, outcome_col: str = "outcome") -> DataFrame:
     status = F.create_map(*[x for k, v in OUTCOME_STATUS.items() for x in (F.lit(k), F.lit(v))])
     return df.withColumn("status", status[F.col(outcome_col)])
+
+
+def outcome_summary(reports: dict[str, DataFrame], outcome_col: str = "outcome") -> DataFrame:
+    """Rows per source, outcome and status over several reports: one partially aggregated count."""
+    tagged = [df.select(F.lit(name).alias("source"), F.col(outcome_col).alias("outcome")) for name, df in reports.items()]
+    counts = reduce(DataFrame.unionByName, tagged).groupBy("source", "outcome").agg(F.count(F.lit(1)).alias("row_count"))
+    return with_status(counts)

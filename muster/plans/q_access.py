@@ -62,6 +62,41 @@ def access_decision(t):
     return A.access_decision(t.requests, t.tokens, t.users, AS_OF_TEXT)
 
 
+_METHOD = "CASE event_type WHEN 'click' THEN 'GET' WHEN 'purchase' THEN 'POST' WHEN 'view' THEN 'PATCH' ELSE 'DELETE' END"
+_PATH = ("CASE user_id % 4 WHEN 0 THEN concat('/v1/officers/', user_id) WHEN 1 THEN '/v1/users' "
+         "WHEN 2 THEN concat('/v1/users/', user_id) ELSE '/v1/nothing' END")
+_HEADER = ("CASE WHEN value < 20 THEN NULL WHEN value < 30 THEN 'Basic x' "
+           "ELSE concat('Bearer ', {token}) END")
+
+
+@query("route_access", with_tables("tokens", "users") + f"""
+    , q AS (SELECT event_id AS request_id, {_METHOD} AS method, {_PATH} AS path, {_HEADER.format(token=TOKEN)} AS h,
+                   user_id % 4 AS kind FROM events),
+    j AS (SELECT q.*, u.id AS uid, u.activated,
+                 CASE WHEN kind = 3 THEN NULL WHEN kind = 1 AND method = 'GET' THEN TRUE
+                      WHEN kind = 1 AND method = 'POST' THEN FALSE
+                      WHEN kind = 2 AND method IN ('GET', 'PATCH', 'DELETE') THEN FALSE
+                      WHEN kind = 0 AND method = 'GET' THEN FALSE
+                      WHEN kind = 0 AND method IN ('PATCH', 'DELETE') THEN TRUE END AS guarded
+          FROM q LEFT JOIN tokens k ON k.hash = sha256(substr(q.h, 8)) AND q.h LIKE 'Bearer %'
+               AND k.scope = 'authentication' AND k.expiry > {AS_OF}
+          LEFT JOIN users u ON u.id = k.user_id),
+    o AS (SELECT request_id, method, path, CASE
+            WHEN h IS NOT NULL AND uid IS NULL THEN 'invalid_token'
+            WHEN kind = 3 THEN 'not_found' WHEN guarded IS NULL THEN 'method_not_allowed'
+            WHEN guarded AND h IS NULL THEN 'unauthenticated' WHEN guarded AND NOT activated THEN 'inactive'
+            ELSE 'allowed' END AS outcome FROM j)
+    SELECT *, CASE outcome WHEN 'allowed' THEN 200 WHEN 'not_found' THEN 404 WHEN 'method_not_allowed' THEN 405
+              WHEN 'inactive' THEN 403 ELSE 401 END AS status FROM o""")
+def route_access(t):
+    """J2 with the route table: every event is a request whose method and path come from its columns."""
+    e = t.raw("events").withColumn("_token", StandIns.token_text())
+    requests = e.selectExpr("event_id AS request_id", f"{_METHOD} AS method", f"{_PATH} AS path",
+                            f"{_HEADER.format(token='_token')} AS auth_header")
+    return A.route_access(requests, t.tokens, t.users, AS_OF_TEXT).select(
+        "request_id", "method", "path", "outcome", "status")
+
+
 @query("redeem_tokens", with_tables("tokens") + f""",
     p AS (SELECT event_id, {TOKEN} AS token FROM events),
     r AS (SELECT p.*, k.user_id AS tu FROM p LEFT JOIN tokens k ON k.hash = sha256(p.token)

@@ -202,3 +202,33 @@ def update_password(t):
 def update_password_tokens(t):
     """Tokens that stay: other scopes, and those of users whose update failed."""
     return _password(t)[1]
+
+
+# --- C5: every outcome class in one report ----------------------------------------------------------
+_REPORTS = {"update_attendance_report": "outcome", "update_users_report": "outcome", "update_sessions_report": "outcome",
+            "bulk_insert": "outcome", "outcome_report": "outcome", "route_access": "outcome",
+            "token_bucket": "CASE WHEN admitted THEN 'ok' ELSE 'rate_limited' END"}
+# The status of every outcome.
+_STATUS_SQL = """CASE outcome WHEN 'ok' THEN 200 WHEN 'allowed' THEN 200 WHEN 'updated' THEN 200 WHEN 'created' THEN 201
+    WHEN 'bad_input' THEN 400 WHEN 'unauthenticated' THEN 401 WHEN 'invalid_token' THEN 401 WHEN 'inactive' THEN 403
+    WHEN 'not_found' THEN 404 WHEN 'method_not_allowed' THEN 405 WHEN 'conflict' THEN 409 WHEN 'invalid' THEN 422
+    WHEN 'duplicate' THEN 422 WHEN 'rate_limited' THEN 429 ELSE 500 END"""
+
+
+def _register_outcomes() -> None:
+    from muster.operators import constraints as C
+    from muster.plans import q_access, q_ingest, q_stream  # noqa: F401
+    from muster.plans.catalog import ORACLE, QUERIES
+
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS source, {column} AS outcome FROM ({ORACLE[name]}) q"
+                               for name, column in _REPORTS.items())
+
+    @query("outcome_classes", f"SELECT source, outcome, {_STATUS_SQL} AS status, count(*) AS row_count "
+                              f"FROM ({parts}) a GROUP BY source, outcome")
+    def outcome_classes(t):
+        """Rows per source, outcome and status over updates, inserts, requests and rate limiting."""
+        return C.outcome_summary({name: QUERIES[name](t.spark, t.root).selectExpr(f"{column} AS outcome")
+                                  for name, column in _REPORTS.items()})
+
+
+_register_outcomes()

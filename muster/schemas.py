@@ -201,3 +201,52 @@ PATCHABLE: dict[str, tuple[str, ...]] = {
 }
 # tables whose update also stamps updated_at
 STAMPS_UPDATED_AT = frozenset({"officers", "courses", "sessions"})
+
+# --- routes (fixed values): method, path, and whether only activated users may call it ----------
+_ROUTES = """
+GET /v1/healthcheck open
+POST /v1/users open
+PUT /v1/users/activated open
+POST /v1/tokens/authentication open
+POST /v1/tokens/password-reset open
+PUT /v1/users/password open
+GET /v1/users/:id open
+PATCH /v1/users/:id open
+DELETE /v1/users/:id open
+GET /v1/users guarded
+POST /v1/officers guarded
+GET /v1/officers/:id open
+PATCH /v1/officers/:id guarded
+DELETE /v1/officers/:id guarded
+GET /v1/officers open
+POST /v1/courses guarded
+GET /v1/courses/:id open
+PATCH /v1/courses/:id guarded
+DELETE /v1/courses/:id guarded
+GET /v1/courses open
+POST /v1/sessions guarded
+GET /v1/sessions/:id open
+PATCH /v1/sessions/:id guarded
+DELETE /v1/sessions/:id guarded
+GET /v1/sessions open
+POST /v1/facilitators guarded
+GET /v1/facilitators/:id open
+PATCH /v1/facilitators/:id guarded
+DELETE /v1/facilitators/:id guarded
+GET /v1/facilitators open
+POST /v1/attendance guarded
+DELETE /v1/attendance/:id guarded
+GET /v1/attendance/:id open
+PATCH /v1/attendance/:id guarded
+GET /v1/attendance open
+POST /v1/session-facilitators guarded
+DELETE /v1/session-facilitators/:id guarded
+GET /v1/session-facilitators open
+POST /v1/session-feedback guarded
+GET /v1/session-feedback open
+POST /v1/import-jobs guarded
+GET /v1/import-jobs open
+GET /v1/import-jobs/:id open
+"""
+ROUTES: dict[tuple[str, str], bool] = {
+    (method, path): kind == "guarded" for method, path, kind in map(str.split, _ROUTES.strip().splitlines())}
