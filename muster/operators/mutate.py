@@ -36,6 +36,7 @@ from muster.schemas import (
     ForeignKey,
     not_null_columns,
 )
+from muster.session import pin
 
 
 # --- M1 -----------------------------------------------------------------------------------------
@@ -257,40 +258,29 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
     closure before anything is deleted, per root key.
 
     Returns ``(new_tables, report)``; report rows: table_name, id, action
-    (deleted / set_null / blocked / not_found), root_id.
+    (deleted / set_null / blocked / not_found), root_id. The deleted (id, root) pairs of each
+    table are computed once, when called, and checkpointed in the shared folder: a child table is read
+    once per reference to find them, and the report reads no table again but for SET NULL.
     """
     root_pk = _pk(root)
     requested = keys.select(F.col(key_col).alias("_root")).distinct()
     base_root = tables[root].select(F.col(root_pk).alias("_id"))
-    found = requested.join(base_root, requested["_root"] == base_root["_id"], "inner") \
-        .select(F.col("_id").alias("id"), "_root")
-    # 1. closure of cascading deletes, each row tagged with its root key
-    closure: dict[str, DataFrame] = {root: found}
-    order = [root]
-    i = 0
-    while i < len(order):
-        parent = order[i]
-        i += 1
-        for fk in fks:
-            if fk.parent != parent or fk.on_delete != "cascade" or not _applies(fk, tables):
-                continue
-            hit = _referencing(tables[fk.child], fk, closure[parent])
-            closure[fk.child] = (closure[fk.child].unionByName(hit) if fk.child in closure
-                                 else hit)
-            if fk.child not in order:
-                order.append(fk.child)
+    looked_up = pin(requested.join(base_root, requested["_root"] == base_root["_id"], "left"))
+    # 1. closure of cascading deletes, each row tagged with its root key; (id, root) pairs, kept once
+    # per table, as every later step starts from them
+    closure: dict[str, DataFrame] = {
+        root: looked_up.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), "_root")}
+    live = [fk for fk in fks if _applies(fk, tables)]
+    for child in _cascade_order(root, live):
+        hits = [_referencing(tables[child], fk, closure[fk.parent]) for fk in live
+                if fk.child == child and fk.on_delete == "cascade" and fk.parent in closure]
+        closure[child] = pin(reduce(DataFrame.unionByName, hits).distinct())
     # 2. RESTRICT: root keys whose closure removes a parent row still referenced
-    blocked_parts = [
-        _referencing(tables[fk.child], fk, closure[fk.parent]).select("_root")
-        for fk in fks
-        if fk.on_delete == "restrict" and fk.parent in closure and _applies(fk, tables)]
-    blocked = (reduce(DataFrame.unionByName, blocked_parts).distinct() if blocked_parts
-               else None)
-
-    def unblocked(df: DataFrame) -> DataFrame:
-        return df if blocked is None else df.join(blocked, "_root", "left_anti")
-
-    deleted = {t: unblocked(df) for t, df in closure.items()}
+    blocked_parts = [_referencing(tables[fk.child], fk, closure[fk.parent]).select("_root")
+                     for fk in live if fk.on_delete == "restrict" and fk.parent in closure]
+    blocked = pin(reduce(DataFrame.unionByName, blocked_parts).distinct()) if blocked_parts else None
+    deleted = {t: df if blocked is None else pin(df.join(blocked, "_root", "left_anti"))
+               for t, df in closure.items()}
     # 3. new snapshots: drop deleted rows, clear SET NULL references
     new_tables = dict(tables)
     for t, d in deleted.items():
@@ -298,8 +288,8 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
         new_tables[t] = tables[t].join(ids, tables[t][_pk(t)] == ids["_gone"], "left_anti")
     report_parts = [d.select(F.lit(t).alias("table_name"), "id", F.lit("deleted").alias("action"),
                              F.col("_root").alias("root_id")) for t, d in deleted.items()]
-    for fk in fks:
-        if fk.on_delete != "set_null" or fk.parent not in deleted or not _applies(fk, tables):
+    for fk in live:
+        if fk.on_delete != "set_null" or fk.parent not in deleted:
             continue
         gone = deleted[fk.parent].select(F.col("id").alias("_gone"), "_root")
         child = new_tables[fk.child]
@@ -315,14 +305,29 @@ def propagate_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame,
         report_parts.append(blocked.select(F.lit(root).alias("table_name"), F.col("_root").alias("id"),
                                            F.lit("blocked").alias("action"),
                                            F.col("_root").alias("root_id")))
-    missing = requested.join(base_root, requested["_root"] == base_root["_id"], "left_anti")
-    report_parts.append(missing.select(F.lit(root).alias("table_name"), F.col("_root").alias("id"),
-                                       F.lit("not_found").alias("action"),
-                                       F.col("_root").alias("root_id")))
+    report_parts.append(looked_up.where(F.col("_id").isNull()).select(
+        F.lit(root).alias("table_name"), F.col("_root").alias("id"), F.lit("not_found").alias("action"),
+        F.col("_root").alias("root_id")))
     report = reduce(DataFrame.unionByName, report_parts).distinct()
     return new_tables, report
 
 
+def _cascade_order(root: str, fks) -> list[str]:
+    """Tables that cascading deletes from ``root`` reach, every table after all its parents."""
+    cascades = [fk for fk in fks if fk.on_delete == "cascade"]
+    reached, frontier = {root}, [root]
+    while frontier:
+        parent = frontier.pop()
+        new = {fk.child for fk in cascades if fk.parent == parent} - reached
+        reached |= new
+        frontier += new
+    order: list[str] = []
+    while len(order) < len(reached) - 1:
+        order += [t for t in sorted(reached - {root, *order})
+                  if {fk.parent for fk in cascades if fk.child == t} & reached <= {root, *order}]
+    return order
+
+
 def _applies(fk: ForeignKey, tables: dict[str, DataFrame]) -> bool:
     """The child table is given and carries the reference column."""
     return fk.child in tables and fk.column in tables[fk.child].columns
