@@ -52,8 +52,9 @@ from muster.llm.graph import components
 from muster.llm.words import small, text_key
 
 K, PERCENT = 5, 80
-BLOCK = 2_000
+BLOCK = 1_000
 LEAF, FANOUT = 16, 8
+SLICE, PAIRS = 256, 50_000  # rows unpacked, and pairs held, at once
 #: grams of the classes of a block, which one task holds
 BLOCK_GRAMS = 1_500_000
 #: documents sampled to tell frequent grams: so many and a thousandth of all; a gram in so many of them is
@@ -239,11 +240,12 @@ def _describe(batches: Batches, k: int, percent: int, frequent: np.ndarray) -> B
                 at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                 common = frequent[at] == grams
             order = np.concatenate([grams[~common], grams[common]])
-            prefixes.append(order[:n - -(-percent * n // 100) + 1].view(np.int64))
+            # half a hash is enough to meet by: a collision brings strangers together, no more
+            prefixes.append(order[:n - -(-percent * n // 100) + 1].astype(np.uint32).view(np.int32))
             signatures.append(signature(grams).tobytes())
         yield pa.RecordBatch.from_arrays([
             batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()),
-            pa.array(h2, pa.int64()), pa.array(least, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+            pa.array(h2, pa.int64()), pa.array(least, pa.int64()), pa.array(prefixes, pa.list_(pa.int32())),
             pa.array(signatures, pa.binary())],
             names=["id", "key", "n", "h1", "h2", "least", "prefix", "signature"])
 
@@ -264,7 +266,8 @@ def _full_sets(batches: Batches, k: int) -> Batches:
 
 def _groups(batches: Batches, keys: list[str]) -> Iterator[list[dict]]:
     """Runs of rows with equal keys; the rows come sorted by them."""
-    rows = (row for batch in batches for row in batch.to_pylist())
+    rows = (row for batch in batches for at in range(0, batch.num_rows, SLICE)
+            for row in batch.slice(at, SLICE).to_pylist())
     for _, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
         yield list(group)
 
@@ -298,6 +301,18 @@ def _link_task(batches: Batches, percent: int) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _best_pairs(found: list[np.ndarray]) -> np.ndarray:
+    """Of every two components the pair with the highest score."""
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort((-pairs[4], pairs[3], pairs[2]))]
+    first = np.concatenate([[True], (np.diff(pairs[2:4], axis=1) != 0).any(axis=0)])
+    return pairs[:, first]
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b", "low", "high", "score"])
+
+
 def _traverse_task(batches: Batches, percent: int, every: bool) -> Batches:
     """Pairs of classes in different components that may be linked; of every two components the most
     likely, or all."""
@@ -311,25 +326,21 @@ def _traverse_task(batches: Batches, percent: int, every: bool) -> Batches:
             continue
         rows = [np.array([r["row"] for r in side], np.int64) for side in sides]
         there, other = (trees[0], rows[0]) if trees[1] is None else (trees[1], rows[1])
-        found = []
+        found, held = [], 0
         for left, right, most in trees[0].pairs(percent, trees[1]):
             n, m = trees[0].sizes[left], there.sizes[right]
-            found.append(np.stack([rows[0][left], other[right], trees[0].comps[left], there.comps[right],
+            a, b, ca, cb = rows[0][left], other[right], trees[0].comps[left], there.comps[right]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(ca, cb), np.maximum(ca, cb),
                                    most * 1_000_000 // (n + m - most)]))
-        if not found:
-            continue
-        a, b, ca, cb, score = np.concatenate(found, axis=1)
-        flip = a > b
-        a, b, ca, cb = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, cb, ca), np.where(flip, ca, cb)
-        if not every:
-            order = np.lexsort((-score, np.maximum(ca, cb), np.minimum(ca, cb)))
-            pair = np.stack([np.minimum(ca, cb), np.maximum(ca, cb)])[:, order]
-            first = np.concatenate([[True], (np.diff(pair, axis=1) != 0).any(axis=0)])
-            keep = order[first]
-            a, b, ca, cb, score = a[keep], b[keep], ca[keep], cb[keep], score[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (a, b, np.minimum(ca, cb), np.maximum(ca, cb), score)],
-            names=["a", "b", "low", "high", "score"])
+            held += len(left)
+            if held > PAIRS:
+                found = [np.concatenate(found, axis=1) if every else _best_pairs(found)]
+                held = found[0].shape[1]
+                if every or held > PAIRS // 2:
+                    yield _pair_batch(found.pop())
+                    held = 0
+        if found:
+            yield _pair_batch(np.concatenate(found, axis=1) if every else _best_pairs(found))
 
 
 # --- the join ------------------------------------------------------------------------------------
@@ -348,7 +359,7 @@ class JaccardJoin:
         self.described = stored(
             self.texts.mapInArrow(lambda b: _describe(b, k, percent, frequent),
                                   f"id {self.id_type}, key long, n long, h1 long, h2 long, least long, "
-                                  "prefix array<long>, signature binary")
+                                  "prefix array<int>, signature binary")
             .withColumn("row", F.monotonically_increasing_id()), "jaccard-described")
         self._classes()
         self.links = stored(self._first_links(), "jaccard-links")
@@ -376,6 +387,7 @@ class JaccardJoin:
         several = stored(first.where("c > 1").drop("c"), "jaccard-several")
         self.by_class = stored(own.join(small(several, several.count()), ["h1", "h2", "n"], "left")
                                .select("id", "key", "row", "n", F.coalesce("cls", "row").alias("cls")), "jaccard-members")
+        self.repeats = not own.groupBy("id", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
         copies = self.by_class.where("cls <> row").select("row")
         self.classes = self.described.where("n > 0").join(small(copies, copies.count()), "row", "left_anti")
 
@@ -386,8 +398,9 @@ class JaccardJoin:
                         .select(F.col("id").alias("_id"), F.col("key").alias("_key"), "row"), "jaccard-wanted")
         same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
         texts = self.texts.join(small(wanted, wanted.count()), same).select("row", "text")
-        # a repeated row would come once per repetition
-        return texts.mapInArrow(lambda b: _full_sets(b, k), "row long, grams array<long>").dropDuplicates(["row"])
+        sets = texts.mapInArrow(lambda b: _full_sets(b, k), "row long, grams array<long>")
+        # where rows repeat an id and its text, a set comes once per repetition
+        return sets.dropDuplicates(["row"]) if self.repeats else sets
 
     def _first_links(self) -> DataFrame:
         percent = self.percent
@@ -415,12 +428,16 @@ class JaccardJoin:
         """
         comps = self._components()
         tokens = self._with_component(self.classes.select("row", "prefix"), comps, comps.count())             .select("row", "comp", F.explode("prefix").alias("token"))
-        shared = tokens.groupBy("token").agg(
-            F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.bit_xor(F.xxhash64("row")).alias("who"), F.sum(F.xxhash64("row").bitwiseAND(0xFFFFFFFF)).alias("sum"))
-        kept = stored(shared.where("low < high").groupBy("c", "who", "sum").agg(F.min("token").alias("token"))
-                      .select("token"), "jaccard-tokens")
-        return stored(tokens.join(small(kept, kept.count()), "token", "left_semi").select("token", "row"), "jaccard-units")
+        # most grams are in one class only; this first aggregation carries as little as it can
+        shared = stored(tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+                        .where("low < high").select("token"), "jaccard-tokens")
+        units = stored(tokens.join(small(shared, shared.count()), "token", "left_semi").select("token", "row"),
+                       "jaccard-units")
+        kept = stored(units.groupBy("token").agg(
+            F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("row")).alias("who"),
+            F.sum(F.xxhash64("row").bitwiseAND(0xFFFFFFFF)).alias("sum"))
+            .groupBy("c", "who", "sum").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
+        return units.join(small(kept, kept.count()), "token", "left_semi")
 
     def _candidates(self, units: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
         percent = self.percent
@@ -434,7 +451,9 @@ class JaccardJoin:
         one = rows.join(small(whole, whole.count()), "token", "left_semi").select(
             "token", F.lit("").alias("left_block"), F.lit("").alias("right_block"), F.lit(0).alias("side"), "row", "comp")
         parts = one.unionByName(self._blocked(rows, per, totals))
-        described = self.classes.select("row", "n", "signature")
+        members = stored(parts.select("row").distinct(), "jaccard-rows")
+        described = self.classes.select("row", "n", "signature") \
+            .join(small(members, members.count()), "row", "left_semi")
         tasks = (parts.join(described, "row").repartition("token", "left_block", "right_block")
                  .sortWithinPartitions("token", "left_block", "right_block", "side", "row")
                  .select("token", "left_block", "right_block", "side", "row", "comp", "n", "signature"))
