@@ -50,6 +50,8 @@ BUCKET_KEYS = 1 << 16  # keys in an index bucket, about
 CACHE_ENTRIES = 300_000
 SLICE_BYTES = 8 << 20  # of text that are encoded at once
 LONG_TEXT = 4 << 20  # bytes from which a text is encoded by itself
+#: a chunk that is a word of Latin letters and closing punctuation, two pre-tokens
+CHUNK_PARTS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[,.;:!?]*)$"
 MAGIC = b"MPHIDX01"
 ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("count", "<u8")])
 
@@ -159,38 +161,68 @@ class Encoder:
             return self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))
 
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, each with its space."""
+        known, out = self._spaced, []
+        get, tokenize, code, blank, letters = known.get, self._tokenize, self._code, self._blank, self._letters
+        for word in words:
+            ids = get(word)
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                ids = array(code, [t.id for t in tokenize(blank + spelled)]).tobytes()
+                if len(known) >= CACHE_ENTRIES:
+                    known.clear()
+                known[word] = ids
+            out.append(ids)
+        return out
+
     def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text), the end id after each.
 
-        The distinct chunks of the batch are encoded once and their ids gathered by place. A text with
+        Texts are cut at single spaces; the distinct chunks of the batch, split into words and closing
+        punctuation, are encoded once and their ids gathered by place. A text with
         a space that may not start a pre-token, or beyond ``LONG_TEXT`` bytes, is encoded by itself.
         """
         n = len(texts)
         long = np.asarray(pc.greater(pc.binary_length(texts), LONG_TEXT))
         chunks = pc.split_pattern(pc.if_else(pa.array(long), "", texts), " ")
-        ends = np.asarray(chunks.offsets)[1:].astype(np.int64) - chunks.offsets[0].as_py()
+        ends = np.asarray(chunks.offsets)[1:] - chunks.offsets[0].as_py()
         firsts = np.concatenate([[0], ends[:-1]])
         coded = chunks.flatten().dictionary_encode()
-        slots, entries = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
-        odd = np.array([not (c and ("!" <= c[0] <= "~" or c[0].isalnum())) for c in entries], bool)[slots]
+        places, entries = np.asarray(coded.indices), coded.dictionary
+        parts = pc.extract_regex(entries, CHUNK_PARTS)
+        plain = np.asarray(parts.is_valid())
+        words, tails = (pc.struct_field(parts, f).dictionary_encode() for f in ("word", "tail"))
+        others = entries.filter(pa.array(~plain)).to_pylist()
+        unsafe = np.array([not (c and ("!" <= c[0] <= "~" or c[0].isalnum())) for c in others], bool)
+        table = [*self._words(words.dictionary.to_pylist()), *map(self._bare.__getitem__, tails.dictionary.to_pylist()),
+                 *(b"" if u else self._spaced[c] for c, u in zip(others, unsafe, strict=True))]
+        odd_entry = np.zeros(len(entries), bool)
+        odd_entry[~plain] = unsafe
+        odd = odd_entry[places]
         odd[firsts] = False
         alone = long | (np.add.reduceat(odd, firsts, dtype=np.int64) > 0)
-        # the table: every chunk with its space, then each text's beginning, nothing, the end id
-        table = [b"" if not (c and ("!" <= c[0] <= "~" or c[0].isalnum())) else self._spaced[c] for c in entries]
-        for i, first in enumerate(slots[firsts].tolist()):
-            table.append(self(texts[i].as_py()) if alone[i] else self._bare[entries[first]])
-        nothing, end = len(table), len(table) + 1
+        # every chunk is two places of the table: word and tail, or itself and nothing
+        begins, nothing = len(table), len(table) + n
+        two = np.full((len(entries), 2), nothing, np.int32)
+        two[plain, 0] = pc.drop_null(words.indices)
+        two[plain, 1] = np.asarray(pc.drop_null(tails.indices)) + len(words.dictionary)
+        two[~plain, 0] = len(words.dictionary) + len(tails.dictionary) + np.arange(len(others))
+        first_chunks = entries.take(pa.array(places[firsts])).to_pylist()
+        table += [self(texts[i].as_py()) if alone[i] else self._bare[c] for i, c in enumerate(first_chunks)]
         table += [b"", np.asarray([end_id], self.dtype).tobytes()]
+        slots = two[places]
         slots[np.repeat(alone, ends - firsts)] = nothing
-        slots[firsts] = len(entries) + np.arange(n)
-        slots = np.insert(slots, ends, end)
-        sizes = np.array([len(x) for x in table], np.int64) // np.dtype(self.dtype).itemsize
+        slots[firsts, 0], slots[firsts, 1] = begins + np.arange(n), nothing
+        slots = np.insert(slots.ravel(), 2 * ends, nothing + 1)
+        sizes = (np.fromiter(map(len, table), np.int64, len(table)) // np.dtype(self.dtype).itemsize)
         flat = np.frombuffer(b"".join(table), self.dtype)
-        sizes_here = sizes[slots]
-        after = np.cumsum(sizes_here)
-        shift = (np.cumsum(sizes) - sizes)[slots] - (after - sizes_here)
-        ids = flat[np.repeat(shift, sizes_here) + np.arange(after[-1])]
-        return ids, np.add.reduceat(sizes_here, firsts + np.arange(n))
+        here = sizes[slots]
+        after = np.cumsum(here)
+        small = np.int32 if after[-1] + len(flat) < 1 << 31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[slots] - (after - here)).astype(small)
+        ids = flat[np.repeat(shift, here) + np.arange(after[-1], dtype=small)]
+        return ids, np.add.reduceat(here, 2 * firsts + np.arange(n))
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
