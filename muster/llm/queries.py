@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, decontaminate, hilbert, jaccard, langid, licenses, nn_descent, quality, secrets, token_store
+from muster.llm import (
+    bpe,
+    decontaminate,
+    hilbert,
+    jaccard,
+    langid,
+    licenses,
+    nn_descent,
+    oracles,
+    quality,
+    secrets,
+    token_store,
+)
 from muster.llm.common import scratch, table
 from muster.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -19,22 +31,7 @@ def op1_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.accepted().cast("int").alias("predicted"))
 
 
-# what the contract asks for, over all pairs: exact where the search finds every link
-NEAR_VECTORS_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-sound AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(e, x -> x <> 0)) > 0),
-unit AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM sound),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-          AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
-reach AS (SELECT vec_id AS root, vec_id AS node FROM v UNION SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node)
-SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links,
-       (SELECT min(node) FROM reach r WHERE r.root = v.vec_id) AS component_id,
-       v.vec_id = (SELECT min(node) FROM reach r WHERE r.root = v.vec_id) AS kept
-FROM v"""
-
-
-@query("op2_nn_descent", NEAR_VECTORS_SQL)
+@query("op2_nn_descent", oracles.NEAR_VECTORS)
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +58,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op4_signature_trees")
+@query("op4_signature_trees", oracles.NEAR_DOCUMENTS)
 def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -82,6 +79,6 @@ def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-@query("op8_spaced_seeds")
+@query("op8_spaced_seeds", oracles.BENCHMARK_PASSAGES)
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
