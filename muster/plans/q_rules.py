@@ -10,61 +10,94 @@ from muster.plans.catalog import query
 from muster.plans.oracle_sql import with_tables
 
 
-# --- SQL compiler for rule sets (oracle side) ------------------------------------------------
-def _sql_ok(r: V.Rule) -> str:
-    c = r.column or r.field
-    text = f"coalesce(CAST({c} AS VARCHAR), '')"
-    num = f"coalesce(CAST({c} AS DOUBLE), 0)"
-    zero = "TIMESTAMP '0001-01-01 00:00:00'"
-
-    def tm(x):
-        return f"coalesce(CAST({x} AS TIMESTAMP), {zero})"
-
-    k, a = r.check, r.arg
-    if k == "not_empty":
-        return f"{text} <> ''"
-    if k == "max_bytes":
-        return f"strlen({text}) <= {a}"
-    if k == "min_bytes":
-        return f"strlen({text}) >= {a}"
-    if k == "eq_bytes":
-        return f"strlen({text}) = {a}"
-    if k in ("in", "in_or_null"):
-        lst = ", ".join(f"'{v}'" for v in a)
-        return f"{text} IN ({lst})" if k == "in" else f"({c} IS NULL OR {c} IN ({lst}))"
-    if k == "matches":
-        pat = a.replace("'", "''")
-        return f"regexp_matches({text}, '{pat}')"
-    if k == "gt":
-        return f"{num} > {a}"
-    if k == "ge":
-        return f"{num} >= {a}"
-    if k == "between":
-        return f"({num} >= {a[0]} AND {num} <= {a[1]})"
-    if k == "not_zero_time":
-        return f"{tm(c)} <> {zero}"
-    if k == "after":
-        return f"{tm(c)} > {tm(a)}"
-    raise ValueError(k)
-
-
-def rules_sql(rules, prefix: str = "err_") -> str:
-    cols, nulls = [], []
-    for f in V.fields_of(rules):
-        whens = " ".join(f"WHEN NOT ({_sql_ok(r)}) THEN '{r.message}'" for r in rules
-                         if r.field == f)
-        cols.append(f"CASE {whens} END AS {prefix}{f}")
-        nulls.append(f"{prefix}{f} IS NULL")
-    return ", ".join(cols), " AND ".join(nulls)
-
-
-def _validate_query(name: str, table: str, rules, source_sql: str, keep: list[str], build):
-    cols, valid = rules_sql(rules)
+# --- the rules again, by hand (oracle side) -----------------------------------------------------
+# Per rule set, in order: field | SQL of what is wrong | message.
+_EMAIL_FAULTS = r"""
+email | coalesce(email, '') = '' | must be provided
+email | NOT regexp_matches(email, '^[a-zA-Z0-9.!#$%&''*+\/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*\z') | must be a valid email address
+"""
+_PASSWORD_FAULTS = """
+password | coalesce(password, '') = '' | must be provided
+password | strlen(password) < 8 | must be at least 8 bytes long
+password | strlen(password) > 72 | must not be more than 72 bytes long
+"""
+_FAULTS = {
+    "officers": """
+first_name | coalesce(first_name, '') = '' | must be provided
+first_name | strlen(first_name) > 100 | must not exceed 100 bytes
+last_name | coalesce(last_name, '') = '' | must be provided
+last_name | strlen(last_name) > 100 | must not exceed 100 bytes
+sex | coalesce(sex, '') = '' | must be provided
+sex | sex NOT IN ('male', 'female', 'unknown') | must be male, female, or unknown
+rank_code | coalesce(rank_code, '') = '' | must be provided
+""",
+    "courses": """
+title | coalesce(title, '') = '' | must be provided
+title | strlen(title) > 255 | must not exceed 255 bytes
+category | coalesce(category, '') = '' | must be provided
+category | category NOT IN ('mandatory', 'elective', 'instructor') | invalid category type
+default_credit_hours | coalesce(default_credit_hours, 0) <= 0 | must be greater than zero
+""",
+    "sessions": """
+course_id | coalesce(course_id, '') = '' | must be provided
+start_datetime | start_datetime IS NULL | must be provided
+end_datetime | end_datetime IS NULL | must be provided
+end_datetime | start_datetime IS NOT NULL AND end_datetime <= start_datetime | must be after start_datetime
+location_text | coalesce(location_text, '') = '' | must be provided
+""",
+    "facilitators": """
+first_name | coalesce(first_name, '') = '' | must be provided
+last_name | coalesce(last_name, '') = '' | must be provided
+""",
+    "attendance": """
+officer_id | coalesce(officer_id, '') = '' | must be provided
+session_id | coalesce(session_id, '') = '' | must be provided
+status | coalesce(status, '') NOT IN ('attended', 'absent', 'excused') | must be one of attended, absent, or excused
+credited_hours | credited_hours < 0 | must be zero or greater
+""",
+    "session_feedback": """
+session_id | coalesce(session_id, '') = '' | must be provided
+officer_id | coalesce(officer_id, '') = '' | must be provided
+facilitator_id | coalesce(facilitator_id, '') = '' | must be provided
+rating | coalesce(rating, 0) < 1 OR rating > 5 | must be between 1 and 5
+""",
+    "session_facilitators": """
+session_id | coalesce(session_id, '') = '' | must be provided
+facilitator_id | coalesce(facilitator_id, '') = '' | must be provided
+""",
+    "import_jobs": """
+type | coalesce(type, '') = '' | must be provided
+""",
+    "email": _EMAIL_FAULTS,
+    "password": _PASSWORD_FAULTS,
+    "users": _EMAIL_FAULTS + _PASSWORD_FAULTS,
+    "token": """
+token | coalesce(token, '') = '' | must be provided
+token | strlen(token) <> 26 | must be 26 bytes long
+""",
+}
+
+
+def _faults_sql(name: str) -> tuple[list[str], str]:
+    """(fields, their message columns): the first fault of a field counts."""
+    fields: dict[str, list[str]] = {}
+    for line in _FAULTS[name].strip().splitlines():
+        if line.strip():
+            field, rest = line.split(" | ", 1)
+            wrong, message = rest.rsplit(" | ", 1)
+            fields.setdefault(field, []).append(f"WHEN {wrong} THEN '{message}'")
+    return list(fields), ", ".join(f"CASE {' '.join(w)} END AS err_{f}" for f, w in fields.items())
+
+
+def _validate_query(name: str, rule_set: str, source_sql: str, keep: list[str], build):
+    fields, cols = _faults_sql(rule_set)
     keep_sql = ", ".join(keep)
-    sql = (f"SELECT {keep_sql}, {', '.join('err_' + f for f in V.fields_of(rules))}, "
-           f"{valid} AS valid FROM (SELECT {keep_sql}, {cols} FROM ({source_sql}) s) v")
+    errors = [f"err_{f}" for f in fields]
+    sql = (f"SELECT {keep_sql}, {', '.join(errors)}, {' AND '.join(f'{e} IS NULL' for e in errors)} AS valid "
+           f"FROM (SELECT {keep_sql}, {cols} FROM ({source_sql}) s) v")
 
     def run(t):
+        rules = V.RULES[rule_set]
         return V.validate_columns(build(t), rules).select(
             *keep, *[f"err_{f}" for f in V.fields_of(rules)], "valid")
     run.__name__ = name
@@ -82,7 +115,7 @@ _TABLE_RULES = {
     "import_jobs": ["id", "type"],
 }
 for _t, _keep in _TABLE_RULES.items():
-    _validate_query(f"validate_{_t}", _t, V.RULES[_t],
+    _validate_query(f"validate_{_t}", _t,
                     with_tables(_t) + f"SELECT * FROM {_t}", _keep,
                     (lambda name: (lambda t: t.table(name)))(_t))
 
@@ -112,10 +145,10 @@ def _signups(t):
     return emails.join(pw, "id")
 
 
-_validate_query("validate_email", "users", V.RULES["email"], _SIGNUP_SQL, ["id", "email"], _signups)
-_validate_query("validate_password", "users", V.RULES["password"], _SIGNUP_SQL,
+_validate_query("validate_email", "email", _SIGNUP_SQL, ["id", "email"], _signups)
+_validate_query("validate_password", "password", _SIGNUP_SQL,
                 ["id", "password"], _signups)
-_validate_query("validate_users", "users", V.RULES["users"], _SIGNUP_SQL,
+_validate_query("validate_users", "users", _SIGNUP_SQL,
                 ["id", "email", "password"], _signups)
 
 _TOKEN_SQL = (with_tables("requests") +
@@ -129,7 +162,7 @@ def _presented_tokens(t):
                                                           F.lit(2)), F.lit("")).alias("token"))
 
 
-_validate_query("validate_token", "tokens", V.RULES["token"], _TOKEN_SQL, ["request_id", "token"],
+_validate_query("validate_token", "token", _TOKEN_SQL, ["request_id", "token"],
                 _presented_tokens)
 
 

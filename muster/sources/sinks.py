@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from muster.functions.time import instant_to_utc_ntz
+from muster.plans.specs import MAX_PAGE_SIZE
 from muster.schemas import PUBLIC
 
 # text columns tagged omitempty on plain strings: '' is dropped like NULL
@@ -70,7 +71,9 @@ def json_page_envelope(page: DataFrame, metadata: DataFrame, table: str, order:
     pos = F.row_number().over(Window.orderBy(*order))
     rows = page.select(pos.alias("_pos"), json_object(page, table, columns).alias("_j"))
     arr = rows.agg(F.array_sort(F.collect_list(F.struct("_pos", "_j"))).alias("_a"))
-    body = arr.select(F.concat_ws(",", F.transform("_a", lambda s: s["_j"])).alias("_rows"))
+    # a page is at most MAX_PAGE_SIZE rows; anything longer is not one and fails the job
+    most = F.when(F.size("_a") > MAX_PAGE_SIZE, F.raise_error(F.lit("more rows than a page can hold")).cast("boolean"))
+    body = arr.where(most.isNull()).select(F.concat_ws(",", F.transform("_a", lambda s: s["_j"])).alias("_rows"))
     meta = metadata.select(F.to_json(F.struct(*metadata.columns)).alias("_m")).scalar()
     return body.select(
         F.concat(F.lit(f'{{"{table}":['), F.col("_rows"), F.lit('],"metadata":'), meta,
