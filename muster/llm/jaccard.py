@@ -363,11 +363,13 @@ class JaccardJoin:
             .withColumn("row", F.monotonically_increasing_id()), "jaccard-described")
         self._classes()
         self.links = stored(self._first_links(), "jaccard-links")
+        self._find_components()
         units = self._units()
         for every in (False, True):
-            comps = self._components()
-            pairs = self._candidates(units, comps, every)
-            self.links = stored(self.links.unionByName(self._verified(pairs)), "jaccard-links")
+            found = stored(self._verified(self._candidates(units, every)), "jaccard-links")
+            if not found.isEmpty():
+                self.links = self.links.unionByName(found)
+                self._find_components()
         self.members = self._members()
 
     def _frequent(self) -> np.ndarray:
@@ -413,12 +415,13 @@ class JaccardJoin:
                 .sortWithinPartitions("least", "block", "row").select("least", "block", "row", "grams")
                 .mapInArrow(lambda b: _link_task(b, percent), "a long, b long"))
 
-    def _components(self) -> DataFrame:
-        return stored(components(self.links), "jaccard-components")
+    def _find_components(self) -> None:
+        self.comps = stored(components(self.links), "jaccard-components")
+        self.linked = self.comps.count()
 
-    def _with_component(self, rows: DataFrame, comps: DataFrame, n: int) -> DataFrame:
+    def _with_component(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``row``) and ``comp``; a class without a link is its own component."""
-        of = small(comps.select(F.col("node").alias("row"), "component"), n)
+        of = small(self.comps.select(F.col("node").alias("row"), "component"), self.linked)
         return rows.join(of, "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component")
 
     def _units(self) -> DataFrame:
@@ -426,8 +429,8 @@ class JaccardJoin:
 
         Of grams with the same classes one is kept.
         """
-        comps = self._components()
-        tokens = self._with_component(self.classes.select("row", "prefix"), comps, comps.count())             .select("row", "comp", F.explode("prefix").alias("token"))
+        tokens = self._with_component(self.classes.select("row", "prefix")) \
+            .select("row", "comp", F.explode("prefix").alias("token"))
         # most grams are in one class only; this first aggregation carries as little as it can
         shared = stored(tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
                         .where("low < high").select("token"), "jaccard-tokens")
@@ -439,9 +442,9 @@ class JaccardJoin:
             .groupBy("c", "who", "sum").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
         return units.join(small(kept, kept.count()), "token", "left_semi")
 
-    def _candidates(self, units: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
+    def _candidates(self, units: DataFrame, every: bool) -> DataFrame:
         percent = self.percent
-        rows = self._with_component(units, comps, comps.count())
+        rows = self._with_component(units)
         per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
         totals = per.groupBy("token").agg(
             F.sum("c").alias("total"), F.count(F.lit(1)).alias("comps"),
@@ -492,7 +495,8 @@ class JaccardJoin:
         pairs = stored(pairs.select("token", F.least("x", "y").alias("left_block"),
                                     F.greatest("x", "y").alias("right_block")).distinct(), "jaccard-block-pairs")
         n = pairs.count()
-        left = dealt.join(small(pairs.withColumn("block", F.col("left_block")), n), ["token", "block"])             .withColumn("side", F.lit(0))
+        left = dealt.join(small(pairs.withColumn("block", F.col("left_block")), n), ["token", "block"]) \
+            .withColumn("side", F.lit(0))
         right = dealt.join(small(pairs.where("left_block <> right_block").withColumn("block", F.col("right_block")), n),
                            ["token", "block"]).withColumn("side", F.lit(1))
         return left.unionByName(right).select("token", "left_block", "right_block", "side", "row", "comp")
@@ -503,12 +507,12 @@ class JaccardJoin:
         both = (pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a")
                 .join(sets.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b"))
         common = F.size(F.array_intersect("ga", "gb"))
-        return both.where(F.lit(100) * common >= F.lit(self.percent) * (F.size("ga") + F.size("gb") - common))             .select("a", "b")
+        enough = F.lit(100) * common >= F.lit(self.percent) * (F.size("ga") + F.size("gb") - common)
+        return both.where(enough).select("a", "b")
 
     def _members(self) -> DataFrame:
         """id, key, row, n, root, component_id, keeper of every document; documents without grams too."""
-        comps = self._components()
-        of = small(comps.select(F.col("node").alias("cls"), "component"), comps.count())
+        of = small(self.comps.select(F.col("node").alias("cls"), "component"), self.linked)
         rooted = (self.by_class.join(of, "cls", "left")
                   .select("id", "key", "row", "n", F.coalesce("component", "cls").alias("root")))
         groups = stored(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("component_id"),
