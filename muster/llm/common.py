@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,27 @@ from muster.session import checkpoint_dir
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1_000
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unique folder name under the shared ``spark.checkpoint.dir``."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs started inside hand rows to Python in batches of ``rows``: a batch of the default
+    10,000 whole texts, held by the JVM and by Python at once, is too much for a small executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -26,7 +44,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder expires it together with the checkpoints.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,8 +31,8 @@ DIMENSIONS = 16
 NGRAMS = (3, 4)  # bytes of the character n-grams
 EPOCHS = 8
 LEARNING_RATE = 0.5
-TRAIN_ROWS = 4_000
-TRAIN_FEATURES = 1_024
+TRAIN_ROWS = 3_000
+TRAIN_FEATURES = 768
 KEEP_AT = 0.7
 PIECE_CHARS = 1 << 19
 FOLDS, HELD_OUT = 4, 2

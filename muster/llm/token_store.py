@@ -41,6 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from muster.llm.common import small_batches
+
 Batches = Iterator[pa.RecordBatch]
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -391,10 +393,11 @@ class TokenStore:
                   .sortWithinPartitions("id", "tie", "text").select("id", "text"))
         payload = f"{store.folder}/payload"
         id_type = dict(rows.dtypes)["id"]
-        ranged.mapInArrow(
+        entries = ranged.mapInArrow(
             lambda b: _write_shard(b, payload, tokenizer_path, end_id),
-            f"id {id_type}, copy long, shard int, file string, width int, start long, count long",
-        ).write.parquet(f"{store.folder}/entries")
+            f"id {id_type}, copy long, shard int, file string, width int, start long, count long")
+        with small_batches(docs.sparkSession, 4_000):  # about as many texts as are encoded at once
+            entries.write.parquet(f"{store.folder}/entries")
         entries = store._table("entries")
         shards = entries.groupBy("shard").agg(
             F.first("file").alias("file"), F.first("width").alias("width"),

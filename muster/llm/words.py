@@ -10,7 +10,7 @@ from muster.llm.common import lower_ascii
 #: what separates words (fixed value): all ASCII but digits and lower-case letters
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: a side is broadcast only up to this many (narrow) rows
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 100_000
 
 
 def normalized(text: Column) -> Column:
