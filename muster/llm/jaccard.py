@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from muster.llm.common import stored
 from muster.llm.graph import components
-from muster.llm.words import small, text_key
+from muster.llm.words import KEY_ROWS, small, text_key
 
 K, PERCENT = 5, 80
 BLOCK = 1_000
@@ -315,14 +315,16 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 def _traverse_task(batches: Batches, percent: int, every: bool) -> Batches:
     """Pairs of classes in different components that may be linked; of every two components the most
-    likely, or all."""
-    for group in _groups(batches, ["token", "left_block", "right_block"]):
+    likely, or all. The classes of a home come first, then its units."""
+    known: dict[int, tuple[int, np.ndarray]] = {}
+    for group in _groups(batches, ["home", "unit"]):
+        if group[0]["unit"] == "":
+            known = {r["row"]: (r["n"], np.frombuffer(r["signature"], np.uint64)) for r in group}
+            continue
         sides = [[r for r in group if r["side"] == s] for s in (0, 1)]
-        trees = [SignatureTree([r["n"] for r in side], [np.frombuffer(r["signature"], np.uint64) for r in side],
+        trees = [SignatureTree([known[r["row"]][0] for r in side], [known[r["row"]][1] for r in side],
                                [r["comp"] for r in side]) if side else None for side in sides]
-        if trees[0] is None:
-            continue
-        if group[0]["left_block"] != group[0]["right_block"] and trees[1] is None:
+        if trees[0] is None or (group[0]["two"] and trees[1] is None):
             continue
         rows = [np.array([r["row"] for r in side], np.int64) for side in sides]
         there, other = (trees[0], rows[0]) if trees[1] is None else (trees[1], rows[1])
@@ -434,32 +436,44 @@ class JaccardJoin:
         # most grams are in one class only; this first aggregation carries as little as it can
         shared = stored(tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
                         .where("low < high").select("token"), "jaccard-tokens")
-        units = stored(tokens.join(small(shared, shared.count()), "token", "left_semi").select("token", "row"),
+        units = stored(tokens.join(small(shared, shared.count(), KEY_ROWS), "token", "left_semi").select("token", "row"),
                        "jaccard-units")
         kept = stored(units.groupBy("token").agg(
             F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("row")).alias("who"),
             F.sum(F.xxhash64("row").bitwiseAND(0xFFFFFFFF)).alias("sum"))
             .groupBy("c", "who", "sum").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
-        return units.join(small(kept, kept.count()), "token", "left_semi")
+        return units.join(small(kept, kept.count(), KEY_ROWS), "token", "left_semi")
 
     def _candidates(self, units: DataFrame, every: bool) -> DataFrame:
         percent = self.percent
         rows = self._with_component(units)
-        per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+        per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first"))
         totals = per.groupBy("token").agg(
             F.sum("c").alias("total"), F.count(F.lit(1)).alias("comps"),
+            F.min("first").alias("first"),
             F.sum(F.when(F.col("c") <= BLOCK, F.col("c")).otherwise(0)).alias("small_total")).where("comps > 1")
         totals = stored(totals, "jaccard-totals")
-        whole = totals.where(F.col("total") <= BLOCK).select("token")
-        one = rows.join(small(whole, whole.count()), "token", "left_semi").select(
-            "token", F.lit("").alias("left_block"), F.lit("").alias("right_block"), F.lit(0).alias("side"), "row", "comp")
-        parts = one.unionByName(self._blocked(rows, per, totals))
+        # units of the same family share their first class: with that as their home, a signature is sent
+        # once per home and not once per unit
+        whole = totals.where(F.col("total") <= BLOCK).select("token", "first")
+        one = rows.join(small(whole, whole.count()), "token").select(
+            F.col("first").cast("string").alias("home"), F.col("token").cast("string").alias("unit"),
+            F.lit(False).alias("two"), F.lit(0).alias("side"), "row", "comp")
+        pair = F.concat_ws("|", F.col("token").cast("string"), "left_block", "right_block")
+        blocked = self._blocked(rows, per, totals).select(
+            pair.alias("home"), pair.alias("unit"), (F.col("left_block") != F.col("right_block")).alias("two"),
+            "side", "row", "comp")
+        parts = stored(one.unionByName(blocked), "jaccard-parts")
         members = stored(parts.select("row").distinct(), "jaccard-rows")
         described = self.classes.select("row", "n", "signature") \
-            .join(small(members, members.count()), "row", "left_semi")
-        tasks = (parts.join(described, "row").repartition("token", "left_block", "right_block")
-                 .sortWithinPartitions("token", "left_block", "right_block", "side", "row")
-                 .select("token", "left_block", "right_block", "side", "row", "comp", "n", "signature"))
+            .join(small(members, members.count(), KEY_ROWS), "row", "left_semi")
+        homes = parts.select("home", "row").distinct().join(described, "row").select(
+            "home", F.lit("").alias("unit"), F.lit(False).alias("two"), F.lit(0).alias("side"), "row",
+            F.lit(None).cast("long").alias("comp"), "n", "signature")
+        tasks = (homes.unionByName(parts.withColumns({"n": F.lit(None).cast("long"),
+                                                      "signature": F.lit(None).cast("binary")}))
+                 .repartition("home").sortWithinPartitions("home", "unit", "side", "row")
+                 .select("home", "unit", "two", "side", "row", "comp", "n", "signature"))
         pairs = tasks.mapInArrow(lambda b: _traverse_task(b, percent, every),
                                  "a long, b long, low long, high long, score long")
         if not every:

@@ -11,6 +11,8 @@ from muster.llm.common import lower_ascii
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: a side is broadcast only up to this many (narrow) rows
 BROADCAST_ROWS = 100_000
+#: and one of single numbers up to so many
+KEY_ROWS = 400_000
 
 
 def normalized(text: Column) -> Column:
@@ -44,6 +46,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are within the bound; else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
