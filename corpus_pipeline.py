@@ -28,8 +28,9 @@ from muster.llm.common import stored, table
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows of ``docs``; keep what the classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out_col="_quality")
-    return scored.where(quality.accepted("_quality")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = "_".join(["score", *docs.columns])  # a name that no column has
+    scored = quality.score(docs, model, out_col=score)
+    return scored.where(quality.accepted(f"`{score}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

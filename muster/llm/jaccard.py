@@ -551,14 +551,14 @@ def deduplicate(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
                 text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every component: the one with the smallest id."""
     members = stored(JaccardJoin(docs, k, percent, id_col, text_col).members, "jaccard-result")
-    keys = members.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.max(F.col("row") == F.col("keeper")).alias("kept"), F.sum((F.col("row") == F.col("keeper")).cast("int")).alias("times"),
+    keys = members.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(
+        F.max(F.col("row") == F.col("keeper")).alias("__kept"), F.sum((F.col("row") == F.col("keeper")).cast("int")).alias("times"),
         F.count(F.lit(1)).alias("rows"))
     # only ids and texts of which some row goes
-    special = stored(keys.where("times < rows").select("_id", "_key", "kept"), "jaccard-dropped")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    special = stored(keys.where("times < rows").select("__id", "__key", "__kept"), "jaccard-dropped")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*own, text_key(F.col(text_col)).alias("_text")).join(small(special, special.count()), same, "left")
-    plain = marked.where(F.col("kept").isNull()).select(*own)
-    once = marked.where(F.col("kept")).dropDuplicates(["_id", "_key"]).select(*own)
+    marked = docs.select(*own, text_key(F.col(text_col)).alias("__text")).join(small(special, special.count()), same, "left")
+    plain = marked.where(F.col("__kept").isNull()).select(*own)
+    once = marked.where(F.col("__kept")).dropDuplicates(["__id", "__key"]).select(*own)
     return plain.unionByName(once)

@@ -210,34 +210,34 @@ def random_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # --- whole documents -----------------------------------------------------------------------------
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_base`` (struct of arrays by kind) and ``_random``."""
+    """``docs`` with ``__base`` (struct of arrays by kind) and ``__random``."""
     found = stored(random_spans(docs, id_col, text_col)
-                   .withColumnsRenamed({"id": "_id", "key": "_key", "random_spans": "_random"}), "secret-spans")
+                   .withColumnsRenamed({"id": "__id", "key": "__key", "random_spans": "__random"}), "secret-spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     base = F.struct(*[c.alias(kind) for kind, c in base_spans(text).items()])
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.select(*own, base.alias("_base"), text_key(F.col(text_col)).alias("_text_key"))
-            .join(small(found, found.count()), F.col(id_col).eqNullSafe(F.col("_id"))
-                  & (F.col("_text_key") == F.col("_key")), "left")
-            .withColumn("_random", F.coalesce("_random", none)).drop("_id", "_key", "_text_key"))
+    return (docs.select(*own, base.alias("__base"), text_key(F.col(text_col)).alias("__text_key"))
+            .join(small(found, found.count()), F.col(id_col).eqNullSafe(F.col("__id"))
+                  & (F.col("__text_key") == F.col("__key")), "left")
+            .withColumn("__random", F.coalesce("__random", none)).drop("__id", "__key", "__text_key"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: counts and a digest of the base spans, all spans, and those the method adds."""
     df = _with_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
     kinds = [k for k, *_ in BASE]
-    base = F.concat(*[F.col(f"_base.{k}") for k in kinds])
+    base = F.concat(*[F.col(f"__base.{k}") for k in kinds])
     return df.select(
-        F.col(id_col), *[F.size(f"_base.{k}").cast("long").alias(f"n_{k}") for k in kinds],
-        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, F.col("_random"))).alias("spans"),
-        F.size("_random").cast("long").alias("n_random"))
+        F.col(id_col), *[F.size(f"__base.{k}").cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, F.col("__random"))).alias("spans"),
+        F.size("__random").cast("long").alias("n_random"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one); texts without stay as they are."""
     df = _with_spans(docs, id_col, text_col)
-    spans = F.array_sort(F.concat(*[F.col(f"_base.{k}") for k, *_ in BASE], F.col("_random")))
+    spans = F.array_sort(F.concat(*[F.col(f"__base.{k}") for k, *_ in BASE], F.col("__random")))
     text = F.col(text_col)
 
     def step(acc, s):
