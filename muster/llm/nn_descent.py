@@ -6,10 +6,13 @@ and those that have it as a neighbour are compared with each other, and each kee
 Lists saturated with links (the last neighbour is still over the threshold) are enlarged and refined
 again. A vector that saturates even the enlarged list lies in a dense group; such vectors are completed
 exactly, component by component, by block products that add up counts and emit only a spanning forest,
-so a group's links are counted without ever being listed.
+so a group's links are counted without ever being listed. Lists full of near copies never leave their
+group, so before that representatives of all components with dense vectors meet in leaves of their own,
+chosen and placed anew until no two of different components are linked.
 
-Recall is audited: ``AUDIT`` vectors, chosen by hash, are compared with all; while fewer than
-``TARGET`` of their links are found, another round starts from new hyperplanes (at most ``ROUNDS``).
+Recall is audited: ``AUDIT`` vectors, chosen by hash, are compared with all, and their links are counted
+against the result, dense vectors included; while fewer than ``TARGET`` of them are found, another round
+starts from new hyperplanes (at most ``ROUNDS``).
 
 The graph is built on half-precision unit vectors with a margin; every link is verified in double
 precision. Equal vectors are one node with a weight, so copies cost nothing.
@@ -23,7 +26,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ TREES, LEAF = 6, 200
 ITERATIONS, ROUNDS = 2, 3
 AUDIT, TARGET = 512, 0.98
 BLOCK = 1_000
+REPRESENTATIVES = 16  # of a component, at most
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -160,23 +164,34 @@ def _block_task(batches: Batches, threshold: float) -> Batches:
                                           pa.array(counts, pa.int64())], names=["node", "root", "n"])
 
 
+def _bridge_task(batches: Batches, threshold: float) -> Batches:
+    """Pairs of components whose representatives in a leaf are linked, as a spanning forest."""
+    for _, group in groupby(_rows(batches), key=lambda r: (r["dim"], r["tree"], r["leaf"], r["block"])):
+        group = list(group)
+        comp, x = np.array([r["comp"] for r in group]), _matrix([r["unit"] for r in group], "<f8")
+        root = comp[_roots((x @ x.T >= threshold) | (comp[:, None] == comp[None, :]))]
+        other = root != comp
+        if other.any():
+            yield pa.RecordBatch.from_arrays([pa.array(comp[other], pa.int64()), pa.array(root[other], pa.int64())], names=["a", "b"])
+
+
 def _audit_task(batches: Batches, asked: list[tuple[int, bytes]], threshold: float) -> Batches:
-    """Links of the asked vectors among all."""
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Weighted counts of the links of the asked vectors among all."""
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for dim in {len(u) for _, u in asked}:
         some = [(n, u) for n, u in asked if len(u) == dim]
-        by_dim[dim] = (np.array([n for n, _ in some]), _matrix([u for _, u in some], "<f8"))
+        by_dim[dim] = (np.array([n for n, _ in some]), _matrix([u for _, u in some], "<f8"), np.zeros(len(some), np.int64))
     for batch in batches:
-        units, nodes = batch.column("unit").to_pylist(), np.asarray(batch.column("node"))
+        units, nodes, weight = batch.column("unit").to_pylist(), np.asarray(batch.column("node")), np.asarray(batch.column("weight"))
         lengths = np.array([len(u) for u in units])
-        for dim, (them, y) in by_dim.items():
+        for dim, (them, y, n) in by_dim.items():
             here = np.flatnonzero(lengths == dim)
             for at in range(0, len(here), 4096):
                 part = here[at:at + 4096]
-                i, j = np.nonzero(_matrix([units[p] for p in part], "<f8") @ y.T >= threshold)
-                u, v = them[j], nodes[part[i]]
-                other = u != v
-                yield _edges(u[other], v[other], np.ones(int(other.sum())))
+                linked = (_matrix([units[p] for p in part], "<f8") @ y.T >= threshold) & (nodes[part][:, None] != them[None, :])
+                n += weight[part] @ linked
+    for them, _, n in by_dim.values():
+        yield pa.RecordBatch.from_arrays([pa.array(them, pa.int64()), pa.array(n, pa.int64())], names=["u", "n"])
 
 
 class NearDuplicates:
@@ -191,11 +206,12 @@ class NearDuplicates:
         for r in range(ROUNDS):
             lists = self._refined(self._initial(lists, seed=r))
             found = self._explicit(lists)
-            self.recall = self._audit(lists, found)
+            complete = self._complete(lists, found, seed=r)
+            self.recall = self._audit(lists, found, complete[0])
             if self.recall >= TARGET:
                 break
         self.lists, self.found = lists, found
-        self.members = self._members()
+        self.members = self._members(*complete)
 
     def _nodes(self, vectors: DataFrame, id_col: str, vector_col: str) -> None:
         x = F.col("vector")
@@ -224,14 +240,18 @@ class NearDuplicates:
         ranked = once.join(large.withColumn("_large", F.lit(True)), "u", "left").withColumn("_r", rank)
         return ranked.where(F.col("_r") <= F.when(F.col("_large"), LARGE_K).otherwise(k)).drop("_r", "_large")
 
-    def _initial(self, lists: DataFrame | None, seed: int) -> DataFrame:
-        depth = max(0, int(np.ceil(np.log2(max(1, self.count) / LEAF))))
-        leaves = self.nodes.select("node", "dim", "half").mapInArrow(
+    def _placed(self, vectors: DataFrame, count: int, seed: int) -> DataFrame:
+        """(dim, tree, leaf, block, node): the leaves of every vector; a large leaf is cut anew in every tree."""
+        depth = max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
+        leaves = vectors.select("node", "dim", "half").mapInArrow(
             lambda b: _leaves(b, depth, seed), "node long, dim int, tree int, leaf long")
         leaves = stored(leaves, "nn-leaves")
         sizes = leaves.groupBy("dim", "tree", "leaf").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        placed = (leaves.join(sizes, ["dim", "tree", "leaf"])
-                  .withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("c") / (4 * LEAF)))))
+        return (leaves.join(sizes, ["dim", "tree", "leaf"])
+                .withColumn("block", F.pmod(F.xxhash64("node", "tree", F.lit(seed)), F.ceil(F.col("c") / (4 * LEAF)))))
+
+    def _initial(self, lists: DataFrame | None, seed: int) -> DataFrame:
+        placed = self._placed(self.nodes, self.count, seed)
         keys = ["dim", "tree", "leaf", "block"]
         edges = (placed.join(self.nodes.select("node", "half"), "node").repartition(*keys)
                  .sortWithinPartitions(*keys, "node").select(*keys, "node", "half")
@@ -297,38 +317,42 @@ class NearDuplicates:
         """Vectors whose enlarged lists are full of links."""
         return stored(self._saturated(lists, LARGE_K).select(F.col("u").alias("node")), "nn-dense")
 
-    def _audit(self, lists: DataFrame, found: DataFrame) -> float:
-        """Share of the links of a fixed number of vectors that the lists hold; dense ones are complete by blocks."""
+    def _audit(self, lists: DataFrame, found: DataFrame, counts: DataFrame | None = None) -> float:
+        """Share of the links of a fixed number of vectors that the result counts."""
         threshold = self.threshold
+        if counts is None:
+            counts = self._complete(lists, found)[0]
         asked = [(r.node, bytes(r.unit)) for r in self.nodes.orderBy(F.xxhash64("node", F.lit(7)), "node")
                  .limit(AUDIT).select("node", "unit").collect()]
-        true = self.nodes.select("node", "unit").mapInArrow(lambda b: _audit_task(b, asked, threshold), EDGE) \
-            .select("u", "v")
+        true = self.nodes.select("node", "weight", "unit").mapInArrow(lambda b: _audit_task(b, asked, threshold), "u long, n long") \
+            .groupBy("u").agg(F.sum("n").alias("n")).collect()
+        got = {r.node: r.n for r in counts.where(F.col("node").isin([n for n, _ in asked])).collect()}
+        links = sum(r.n for r in true)
+        return sum(min(r.n, got.get(r.u, 0)) for r in true) / links if links else 1.0
+
+    def _complete(self, lists: DataFrame, found: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        """node, n: the weighted links of every vector; a, b: what connects the vectors."""
         dense = self._dense(lists)
-        pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        n = dense.count()
-        open_links = true.join(small(dense.select(F.col("node").alias("u")), n), "u", "left_anti")
-        hit = open_links.join(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("hit")), ["u", "v"], "left")
-        got = hit.agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")).first()
-        return (got.hits or 0) / got.n if got.n else 1.0
-
-    def _members(self) -> DataFrame:
-        dense = self._dense(self.lists)
         n = dense.count()
-        blocks = self._blocked(dense, n) if n else None
+        blocks = None
+        edges = found
+        if n:
+            own, bridges = self._bridged(dense, found, seed)
+            blocks = self._blocked(own)
+            edges = edges.unionByName(bridges).unionByName(blocks.select(F.col("node").alias("a"), F.col("root").alias("b")))
         side = small(dense.select("node", F.lit(True).alias("dense")), n)
-        links = (self.found.join(side.select(F.col("node").alias("a"), F.col("dense").alias("da")), "a", "left")
+        links = (found.join(side.select(F.col("node").alias("a"), F.col("dense").alias("da")), "a", "left")
                  .join(side.select(F.col("node").alias("b"), F.col("dense").alias("db")), "b", "left"))
         weights = self.nodes.select("node", "weight")
         # a pair of dense vectors is counted by its blocks
         listed = links.where(F.col("da").isNull() | F.col("db").isNull()).select("a", "b")
         counts = (listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b")))
                   .join(weights.select(F.col("node").alias("b"), "weight"), "b").select(F.col("a").alias("node"), F.col("weight").alias("n")))
-        edges = self.found
         if blocks is not None:
             counts = counts.unionByName(blocks.select("node", "n"))
-            edges = edges.unionByName(blocks.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        counts = stored(counts.groupBy("node").agg(F.sum("n").alias("n")), "nn-counts")
+        return stored(counts.groupBy("node").agg(F.sum("n").alias("n")), "nn-counts"), edges
+
+    def _members(self, counts: DataFrame, edges: DataFrame) -> DataFrame:
         comps = stored(components(edges), "nn-components")
         copies = self.nodes.where("weight > 1").select("node", (F.col("weight") - 1).alias("copies"))
         df = (self.rows.join(small(counts, counts.count()), "node", "left")
@@ -343,11 +367,30 @@ class NearDuplicates:
                 .withColumn("component_id", F.when(F.col("several"), F.col("component_id")).otherwise(F.col("id")))
                 .select("id", "n_links", "component_id"))
 
-    def _blocked(self, dense: DataFrame, n: int) -> DataFrame:
+    def _bridged(self, dense: DataFrame, found: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """(node, comp) of the dense vectors, and (a, b) of the components joined because representatives are linked."""
+        threshold = self.threshold
+        comps = components(found).select("node", F.col("component").alias("comp"))
+        own = stored(dense.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "nn-own")
+        bridges = found.limit(0)
+        vectors = self.nodes.select("node", "dim", "half", "unit")
+        keys = ["dim", "tree", "leaf", "block"]
+        for salt in count(1_000 * (seed + 1)):
+            drawn = F.xxhash64("node", F.lit(salt))
+            reps = stored(own.groupBy("comp", F.pmod(drawn, F.lit(REPRESENTATIVES))).agg(F.min(F.struct(drawn, "node")).alias("least"))
+                          .select("comp", F.col("least.node").alias("node")).join(vectors, "node"), "nn-representatives")
+            new = stored(self._placed(reps, reps.count(), salt).join(reps.select("node", "comp", "unit"), "node").repartition(*keys)
+                         .sortWithinPartitions(*keys, "node").select(*keys, "comp", "unit")
+                         .mapInArrow(lambda b: _bridge_task(b, threshold), "a long, b long").distinct(), "nn-bridges")
+            if new.isEmpty():
+                return own, bridges
+            bridges = bridges.unionByName(new)
+            joined = components(new).select(F.col("node").alias("comp"), "component")
+            own = stored(own.join(joined, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")), "nn-own")
+
+    def _blocked(self, own: DataFrame) -> DataFrame:
         """node, root, n: links between dense vectors of a component."""
         threshold = self.threshold
-        comps = components(self.found).select("node", F.col("component").alias("comp"))
-        own = dense.join(comps, "node")
         sizes = own.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         dealt = stored(own.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "nn-dealt")
         partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))

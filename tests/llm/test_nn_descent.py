@@ -64,6 +64,21 @@ def test_dense_groups_in_many_blocks(spark, vectors, monkeypatch):
     assert run(spark, vectors) == brute(vectors)
 
 
+def test_a_group_larger_than_a_leaf_stays_one(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "LEAF", 20)
+    rng = np.random.default_rng(3)
+    rows = as_rows(np.concatenate([around(rng, rng.normal(size=32), 300, 0.02), rng.normal(size=(300, 32))]))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_tight_groups_inside_a_wider_one(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "LEAF", 50)
+    rng = np.random.default_rng(4)
+    centres = around(rng, rng.normal(size=32), 6, 0.1)
+    rows = as_rows(np.concatenate([around(rng, c, 60, 0.001) for c in centres]))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_query_on_the_whole_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
