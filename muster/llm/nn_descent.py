@@ -4,7 +4,7 @@ The graph starts from random-projection leaves (vectors on the same side of a se
 hyperplanes, several sets), and is refined by neighbours of neighbours: at every vector its neighbours
 and those that have it as a neighbour are compared with each other, and each keeps its best ``K``.
 Lists saturated with links (the last neighbour is still over the threshold) are enlarged and refined
-again. A vector that saturates even the enlarged list lies in a dense group; such vectors are completed
+again. A vector with ``K`` links or more in its list may have others beyond it; such dense vectors are completed
 exactly, component by component, by block products that add up counts and emit only a spanning forest,
 so a group's links are counted without ever being listed. Lists full of near copies never leave their
 group, so before that representatives of all components with dense vectors meet in leaves of their own,
@@ -12,7 +12,8 @@ chosen and placed anew until no two of different components are linked.
 
 Recall is audited: ``AUDIT`` vectors, chosen by hash, are compared with all, and their links are counted
 against the result, dense vectors included; while fewer than ``TARGET`` of them are found, another round
-starts from new hyperplanes (at most ``ROUNDS``).
+starts from new hyperplanes. After ``ROUNDS`` rounds a table of up to ``EXACT_ROWS`` distinct vectors is
+compared by blocks as a whole, and a larger one raises an error.
 
 The graph is built on half-precision unit vectors with a margin; every link is verified in double
 precision. Equal vectors are one node with a weight, so copies cost nothing.
@@ -44,6 +45,7 @@ TREES, LEAF = 6, 200
 ITERATIONS, ROUNDS = 2, 3
 AUDIT, TARGET = 512, 0.98
 BLOCK = 1_000
+EXACT_ROWS = 50_000
 REPRESENTATIVES = 16  # of a component, at most
 
 Batches = Iterator[pa.RecordBatch]
@@ -98,10 +100,11 @@ def _leaves(batches: Batches, depth: int, seed: int) -> Batches:
                 names=["node", "dim", "tree", "leaf"])
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest entries of every row."""
+def _best(sims: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of every row; equal ones by lot, so that rows differ in their choice."""
     k = min(k, sims.shape[1])
-    columns = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    lot = np.random.default_rng(seed).random(sims.shape, np.float32) * np.float32(1e-6)
+    columns = np.argpartition(-(sims + lot), k - 1, axis=1)[:, :k]
     return np.repeat(np.arange(len(sims)), k), columns.ravel()
 
 
@@ -113,7 +116,7 @@ def _leaf_task(batches: Batches, k: int) -> Batches:
         nodes, x = np.array([r["node"] for r in group]), _matrix([r["half"] for r in group])
         sims = x @ x.T
         np.fill_diagonal(sims, -2)
-        i, j = _best(sims, min(k, len(group) - 1))
+        i, j = _best(sims, min(k, len(group) - 1), int(nodes[0]))
         yield _edges(nodes[i], nodes[j], sims[i, j])
 
 
@@ -129,7 +132,7 @@ def _join_task(batches: Batches, most: int) -> Batches:
         useful = (fresh[:, None] | fresh[None, :]) & (sims > np.array([r["worst"] for r in group])[:, None])
         sims = np.where(useful, sims, -2)
         np.fill_diagonal(sims, -2)
-        i, j = _best(sims, most)
+        i, j = _best(sims, most, group[0]["w"])
         good = sims[i, j] > -2
         if good.any():
             i, j = i[good], j[good]
@@ -210,6 +213,10 @@ class NearDuplicates:
             self.recall = self._audit(lists, found, complete[0])
             if self.recall >= TARGET:
                 break
+        else:
+            if self.count > EXACT_ROWS:
+                raise RuntimeError(f"recall {self.recall:.3f} after {ROUNDS} rounds, below {TARGET}")
+            complete, self.recall = self._exact(), 1.0
         self.lists, self.found = lists, found
         self.members = self._members(*complete)
 
@@ -234,7 +241,7 @@ class NearDuplicates:
     def _top(self, edges: DataFrame, k: int = K, large: DataFrame | None = None) -> DataFrame:
         """The best neighbours of every vector; a pair once, fresh only if no older copy is there."""
         once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), F.xxhash64("u", "v"), "v"))
         if large is None:
             return once.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
         ranked = once.join(large.withColumn("_large", F.lit(True)), "u", "left").withColumn("_r", rank)
@@ -272,7 +279,7 @@ class NearDuplicates:
             lists.select(F.col("v").alias("w"), F.col("u").alias("node"), "sim", "fresh"))
         if at is not None:
             both = both.join(at.select(F.col("u").alias("w")), "w", "left_semi")
-        order = Window.partitionBy("w").orderBy(F.desc("sim"), "node")
+        order = Window.partitionBy("w").orderBy(F.desc("sim"), F.xxhash64("w", "node"), "node")
         around = (both.groupBy("w", "node").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh"))
                   .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * k).drop("_r", "sim"))
         vectors = self.nodes.select("node", "half", "dim")
@@ -314,8 +321,9 @@ class NearDuplicates:
         return stored(both.select("a", "b", "ua", "ub").mapInArrow(verify, "a long, b long"), "nn-links")
 
     def _dense(self, lists: DataFrame) -> DataFrame:
-        """Vectors whose enlarged lists are full of links."""
-        return stored(self._saturated(lists, LARGE_K).select(F.col("u").alias("node")), "nn-dense")
+        """Vectors whose lists hold ``K`` links or more, at any list size: there may be others."""
+        links = lists.where(F.col("sim") >= self.threshold - MARGIN).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+        return stored(links.where(F.col("c") >= K).select(F.col("u").alias("node")), "nn-dense")
 
     def _audit(self, lists: DataFrame, found: DataFrame, counts: DataFrame | None = None) -> float:
         """Share of the links of a fixed number of vectors that the result counts."""
@@ -352,6 +360,12 @@ class NearDuplicates:
             counts = counts.unionByName(blocks.select("node", "n"))
         return stored(counts.groupBy("node").agg(F.sum("n").alias("n")), "nn-counts"), edges
 
+    def _exact(self) -> tuple[DataFrame, DataFrame]:
+        """As ``_complete``, from all pairs of vectors of a length."""
+        blocks = self._blocked(self.nodes.select("node", F.col("dim").cast("long").alias("comp")))
+        return (stored(blocks.groupBy("node").agg(F.sum("n").alias("n")), "nn-counts"),
+                blocks.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
     def _members(self, counts: DataFrame, edges: DataFrame) -> DataFrame:
         comps = stored(components(edges), "nn-components")
         copies = self.nodes.where("weight > 1").select("node", (F.col("weight") - 1).alias("copies"))

@@ -79,6 +79,23 @@ def test_tight_groups_inside_a_wider_one(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_hubs_of_a_tight_group(spark):
+    rng = np.random.default_rng(5)
+    rows = as_rows(np.concatenate([around(rng, rng.normal(size=32), 300, 0.005), rng.normal(size=(500, 32))]))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_missed_target_is_not_returned(spark, vectors, monkeypatch):
+    some = vectors[::16]
+    monkeypatch.setattr(nn_descent, "TARGET", 1.1)  # never reached
+    monkeypatch.setattr(nn_descent, "ROUNDS", 1)
+    monkeypatch.setattr(nn_descent, "BLOCK", 20)
+    assert run(spark, some) == brute(some)
+    monkeypatch.setattr(nn_descent, "EXACT_ROWS", 10)
+    with pytest.raises(RuntimeError, match="recall"):
+        run(spark, some)
+
+
 def test_query_on_the_whole_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
