@@ -7,9 +7,9 @@ descent. For two labels the softmax of an average is the logistic function of an
 per bucket, so scoring needs one float per bucket and one pass over the text.
 
 Training reads a sample of ``train_rows`` labelled documents (those with the smallest hashes of their
-ids) and of each at most ``train_features`` distinct buckets (those with the smallest hashes, from the
-whole text): what reaches the driver is bounded by these two parameters at any input size. Scoring
-reads every whole text, in pieces, so a worker's memory does not grow with a text's length.
+ids) with all features of their whole texts: what reaches the driver is at most one number pair a bucket
+and row, at any input size. A bucket that no sampled document has weighs nothing. Scoring reads every
+whole text, in pieces, so a worker's memory does not grow with a text's length.
 
 Defined results: null and empty texts have no features and get the score of the bias; without
 labels of both kinds every score is the share of label 1 among them (0.5 without labels); null labels
@@ -26,13 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.common import stored
+
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 NGRAMS = (3, 4)  # bytes of the character n-grams
 EPOCHS = 8
 LEARNING_RATE = 0.5
-TRAIN_ROWS = 3_000
-TRAIN_FEATURES = 768
+TRAIN_ROWS = 6_000
 KEEP_AT = 0.7
 PIECE_CHARS = 1 << 19
 FOLDS, HELD_OUT = 4, 2
@@ -93,13 +94,13 @@ def feature_buckets(text: str | None) -> Iterator[np.ndarray]:
             yield _mix(h[whole]) % np.uint32(BUCKETS)
 
 
-def train_features(text: str | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and their counts; of more than ``most``, those that hash lowest."""
+def train_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text and their counts; of more than ``most``, if given, those that hash lowest."""
     counts = np.zeros(BUCKETS, np.int64)
     for part in feature_buckets(text):
         counts += np.bincount(part, minlength=BUCKETS)
     found = np.flatnonzero(counts)
-    if len(found) > most:
+    if most is not None and len(found) > most:
         order = _mix(found.astype(np.uint32) * np.uint32(0x85EBCA6B))
         found = np.sort(found[np.argpartition(order, most)[:most]])
     return found.astype(np.int32), counts[found].astype(np.int32)
@@ -131,6 +132,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
+    seen = np.zeros(BUCKETS, bool)
+    for buckets, *_ in rows:
+        seen[buckets] = True
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -148,7 +152,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
             bias -= now * error
             # an average spreads its gradient thinly; scaled by the number of buckets, as each is its own parameter
             vectors[buckets] -= now * np.minimum(share_of * len(buckets), 4)[:, None] * back
-    return QualityModel((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    weights = np.where(seen, vectors @ (out[1] - out[0]), 0)  # the others still hold their random start
+    return QualityModel(weights.astype(np.float32), float(bias[1] - bias[0]))
 
 
 def held_out(id_col: Column) -> Column:
@@ -157,8 +162,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
-          text_col: str = "text", train_rows: int = TRAIN_ROWS,
-          most_features: int = TRAIN_FEATURES) -> QualityModel:
+          text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Learn from a bounded sample of the labelled rows outside the held-out fold."""
     chosen = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
               .where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
@@ -167,20 +171,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [train_features(text, most_features) for text in pdf["text"]]
+            found = [train_features(text) for text in pdf["text"]]
             yield pd.DataFrame({
                 "order": pdf["order"], "label": pdf["label"],
                 "buckets": [b.astype("<i4").tobytes() for b, _ in found],
-                "counts": [np.minimum(c, 65_535).astype("<u2").tobytes() for _, c in found]})
+                "counts": [c.astype("<i4").tobytes() for _, c in found]})
 
     # at most train_rows rows, whatever the input: a bounded broadcast; repeated ids are cut again below
-    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-              .join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-              .select(F.xxhash64("id", "text").alias("order"), "label", "text")
-              .mapInPandas(features, "order long, label int, buckets binary, counts binary")
-              .orderBy("order", "label").limit(train_rows))
-    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2").astype(np.int32), r.label)
-                for r in sample.collect()])
+    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+                    .join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+                    .select(F.xxhash64("id", "text").alias("order"), "label", "text")
+                    .mapInPandas(features, "order long, label int, buckets binary, counts binary"), "quality-sample")
+    last = sample.select("order").orderBy("order").limit(train_rows).agg(F.max("order")).first()[0]
+    # partition by partition, so that the JVM does not hold all of them beside Python
+    rows = sorted(((r.order, r.label, bytes(r.buckets), bytes(r.counts))
+                   for r in sample.where(F.col("order") <= F.lit(last)).toLocalIterator()), key=lambda r: r[:2])
+    return fit([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), label) for _, label, b, c in rows[:train_rows]])
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

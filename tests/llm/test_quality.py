@@ -52,6 +52,15 @@ def test_feature_limit_covers_the_whole_text():
     assert len(late & set(found)) > 20
 
 
+def test_training_sees_all_features_and_the_rest_weighs_nothing(spark, make_docs):
+    long = " ".join(f"w{i}" for i in range(3000))
+    docs = make_docs([(i, f"{long} {'good' if i % 2 else 'bad'}") for i in range(8)])
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    seen = np.union1d(*[quality.train_features(f"{long} {w}")[0] for w in ("good", "bad")])
+    assert len(seen) > 5000 and (model.weights[seen] != 0).mean() > 0.99
+    assert not np.delete(model.weights, seen).any()
+
+
 @pytest.mark.parametrize("labels,expected", [([], 0.5), ([(1, 1), (2, 1)], 1.0), ([(1, 0)], 0.0)])
 def test_without_both_labels_the_score_is_their_share(spark, make_docs, labels, expected):
     docs = make_docs([(1, "good text"), (2, "more"), (3, None), (None, "")])
