@@ -1,8 +1,9 @@
 """Secret scan with a battery of randomness tests (built-in functions only).
 
-Three fixed patterns give the base spans. The method adds spans of kind ``random``: every run of
-``RUN_CHARS`` or more characters that could encode bytes (letters, digits, ``+/_-`` and closing ``=``)
-and mixes letters with digits is a candidate. Its encoding is the smallest alphabet that holds it
+Three fixed patterns give the base spans. The method adds spans of kind ``random``: every maximal run of
+``RUN_CHARS`` or more characters of base 62, of base 64 or of its URL form (with closing ``=``) is a
+candidate, whatever it mixes, so a token after a path's ``/`` is one of its own; of candidates inside
+each other the widest that is found counts. A candidate's encoding is the smallest alphabet that holds it
 (hexadecimal in either case, base 32, base 36, base 62, base 64 in either form). Over the symbols'
 numbers three tests are computed:
 
@@ -48,6 +49,8 @@ RANDOM = "random"
 
 RUN_CHARS = 20
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: runs of one alphabet inside a run of all
+INNER = tuple(rf"(?<![{a}])[{a}]{{20,}}={{0,2}}" for a in ("A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-"))
 # Alphabets by name, smallest first.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -182,6 +185,17 @@ def discoveries(tested: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
             .groupBy(F.col("length_class").alias("_class")).agg(F.min("grid").alias("cut")))
 
 
+def _widest(spans: Column) -> Column:
+    """Those that no other span holds; the spans are distinct. One pass in order of the starts."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), s.alias("span"))))
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    return F.aggregate(
+        ordered, F.struct(F.lit(-1).alias("reach"), none.alias("out")),
+        lambda acc, x: F.struct(F.greatest(acc.reach, x.span.end).alias("reach"),
+                                F.when(x.span.end > acc.reach, F.array_append(acc.out, x.span)).otherwise(acc.out).alias("out")),
+        lambda acc: acc.out)
+
+
 def random_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  rate: float = DISCOVERY_RATE) -> DataFrame:
     """id, key (of the text), random_spans: an array per text that has any."""
@@ -189,9 +203,14 @@ def random_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = (docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), text.alias("text"))
             .select("id", "key", "text", F.explode(places(F.col("text"), RANDOM, RUN, 0, RUN_CHARS, "[A-Za-z0-9+/_-]{20}"))
                     .alias("span"))
-            .withColumn("token", F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")))
-            .where(F.rlike("token", F.lit("[A-Za-z]")) & F.rlike("token", F.lit("[0-9].*[0-9]")))
-            .select("id", "key", "span", "token"))
+            .select("id", "key", F.col("span.start").alias("at"),
+                    F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("run")))
+    inner = F.concat(*[places(F.col("run"), RANDOM, pattern, 0, RUN_CHARS, "[A-Za-z0-9]{20}|[+/]|[_-]") for pattern in INNER])
+    runs = (runs.select("id", "key", "at", "run", F.explode(F.array_distinct(inner)).alias("in"))
+            .select("id", "key",
+                    F.struct((F.col("at") + F.col("in.start")).alias("start"), F.col("in.kind").alias("kind"),
+                             (F.col("at") + F.col("in.end")).alias("end")).alias("span"),
+                    F.substring(F.col("run"), F.col("in.start") + 1, F.col("in.end") - F.col("in.start")).alias("token")))
     runs = stored(runs, "secret-runs")
     tested = stored(
         battery(runs.select("token").distinct())
@@ -205,7 +224,8 @@ def random_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = (tested.join(F.broadcast(cuts), F.col("length_class") == F.col("_class"))  # one row a class
               .where((F.col("grid") >= F.col("cut")) & (F.col("p_random") >= CONSISTENT)).select("token"))
     return (runs.join(chosen, "token")
-            .groupBy("id", "key").agg(F.collect_set("span").alias("random_spans")))
+            .groupBy("id", "key").agg(F.collect_set("span").alias("random_spans"))
+            .withColumn("random_spans", _widest(F.col("random_spans"))))
 
 
 # --- whole documents -----------------------------------------------------------------------------

@@ -103,6 +103,17 @@ def test_random_strings_are_found_and_structured_ones_are_not(make_docs):
     assert sum(got[i] for i in got if i >= 100) <= 4 and got[200] == got[201] == 0
 
 
+def test_tokens_with_few_digits_and_after_a_path(make_docs):
+    rnd = random.Random(6)
+    letters, url = (dict(secrets.ALPHABETS)[a] for a in ("base62", "base64url"))
+    plain = ["".join(rnd.choice(letters[:52]) for _ in range(48)) for _ in range(40)]
+    mixed = ["".join(rnd.choice(url) for _ in range(22)) + "-" + "".join(rnd.choice(url) for _ in range(25)) for _ in range(40)]
+    docs = [(i, f"key {t} end") for i, t in enumerate(plain)] + [(100 + i, f"see a/b/{t} end") for i, t in enumerate(mixed)]
+    got = {r.doc_id: r.spans for r in secrets.scan(make_docs(docs)).collect()}
+    assert sum("random:4:52" in got[i] for i in range(40)) >= 34
+    assert sum("random:8:56" in got[100 + i] for i in range(40)) >= 34
+
+
 def test_discoveries_follow_benjamini_hochberg(spark):
     rnd = random.Random(8)
     grid = [(0, rnd.randrange(0, 120)) for _ in range(300)] + [(0, rnd.randrange(200, 500)) for _ in range(40)] + [(1, 3)]
