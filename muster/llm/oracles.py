@@ -48,3 +48,56 @@ found AS (SELECT doc_id, item_id, diagonal, stretch, max(c) AS agreeing, diagona
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, stretch DESC, first, last DESC) AS r
          FROM found)
 SELECT doc_id, item_id, agreeing, stretch, first AS start, last AS "end" FROM best WHERE r = 1"""
+
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, sum(n) AS n FROM cells GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0)::HUGEINT + 5 * l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 5)) // (l.n::HUGEINT + 5 * l.v) AS q
+      FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+      LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+      LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value,
+             row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r FROM pairs
+           UNION ALL SELECT * FROM (SELECT lang, source, 'term', term, p - q,
+             row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS r FROM p WHERE n > 0 AND p > q) WHERE r <= 50)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked"""
+
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, run, count(*) AS n FROM runs GROUP BY ALL),
+named AS (SELECT d, run, n, hex(encode(d || ':' || run)) AS x FROM counted WHERE length(run) >= 5),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT),
+             lambda h, b: xor(h >> 8, (SELECT t FROM crc)[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM named),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+             sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING sum(n) >= 3),
+w AS (SELECT * FROM words WHERE length(word) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS form, max(n) AS form_n FROM near GROUP BY word),
+known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form,
+             CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at, 0 AS k FROM known
+          UNION ALL SELECT c.word, x.form, k + 1 FROM chain c JOIN known x ON x.word = c.at WHERE x.form IS NOT NULL)
+SELECT k.word, k.form, (SELECT arg_max(at, c.k) FROM chain c WHERE c.word = k.word) AS root, k.n,
+       CAST(n_near AS BIGINT) AS n_near, form_n FROM known k"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from muster.llm import (
     bpe,
     decontaminate,
+    divergence,
     hilbert,
     jaccard,
     langid,
@@ -16,6 +17,7 @@ from muster.llm import (
     oracles,
     quality,
     secrets,
+    spelling,
     token_store,
 )
 from muster.llm.common import scratch, table
@@ -82,3 +84,13 @@ def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_spaced_seeds", oracles.BENCHMARK_PASSAGES)
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_source_divergence", oracles.SOURCE_DIVERGENCE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", oracles.SPELLING_VARIANTS)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
