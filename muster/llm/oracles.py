@@ -85,7 +85,7 @@ runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
 counted AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, run, count(*) AS n FROM runs GROUP BY ALL),
 named AS (SELECT d, run, n, hex(encode(d || ':' || run)) AS x FROM counted WHERE length(run) >= 5),
 hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT),
-             lambda h, b: xor(h >> 8, (SELECT t FROM crc)[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM named),
+             lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM named CROSS JOIN crc),
 words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
              sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING sum(n) >= 3),
 w AS (SELECT * FROM words WHERE length(word) >= 5),
@@ -97,7 +97,17 @@ near AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i A
 best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS form, max(n) AS form_n FROM near GROUP BY word),
 known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form,
              CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
-chain AS (SELECT word, word AS at, 0 AS k FROM known
-          UNION ALL SELECT c.word, x.form, k + 1 FROM chain c JOIN known x ON x.word = c.at WHERE x.form IS NOT NULL)
-SELECT k.word, k.form, (SELECT arg_max(at, c.k) FROM chain c WHERE c.word = k.word) AS root, k.n,
+chain AS (SELECT word, word AS place, 0 AS k FROM known
+          UNION ALL SELECT c.word, x.form, k + 1 FROM chain c JOIN known x ON x.word = c.place WHERE x.form IS NOT NULL)
+SELECT k.word, k.form, (SELECT arg_max(c.place, c.k) FROM chain c WHERE c.word = k.word) AS root, k.n,
        CAST(n_near AS BIGINT) AS n_near, form_n FROM known k"""
+
+REPEATED_PASSAGES = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT i, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT i, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT i, unnest(range(s, s + 35)) AS j FROM windows SEMI JOIN often USING (h)),
+words AS (SELECT i, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT i, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN gone USING (i, j) GROUP BY i)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (i)"""

@@ -16,6 +16,7 @@ from muster.llm import (
     nn_descent,
     oracles,
     quality,
+    repeats,
     secrets,
     spelling,
     token_store,
@@ -94,3 +95,8 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling_variants", oracles.SPELLING_VARIANTS)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
+
+
+@query("op12_repeated_passages", oracles.REPEATED_PASSAGES)
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.scan(table(spark, sf_dir, "documents"))
