@@ -12,9 +12,9 @@ somewhere else. Two passes, each one shuffle of packed hashes:
    of copies costs as much as as many different passages.
 
 **Transport.** A task packs its documents in chunks of about ``CHUNK_WORDS`` words. A chunk sends each
-distinct hash once: to the bucket of the hash, with its first place (32 bits of hash in the first pass,
-64 and the bucket's own bits in the second; 128 bits name a document). Places that repeat a hash inside a chunk stay
-behind with the chunk's directory of documents. So a hash that fills a third of all rows comes once a chunk.
+distinct hash once: to the bucket of the hash, with its first place (32 bits of hash in the first pass;
+64 in the second, where a second hash picks the bucket; 128 bits name a document). Places that repeat a hash
+inside a chunk stay behind with the chunk's directory of documents. So a hash that fills a third of all rows comes once a chunk.
 A bucket answers with places; answers and directory of a chunk meet and become runs of window starts per
 document. Texts are never shuffled by a hash; the second pass and the result read the table again and are
 joined with the runs by the document's key.
@@ -49,7 +49,8 @@ CHUNK_WORDS, BUCKET_BYTES, HELD_WORDS = 1_000_000, 16 << 20, 300_000
 BROADCAST_BYTES = 24 << 20
 
 Batches = Iterator[pa.RecordBatch]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: odd multipliers of the hash of a window and of the one that picks its bucket
+_STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: kind 0: distinct hashes of a chunk for one bucket; 1: the chunk's directory
 _PACKED = ("bucket int, chunk long, kind int, hashes binary, places binary, twice binary, block binary, "
@@ -81,14 +82,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def rolling(hashes: np.ndarray, width: int, starts: np.ndarray | None = None) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, starts: np.ndarray | None = None, step: np.uint64 = _STEP) -> np.ndarray:
     """Hashes of the ``width`` words from every place, or from ``starts``."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n if starts is None else len(starts), np.uint64)
     for i in range(width):
-        out = out * _STEP + (hashes[i:i + n] if starts is None else hashes[starts + i])
+        out = out * step + (hashes[i:i + n] if starts is None else hashes[starts + i])
     return mixed(out)
 
 
@@ -118,21 +119,23 @@ class Chunk:
         self.words: list[int] = []
         self.size = 0
         self.hashes: list[np.ndarray] = []
+        self.picks: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.blocks: list[np.ndarray] = []
 
-    def add(self, k1: int, k2: int, n: int, hashes: np.ndarray, at: np.ndarray, block: np.ndarray) -> None:
+    def add(self, k1: int, k2: int, n: int, hashes: np.ndarray, picks: np.ndarray, at: np.ndarray, block: np.ndarray) -> None:
         self.k1.append(k1)
         self.k2.append(k2)
         self.starts.append(self.size)
         self.words.append(n)
         self.hashes.append(hashes)
+        self.picks.append(picks)
         self.places.append(at + self.size)
         self.blocks.append(block)
         self.size += n
 
     def packed(self, number: int, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-        hashes, places, blocks = (np.concatenate(x) for x in (self.hashes, self.places, self.blocks))
+        hashes, picks, places, blocks = (np.concatenate(x) for x in (self.hashes, self.picks, self.places, self.blocks))
         own, first, back, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         block = np.zeros(len(own), bool)
         np.logical_or.at(block, back[blocks], True)
@@ -140,8 +143,7 @@ class Chunk:
         echo[first] = False
         echo &= counts[back] > 1
         twice = counts > 1
-        # the bucket comes from other bits than those that are sent
-        bucket = ((mixed(own * _STEP) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        bucket = (picks[first] % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((places[first], bucket))
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows: dict[str, list] = {name: [] for name in ("bucket", "chunk", "kind", "hashes", "places", "twice", "block")}
@@ -175,10 +177,11 @@ def _send(batches: Batches, width: int, buckets: int, extend: bool) -> Batches:
             hashes = known.of(words)
             if extend:
                 at = places_of(spans)
-                chunk.add(k1, k2, n, rolling(hashes, width, at), at, np.ones(len(at), bool))
+                chunk.add(k1, k2, n, rolling(hashes, width, at), rolling(hashes, width, at, _OTHER), at, np.ones(len(at), bool))
             else:
                 at = np.arange(n - block + 1)
-                chunk.add(k1, k2, n, rolling(hashes, block), at, at % block == 0)
+                runs_hash = rolling(hashes, block)  # its high half is sent, its low half picks the bucket
+                chunk.add(k1, k2, n, runs_hash, runs_hash & np.uint64(0xFFFFFFFF), at, at % block == 0)
             if chunk.size >= CHUNK_WORDS:
                 yield from chunk.packed(number, buckets, extend)
                 number, chunk = number + 1, Chunk()
