@@ -35,6 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -204,8 +205,8 @@ def runs_of(places: np.ndarray) -> list[int]:
 
 def _answer(group: pa.Table, wide: bool) -> pa.Table:
     """One bucket: the places of hashes that occur twice and in a block; directories pass through."""
-    sent = group.filter(pa.compute.equal(group["kind"], 0)).combine_chunks()
-    out = [group.filter(pa.compute.equal(group["kind"], 1)).select(["chunk", "kind", "places", "k1", "k2", "starts", "words",
+    sent = group.filter(pc.equal(group["kind"], 0)).combine_chunks()
+    out = [group.filter(pc.equal(group["kind"], 1)).select(["chunk", "kind", "places", "k1", "k2", "starts", "words",
                                                                     "echo", "first"])]
     if sent.num_rows:
         parts = [np.frombuffer(h, "<u8" if wide else "<u4") for h in sent["hashes"].to_pylist()]
@@ -239,10 +240,10 @@ def _answer(group: pa.Table, wide: bool) -> pa.Table:
 def _spread(group: pa.Table, width: int, extend: bool) -> pa.Table:
     """One chunk: the answers of all buckets as runs of window starts per document."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("runs", pa.list_(pa.int32()))])
-    answers = [unpack(p) for p in group.filter(pa.compute.equal(group["kind"], 0))["places"].to_pylist()]
+    answers = [unpack(p) for p in group.filter(pc.equal(group["kind"], 0))["places"].to_pylist()]
     if not answers:
         return schema.empty_table()
-    directory = group.filter(pa.compute.equal(group["kind"], 1)).to_pylist()[0]
+    directory = group.filter(pc.equal(group["kind"], 1)).to_pylist()[0]
     k1, k2, starts, words = (np.frombuffer(directory[x], np.int64) for x in ("k1", "k2", "starts", "words"))
     hits = np.sort(np.concatenate(answers))
     echo, first = (np.frombuffer(directory[x], "<i4").astype(np.int64) for x in ("echo", "first"))
