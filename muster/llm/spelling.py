@@ -172,7 +172,7 @@ def trie_pairs(words: DataFrame, least_letters: int, longest: int) -> DataFrame:
             states = states.unionByName(frontier.where("rest <> ''"))
         nodes = trie.where(F.col("depth") == depth).drop("depth")
         frontier = stored(states.join(nodes, "node").select("word", F.explode(_steps()).alias("s"))
-                          .select("word", "s.node", "s.rest", "s.edits").distinct(), "spelling-frontier")
+                          .select("word", "s.node", "s.rest", "s.edits"), "spelling-frontier")
         found.append(frontier.where("rest = '' and edits = 1"))
     read = F.substring("node", 2, 1 << 30)
     near = F.when(F.substring("node", 1, 1) == ">", read).otherwise(F.reverse(read))
