@@ -44,6 +44,8 @@ LEAST_DOCUMENTS, TERM_RANKS = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
 #: distinct terms a task holds before it hands them on, and bytes of a text that are split at once
 HELD_TERMS, PIECE = 300_000, 4 << 20
+#: nodes from the root that decide where a row of the tree goes
+SUBTREE = 3
 #: pair sums a task holds before it hands them on
 HELD_PAIRS = 1_000_000
 
@@ -208,7 +210,8 @@ class Divergence:
         path = F.sort_array(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), "n", "p", "z")))
         distinct = (self._placed().groupBy("lang", "term").agg(path.alias("path"))
                     .groupBy("lang", "path").agg(F.count(F.lit(1)).alias("m")))
-        return distinct.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+        # by the first nodes: subtrees stay whole, and no sample of paths goes to the driver as for ranges
+        return distinct.repartition("lang", F.slice("path", 1, SUBTREE)).sortWithinPartitions("lang", "path")
 
     def pairs(self) -> DataFrame:
         """lang, source, item (another source of the lang), value, rank."""
