@@ -1,13 +1,10 @@
-import datetime as dt
 import os
 import sys
 import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SMOKE_DIR = "/root/testdata/sf0.001"
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 
 @pytest.fixture(scope="session")
@@ -23,10 +20,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
-
-def ts(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)
-
-
-def rows(df, *cols):
-    return [tuple(r[c] for c in cols) for r in df.collect()]

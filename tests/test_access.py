@@ -1,7 +1,7 @@
 """Token lookup (the reference's user-for-token test) and access decisions."""
 
 import pytest
-from conftest import rows, ts
+from muster_helpers import rows, ts
 
 from muster.operators import access as A
 

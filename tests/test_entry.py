@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import SMOKE_DIR
+from muster_helpers import SMOKE_DIR
 
 import __spark_entry__ as E
 from muster.plans import catalog

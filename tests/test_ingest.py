@@ -1,7 +1,7 @@
 """Strict JSON ingest: every decode outcome of the reference's request reader."""
 
 import pytest
-from conftest import ts
+from muster_helpers import ts
 
 from muster.sources import ndjson as N
 

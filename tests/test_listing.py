@@ -1,7 +1,7 @@
 """Listings: the reference's list tests (filters, sort, page) plus edge cases."""
 
 import pytest
-from conftest import rows, ts
+from muster_helpers import rows, ts
 
 from muster.operators import listing as L
 from muster.plans.specs import LIST_SPECS, PageArgs

@@ -3,7 +3,7 @@
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows, ts
+from muster_helpers import rows, ts
 from pyspark.sql import functions as F
 
 from muster.operators import ingest as I

@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from conftest import ts
+from muster_helpers import ts
 
 from muster.operators.ratelimit import costs, token_bucket
 

@@ -4,7 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
-from conftest import rows
+from muster_helpers import rows
 from pyspark.sql import functions as F
 
 from muster.sources import ndjson as N

@@ -1,6 +1,6 @@
 """Rule sets (the reference's validation tests) and constraint audits."""
 
-from conftest import rows, ts
+from muster_helpers import rows, ts
 
 from muster.operators import constraints as C
 from muster.operators import validate as V
