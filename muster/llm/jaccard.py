@@ -5,8 +5,11 @@ a class; classes are joined.
 
 **Which classes meet.** With all grams in one fixed order, two sets that reach the threshold share a
 gram among the first ``n - ceil(t * n) + 1`` of each (n: own size). Classes that share such a gram form
-a unit. The order puts grams that are frequent in a sample of the corpus last, so that common lines
-and passages do not bring strangers together; the sample changes the cost, never the result.
+a unit. The order is by exact document frequency, rarest first, so that common lines, passages and
+phrases do not bring strangers together. Grams of one document alone come first and meet nobody: a
+document whose first grams are all its own has no unit at all. Frequencies are counted in one shuffle
+of packed hashes: a task sends each distinct gram of its documents once to the gram's bucket (32 bits,
+a count and a place), and the bucket answers for those that other places hold too.
 
 **Signature trees.** In a unit every class has a signature: a bitmap of its grams (about a byte per
 gram) and its size. Leaves hold runs of classes ordered by size; every node holds the OR of its bitmaps,
@@ -44,11 +47,14 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import stored
+from muster.llm.common import small_batches, stored
 from muster.llm.graph import components
+from muster.llm.repeats import BUCKET_BYTES, pack, unpack
 from muster.llm.words import KEY_ROWS, small, text_key
 
 K, PERCENT = 5, 80
@@ -57,9 +63,8 @@ LEAF, FANOUT = 16, 8
 SLICE, PAIRS = 256, 50_000  # rows unpacked, and pairs held, at once
 #: grams of the classes of a block, which one task holds
 BLOCK_GRAMS = 1_500_000
-#: documents sampled to tell frequent grams: so many and a thousandth of all; a gram in so many of them is
-#: frequent, the most frequent so many are used. This decides the order of the grams, not the result.
-SAMPLE_ROWS, FREQUENT_IN, MOST_FREQUENT = 4_000, 20, 200_000
+#: grams packed together by a task
+CHUNK_GRAMS = 1_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -221,40 +226,123 @@ class SignatureTree:
 Batches = Iterator[pa.RecordBatch]
 
 
-def _describe(batches: Batches, k: int, percent: int, frequent: np.ndarray) -> Batches:
-    """Per document: size, set hash, smallest gram, the grams to meet by, signature."""
+#: kind 0: distinct grams of a chunk for one bucket; 1: the chunk's documents
+_DOCUMENT = ("key", "n", "h1", "h2", "least")
+_SENT = ["bucket int", "chunk long", "kind int", "grams binary", "counts binary", "places binary",
+         *[f"{name} binary" for name in (*_DOCUMENT, "echo", "first")]]
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits byte by byte in planes, so that small ones compress."""
+    return np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _packed(ids: list, id_type: pa.DataType, about: list[tuple], sets: list[np.ndarray], number: int, buckets: int) -> Batches:
+    """The rows of one chunk: its distinct grams by bucket, its documents."""
+    grams = np.concatenate([np.zeros(0, np.uint64), *sets])
+    own, first, back, counts = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+    bucket = ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((first, bucket))
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    echo = np.ones(len(grams), bool)
+    echo[first] = False
+    echo = np.flatnonzero(echo)
+    rows = []
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        of = order[ends[b]:ends[b + 1]]
+        rows.append({"bucket": b, "chunk": number, "kind": 0, "grams": own[of].astype("<u4").tobytes(),
+                     "counts": planes(counts[of]), "places": pack(first[of])})
+    documents = dict(zip(_DOCUMENT, (np.array(x, np.int64).tobytes() for x in zip(*about, strict=True)), strict=True))
+    rows.append({"bucket": number % buckets, "chunk": number, "kind": 1, "ids": ids, "echo": pack(echo),
+                 "first": planes(first[back[echo]]), **documents})
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()),
+                        *[(f.split()[0], pa.binary()) for f in _SENT[3:]], ("ids", pa.list_(id_type))])
+    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _send_grams(batches: Batches, k: int, buckets: int, most: int) -> Batches:
+    number, ids, about, sets, held = TaskContext.get().partitionId() << 32, [], [], [], 0
+    kind = pa.null()
     for batch in batches:
-        sizes, h1, h2, least, prefixes, signatures = [], [], [], [], [], []
-        for text in batch.column("text").to_pylist():
+        kind = batch.schema.field("id").type
+        for doc, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(),
+                                  batch.column("text").to_pylist(), strict=True):
             grams = gram_set(text, k)
-            n = len(grams)
-            sizes.append(n)
-            if not n:
-                h1.append(0), h2.append(0), least.append(0), prefixes.append([]), signatures.append(b"")
-                continue
-            h1.append(int(_mix(grams ^ _STEP).sum().view(np.int64)))
-            h2.append(int(np.bitwise_xor.reduce(_mix(grams + _STEP)).view(np.int64)))
-            least.append(int(grams[0].view(np.int64)))
-            common = np.zeros(n, bool)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-                common = frequent[at] == grams
-            order = np.concatenate([grams[~common], grams[common]])
-            # half a hash is enough to meet by: a collision brings strangers together, no more
-            prefixes.append(order[:n - -(-percent * n // 100) + 1].astype(np.uint32).view(np.int32))
-            signatures.append(signature(grams).tobytes())
-        yield pa.RecordBatch.from_arrays([
-            batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()),
-            pa.array(h2, pa.int64()), pa.array(least, pa.int64()), pa.array(prefixes, pa.list_(pa.int32())),
-            pa.array(signatures, pa.binary())],
-            names=["id", "key", "n", "h1", "h2", "least", "prefix", "signature"])
-
-
-def _gram_counts(batches: Batches, k: int) -> Batches:
+            ids.append(doc)
+            sets.append(grams)
+            if len(grams):
+                about.append((key, len(grams), int(_mix(grams ^ _STEP).sum().view(np.int64)),
+                              int(np.bitwise_xor.reduce(_mix(grams + _STEP)).view(np.int64)), int(grams[0].view(np.int64))))
+            else:
+                about.append((key, 0, 0, 0, 0))
+            held += len(grams) + 1
+            if held >= most:
+                yield from _packed(ids, kind, about, sets, number, buckets)
+                number, ids, about, sets, held = number + 1, [], [], [], 0
+    if ids:
+        yield from _packed(ids, kind, about, sets, number, buckets)
+
+
+def _answer_grams(group: pa.Table) -> pa.Table:
+    """One bucket: place, gram and frequency of every gram of several documents; documents pass through."""
+    passed = group.filter(pc.equal(group["kind"], 1)).select(["chunk", "kind", "grams", "counts", "places", *_DOCUMENT, "echo",
+                                                              "first", "ids"])
+    sent = group.filter(pc.equal(group["kind"], 0)).combine_chunks()
+    if not sent.num_rows:
+        return passed
+    parts = [np.frombuffer(g, "<u4") for g in sent["grams"].to_pylist()]
+    grams, counts = np.concatenate(parts), np.concatenate([from_planes(c) for c in sent["counts"].to_pylist()])
+    order = np.argsort(grams, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
+    total = np.empty(len(grams), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), head), np.diff(np.append(head, len(grams))))
+    rows, ends = [], np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    for i, (number, places) in enumerate(zip(sent["chunk"].to_pylist(), sent["places"].to_pylist(), strict=True)):
+        of = slice(ends[i], ends[i + 1])
+        shared = total[of] > 1
+        if shared.any():
+            often = np.minimum(255, 8 * np.log2(total[of][shared])).astype(np.uint8)
+            rows.append({"chunk": number, "kind": 0, "grams": parts[i][shared].tobytes(), "counts": often.tobytes(),
+                         "places": pack(unpack(places)[shared])})
+    return pa.concat_tables([passed, pa.Table.from_pylist(rows, schema=passed.schema)])
+
+
+def _choose_grams(group: pa.Table, percent: int) -> pa.Table:
+    """One chunk: its documents with the grams to meet by, the rarest first."""
+    about = group.filter(pc.equal(group["kind"], 1)).combine_chunks()
+    key, n, h1, h2, least = (np.frombuffer(about[name][0].as_py(), np.int64) for name in _DOCUMENT)
+    answers = group.filter(pc.equal(group["kind"], 0))
+    places = np.concatenate([np.zeros(0, np.int64), *[unpack(p) for p in answers["places"].to_pylist()]])
+    grams = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(g, "<u4") for g in answers["grams"].to_pylist()]])
+    often = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(c, np.uint8) for c in answers["counts"].to_pylist()]])
+    order = np.argsort(places)
+    places, grams, often = places[order], grams[order], often[order]
+    echo, first = unpack(about["echo"][0].as_py()), from_planes(about["first"][0].as_py()).astype(np.int64)
+    at = np.searchsorted(places, first)  # what a chunk holds twice is always answered
+    places, grams, often = np.append(places, echo), np.append(grams, grams[at]), np.append(often, often[at])
+    of = np.searchsorted(np.cumsum(n), places, side="right")
+    order = np.lexsort((grams, often, of))
+    of, grams = of[order], grams[order]
+    shared = np.bincount(of, minlength=len(n))
+    wanted = n - -(-percent * n // 100) + 1 - (n - shared)
+    keep = np.arange(len(of)) - (np.cumsum(shared) - shared)[of] < wanted[of]
+    taken = np.bincount(of[keep], minlength=len(n))
+    prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]), pa.int32()),
+                                      pa.array(np.ascontiguousarray(grams[keep]).view(np.int32), pa.int32()))
+    return pa.table([about["ids"].combine_chunks().flatten(), *[pa.array(x) for x in (key, n, h1, h2, least)], prefix],
+                    names=["id", "key", "n", "h1", "h2", "least", "prefix"])
+
+
+def _signatures(batches: Batches, k: int) -> Batches:
     for batch in batches:
         sets = [gram_set(t, k) for t in batch.column("text").to_pylist()]
-        grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.array([len(g) for g in sets], pa.int64()),
+             pa.array([signature(g).tobytes() for g in sets], pa.binary())], names=["row", "n", "signature"])
 
 
 def _full_sets(batches: Batches, k: int) -> Batches:
@@ -357,12 +445,7 @@ class JaccardJoin:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), text.alias("text"))
         self.id_type = dict(self.texts.dtypes)["id"]
-        frequent = self._frequent()
-        self.described = stored(
-            self.texts.mapInArrow(lambda b: _describe(b, k, percent, frequent),
-                                  f"id {self.id_type}, key long, n long, h1 long, h2 long, least long, "
-                                  "prefix array<int>, signature binary")
-            .withColumn("row", F.monotonically_increasing_id()), "jaccard-described")
+        self._describe()
         self._classes()
         self.links = stored(self._first_links(), "jaccard-links")
         self._find_components()
@@ -374,15 +457,18 @@ class JaccardJoin:
                 self._find_components()
         self.members = self._members()
 
-    def _frequent(self) -> np.ndarray:
-        n = self.texts.count()
-        wanted = SAMPLE_ROWS + n // 1000
-        sample = self.texts.where(F.pmod(F.xxhash64("id", "key"), F.lit(max(1, n // wanted))) == 0)
-        k = self.k
-        found = (sample.mapInArrow(lambda b: _gram_counts(b, k), "gram long, n long")
-                 .groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_IN)
-                 .orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow())
-        return np.sort(np.asarray(found.column("gram")).astype(np.int64).view(np.uint64))
+    def _describe(self) -> None:
+        """Per document: size, set hash, smallest gram, and the grams to meet by."""
+        k, percent, most, spark = self.k, self.percent, CHUNK_GRAMS, self.texts.sparkSession
+        size = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(-(-size // BUCKET_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ids = f"ids array<{self.id_type}>"
+        sent = self.texts.mapInArrow(lambda b: _send_grams(b, k, buckets, most), ", ".join([*_SENT, ids]))
+        answered = sent.groupBy("bucket").applyInArrow(_answer_grams, ", ".join([*_SENT[1:], ids]))
+        chosen = answered.groupBy("chunk").applyInArrow(
+            lambda g: _choose_grams(g, percent), f"id {self.id_type}, key long, n long, h1 long, h2 long, least long, prefix array<int>")
+        with small_batches(spark):
+            self.described = stored(chosen.withColumn("row", F.monotonically_increasing_id()), "jaccard-described")
 
     def _classes(self) -> None:
         """Every document's class: the first row with an equal set."""
@@ -395,17 +481,25 @@ class JaccardJoin:
         copies = self.by_class.where("cls <> row").select("row")
         self.classes = self.described.where("n > 0").join(small(copies, copies.count()), "row", "left_anti")
 
-    def _sets(self, rows: DataFrame) -> DataFrame:
-        """row, grams: the full sets of the documents of some rows, from their texts."""
-        k = self.k
+    def _texts_of(self, rows: DataFrame) -> DataFrame:
+        """row, text of some rows; where rows repeat an id and its text, a row comes once per repetition."""
         wanted = stored(self.by_class.join(rows.select("row").distinct(), "row", "left_semi")
                         .select(F.col("id").alias("_id"), F.col("key").alias("_key"), "row"), "jaccard-wanted")
         same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-        texts = self.texts.join(small(wanted, wanted.count()), same).select("row", "text")
-        sets = texts.mapInArrow(lambda b: _full_sets(b, k), "row long, grams array<long>")
-        # where rows repeat an id and its text, a set comes once per repetition
+        return self.texts.join(small(wanted, wanted.count()), same).select("row", "text")
+
+    def _sets(self, rows: DataFrame) -> DataFrame:
+        """row, grams: the full sets of the documents of some rows, from their texts."""
+        k = self.k
+        sets = self._texts_of(rows).mapInArrow(lambda b: _full_sets(b, k), "row long, grams array<long>")
         return sets.dropDuplicates(["row"]) if self.repeats else sets
 
+    def _signed(self, rows: DataFrame) -> DataFrame:
+        """row, n, signature of the documents of some rows."""
+        k = self.k
+        signed = self._texts_of(rows).mapInArrow(lambda b: _signatures(b, k), "row long, n long, signature binary")
+        return signed.dropDuplicates(["row"]) if self.repeats else signed
+
     def _first_links(self) -> DataFrame:
         percent = self.percent
         least = self.classes.select("row", "least", "n")
@@ -431,7 +525,7 @@ class JaccardJoin:
 
         Of grams with the same classes one is kept.
         """
-        tokens = self._with_component(self.classes.select("row", "prefix")) \
+        tokens = self._with_component(self.classes.where(F.size("prefix") > 0).select("row", "prefix")) \
             .select("row", "comp", F.explode("prefix").alias("token"))
         # most grams are in one class only; this first aggregation carries as little as it can
         shared = stored(tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
@@ -464,10 +558,7 @@ class JaccardJoin:
             pair.alias("home"), pair.alias("unit"), (F.col("left_block") != F.col("right_block")).alias("two"),
             "side", "row", "comp")
         parts = stored(one.unionByName(blocked), "jaccard-parts")
-        members = stored(parts.select("row").distinct(), "jaccard-rows")
-        described = self.classes.select("row", "n", "signature") \
-            .join(small(members, members.count(), KEY_ROWS), "row", "left_semi")
-        homes = parts.select("home", "row").distinct().join(described, "row").select(
+        homes = parts.select("home", "row").distinct().join(self._signed(parts), "row").select(
             "home", F.lit("").alias("unit"), F.lit(False).alias("two"), F.lit(0).alias("side"), "row",
             F.lit(None).cast("long").alias("comp"), "n", "signature")
         tasks = (homes.unionByName(parts.withColumns({"n": F.lit(None).cast("long"),

@@ -163,7 +163,7 @@ class Chunk:
                      "first": [places[first[back[echo]]].astype("<i4").tobytes()]})
 
 
-def _send(batches: Batches, width: int, buckets: int, extend: bool) -> Batches:
+def _send(batches: Batches, width: int, buckets: int, extend: bool, most: int) -> Batches:
     """First pass: the rolling runs of all documents. Second: the windows that start in a document's runs."""
     known, block = WordHashes(), (width + 1) // 2
     number, chunk = TaskContext.get().partitionId() << 32, Chunk()
@@ -183,7 +183,7 @@ def _send(batches: Batches, width: int, buckets: int, extend: bool) -> Batches:
                 at = np.arange(n - block + 1)
                 runs_hash = rolling(hashes, block)  # its high half is sent, its low half picks the bucket
                 chunk.add(k1, k2, n, runs_hash, runs_hash & np.uint64(0xFFFFFFFF), at, at % block == 0)
-            if chunk.size >= CHUNK_WORDS:
+            if chunk.size >= most:
                 yield from chunk.packed(number, buckets, extend)
                 number, chunk = number + 1, Chunk()
     if chunk.size:
@@ -284,7 +284,7 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
 
 
 def _round(rows: DataFrame, width: int, buckets: int, extend: bool) -> DataFrame:
-    sent = rows.mapInArrow(partial(_send, width=width, buckets=buckets, extend=extend), _PACKED)
+    sent = rows.mapInArrow(partial(_send, width=width, buckets=buckets, extend=extend, most=CHUNK_WORDS), _PACKED)
     answered = sent.groupBy("bucket").applyInArrow(
         lambda g: _answer(g, extend), "chunk long, kind int, places binary, k1 binary, k2 binary, starts binary, "
         "words binary, echo binary, first binary")

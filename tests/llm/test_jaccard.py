@@ -76,13 +76,26 @@ def test_equals_brute_force(make_docs, family, k, percent):
     assert run(make_docs(family), k, percent) == brute(family, k, percent)
 
 
-def test_split_units_shuffled_joins_and_a_frequent_order(make_docs, family, monkeypatch):
+def test_split_units_shuffled_joins_and_small_chunks(make_docs, family, monkeypatch):
     monkeypatch.setattr(j, "BLOCK", 2)
-    monkeypatch.setattr(j, "FREQUENT_IN", 3)
+    monkeypatch.setattr(j, "CHUNK_GRAMS", 200)
     monkeypatch.setattr("muster.llm.words.BROADCAST_ROWS", -1)
     assert run(make_docs(family), 4, 85) == brute(family, 4, 85)
 
 
+def test_grams_to_meet_by_are_the_rarest(spark, make_docs):
+    """A document of its own grams alone meets nobody; a near copy meets by grams that few share."""
+    common = "a b c d e f g h i j"
+    rows = [(i, common + " " + " ".join(f"u{i}.{x}" for x in range(30))) for i in range(20)]
+    rows += [(50, "k l m n o p q r s t u v w x y z"), (51, "k l m n o p q r s t u v w x y zz"), (52, common)]
+    join = j.JaccardJoin(make_docs(rows), 4, 85)
+    chosen = {r.id: len(r.prefix) for r in join.described.collect()}
+    assert all(chosen[i] == 0 for i in range(20))  # 30 of 37 grams are their own
+    assert chosen[50] == chosen[51] == 1  # two of thirteen may differ: one gram of its own, one shared
+    assert chosen[52] == 2 and join.described.where("size(prefix) > 0").count() == 3
+    assert run(make_docs(rows), 4, 85) == brute(rows, 4, 85)
+
+
 def test_query_on_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = queries.op4_signature_trees(spark, "/root/testdata/sf0.01").collect()
