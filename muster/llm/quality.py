@@ -7,26 +7,31 @@ descent. For two labels the softmax of an average is the logistic function of an
 per bucket, so scoring needs one float per bucket and one pass over the text.
 
 Training reads a sample of ``train_rows`` labelled documents (those with the smallest hashes of their
-ids) with all features of their whole texts: what reaches the driver is at most one number pair a bucket
-and row, at any input size. A bucket that no sampled document has weighs nothing. Scoring reads every
-whole text, in pieces, so a worker's memory does not grow with a text's length.
+ids) with all features of their whole texts. The sample is a table; an epoch is one task that streams it
+through the current weights, in an order of its own, so neither the driver nor the task ever holds more
+than the weights (``BUCKETS * DIMENSIONS`` numbers) and ``SHUFFLED`` rows, however long the texts are. A bucket
+that no sampled document has weighs nothing. Scoring reads every whole text, in pieces, so a
+worker's memory does not grow with a text's length.
 
 Defined results: null and empty texts have no features and get the score of the bias; without
 labels of both kinds every score is the share of label 1 among them (0.5 without labels); null labels
-are left out; a document with several labels takes the smallest; an empty table gives an empty result.
+are left out; a document with several labels takes the smallest; of equal rows one is learned from; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import stored
+from muster.llm.common import small_batches, stored
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -34,6 +39,7 @@ NGRAMS = (3, 4)  # bytes of the character n-grams
 EPOCHS = 8
 LEARNING_RATE = 0.5
 TRAIN_ROWS = 6_000
+SHUFFLED = 128  # rows drawn from at random while an epoch streams by
 KEEP_AT = 0.7
 PIECE_CHARS = 1 << 19
 FOLDS, HELD_OUT = 4, 2
@@ -122,38 +128,75 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
-        rate: float = LEARNING_RATE, seed: int = 1) -> QualityModel:
-    """Stochastic gradient descent over (buckets, counts, label) rows."""
-    share = np.mean([label for *_, label in rows]) if rows else 0.5
-    if not 0 < share < 1:
-        safe = np.clip(share, 1e-6, 1 - 1e-6)
-        return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log(safe / (1 - safe))))
-    rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    out, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    seen = np.zeros(BUCKETS, bool)
-    for buckets, *_ in rows:
-        seen[buckets] = True
-    steps, done = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            buckets, counts, label = rows[i]
-            now = rate * (1 - done / steps)
-            done += 1
+Row = tuple[np.ndarray, np.ndarray, int]  # buckets, their counts, the label
+
+
+@dataclass
+class Weights:
+    """The state of training."""
+
+    vectors: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+    seen: np.ndarray
+    steps: int = 0
+
+    @classmethod
+    def start(cls, seed: int = 1) -> Weights:
+        vectors = np.random.default_rng(seed).uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        return cls(vectors, np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32), np.zeros(BUCKETS, bool))
+
+    def learn(self, rows: Iterable[Row], total: int, rate: float = LEARNING_RATE) -> None:
+        """One pass of stochastic gradient descent; the rate falls to zero over ``total`` steps."""
+        for buckets, counts, label in rows:
+            now = rate * max(0.0, 1 - self.steps / total)
+            self.steps += 1
+            self.seen[buckets] = True
             share_of = (counts / max(1, counts.sum())).astype(np.float32)
-            doc = share_of @ vectors[buckets]
-            logits = out @ doc + bias
+            doc = share_of @ self.vectors[buckets]
+            logits = self.out @ doc + self.bias
             chance = np.exp(logits - logits.max())
             error = chance / chance.sum()
             error[label] -= 1
-            back = error @ out
-            out -= now * error[:, None] * doc
-            bias -= now * error
+            back = error @ self.out
+            self.out -= now * error[:, None] * doc
+            self.bias -= now * error
             # an average spreads its gradient thinly; scaled by the number of buckets, as each is its own parameter
-            vectors[buckets] -= now * np.minimum(share_of * len(buckets), 4)[:, None] * back
-    weights = np.where(seen, vectors @ (out[1] - out[0]), 0)  # the others still hold their random start
-    return QualityModel(weights.astype(np.float32), float(bias[1] - bias[0]))
+            self.vectors[buckets] -= now * np.minimum(share_of * len(buckets), 4)[:, None] * back
+
+    def model(self) -> QualityModel:
+        weights = np.where(self.seen, self.vectors @ (self.out[1] - self.out[0]), 0)  # the others hold their random start
+        return QualityModel(weights.astype(np.float32), float(self.bias[1] - self.bias[0]))
+
+    def packed(self) -> pa.RecordBatch:
+        parts = [self.vectors.astype("<f4").tobytes(), self.out.astype("<f4").tobytes(), self.bias.astype("<f4").tobytes(),
+                 self.seen.tobytes()]
+        return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in parts], pa.array([self.steps], pa.int64())],
+                                          names=["vectors", "out", "bias", "seen", "steps"])
+
+    @classmethod
+    def unpacked(cls, row) -> Weights:
+        vectors, out, bias = (np.frombuffer(x, "<f4").copy() for x in (row.vectors, row.out, row.bias))
+        return cls(vectors.reshape(BUCKETS, DIMENSIONS), out.reshape(2, DIMENSIONS), bias,
+                   np.frombuffer(row.seen, bool).copy(), row.steps)
+
+
+def mingled(rows: Iterable[Row], seed: int, held: int = SHUFFLED) -> Iterator[Row]:
+    """``rows`` in another order: each is drawn from the next ``held``."""
+    rng, rows = np.random.default_rng(seed), iter(rows)
+    pool = list(islice(rows, held))
+    for row in rows:
+        at = int(rng.integers(len(pool)))
+        yield pool[at]
+        pool[at] = row
+    for at in rng.permutation(len(pool)):
+        yield pool[at]
+
+
+def of_one_label(share: float) -> QualityModel:
+    """Without both labels there is nothing to learn: every score is the share of label 1."""
+    safe = np.clip(share, 1e-6, 1 - 1e-6)
+    return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log(safe / (1 - safe))))
 
 
 def held_out(id_col: Column) -> Column:
@@ -161,6 +204,20 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(id_col.cast("string"), "UTF-8")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [train_features(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("order"), batch.column("label"), pa.array([b.astype("<i4").tobytes() for b, _ in found], pa.binary()),
+             pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["order", "label", "buckets", "counts"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield np.frombuffer(row["buckets"], "<i4"), np.frombuffer(row["counts"], "<i4"), row["label"]
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Learn from a bounded sample of the labelled rows outside the held-out fold."""
@@ -169,24 +226,32 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
               .groupBy("_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(train_rows))
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [train_features(text) for text in pdf["text"]]
-            yield pd.DataFrame({
-                "order": pdf["order"], "label": pdf["label"],
-                "buckets": [b.astype("<i4").tobytes() for b, _ in found],
-                "counts": [c.astype("<i4").tobytes() for _, c in found]})
-
-    # at most train_rows rows, whatever the input: a bounded broadcast; repeated ids are cut again below
-    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-                    .join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-                    .select(F.xxhash64("id", "text").alias("order"), "label", "text")
-                    .mapInPandas(features, "order long, label int, buckets binary, counts binary"), "quality-sample")
-    last = sample.select("order").orderBy("order").limit(train_rows).agg(F.max("order")).first()[0]
-    # partition by partition, so that the JVM does not hold all of them beside Python
-    rows = sorted(((r.order, r.label, bytes(r.buckets), bytes(r.counts))
-                   for r in sample.where(F.col("order") <= F.lit(last)).toLocalIterator()), key=lambda r: r[:2])
-    return fit([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), label) for _, label, b, c in rows[:train_rows]])
+    # at most train_rows rows, whatever the input: a bounded broadcast
+    known = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+             .join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+             .select(F.xxhash64("id", "text").alias("order"), "label", "text"))
+    # an id may be in many rows: the sample ends at the order of its last row
+    last = known.select("order").distinct().orderBy("order").limit(train_rows).agg(F.max("order")).first()[0]
+    sample = stored(known.where(F.col("order") <= F.lit(last)).mapInArrow(
+        _featured, "order long, label int, buckets binary, counts binary").dropDuplicates(["order"]), "quality-sample")
+    n, share = sample.agg(F.count(F.lit(1)), F.avg("label")).first()
+    if not n or not 0 < share < 1:
+        return of_one_label(share if n else 0.5)
+    weights, context = Weights.start(), docs.sparkSession.sparkContext
+    for epoch in range(EPOCHS):
+        shared = context.broadcast(weights)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            weights = shared.value
+            weights.learn(mingled(_unpacked(batches), epoch), EPOCHS * n)
+            yield weights.packed()
+
+        with small_batches(docs.sparkSession, 32):
+            row = sample.coalesce(1).mapInArrow(
+                learn, "vectors binary, out binary, bias binary, seen binary, steps long").first()
+        weights = Weights.unpacked(row)
+        shared.destroy()
+    return weights.model()
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

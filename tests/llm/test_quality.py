@@ -1,5 +1,7 @@
 """Quality classifier: held-out accuracy on the labelled rows, features, and awkward rows."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -36,6 +38,91 @@ def test_features_do_not_depend_on_piece_borders(monkeypatch):
     assert (count() == whole).all()
 
 
+def plain_features(text):
+    """The features of a text written without numpy: words, pairs of neighbouring words, n-grams of bytes in words."""
+    m = 2**32
+
+    def mix(h):
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) % m
+        return h ^ (h >> 13)
+
+    power, powers = 1, []
+    for _ in range(64):
+        power = power * 0x9E3779B1 % m
+        powers.append(power)
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()) if w]
+    hashes = [mix(sum(mix(b + 1) * powers[i % 64] for i, b in enumerate(w)) % m) for w in words]
+    found = [h % quality.BUCKETS for h in hashes]
+    found += [mix((a * 31 + b) % m) % quality.BUCKETS for a, b in zip(hashes, hashes[1:], strict=False)]
+    for n in quality.NGRAMS:
+        for w in words:
+            ends = b" " + w + b" "
+            for i in range(len(ends) - n + 1):
+                h = n
+                for b in ends[i:i + n]:
+                    h = (h * 0x01000193 + b) % m
+                found.append(mix(h) % quality.BUCKETS)
+    return found
+
+
+@pytest.mark.parametrize("text", ["", None, "a", "ab cd", "  Lead é\tçut\x0b\n tail  ", "word " * 30 + "x" * 200, "日本 語"])
+def test_features_and_scores_equal_a_plain_rewrite(text):
+    got = sorted(int(b) for part in quality.feature_buckets(text) for b in part)
+    want = sorted(plain_features(text))
+    assert got == want
+    model = quality.QualityModel(np.random.default_rng(2).normal(size=quality.BUCKETS).astype(np.float32), -0.3)
+    mean = sum(float(model.weights[b]) for b in want) / len(want) if want else 0.0
+    assert model.score(text) == pytest.approx(1 / (1 + math.exp(-(model.bias + mean))), abs=1e-9)
+
+
+def test_training_steps_equal_plain_gradient_descent():
+    """Two documents, one pass: vectors and softmax against the formulas."""
+    weights = quality.Weights.start(3)
+    v, out, bias = weights.vectors.astype(float), weights.out.astype(float) + 0.1, weights.bias.astype(float)
+    weights.out[:] = 0.1
+    rows = [(np.array([1, 5]), np.array([3, 1]), 1), (np.array([5, 9]), np.array([1, 1]), 0)]
+    weights.learn(iter(rows), 4, 0.5)
+    for step, (buckets, counts, label) in enumerate(rows):
+        rate, share = 0.5 * (1 - step / 4), counts / counts.sum()
+        doc = sum(s * v[b] for s, b in zip(share, buckets, strict=True))
+        chance = np.exp(out @ doc + bias) / np.exp(out @ doc + bias).sum()
+        error = chance - np.eye(2)[label]
+        back = error @ out
+        out = out - rate * np.outer(error, doc)
+        bias = bias - rate * error
+        for s, b in zip(share, buckets, strict=True):
+            v[b] -= rate * min(s * len(buckets), 4) * back
+    assert np.allclose(weights.vectors[[1, 5, 9]], v[[1, 5, 9]], atol=1e-5) and np.allclose(weights.out, out, atol=1e-5)
+    assert np.flatnonzero(weights.seen).tolist() == [1, 5, 9] and weights.steps == 2
+
+
+def test_an_epoch_streams_its_rows():
+    """Every row is learned from once, and only a few are held."""
+    alive, most = 0, 0
+
+    def rows():
+        nonlocal alive, most
+        for i in range(1000):
+            alive += 1
+            most = max(most, alive)
+            yield i
+
+    out = []
+    for row in quality.mingled(rows(), 1, 50):
+        alive -= 1
+        out.append(row)
+    assert sorted(out) == list(range(1000)) and out != sorted(out) and most <= 51
+
+
+def test_long_labelled_texts(spark, make_docs):
+    """60 labelled texts of half a megabyte: all features are learned from, rows are streamed."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'g' if i % 2 else 'b'}{x}" for x in rnd.integers(0, 60_000, 80_000))) for i in range(60)]
+    model = quality.train(make_docs(rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    assert (model.weights != 0).mean() > 0.9
+    assert model.score(rows[1][1]) > 0.5 > model.score(rows[0][1])
+
+
 def test_long_texts_and_words_are_scored_whole(monkeypatch):
     model = quality.QualityModel(np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32), 0.1)
     long = "word " * 5000 + "x" * 5000
