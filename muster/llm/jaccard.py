@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from muster.llm.common import small_batches, stored
 from muster.llm.graph import components
-from muster.llm.repeats import BUCKET_BYTES, pack, unpack
+from muster.llm.packing import from_planes, pack, planes, sizes, unpack
 from muster.llm.words import KEY_ROWS, small, text_key
 
 K, PERCENT = 5, 80
@@ -63,8 +63,6 @@ LEAF, FANOUT = 16, 8
 SLICE, PAIRS = 256, 50_000  # rows unpacked, and pairs held, at once
 #: grams of the classes of a block, which one task holds
 BLOCK_GRAMS = 1_500_000
-#: grams packed together by a task
-CHUNK_GRAMS = 1_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -232,15 +230,6 @@ _SENT = ["bucket int", "chunk long", "kind int", "grams binary", "counts binary"
          *[f"{name} binary" for name in (*_DOCUMENT, "echo", "first")]]
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Numbers of 32 bits byte by byte in planes, so that small ones compress."""
-    return np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 def _packed(ids: list, id_type: pa.DataType, about: list[tuple], sets: list[np.ndarray], number: int, buckets: int) -> Batches:
     """The rows of one chunk: its distinct grams by bucket, its documents."""
     grams = np.concatenate([np.zeros(0, np.uint64), *sets])
@@ -459,11 +448,10 @@ class JaccardJoin:
 
     def _describe(self) -> None:
         """Per document: size, set hash, smallest gram, and the grams to meet by."""
-        k, percent, most, spark = self.k, self.percent, CHUNK_GRAMS, self.texts.sparkSession
-        size = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(-(-size // BUCKET_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        k, percent, spark = self.k, self.percent, self.texts.sparkSession
+        chunk, buckets = sizes(self.texts)
         ids = f"ids array<{self.id_type}>"
-        sent = self.texts.mapInArrow(lambda b: _send_grams(b, k, buckets, most), ", ".join([*_SENT, ids]))
+        sent = self.texts.mapInArrow(lambda b: _send_grams(b, k, buckets, chunk), ", ".join([*_SENT, ids]))
         answered = sent.groupBy("bucket").applyInArrow(_answer_grams, ", ".join([*_SENT[1:], ids]))
         chosen = answered.groupBy("chunk").applyInArrow(
             lambda g: _choose_grams(g, percent), f"id {self.id_type}, key long, n long, h1 long, h2 long, least long, prefix array<int>")

@@ -11,7 +11,7 @@ somewhere else. Two passes, each one shuffle of packed hashes:
    maximal repeats of all copies at once. No pair of copies is ever formed, so a passage of thousands
    of copies costs as much as as many different passages.
 
-**Transport.** A task packs its documents in chunks of about ``CHUNK_WORDS`` words. A chunk sends each
+**Transport.** A task packs its documents in chunks (``packing.sizes``). A chunk sends each
 distinct hash once: to the bucket of the hash, with its first place (32 bits of hash in the first pass;
 64 in the second, where a second hash picks the bucket; 128 bits name a document). Places that repeat a hash
 inside a chunk stay behind with the chunk's directory of documents. So a hash that fills a third of all rows comes once a chunk.
@@ -42,10 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.common import small_batches, stored
+from muster.llm.packing import from_planes, pack, planes, sizes, unpack
 
 WIDTH = 35
-#: words packed together, text bytes a bucket of hashes stands for, and words whose hashes a task remembers
-CHUNK_WORDS, BUCKET_BYTES, HELD_WORDS = 1_000_000, 16 << 20, 300_000
+#: words whose hashes a task remembers
+HELD_WORDS = 300_000
 #: runs are broadcast to the texts up to so many bytes
 BROADCAST_BYTES = 24 << 20
 
@@ -94,16 +95,6 @@ def rolling(hashes: np.ndarray, width: int, starts: np.ndarray | None = None, st
     return mixed(out)
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Ascending numbers as gaps, byte by byte in planes: the high planes are zeros, which compress away."""
-    gaps = np.diff(places, prepend=0).astype("<u4")
-    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
-
-
 def _rows(columns: dict[str, list]) -> pa.RecordBatch:
     n = len(columns["chunk"])
     return pa.RecordBatch.from_arrays(
@@ -159,8 +150,7 @@ class Chunk:
         yield _rows({"bucket": [number % buckets], "chunk": [number], "kind": [1],
                      "k1": [np.array(self.k1, np.int64).tobytes()], "k2": [np.array(self.k2, np.int64).tobytes()],
                      "starts": [np.array(self.starts, np.int64).tobytes()], "words": [np.array(self.words, np.int64).tobytes()],
-                     "echo": [places[echo].astype("<i4").tobytes()],
-                     "first": [places[first[back[echo]]].astype("<i4").tobytes()]})
+                     "echo": [pack(places[echo])], "first": [planes(places[first[back[echo]]])]})
 
 
 def _send(batches: Batches, width: int, buckets: int, extend: bool, most: int) -> Batches:
@@ -246,7 +236,7 @@ def _spread(group: pa.Table, width: int, extend: bool) -> pa.Table:
     directory = group.filter(pc.equal(group["kind"], 1)).to_pylist()[0]
     k1, k2, starts, words = (np.frombuffer(directory[x], np.int64) for x in ("k1", "k2", "starts", "words"))
     hits = np.sort(np.concatenate(answers))
-    echo, first = (np.frombuffer(directory[x], "<i4").astype(np.int64) for x in ("echo", "first"))
+    echo, first = unpack(directory["echo"]), from_planes(directory["first"]).astype(np.int64)
     if len(echo):
         at = np.minimum(np.searchsorted(hits, first), len(hits) - 1)
         hits = np.sort(np.concatenate([hits, echo[hits[at] == first]]))
@@ -283,8 +273,8 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def _round(rows: DataFrame, width: int, buckets: int, extend: bool) -> DataFrame:
-    sent = rows.mapInArrow(partial(_send, width=width, buckets=buckets, extend=extend, most=CHUNK_WORDS), _PACKED)
+def _round(rows: DataFrame, width: int, chunk: int, buckets: int, extend: bool) -> DataFrame:
+    sent = rows.mapInArrow(partial(_send, width=width, buckets=buckets, extend=extend, most=chunk), _PACKED)
     answered = sent.groupBy("bucket").applyInArrow(
         lambda g: _answer(g, extend), "chunk long, kind int, places binary, k1 binary, k2 binary, starts binary, "
         "words binary, echo binary, first binary")
@@ -310,14 +300,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     names = free_names(docs, "k1", "k2", "whole")
-    size = keyed.agg(F.sum(F.octet_length(names[2]))).first()[0] or 0
-    buckets = max(-(-size // BUCKET_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunk, buckets = sizes(keyed, names[2])
     k1, k2, whole = (F.col(n) for n in names)
     with small_batches(spark):
-        hits = _round(keyed.select(k1.alias("k1"), k2.alias("k2"), whole.alias("text")), width, buckets, False)
+        hits = _round(keyed.select(k1.alias("k1"), k2.alias("k2"), whole.alias("text")), width, chunk, buckets, False)
         near, found = _with_runs(keyed, names, hits, "inner")
         near = near.select(k1.alias("k1"), k2.alias("k2"), whole.alias("text"), F.col(found).alias("runs"))
-        return stored(_round(near, width, buckets, True), "repeats-windows")
+        return stored(_round(near, width, chunk, buckets, True), "repeats-windows")
 
 
 def covered(n: int, runs: list[int], width: int) -> np.ndarray:

@@ -78,7 +78,7 @@ def test_equals_brute_force(make_docs, family, k, percent):
 
 def test_split_units_shuffled_joins_and_small_chunks(make_docs, family, monkeypatch):
     monkeypatch.setattr(j, "BLOCK", 2)
-    monkeypatch.setattr(j, "CHUNK_GRAMS", 200)
+    monkeypatch.setattr("muster.llm.packing.LEAST", 200)
     monkeypatch.setattr("muster.llm.words.BROADCAST_ROWS", -1)
     assert run(make_docs(family), 4, 85) == brute(family, 4, 85)
 

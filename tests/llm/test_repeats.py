@@ -54,7 +54,7 @@ def test_equals_brute_force(make_docs, corpus, width):
 def test_many_chunks_and_shuffled_runs(make_docs, corpus, monkeypatch):
     """Chunks of a few documents, and runs joined instead of broadcast."""
     monkeypatch.setattr(repeats, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(repeats, "CHUNK_WORDS", 50)
+    monkeypatch.setattr("muster.llm.packing.LEAST", 50)
     assert result(repeats.scan(make_docs(corpus).repartition(5))) == brute(corpus, 35)
 
 
@@ -69,7 +69,7 @@ def test_chunk_answers_echoes():
     sent = sum(len(h) // 4 for h in batches[0].column("hashes").to_pylist())
     assert sent == len(set(hashes.tolist())) == 5
     directory = batches[1].to_pylist()[0]
-    assert np.frombuffer(directory["echo"], "<i4").tolist() == [3] and np.frombuffer(directory["first"], "<i4").tolist() == [0]
+    assert repeats.unpack(directory["echo"]).tolist() == [3] and repeats.from_planes(directory["first"]).tolist() == [0]
 
 
 def test_places_round_trip():
