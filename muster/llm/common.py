@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and lets later steps reread the rows
@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder expires it together with the checkpoints.
     """
     path = scratch(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, batch_rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

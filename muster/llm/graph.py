@@ -24,15 +24,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = stored(edges, "links")
     before = None
-    while not edges.isEmpty():
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _star(large)
         edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
                         ).first()
-        if (now.n, now.h) == before:
+        if not now.n or (now.n, now.h) == before:
             break
         before = (now.n, now.h)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

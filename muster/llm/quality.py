@@ -7,11 +7,11 @@ descent. For two labels the softmax of an average is the logistic function of an
 per bucket, so scoring needs one float per bucket and one pass over the text.
 
 Training reads a sample of ``train_rows`` labelled documents (those with the smallest hashes of their
-ids) with all features of their whole texts. The sample is a table; an epoch is one task that streams it
-through the current weights, in an order of its own, so neither the driver nor the task ever holds more
-than the weights (``BUCKETS * DIMENSIONS`` numbers) and ``SHUFFLED`` rows, however long the texts are. A bucket
-that no sampled document has weighs nothing. Scoring reads every whole text, in pieces, so a
-worker's memory does not grow with a text's length.
+ids) with all features of their whole texts. The sample is a table, and so are the weights after each epoch;
+an epoch is one task that streams the sample, in an order of its own, through the weights. So Python holds
+the weights (``BUCKETS * DIMENSIONS`` numbers) and a few rows, however long the texts are, and the driver gets the
+finished model alone: one number per bucket. A bucket that no sampled document has weighs nothing. Scoring
+reads every whole text, in pieces, so a worker's memory does not grow with a text's length.
 
 Defined results: null and empty texts have no features and get the score of the bias; without
 labels of both kinds every score is the share of label 1 among them (0.5 without labels); null labels
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import small_batches, stored
+from muster.llm.common import stored
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -39,7 +39,6 @@ NGRAMS = (3, 4)  # bytes of the character n-grams
 EPOCHS = 8
 LEARNING_RATE = 0.5
 TRAIN_ROWS = 6_000
-SHUFFLED = 128  # rows drawn from at random while an epoch streams by
 KEEP_AT = 0.7
 PIECE_CHARS = 1 << 19
 FOLDS, HELD_OUT = 4, 2
@@ -168,29 +167,29 @@ class Weights:
         weights = np.where(self.seen, self.vectors @ (self.out[1] - self.out[0]), 0)  # the others hold their random start
         return QualityModel(weights.astype(np.float32), float(self.bias[1] - self.bias[0]))
 
-    def packed(self) -> pa.RecordBatch:
-        parts = [self.vectors.astype("<f4").tobytes(), self.out.astype("<f4").tobytes(), self.bias.astype("<f4").tobytes(),
-                 self.seen.tobytes()]
-        return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in parts], pa.array([self.steps], pa.int64())],
-                                          names=["vectors", "out", "bias", "seen", "steps"])
+    def packed(self) -> tuple[bytes, bytes]:
+        return self.vectors.astype("<f4").tobytes(), b"".join(
+            [self.out.astype("<f4").tobytes(), self.bias.astype("<f4").tobytes(), np.int64(self.steps).tobytes(), self.seen.tobytes()])
 
     @classmethod
-    def unpacked(cls, row) -> Weights:
-        vectors, out, bias = (np.frombuffer(x, "<f4").copy() for x in (row.vectors, row.out, row.bias))
-        return cls(vectors.reshape(BUCKETS, DIMENSIONS), out.reshape(2, DIMENSIONS), bias,
-                   np.frombuffer(row.seen, bool).copy(), row.steps)
-
-
-def mingled(rows: Iterable[Row], seed: int, held: int = SHUFFLED) -> Iterator[Row]:
-    """``rows`` in another order: each is drawn from the next ``held``."""
-    rng, rows = np.random.default_rng(seed), iter(rows)
-    pool = list(islice(rows, held))
-    for row in rows:
-        at = int(rng.integers(len(pool)))
-        yield pool[at]
-        pool[at] = row
-    for at in rng.permutation(len(pool)):
-        yield pool[at]
+    def unpacked(cls, vectors: bytes, rest: bytes) -> Weights:
+        out, bias = (np.frombuffer(rest, "<f4", n, at).copy() for n, at in ((2 * DIMENSIONS, 0), (2, 8 * DIMENSIONS)))
+        at = 8 * DIMENSIONS + 8
+        return cls(np.frombuffer(vectors, "<f4").reshape(BUCKETS, DIMENSIONS).copy(), out.reshape(2, DIMENSIONS), bias,
+                   np.frombuffer(rest, bool, BUCKETS, at + 8).copy(), int(np.frombuffer(rest, np.int64, 1, at)[0]))
+
+
+def _epoch(batches: Iterator[pa.RecordBatch], total: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """One task: the row of the weights, if there is one, then the sample; the weights after it, or the model."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    first = next(rows)
+    weights = Weights.start() if first["label"] is not None else Weights.unpacked(first["buckets"], first["counts"])
+    ahead = [first] if first["label"] is not None else []
+    weights.learn(((np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["label"])
+                   for r in chain(ahead, rows)), total)
+    a, b = (weights.model().weights.tobytes(), np.float64(weights.model().bias).tobytes()) if last else weights.packed()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([a], pa.binary()),
+                                      pa.array([b], pa.binary())], names=["order", "label", "buckets", "counts"])
 
 
 def of_one_label(share: float) -> QualityModel:
@@ -212,12 +211,6 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["order", "label", "buckets", "counts"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield np.frombuffer(row["buckets"], "<i4"), np.frombuffer(row["counts"], "<i4"), row["label"]
-
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Learn from a bounded sample of the labelled rows outside the held-out fold."""
@@ -232,26 +225,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
              .select(F.xxhash64("id", "text").alias("order"), "label", "text"))
     # an id may be in many rows: the sample ends at the order of its last row
     last = known.select("order").distinct().orderBy("order").limit(train_rows).agg(F.max("order")).first()[0]
-    sample = stored(known.where(F.col("order") <= F.lit(last)).mapInArrow(
-        _featured, "order long, label int, buckets binary, counts binary").dropDuplicates(["order"]), "quality-sample")
+    row = "order long, label int, buckets binary, counts binary"
+    sample = stored(known.where(F.col("order") <= F.lit(last)).mapInArrow(_featured, row).dropDuplicates(["order"]), "quality-sample")
     n, share = sample.agg(F.count(F.lit(1)), F.avg("label")).first()
     if not n or not 0 < share < 1:
         return of_one_label(share if n else 0.5)
-    weights, context = Weights.start(), docs.sparkSession.sparkContext
+    rows = sample
     for epoch in range(EPOCHS):
-        shared = context.broadcast(weights)
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            weights = shared.value
-            weights.learn(mingled(_unpacked(batches), epoch), EPOCHS * n)
-            yield weights.packed()
-
-        with small_batches(docs.sparkSession, 32):
-            row = sample.coalesce(1).mapInArrow(
-                learn, "vectors binary, out binary, bias binary, seen binary, steps long").first()
-        weights = Weights.unpacked(row)
-        shared.destroy()
-    return weights.model()
+        # the weights first, as their order is null; then the sample, every time in another order
+        ordered = rows.coalesce(1).sortWithinPartitions(F.col("label").isNotNull(), F.xxhash64("order", F.lit(epoch)), "order")
+        weights = stored(ordered.mapInArrow(lambda b, last=epoch == EPOCHS - 1: _epoch(b, EPOCHS * n, last), row),
+                         "quality-weights", batch_rows=32)
+        rows = weights.unionByName(sample)
+    model = weights.first()
+    return QualityModel(np.frombuffer(model.buckets, "<f4"), float(np.frombuffer(model.counts, "<f8")[0]))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
