@@ -47,3 +47,59 @@ def matches_all_terms(col: Column | str, q: str) -> Column:
     if "-" not in q:
         return found
     return found & (F.size(F.array_except(compound_tokens(F.lit(q)), compound_tokens(col))) == 0)
+
+
+# --- token classes ------------------------------------------------------------------------------
+# fixed values: the token classes of PostgreSQL's default parser, longest class first at every place
+_HOST = r"(?:[a-z0-9][a-z0-9_-]*\.)+[a-z][a-z0-9-]*[a-z0-9](?::[0-9]+)?"
+_END = r"(?![\p{L}\p{N}])"
+_WORD = r"\p{N}*\p{L}[\p{L}\p{N}]*"
+TOKEN_CLASSES = {
+    "tag": r"<[a-z/!?][^<>]*>",
+    "entity": r"&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);",
+    "protocol": r"[a-z][a-z0-9]*://",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._-]*@" + _HOST,
+    "url": _HOST + r"/[^\s\"<>\\^`{|}]*",
+    "file": r"(?:~?/|[a-z0-9_][a-z0-9_.-]*/)[a-z0-9_.-]*[a-z0-9_](?:/[a-z0-9_.-]*[a-z0-9_])*",
+    "host": _HOST + _END,
+    "version": r"[0-9]+(?:\.[0-9]+){2,}" + _END,
+    "sfloat": r"[+-]?[0-9]+(?:\.[0-9]+)?e[+-]?[0-9]+" + _END,
+    "float": r"[+-]?[0-9]+\.[0-9]+" + _END,
+    "hword": _WORD + "(?:-" + _WORD + ")+",
+    "int": r"[+-][0-9]+" + _END,
+    "word": _WORD,
+    "uint": r"\p{N}+",
+}
+#: classes that are read and not indexed
+SILENT_CLASSES = ("tag", "entity", "protocol")
+
+
+def class_tokens(col: Column | str) -> Column:
+    """array<string> of the lower-case tokens of ``col`` by class, as PostgreSQL's default parser cuts a text.
+
+    E-mail addresses, hosts, URLs, file paths, versions and signed, decimal or scientific numbers are
+    tokens of their own. A URL gives itself, its host and its path; a hyphenated word gives itself and its parts;
+    tags, entities and protocols give nothing. At every place the class listed first that matches wins. NULL
+    and empty texts have no tokens. One scan of the text by one pattern, no UDF.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    every = "|".join(f"(?:{p})" for p in TOKEN_CLASSES.values())
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(every), 0)
+
+    def given(t: Column) -> Column:
+        def is_a(name: str) -> Column:
+            return t.rlike(f"^(?:{TOKEN_CLASSES[name]})$")
+
+        silent = is_a("tag") | is_a("entity") | is_a("protocol")
+        path = F.locate("/", t)
+        url = F.array(t, F.substring(t, F.lit(1), path - 1), F.substring(t, path, F.length(t)))
+        return (F.when(silent, F.array().cast("array<string>")).when(is_a("email"), F.array(t)).when(is_a("url"), url)
+                .when(is_a("hword"), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t)))
+
+    return F.flatten(F.transform(found, given))
+
+
+def matches_all_class_terms(col: Column | str, q: str) -> Column:
+    """Boolean column: every token of ``q`` by class is a token of ``col`` by class."""
+    wanted = class_tokens(F.lit(q))
+    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, class_tokens(col))) == 0)

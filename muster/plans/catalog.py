@@ -36,10 +36,12 @@ def load_all() -> None:
     from muster.plans import (  # noqa: F401
         q_access,
         q_derived,
+        q_fulltext,
         q_ingest,
         q_listing,
         q_mutate,
         q_rules,
+        q_sequence,
         q_stream,
         q_updates,
     )

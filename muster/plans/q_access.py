@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from muster.operators import access as A
 from muster.plans.catalog import query
-from muster.plans.oracle_sql import AS_OF, TOKEN, with_tables
+from muster.functions.ids import key_uuid
+from muster.plans.oracle_sql import AS_OF, TOKEN, uid, with_tables
 from muster.plans.standins import AS_OF as AS_OF_TEXT
 from muster.plans.standins import StandIns
 from muster.schemas import SCOPE_AUTHENTICATION
@@ -62,6 +63,39 @@ def access_decision(t):
     return A.access_decision(t.requests, t.tokens, t.users, AS_OF_TEXT)
 
 
+@query("access_asof", with_tables("tokens") + f""",
+    issued AS (SELECT sha256({TOKEN}) AS hash, ts AS issued_at FROM events),
+    live AS (SELECT k.*, i.issued_at FROM tokens k JOIN issued i USING (hash) WHERE k.scope = 'authentication'),
+    v AS (SELECT {uid('user_id')} AS user_id, ts AS valid_from, value >= 20 AS activated, event_id FROM events
+          WHERE event_type IN ('signup', 'error')),
+    r AS (SELECT event_id AS request_id, ts AS requested_at, event_type <> 'view' AS guarded, CASE WHEN value >= 5 THEN
+            'Bearer ' || lpad(CAST(event_id - event_id % 3 AS VARCHAR), 26, 'A') END AS auth_header FROM events),
+    j AS (SELECT r.*, k.user_id AS uid FROM r LEFT JOIN live k ON k.hash = sha256(substr(r.auth_header, 8))
+          AND k.issued_at <= r.requested_at AND r.requested_at < k.expiry),
+    w AS (SELECT j.request_id, arg_max(v.activated, (v.valid_from, v.event_id)) AS active
+          FROM j JOIN v ON v.user_id = j.uid AND v.valid_from <= j.requested_at GROUP BY j.request_id),
+    o AS (SELECT j.request_id, j.requested_at, CASE WHEN active IS NOT NULL THEN j.uid END AS user_id, CASE
+            WHEN auth_header IS NULL AND guarded THEN 'unauthenticated' WHEN auth_header IS NULL THEN 'allowed'
+            WHEN active IS NULL THEN 'invalid_token' WHEN guarded AND NOT active THEN 'inactive' ELSE 'allowed' END AS outcome
+          FROM j LEFT JOIN w USING (request_id))
+    SELECT request_id, requested_at, user_id, outcome, CASE outcome WHEN 'allowed' THEN 200 WHEN 'inactive' THEN 403 ELSE 401 END AS status
+    FROM o""")
+def access_asof(t):
+    """J2 at each request's own time: a request presents the token of an event shortly before it; signup and
+    error events are versions of their user."""
+    e = t.raw("events")
+    token = F.lpad((F.col("event_id") - F.col("event_id") % 3).cast("string"), 26, "A")
+    requests = e.select(F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at"),
+                        (F.col("event_type") != "view").alias("guarded"),
+                        F.when(F.col("value") >= 5, F.concat(F.lit("Bearer "), token)).alias("auth_header"))
+    versions = e.where(F.col("event_type").isin("signup", "error")).select(
+        key_uuid("user_id").alias("user_id"), F.col("ts").alias("valid_from"),
+        (F.col("value") >= 20).alias("activated"), "event_id")
+    return A.access_asof(requests, A.token_periods(t.token_requests), versions, at_col="requested_at",
+                         version_tie="event_id").select(
+        "request_id", "requested_at", "user_id", "outcome", "status")
+
+
 _METHOD = "CASE event_type WHEN 'click' THEN 'GET' WHEN 'purchase' THEN 'POST' WHEN 'view' THEN 'PATCH' ELSE 'DELETE' END"
 _PATH = ("CASE user_id % 4 WHEN 0 THEN concat('/v1/officers/', user_id) WHEN 1 THEN '/v1/users' "
          "WHEN 2 THEN concat('/v1/users/', user_id) ELSE '/v1/nothing' END")
