@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,25 @@ def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed: workers live on beside the tasks of later stages, and what
+    they hold is taken from an executor's memory all the while."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task over batches that gives its memory back in the end."""
+    @functools.wraps(task)
+    def run(*args, **named):
+        try:
+            yield from task(*args, **named)
+        finally:
+            give_back()
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -52,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import small_batches, stored
+from muster.llm.common import give_back, small_batches, stored, tidy
 from muster.llm.graph import components
 from muster.llm.packing import from_planes, pack, planes, sizes, unpack
 from muster.llm.words import KEY_ROWS, small, text_key
@@ -253,6 +253,7 @@ def _packed(ids: list, id_type: pa.DataType, about: list[tuple], sets: list[np.n
     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+@tidy
 def _send_grams(batches: Batches, k: int, buckets: int, most: int) -> Batches:
     number, ids, about, sets, held = TaskContext.get().partitionId() << 32, [], [], [], 0
     kind = pa.null()
@@ -297,6 +298,7 @@ def _answer_grams(group: pa.Table) -> pa.Table:
             often = np.minimum(255, 8 * np.log2(total[of][shared])).astype(np.uint8)
             rows.append({"chunk": number, "kind": 0, "grams": parts[i][shared].tobytes(), "counts": often.tobytes(),
                          "places": pack(unpack(places)[shared])})
+    give_back()
     return pa.concat_tables([passed, pa.Table.from_pylist(rows, schema=passed.schema)])
 
 
@@ -326,6 +328,7 @@ def _choose_grams(group: pa.Table, percent: int) -> pa.Table:
                     names=["id", "key", "n", "h1", "h2", "least", "prefix"])
 
 
+@tidy
 def _signatures(batches: Batches, k: int) -> Batches:
     for batch in batches:
         sets = [gram_set(t, k) for t in batch.column("text").to_pylist()]
@@ -334,6 +337,7 @@ def _signatures(batches: Batches, k: int) -> Batches:
              pa.array([signature(g).tobytes() for g in sets], pa.binary())], names=["row", "n", "signature"])
 
 
+@tidy
 def _full_sets(batches: Batches, k: int) -> Batches:
     for batch in batches:
         sets = [gram_set(t, k).view(np.int64) for t in batch.column("text").to_pylist()]
@@ -349,6 +353,7 @@ def _groups(batches: Batches, keys: list[str]) -> Iterator[list[dict]]:
         yield list(group)
 
 
+@tidy
 def _link_task(batches: Batches, percent: int) -> Batches:
     """Links that join the classes of a group of full sets; pairs already joined are not verified."""
     for group in _groups(batches, ["least", "block"]):
@@ -390,6 +395,7 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b", "low", "high", "score"])
 
 
+@tidy
 def _traverse_task(batches: Batches, percent: int, every: bool) -> Batches:
     """Pairs of classes in different components that may be linked; of every two components the most
     likely, or all. The classes of a home come first, then its units."""

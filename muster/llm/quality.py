@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import stored
+from muster.llm.common import stored, tidy
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -39,6 +39,7 @@ NGRAMS = (3, 4)  # bytes of the character n-grams
 EPOCHS = 8
 LEARNING_RATE = 0.5
 TRAIN_ROWS = 6_000
+PARTS = 64  # rows that hold the weights
 KEEP_AT = 0.7
 PIECE_CHARS = 1 << 19
 FOLDS, HELD_OUT = 4, 2
@@ -179,17 +180,26 @@ class Weights:
                    np.frombuffer(rest, bool, BUCKETS, at + 8).copy(), int(np.frombuffer(rest, np.int64, 1, at)[0]))
 
 
+@tidy
 def _epoch(batches: Iterator[pa.RecordBatch], total: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """One task: the row of the weights, if there is one, then the sample; the weights after it, or the model."""
+    """One task: the parts of the weights, if there are any, then the sample; the weights after it, or the model."""
     rows = (row for batch in batches for row in batch.to_pylist())
-    first = next(rows)
-    weights = Weights.start() if first["label"] is not None else Weights.unpacked(first["buckets"], first["counts"])
-    ahead = [first] if first["label"] is not None else []
+    parts, ahead = [], []
+    for row in rows:
+        if row["label"] is not None:
+            ahead = [row]
+            break
+        parts.append(row)
+    parts.sort(key=lambda r: r["order"])
+    weights = Weights.unpacked(*(b"".join(r[c] for r in parts) for c in ("buckets", "counts"))) if parts else Weights.start()
     weights.learn(((np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["label"])
                    for r in chain(ahead, rows)), total)
     a, b = (weights.model().weights.tobytes(), np.float64(weights.model().bias).tobytes()) if last else weights.packed()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([a], pa.binary()),
-                                      pa.array([b], pa.binary())], names=["order", "label", "buckets", "counts"])
+    step = -(-len(a) // PARTS)
+    for i in range(PARTS):  # small rows: one of all weights would ask for large buffers all the way
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i], pa.int64()), pa.array([None], pa.int32()), pa.array([a[i * step:(i + 1) * step]], pa.binary()),
+             pa.array([b if i == 0 else b""], pa.binary())], names=["order", "label", "buckets", "counts"])
 
 
 def of_one_label(share: float) -> QualityModel:
@@ -203,6 +213,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(id_col.cast("string"), "UTF-8")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
+@tidy
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [train_features(text) for text in batch.column("text").to_pylist()]
@@ -232,13 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         return of_one_label(share if n else 0.5)
     rows = sample
     for epoch in range(EPOCHS):
-        # the weights first, as their order is null; then the sample, every time in another order
+        # the weights first, as they have no label; then the sample, every time in another order
         ordered = rows.coalesce(1).sortWithinPartitions(F.col("label").isNotNull(), F.xxhash64("order", F.lit(epoch)), "order")
         weights = stored(ordered.mapInArrow(lambda b, last=epoch == EPOCHS - 1: _epoch(b, EPOCHS * n, last), row),
                          "quality-weights", batch_rows=32)
         rows = weights.unionByName(sample)
-    model = weights.first()
-    return QualityModel(np.frombuffer(model.buckets, "<f4"), float(np.frombuffer(model.counts, "<f8")[0]))
+    model = sorted(weights.collect(), key=lambda r: r.order)  # PARTS rows of BUCKETS numbers in all
+    return QualityModel(np.frombuffer(b"".join(r.buckets for r in model), "<f4"),
+                        float(np.frombuffer(model[0].counts, "<f8")[0]))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

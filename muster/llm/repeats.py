@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import small_batches, stored
+from muster.llm.common import give_back, small_batches, stored, tidy
 from muster.llm.packing import from_planes, pack, planes, sizes, unpack
 
 WIDTH = 35
@@ -153,6 +153,7 @@ class Chunk:
                      "echo": [pack(places[echo])], "first": [planes(places[first[back[echo]]])]})
 
 
+@tidy
 def _send(batches: Batches, width: int, buckets: int, extend: bool, most: int) -> Batches:
     """First pass: the rolling runs of all documents. Second: the windows that start in a document's runs."""
     known, block = WordHashes(), (width + 1) // 2
@@ -224,6 +225,7 @@ def _answer(group: pa.Table, wide: bool) -> pa.Table:
         empty = [None] * len(chunks)
         out.append(pa.table([pa.array(chunks, pa.int64()), pa.array([0] * len(chunks), pa.int32()), pa.array(places, pa.binary()),
                              *[pa.array(empty, pa.binary())] * 6], names=out[0].column_names))
+    give_back()
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
@@ -326,6 +328,7 @@ def kept_words(raw: bytes, runs: list[int] | None, width: int) -> tuple[list[byt
     return [words[i] for i in np.flatnonzero(~gone)], len(words)
 
 
+@tidy
 def _digests(batches: Batches, width: int) -> Batches:
     for batch in batches:
         total, removed, digests = [], [], []

@@ -107,18 +107,21 @@ def test_weights_survive_their_table():
 
 def test_an_epoch_streams_its_rows():
     """A row is learned from before the next one is asked for; the weights come first."""
-    def batch(label, buckets, counts):
-        return pa.RecordBatch.from_pylist([{"order": 1, "label": label, "buckets": buckets, "counts": counts}])
+    def batch(label, buckets, counts, order=1):
+        return pa.RecordBatch.from_pylist([{"order": order, "label": label, "buckets": buckets, "counts": counts}])
 
     def batches(asked):
-        yield batch(None, *quality.Weights.start(4).packed())
+        vectors, rest = quality.Weights.start(4).packed()
+        yield batch(None, vectors[1000:], b"", 1)
+        yield batch(None, vectors[:1000], rest, 0)
         for i in range(5):
             asked.append(i)
             yield batch(i % 2, np.array([i], "<i4").tobytes(), np.array([2], "<i4").tobytes())
 
     asked = []
-    out = next(quality._epoch(batches(asked), 10, False)).to_pylist()[0]
-    got, want = quality.Weights.unpacked(out["buckets"], out["counts"]), quality.Weights.start(4)
+    out = [r for b in quality._epoch(batches(asked), 10, False) for r in b.to_pylist()]
+    assert len(out) == quality.PARTS
+    got, want = quality.Weights.unpacked(*(b"".join(r[c] for r in out) for c in ("buckets", "counts"))), quality.Weights.start(4)
     want.learn([(np.array([i]), np.array([2]), i % 2) for i in range(5)], 10)
     assert asked == list(range(5)) and np.array_equal(got.vectors, want.vectors) and got.steps == 5
 
