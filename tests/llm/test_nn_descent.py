@@ -86,14 +86,52 @@ def test_hubs_of_a_tight_group(spark):
 
 
 def test_a_missed_target_is_not_returned(spark, vectors, monkeypatch):
-    some = vectors[::16]
     monkeypatch.setattr(nn_descent, "TARGET", 1.1)  # never reached
-    monkeypatch.setattr(nn_descent, "ROUNDS", 1)
-    monkeypatch.setattr(nn_descent, "BLOCK", 20)
-    assert run(spark, some) == brute(some)
-    monkeypatch.setattr(nn_descent, "EXACT_ROWS", 10)
-    with pytest.raises(RuntimeError, match="recall"):
-        run(spark, some)
+    monkeypatch.setattr(nn_descent, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="recall 1.000 after 2 rounds"):
+        run(spark, vectors[::16])
+
+
+def test_sparse_links_of_many_vectors(spark):
+    """40 pairs at cosine 0.91 among 60,000 random vectors: no sampled vector has a link, planted ones tell."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60_000, 64)).astype(np.float32)
+    for i in range(40):
+        u = x[i] / np.linalg.norm(x[i])
+        aside = rng.normal(size=64)
+        aside -= (aside @ u) * u
+        x[30_000 + i] = 0.91 * u + np.sqrt(1 - 0.91**2) * aside / np.linalg.norm(aside)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    search = nn_descent.NearDuplicates(df)
+    linked = {r.id for r in search.members.where("n_links > 0").collect()}
+    assert linked <= {*range(40), *range(30_000, 30_040)} and len(linked) >= 0.98 * 80
+    assert search.recall >= nn_descent.TARGET
+
+
+def test_a_failing_audit_starts_another_round(spark, monkeypatch):
+    """With one tree too deep for its pairs the planted recall is low; later rounds repair it."""
+    rng = np.random.default_rng(10)
+    rows = as_rows(rng.normal(size=(3_000, 24)))
+    u = np.array(rows[0][1]) / np.linalg.norm(rows[0][1])
+    aside = rng.normal(size=24)
+    aside -= (aside @ u) * u
+    rows.append((5_000, [float(v) for v in np.float32(0.92 * u + np.sqrt(1 - 0.92**2) * aside / np.linalg.norm(aside))]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(nn_descent, "LEAF", 25)
+    monkeypatch.setattr(nn_descent, "ITERATIONS", 0)
+    monkeypatch.setattr(nn_descent.NearDuplicates, "_trees", lambda self, depth: 3)
+    search = nn_descent.NearDuplicates(df)
+    assert search.rounds > 1 and search.recall >= nn_descent.TARGET
+    got = sorted(((r.id, r.n_links, r.component_id) for r in search.members.collect()), key=repr)
+    assert sum(r[1] for r in got) >= 2 and sum(r[1] for r in got) >= 0.98 * sum(r[1] for r in brute(rows))
+
+
+def test_trees_follow_the_depth():
+    together = 1 - np.arccos(0.9) / np.pi
+    for depth in (0, 1, 5, 9, 22):
+        trees = nn_descent.trees_for(depth, 0.9)
+        assert 1 - (1 - together**depth) ** trees >= nn_descent.MEET - 1e-12
+    assert nn_descent.trees_for(0, 0.9) == nn_descent.trees_for(30, 1.0) == 1
 
 
 def test_query_on_the_whole_table(spark):
@@ -124,5 +162,8 @@ def test_recall_is_audited(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     search = nn_descent.NearDuplicates(df)
     assert search.recall >= nn_descent.TARGET
-    lame = search._audit(search.lists, search.found.limit(0))
-    assert lame < 0.5
+    withheld = spark.createDataFrame([], "node long, n long")
+    assert search._audit(search.lists, search.found, withheld) == 0.0
+    assert search._planted_found(search.lists.limit(0), search.found.limit(0)) == 0.0
+    lonely = nn_descent.NearDuplicates(spark.createDataFrame(as_rows(np.eye(20)), "vec_id long, embedding array<float>"))
+    assert lonely._audit(lonely.lists, lonely.found, withheld) is None and lonely.recall == 1.0
