@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.common import stored
+from muster.llm.common import stored, tidy
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -89,6 +89,7 @@ def _lists(batch: pa.RecordBatch, *names: str):
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+@tidy
 def _cut(batches: Batches, chunk: int, overlap: int) -> Batches:
     """One row per chunk; a batch per text, so no more than one text's chunks are held."""
     for batch in batches:
@@ -102,6 +103,7 @@ def _cut(batches: Batches, chunk: int, overlap: int) -> Batches:
                 names=["row", "chunk", "start", "body", "last"])
 
 
+@tidy
 def _edges(batches: Batches, chunk: int, overlap: int, ranks_path: str | None) -> Batches:
     """Trusted boundaries of each chunk inside the overlaps with its two neighbours."""
     pattern = codec(ranks_path)[0]
@@ -118,6 +120,7 @@ def _edges(batches: Batches, chunk: int, overlap: int, ranks_path: str | None) -
             names=["row", "chunk", "head", "tail"])
 
 
+@tidy
 def _pieces(batches: Batches, ranks_path: str | None) -> Batches:
     """Ids of the pieces between a chunk's two stitches, matched with the text that follows them."""
     pattern, cache, _ = codec(ranks_path)
@@ -132,6 +135,7 @@ def _pieces(batches: Batches, ranks_path: str | None) -> Batches:
             names=["row", "chunk", "ids"])
 
 
+@tidy
 def _whole(batches: Batches, ranks_path: str | None) -> Batches:
     for batch in batches:
         ids = [encode_text(text, ranks_path) for text in batch.column("text").to_pylist()]
@@ -200,6 +204,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
     return whole.unionByName(_stitched(long, ranks_path, chunk_chars, overlap_chars))
 
 
+@tidy
 def _digest(batches: Batches, ranks_path: str | None) -> Batches:
     """Digests of texts of one chunk: encode, decode, hash."""
     for batch in batches:
@@ -211,6 +216,7 @@ def _digest(batches: Batches, ranks_path: str | None) -> Batches:
             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+@tidy
 def _digest_parts(batches: Batches, ranks_path: str | None) -> Batches:
     """The same from parts that come in order of text and chunk; one part is held at a time."""
     names = ["row", "copies", "n_tokens", "ids_sha256", "decoded_sha256"]
