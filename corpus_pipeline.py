@@ -26,11 +26,14 @@ from muster.llm.common import stored, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled rows of ``docs``; keep what the classifier accepts."""
+    """Learn from the labelled rows of ``docs``; keep what the classifier accepts.
+
+    Stored here, as ``stored`` hands whole texts to Python in small batches, whoever writes the result."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     score = "_".join(["score", *docs.columns])  # a name that no column has
     scored = quality.score(docs, model, out_col=score)
-    return scored.where(quality.accepted(f"`{score}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = scored.where(quality.accepted(f"`{score}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored(kept, "pipeline-accepted")
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left and show that it decodes: one row of digests per document."""
-    return bpe.round_trip(docs)
+    return stored(bpe.round_trip(docs), "pipeline-digests")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
