@@ -43,5 +43,6 @@ def load_all() -> None:
         q_rules,
         q_sequence,
         q_stream,
+        q_totals,
         q_updates,
     )
