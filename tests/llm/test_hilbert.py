@@ -68,3 +68,8 @@ def test_shards_on_disk_keep_all_columns_and_prune(spark, documents):
     touched = sum(r.min_lang <= "de" <= r.max_lang for r in ranges) + sum(
         r.min_n_chars <= 300 <= r.max_n_chars for r in ranges)
     assert touched < 2 * len(ranges) * 0.75
+
+
+def test_the_plan_has_no_python(documents):
+    plan = hilbert.place(documents, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
