@@ -430,7 +430,7 @@ def _traverse_task(batches: Batches, percent: int, every: bool) -> Batches:
 
 # --- the join ------------------------------------------------------------------------------------
 class JaccardJoin:
-    """The steps over one table. ``members``: a row per document; ``links``: what joins the classes."""
+    """The steps over one table. ``members``: a row per document; ``comps``: what joins the classes."""
 
     def __init__(self, docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id",
                  text_col: str = "text"):
@@ -442,14 +442,12 @@ class JaccardJoin:
         self.id_type = dict(self.texts.dtypes)["id"]
         self._describe()
         self._classes()
-        self.links = stored(self._first_links(), "jaccard-links")
-        self._find_components()
+        self._find_components(stored(self._first_links(), "jaccard-links"))
         units = self._units()
         for every in (False, True):
             found = stored(self._verified(self._candidates(units, every)), "jaccard-links")
             if not found.isEmpty():
-                self.links = self.links.unionByName(found)
-                self._find_components()
+                self._find_components(found.unionByName(self.comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         self.members = self._members()
 
     def _describe(self) -> None:
@@ -505,8 +503,8 @@ class JaccardJoin:
                 .sortWithinPartitions("least", "block", "row").select("least", "block", "row", "grams")
                 .mapInArrow(lambda b: _link_task(b, percent), "a long, b long"))
 
-    def _find_components(self) -> None:
-        self.comps = stored(components(self.links), "jaccard-components")
+    def _find_components(self, links: DataFrame) -> None:
+        self.comps = stored(components(links), "jaccard-components")
         self.linked = self.comps.count()
 
     def _with_component(self, rows: DataFrame) -> DataFrame:
