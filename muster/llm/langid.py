@@ -7,7 +7,7 @@
 * The host: a prior P(language | host), smoothed towards the registered domain, and that towards all
   pages, by pseudo-counts; a page's own share is taken out of the counts first.
 
-The text models are learned from a sample of ``per_language`` documents of each language. All other
+The text models are learned from a sample of ``per_language`` documents of each language, whatever their number. All other
 tables come from grouped aggregations over all pages of the text posteriors (soft counts), with
 partial aggregation, so a host with a third of the pages is one row per task in the shuffle. Joined
 tables have one row per value and are broadcast only if counted small.
@@ -33,7 +33,7 @@ from muster.llm.words import small
 
 BUCKETS = 1 << 14
 PER_LANGUAGE = 1_500
-MOST_LANGUAGES = 64
+SPARE = 4  # times as many ids as needed go to the choice of a sample
 TEXT_GRAMS = 40
 PSEUDO_ROWS = 10.0  # weight of the parent level
 
@@ -68,20 +68,23 @@ class TextModel:
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
           per_language: int = PER_LANGUAGE) -> TextModel:
-    """Trigram counts of a bounded sample: ``per_language`` documents by smallest hash, of the
-    ``MOST_LANGUAGES`` most frequent languages."""
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    common = named.groupBy(F.col(lang_col).alias("language")).agg(F.count(F.lit(1)).alias("n")) \
-        .orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES)
-    languages = sorted(r.language for r in common.collect())
+    """Trigram counts of a bounded sample: of every language, the ``per_language`` ids of smallest hash.
+
+    Hashes beyond a cut, set from the language's number of ids, can't be among them and are left out
+    first, so the choice reads some ``SPARE`` times ``per_language`` ids of a language, however common."""
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("language"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    common = stored(named.groupBy("language").agg(F.approx_count_distinct("id").alias("ids")), "lang-languages")
+    languages = sorted(r.language for r in common.select("language").collect())
     if not languages:
         raise ValueError("no document names its language")
     nth = Window.partitionBy("language").orderBy("order", "id")
-    # every task keeps at most per_language rows a language before the shuffle; texts follow by key
-    chosen = (named.where(F.col(lang_col).isin(languages))
-              .select(F.col(lang_col).alias("language"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("order"))
-              .withColumn("n", F.row_number().over(nth)).where(F.col("n") <= per_language)
-              .select("language", "id").distinct())
+    place = F.col("order") / F.lit(2.0**64) + 0.5  # of a hash among all hashes, 0 to 1
+    chosen = (named.select("language", "id", F.xxhash64("id").alias("order"))
+              .join(small(common, len(languages)), "language")
+              .where(place * F.col("ids") <= SPARE * per_language + 100).select("language", "id", "order").distinct()
+              .withColumn("n", F.row_number().over(nth)).where(F.col("n") <= per_language).select("language", "id"))
+    chosen = stored(chosen, "lang-sample")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -93,9 +96,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             found = np.flatnonzero(counts)
             yield pd.DataFrame({"language": language, "bucket": found, "n": counts[found]})
 
-    # at most languages x per_language narrow rows: a bounded broadcast
-    sample = (named.select(F.col(lang_col).alias("language"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-              .join(F.broadcast(chosen), ["language", "id"], "left_semi").select("language", "text"))
+    sample = named.join(small(chosen, chosen.count()), ["language", "id"], "left_semi").select("language", "text")
     counts = (sample.mapInPandas(counted, "language string, bucket int, n long")
               .groupBy("language", "bucket").agg(F.sum("n").alias("n")).collect())
     table = np.full((len(languages), BUCKETS), 0.5)

@@ -72,3 +72,16 @@ def test_repeats_empty_tables_and_clashing_columns(spark, model, make_docs):
 def test_hidden_parts_are_not_text(spark, model):
     html = f"<html><script>{WORDS['bb'] * 20}</script><!-- {WORDS['bb']} --><style>x</style><p>{WORDS['aa']}</p></html>"
     assert langid.identify(pages(spark, [(1, "u", html)]), model).first().text_lang == "aa"
+
+
+def test_every_language_is_learned_from_its_smallest_hashes(spark, make_docs):
+    rows = [(i, f"{chr(0x4E00 + 3 * i)}{chr(0x4E01 + 3 * i)}{chr(0x4E02 + 3 * i)} " * 5, f"l{i:02}") for i in range(70)]
+    rows += [(1_000 + i, f"word{i} common", "hot") for i in range(3_000)]
+    model = langid.train(make_docs(rows), per_language=10)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert all(np.argmax(model.log_likelihoods(t)) == model.languages.index(lang) for _, t, lang in rows[:70])
+    order = {r.id: r.h for r in spark.range(1_000, 4_000).selectExpr("id", "xxhash64(id) AS h").collect()}
+    least = sorted(order, key=lambda i: (order[i], i))[:10]
+    grams = np.concatenate([langid.trigram_buckets(f"word{i - 1_000} common") for i in least])
+    table = 0.5 + np.bincount(grams, minlength=langid.BUCKETS)
+    assert np.allclose(model.log_chances[model.languages.index("hot")], np.log(table / table.sum()))
