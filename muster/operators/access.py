@@ -159,12 +159,7 @@ def access_asof(requests: DataFrame, tokens: DataFrame, versions: DataFrame, hea
     order of :func:`access_decision`. The token join is on a unique, uniform hash; the users' versions are
     found by an as-of join, which splits hot users. Adds outcome, status, user_id.
     """
-    h = F.col(header_col)
-    parts = F.split(h, " ", -1)
-    tok = F.try_element_at(parts, F.lit(2))
-    state = (F.when(h.isNull() | (h == ""), F.lit("anonymous"))
-             .when((F.size(parts) != 2) | (F.try_element_at(parts, F.lit(1)) != "Bearer"), "invalid_token")
-             .when((tok == "") | (F.octet_length(tok) != TOKEN_TEXT_BYTES), "invalid_token").otherwise("lookup"))
+    state, tok = presented(F.col(header_col))
     req = requests.withColumn("_state", state)
     alone = F.concat(F.lit("-"), F.xxhash64(*requests.columns).cast("string"))
     req = req.withColumn("_key", F.when(F.col("_state") == "lookup", token_hash(tok)).otherwise(alone))
@@ -174,6 +169,22 @@ def access_asof(requests: DataFrame, tokens: DataFrame, versions: DataFrame, hea
     held = (F.col("_from") <= F.col(at_col)) & (F.col(at_col) < F.col("_until"))
     owned = req.join(live, "_key", "left").withColumn("_user", F.when(held, F.col("_owner"))) \
         .drop("_key", "_owner", "_from", "_until")
+    return decide_asof(owned, versions, guarded_col, at_col, version_tie)
+
+
+def presented(header: Column) -> tuple[Column, Column]:
+    """What an Authorization header is (anonymous, invalid_token, or lookup: a token to be looked up), and its token."""
+    parts = F.split(header, " ", -1)
+    tok = F.try_element_at(parts, F.lit(2))
+    state = (F.when(header.isNull() | (header == ""), F.lit("anonymous"))
+             .when((F.size(parts) != 2) | (F.try_element_at(parts, F.lit(1)) != "Bearer"), "invalid_token")
+             .when((tok == "") | (F.octet_length(tok) != TOKEN_TEXT_BYTES), "invalid_token").otherwise("lookup"))
+    return state, tok
+
+
+def decide_asof(owned: DataFrame, versions: DataFrame, guarded_col: str, at_col: str,
+                version_tie: str | None = None) -> DataFrame:
+    """Outcome, status and user_id of requests with their header's ``_state`` and their live token's owner ``_user``."""
     known = asof_join(owned, versions.select(F.col("user_id").alias("_user"), "valid_from",
                                              F.coalesce("activated", F.lit(False)).alias("_active"),
                                              *([version_tie] if version_tie else [])),

@@ -36,6 +36,7 @@ def load_all() -> None:
     from muster.plans import (  # noqa: F401
         q_access,
         q_derived,
+        q_files,
         q_fulltext,
         q_ingest,
         q_listing,

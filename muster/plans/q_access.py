@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from muster.operators import access as A
-from muster.plans.catalog import query
+from muster.plans.catalog import ORACLE, query
 from muster.functions.ids import key_uuid
 from muster.plans.oracle_sql import AS_OF, TOKEN, uid, with_tables
 from muster.plans.standins import AS_OF as AS_OF_TEXT
 from muster.plans.standins import StandIns
 from muster.schemas import SCOPE_AUTHENTICATION
+from muster.session import checkpoint_dir
+from muster.streaming.access import read_decisions, run_access_stream
 
 
 @query("register_tokens", with_tables("tokens") + "SELECT hash, user_id, scope, expiry FROM tokens")
@@ -83,6 +87,13 @@ def access_decision(t):
 def access_asof(t):
     """J2 at each request's own time: a request presents the token of an event shortly before it; signup and
     error events are versions of their user."""
+    requests, versions = _asof_log(t)
+    return A.access_asof(requests, A.token_periods(t.token_requests), versions, at_col="requested_at",
+                         version_tie="event_id").select(
+        "request_id", "requested_at", "user_id", "outcome", "status")
+
+
+def _asof_log(t):
     e = t.raw("events")
     token = F.lpad((F.col("event_id") - F.col("event_id") % 3).cast("string"), 26, "A")
     requests = e.select(F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at"),
@@ -91,8 +102,32 @@ def access_asof(t):
     versions = e.where(F.col("event_type").isin("signup", "error")).select(
         key_uuid("user_id").alias("user_id"), F.col("ts").alias("valid_from"),
         (F.col("value") >= 20).alias("activated"), "event_id")
-    return A.access_asof(requests, A.token_periods(t.token_requests), versions, at_col="requested_at",
-                         version_tie="event_id").select(
+    return requests, versions
+
+
+@query("access_stream", ORACLE["access_asof"])
+def access_stream(t):
+    """J1/J2 on Structured Streaming: the same log and tokens as two streams of files. Each ends with a mark of
+    a far later time that moves the watermark past the last request; the marks are no requests of the log."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/access-{uuid.uuid4().hex}"
+    requests, versions = _asof_log(t)
+    tokens = A.token_periods(t.token_requests)
+    mark = F.expr("timestamp_ntz'9000-01-01 00:00:00'")
+    end = t.spark.range(1)
+    last = {"requests": end.select(F.lit(-1).cast("bigint").alias("request_id"), mark.alias("requested_at"), F.lit(True).alias("guarded"),
+                                   F.concat(F.lit("Bearer "), F.repeat(F.lit("-"), 26)).alias("auth_header")),
+            "tokens": end.select(F.lit("-").alias("hash"), F.lit("-").alias("user_id"), F.lit(SCOPE_AUTHENTICATION).alias("scope"),
+                                 mark.alias("issued_at"), mark.alias("expiry"))}
+    streams = {}
+    for name, df in (("requests", requests), ("tokens", tokens)):
+        df.unionByName(last[name]).write.parquet(f"{folder}/{name}")
+        streams[name] = t.spark.readStream.schema(df.schema).parquet(f"{folder}/{name}")
+    run = run_access_stream(streams["requests"], streams["tokens"], lambda: versions, f"{folder}/out",
+                            at_col="requested_at", version_tie="event_id")
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise RuntimeError(str(run.exception()))
+    return read_decisions(t.spark, f"{folder}/out").where("request_id >= 0").select(
         "request_id", "requested_at", "user_id", "outcome", "status")
 
 
