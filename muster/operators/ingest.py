@@ -57,6 +57,14 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     checked batch once to the shared checkpoint folder instead of recomputing its
     rule, CHECK and foreign-key work; worth it for large batches with costly checks.
     """
+    inserted, report = insert_rows(base, batch, table, as_of, parents, id_expr, seq_col, rules, pin_batch)
+    return base.select(*inserted.columns).unionByName(inserted), report
+
+
+def insert_rows(base: DataFrame, batch: DataFrame, table: str, as_of,
+                parents: dict[str, DataFrame] | None = None, id_expr: Column | None = None,
+                seq_col: str = "seq", rules=None, pin_batch: bool = False):
+    """The rows that :func:`bulk_insert` adds, and its report: ``(inserted, report)``."""
     parents = parents or {}
     rules = RULES.get(table, []) if rules is None else rules
     schema = SCHEMAS[table]
@@ -144,7 +152,7 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     inserted = inserted.select(*[F.col(c).cast(base_cast.schema[c].dataType) for c in cols])
     report = with_status(decided.select(seq_col, "id", "outcome",
                                         F.when(~F.col("valid"), F.col("errors")).alias("errors")))
-    return base_cast.unionByName(inserted), report
+    return inserted, report
 
 
 def insert_if_absent(base: DataFrame, batch: DataFrame, keys: tuple[str, ...],

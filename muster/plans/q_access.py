@@ -195,3 +195,15 @@ def redeemed_users(t):
     presented = t.raw("events").select("event_id", StandIns.token_text().alias("token"))
     users, _, _ = A.redeem_tokens(presented, t.tokens, t.users, AS_OF_TEXT)
     return users.select("id", "activated", "version")
+
+
+@query("redeemed_tokens", with_tables("tokens") + f""",
+    p AS (SELECT {TOKEN} AS token FROM events),
+    hit AS (SELECT DISTINCT k.user_id FROM p JOIN tokens k ON k.hash = sha256(p.token)
+            AND k.scope = 'activation' AND k.expiry > {AS_OF})
+    SELECT hash, user_id, expiry, scope FROM tokens k
+    WHERE NOT (scope = 'activation' AND EXISTS (SELECT 1 FROM hit h WHERE h.user_id = k.user_id))""")
+def redeemed_tokens(t):
+    """M6 new tokens snapshot: every activation token of an activated user is gone."""
+    presented = t.raw("events").select("event_id", StandIns.token_text().alias("token"))
+    return A.redeem_tokens(presented, t.tokens, t.users, AS_OF_TEXT)[1].select("hash", "user_id", "expiry", "scope")

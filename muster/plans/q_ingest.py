@@ -8,18 +8,22 @@ as a CASE without decoding anything.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from muster.functions.ids import key_uuid
 from muster.operators import ingest as I
 from muster.operators import listing as L
-from muster.plans.catalog import query
-from muster.plans.oracle_sql import uid, with_tables
+from muster.plans.catalog import ORACLE, query
+from muster.plans.oracle_sql import AS_OF, uid, with_tables
 from muster.plans.q_listing import LIST_CASES, _list_sql, _meta_sql
 from muster.plans.specs import LIST_SPECS
 from muster.plans.standins import AS_OF as AS_OF_TEXT
+from muster.session import checkpoint_dir
 from muster.sources import ndjson as N
 from muster.sources import sinks as S
+from muster.streaming.insert import read_report, run_insert_stream
 
 
 # --- officer create bodies ---------------------------------------------------------------------
@@ -193,6 +197,41 @@ def bulk_insert(t):
     return report.select("seq", "id", "outcome", "status")
 
 
+def _inserted_by_stream(t):
+    """The batch of ``bulk_insert`` in three files by sequence number, a micro-batch each; returns the stream's folder."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/inserts-{uuid.uuid4().hex}"
+    batch = attendance_batch(t)
+    # first submissions in two files by order key, second ones in the third
+    last = F.lit(1_000_000_000)
+    middle = t.raw("orders").agg(F.expr("cast(avg(o_orderkey) AS bigint)")).scalar()
+    for part in (F.col("seq") < middle, F.col("seq").between(middle, last), F.col("seq") > last):
+        batch.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+    rows = t.spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+    parents = {"officers": t.officers, "sessions": t.sessions}
+    run = run_insert_stream(rows, t.attendance, "attendance", AS_OF_TEXT, f"{folder}/out", lambda: parents)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise RuntimeError(str(run.exception()))
+    return f"{folder}/out"
+
+
+@query("bulk_insert_stream", ORACLE["bulk_insert"])
+def bulk_insert_stream(t):
+    """S3 on Structured Streaming: the report over all micro-batches; the second submission finds the first's keys."""
+    return read_report(t.spark, _inserted_by_stream(t)).select("seq", "id", "outcome", "status")
+
+
+@query("bulk_insert_snapshot", ORACLE["bulk_insert"].rsplit("SELECT seq, id, outcome", 1)[0] + f"""
+    SELECT id, officer_id, session_id, status, CAST(credited_hours AS DECIMAL(4,1)) AS credited_hours,
+           CAST({AS_OF} AS TIMESTAMP) AS created_at, CAST(1 AS INTEGER) AS version FROM d WHERE outcome = 'created'
+    UNION ALL SELECT id, officer_id, session_id, status, credited_hours, created_at, version FROM attendance""")
+def bulk_insert_snapshot(t):
+    """S3: the new version of attendance, generated columns included."""
+    new, _ = I.bulk_insert(t.attendance, attendance_batch(t), "attendance", AS_OF_TEXT,
+                           parents={"officers": t.officers, "sessions": t.sessions})
+    return new.select("id", "officer_id", "session_id", "status", "credited_hours", "created_at", "version")
+
+
 # --- S4 insert if absent --------------------------------------------------------------------------
 @query("insert_if_absent", with_tables("session_facilitators") + f"""
     SELECT b.* FROM (SELECT o_orderkey AS seq, {uid('o_orderkey')} AS session_id,
@@ -217,13 +256,26 @@ def insert_if_absent(t):
     FROM officers WHERE sex = 'female'""")
 def insert_select(t):
     """INSERT INTO facilitators SELECT ... FROM officers WHERE sex = 'female'."""
+    return _selected(t)[1].select("seq", "id", "outcome", "status")
+
+
+@query("insert_select_snapshot", with_tables("officers", "facilitators") + """
+    SELECT 'fac-' || id AS id, id AS officer_id, first_name, last_name, rank_code, CAST(NULL AS VARCHAR) AS posting_id,
+           'from officers' AS notes, CAST(1 AS INTEGER) AS version
+    FROM officers WHERE sex = 'female' AND first_name <> '' AND last_name <> ''
+    UNION ALL SELECT id, officer_id, first_name, last_name, rank_code, posting_id, notes, version FROM facilitators""")
+def insert_select_snapshot(t):
+    """The new version of facilitators."""
+    return _selected(t)[0].select("id", "officer_id", "first_name", "last_name", "rank_code", "posting_id", "notes", "version")
+
+
+def _selected(t):
     src = t.officers.where(F.col("sex") == "female")
     mapping = {"seq": "id", "id": F.concat(F.lit("fac-"), F.col("id")),
                "officer_id": "id", "first_name": "first_name", "last_name": "last_name",
                "rank_code": "rank_code", "notes": F.lit("from officers")}
-    _, report = I.insert_select(t.facilitators, src, "facilitators", AS_OF_TEXT, mapping,
-                                parents={"officers": t.officers, "ranks": t.ranks})
-    return report.select("seq", "id", "outcome", "status")
+    return I.insert_select(t.facilitators, src, "facilitators", AS_OF_TEXT, mapping,
+                           parents={"officers": t.officers, "ranks": t.ranks})
 
 
 # --- S6 JSON ------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from muster.functions.ids import key_uuid
@@ -287,3 +289,67 @@ def delete_restrict(t):
     keys = t.users.where(F.col("role") == "admin").select("id")
     _, report = M.propagate_delete({n: t.table(n) for n in _RESTRICT_TABLES}, "users", keys)
     return report
+
+
+# --- M3 / M5: what is left of every table ------------------------------------------------------------
+@query("delete_by_key_snapshot", with_tables("courses") + f"""
+    SELECT * FROM courses c WHERE NOT EXISTS (
+        SELECT 1 FROM part p WHERE p_type = 'PROMO' AND {uid('p.p_partkey * 3')} = c.id)""")
+def delete_by_key_snapshot(t):
+    """M3: the courses that are left."""
+    keys = t.raw("part").where(F.col("p_type") == "PROMO") \
+        .select(key_uuid(F.col("p_partkey") * 3).alias("id"))
+    return M.delete_by_key(t.courses, keys)[0]
+
+
+def _left(tables, ids: dict[str, str], references: dict[str, str]):
+    """One row per row that is left: its table, id and the reference that a delete may have cleared."""
+    parts = [df.select(F.lit(n).alias("table_name"), F.col(ids.get(n, "id")).alias("id"),
+                       F.col(references[n]).alias("reference") if n in references
+                       else F.lit(None).cast("string").alias("reference")) for n, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("delete_cascade_snapshot", with_tables(*_CASCADE_TABLES) + f""",
+    k AS (SELECT DISTINCT {uid('p_partkey')} AS root FROM part WHERE p_name = 'red widget'),
+    s AS (SELECT id FROM sessions WHERE course_id IN (SELECT c.id FROM courses c JOIN k ON c.id = k.root))
+    SELECT 'courses' AS table_name, id, CAST(NULL AS VARCHAR) AS reference FROM courses WHERE id NOT IN (SELECT root FROM k)
+    UNION ALL SELECT 'sessions', id, course_id FROM sessions WHERE id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'attendance', id, session_id FROM attendance WHERE session_id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'session_feedback', id, session_id FROM session_feedback WHERE session_id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'session_facilitators', id, session_id FROM session_facilitators WHERE session_id NOT IN (SELECT id FROM s)""")
+def delete_cascade_snapshot(t):
+    """M5 CASCADE: what is left of the five tables."""
+    keys = t.raw("part").where(F.col("p_name") == "red widget").select(key_uuid("p_partkey").alias("id"))
+    new, _ = M.propagate_delete({n: t.table(n) for n in _CASCADE_TABLES}, "courses", keys)
+    return _left(new, {}, {"sessions": "course_id", "attendance": "session_id", "session_feedback": "session_id",
+                           "session_facilitators": "session_id"})
+
+
+@query("delete_set_null_snapshot", with_tables("formations", "officers", "sessions") + """,
+    k AS (SELECT 'F' || CAST(n_nationkey AS VARCHAR) AS root FROM nation WHERE n_regionkey = 2)
+    SELECT 'formations' AS table_name, id, CAST(NULL AS VARCHAR) AS reference FROM formations WHERE id NOT IN (SELECT root FROM k)
+    UNION ALL SELECT 'officers', id, CASE WHEN formation_id NOT IN (SELECT root FROM k) THEN formation_id END FROM officers
+    UNION ALL SELECT 'sessions', id, CASE WHEN formation_id NOT IN (SELECT root FROM k) THEN formation_id END FROM sessions""")
+def delete_set_null_snapshot(t):
+    """M5 SET NULL: formations that are left, and the formation of every officer and session."""
+    keys = t.raw("nation").where(F.col("n_regionkey") == 2) \
+        .select(F.concat(F.lit("F"), F.col("n_nationkey").cast("string")).alias("id"))
+    new, _ = M.propagate_delete({n: t.table(n) for n in ("formations", "officers", "sessions")}, "formations", keys)
+    return _left(new, {}, {"officers": "formation_id", "sessions": "formation_id"})
+
+
+@query("delete_restrict_snapshot", with_tables(*_RESTRICT_TABLES) + """,
+    gone AS (SELECT id FROM users u WHERE role = 'admin'
+             AND NOT EXISTS (SELECT 1 FROM courses c WHERE c.created_by_user_id = u.id)
+             AND NOT EXISTS (SELECT 1 FROM import_jobs j WHERE j.created_by_user_id = u.id))
+    SELECT 'users' AS table_name, id, CAST(NULL AS VARCHAR) AS reference FROM users WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'courses', id, created_by_user_id FROM courses
+    UNION ALL SELECT 'import_jobs', id, created_by_user_id FROM import_jobs
+    UNION ALL SELECT 'tokens', hash, user_id FROM tokens WHERE user_id NOT IN (SELECT id FROM gone)""")
+def delete_restrict_snapshot(t):
+    """M5 RESTRICT: blocked users stay with all that refers to them."""
+    keys = t.users.where(F.col("role") == "admin").select("id")
+    new, _ = M.propagate_delete({n: t.table(n) for n in _RESTRICT_TABLES}, "users", keys)
+    return _left(new, {"tokens": "hash"}, {"courses": "created_by_user_id", "import_jobs": "created_by_user_id",
+                                           "tokens": "user_id"})

@@ -16,7 +16,8 @@ from muster.operators import mutate as M
 from muster.plans.catalog import query
 from muster.plans.oracle_sql import AS_OF, with_tables
 from muster.plans.standins import AS_OF as AS_OF_TEXT
-from muster.schemas import SCOPE_PASSWORD_RESET, UPDATABLE
+from muster.plans.q_rules import _FAULTS as RULE_FAULTS
+from muster.schemas import PATCHABLE, SCHEMAS, SCOPE_PASSWORD_RESET, UPDATABLE
 
 
 @dataclass(frozen=True)
@@ -177,6 +178,74 @@ def patch_attendance(t):
     return _patched_attendance(t)[0].select("id", "status", "credited_hours", "version")
 
 
+# --- M2 on the other entities: the cases of M1 as patches ---------------------------------------------
+#: per table, a column and a value of it that breaks a rule (SQL of both engines); it is sent where the digit is 8
+_BROKEN = {"officers": ("first_name", "''"), "courses": ("title", "''"), "sessions": ("end_datetime", "start_datetime"),
+           "facilitators": ("last_name", "''"), "users": ("email", "'no address'")}
+
+
+def _partial_columns(table: str, case: Case) -> list[str]:
+    """Patches: where the digit is 6 or 7 all members but the unique ones are absent, where it is 5 no version is expected."""
+    broken, value = _BROKEN[table]
+    kept = {"regulation_number"}  # stored numbers repeat, so a patch always brings its own
+    out = [f"CASE WHEN {case.digit} = '0' THEN concat(id, 'x') ELSE id END AS id",
+           f"CAST(CASE WHEN {case.digit} = '1' THEN version + 1 WHEN {case.digit} <> '5' THEN version END AS INT) AS expected_version",
+           "1 AS seq"]
+    for c in PATCHABLE[table]:
+        absent = "" if c in kept else f"WHEN {case.digit} IN ('6', '7') THEN NULL "
+        wrong = f"WHEN {case.digit} = '8' THEN {value} " if c == broken else ""
+        out.append(f"CASE {wrong}{absent}ELSE {case.values[c]} END AS {c}" if absent or wrong else f"{case.values[c]} AS {c}")
+    return out
+
+
+def _partial_sql(table: str, case: Case) -> str:
+    patches = ", ".join(_partial_columns(table, case)).replace("AS STRING", "AS VARCHAR")
+    columns = PATCHABLE[table]
+    stored = {f.name for f in SCHEMAS[table].fields}
+    faults = [line.split(" | ") for line in RULE_FAULTS[table].strip().splitlines() if line.strip()]
+    wrong = " OR ".join(f"coalesce({' | '.join(f[1:-1])}, FALSE)" for f in faults if f[0] in stored)
+    rest = [c for c in case.values if c not in columns]
+    return with_tables(table, *case.parents) + f""",
+    p AS (SELECT {patches} FROM {table}),
+    m AS (SELECT p.id, p.seq, p.expected_version, t.version AS stored,
+                 {', '.join([f'coalesce(p.{c}, t.{c}) AS {c}' for c in columns] + [f't.{c} AS {c}' for c in rest])}
+          FROM p LEFT JOIN (SELECT DISTINCT * FROM {table}) t ON t.id = p.id),
+    j AS (SELECT p.*, {case.violation} AS violation FROM m p),
+    r AS (SELECT *, CASE WHEN stored IS NULL THEN 'not_found' WHEN {wrong} THEN 'invalid'
+                         WHEN expected_version IS NOT NULL AND expected_version <> stored THEN 'conflict'
+                         WHEN violation IS NOT NULL THEN violation ELSE 'updated' END AS outcome FROM j)"""
+
+
+def _patched(t, table: str):
+    case = CASES[table]
+    base = t.table(table)
+    return M.table_patch(base, base.selectExpr(*_partial_columns(table, case)), table, AS_OF_TEXT,
+                         parents={p: t.table(p) for p in case.parents})
+
+
+def _register_patch(table: str, case: Case) -> None:
+    shown = [*PATCHABLE[table], *(["updated_at"] if case.stamped else [])]
+    new = [f"CASE WHEN r.id IS NOT NULL THEN "
+           + (AS_OF if c == "updated_at" else f"CAST(r.{c} AS DECIMAL(4,1))" if c == "default_credit_hours" else f"r.{c}")
+           + f" ELSE t.{c} END AS {c}" for c in shown]
+
+    @query(f"patch_{table}_report", _partial_sql(table, case) + """
+    SELECT id, seq, expected_version, outcome, CAST(CASE WHEN outcome IN ('invalid', 'not_found') THEN NULL
+           WHEN outcome = 'updated' THEN stored + 1 ELSE stored END AS INTEGER) AS version FROM r""")
+    def report(t):
+        return _patched(t, table)[1].drop("errors")
+
+    @query(f"patch_{table}", _partial_sql(table, case) + f"""
+    SELECT t.id, {', '.join(new)}, CAST(CASE WHEN r.id IS NOT NULL THEN t.version + 1 ELSE t.version END AS INTEGER) AS version
+    FROM {table} t LEFT JOIN (SELECT * FROM r WHERE outcome = 'updated') r ON r.id = t.id""")
+    def snapshot(t):
+        return _patched(t, table)[0].select("id", *shown, "version")
+
+
+for _table in _BROKEN:
+    _register_patch(_table, CASES[_table])
+
+
 # --- password update: M1 on the hash, then M4 on the reset tokens -----------------------------------
 _PASSWORD_PATCH = [
     "CASE WHEN right(id, 1) = '0' THEN concat(id, 'x') ELSE id END AS id",
