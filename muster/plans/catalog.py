@@ -39,6 +39,7 @@ def load_all() -> None:
         q_files,
         q_fulltext,
         q_ingest,
+        q_jobs,
         q_listing,
         q_mutate,
         q_rules,
