@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.operators.listing import apply_filters, sort_columns, validate_page_args
-from muster.plans.specs import ListSpec, PageArgs
+from muster.plans.specs import MAX_PAGE, ListSpec, PageArgs
 from muster.schemas import PUBLIC
 
 
@@ -40,12 +40,14 @@ def directory_total(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(f"{path}/files").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
 
 
-def read_page(spark: SparkSession, path: str, spec: ListSpec, page: int, page_size: int) -> DataFrame:
+def read_page(spark: SparkSession, path: str, spec: ListSpec, page: int, page_size: int,
+              max_page: int | None = MAX_PAGE) -> DataFrame:
     """The rows of ``listing.list_page`` for this page, with ``total_records``, in listing order.
 
-    Raises ``ValueError`` with the error map for invalid page arguments; a page past the end is empty.
+    Raises ``ValueError`` with the error map for invalid page arguments; a page past the end is empty. A request is held
+    to the bound of page numbers; ``max_page=None`` reads any page of a long listing, at the same cost.
     """
-    errors = validate_page_args(spec, PageArgs(page, page_size))
+    errors = validate_page_args(spec, PageArgs(page, page_size), max_page)
     if errors:
         raise ValueError(errors)
     first = (page - 1) * page_size

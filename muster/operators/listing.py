@@ -34,8 +34,10 @@ _POS_BITS = 33  # monotonically_increasing_id keeps the partition index above bi
 
 
 # --- page-argument validation (L4 / V12) ---------------------------------------------
-def validate_page_args(spec: ListSpec, args: PageArgs) -> dict[str, str]:
-    """Error map for one request's page arguments; empty = valid. First message per key wins."""
+def validate_page_args(spec: ListSpec, args: PageArgs, max_page: int | None = MAX_PAGE) -> dict[str, str]:
+    """Error map for one request's page arguments; empty = valid. First message per key wins.
+
+    ``max_page`` None: no bound, for callers that got the page number from the listing itself."""
     errors: dict[str, str] = {}
 
     def check(ok: bool, key: str, msg: str) -> None:
@@ -44,7 +46,7 @@ def validate_page_args(spec: ListSpec, args: PageArgs) -> dict[str, str]:
 
     sort = args.sort or spec.default_sort
     check(args.page > 0, "page", "must be greater than zero")
-    check(args.page <= MAX_PAGE, "page", "must be a maximum of 10,000")
+    check(max_page is None or args.page <= max_page, "page", f"must be a maximum of {max_page or 0:,}")
     check(args.page_size > 0, "page_size", "must be greater than zero")
     check(args.page_size <= MAX_PAGE_SIZE, "page_size", "must be a maximum of 100")
     check(sort in spec.safelist, "sort", "invalid sort value")

@@ -59,4 +59,4 @@ def page_from_directory(t) -> DataFrame:
     last = -(-directory_total(t.spark, folder) // 20)
     pages = sorted({1, (last + 1) // 2, last} - {0}) or [1]
     return reduce(DataFrame.unionByName, [
-        read_page(t.spark, folder, spec, n, 20).select(F.lit(n).alias("page"), "*") for n in pages])
+        read_page(t.spark, folder, spec, n, 20, max_page=None).select(F.lit(n).alias("page"), "*") for n in pages])

@@ -4,7 +4,9 @@ import os
 from urllib.parse import unquote
 
 import pytest
+from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from muster.operators import listing as L
 from muster.operators.directory import build_directory, directory_total, read_page
 from muster.operators.mutate import table_update
@@ -123,3 +125,18 @@ def test_a_page_sorts_and_reads_no_more_than_its_files(spark, officers, tmp_path
     assert plan.count("Sort [") == 1 and "Sort [_position" in plan
     with pytest.raises(ValueError):
         read_page(spark, path, spec, 0, 10)
+
+
+def test_pages_of_a_listing_beyond_the_bound_of_requests(spark, tmp_path):
+    orders = spark.read.parquet(f"{SMOKE_DIR}/orders.parquet")
+    copies = -(-200_101 // orders.count())
+    step = orders.agg({"o_orderkey": "max"}).first()[0] + 1
+    orders.crossJoin(spark.range(copies)).withColumn("o_orderkey", F.col("o_orderkey") + F.col("id") * step).drop("id") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    got = queries()["page_from_directory"](spark, str(tmp_path)).select("page", "total_records").collect()
+    total = orders.count() * copies
+    last = -(-total // 20)
+    assert last > 10_000 and {r.page for r in got} == {1, (last + 1) // 2, last}
+    assert {r.total_records for r in got} == {total} and len(got) == 40 + (total - 1) % 20 + 1
+    with pytest.raises(ValueError):  # a request is held to the bound
+        read_page(spark, "unread", LIST_SPECS["sessions"], 10_001, 20)
