@@ -2,8 +2,8 @@
 
 Scale notes
 * C1 is one aggregate over the table (partial counts per task, one tiny final).
-* C2 groups by the key with map-side partial aggregation: a key holding a third of
-  all rows becomes one partial count per map task before the shuffle.
+* C2 counts key hashes, then the keys of hashes that occur twice, each with map-side partial
+  aggregation: a key holding a third of all rows becomes one partial count per map task.
 * C3 first reduces the child to its distinct key values with counts (partial
   aggregation again, so a hot parent key costs one row per task), then anti-joins
   those against the parent keys. No broadcast hint: parents are unbounded tables;
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.schemas import FOREIGN_KEYS, NUMERIC_COLUMNS, SCHEMAS, UNIQUE_KEYS, ForeignKey
+from muster.session import pin
 
 
 # --- C1 -------------------------------------------------------------------------------------
@@ -51,14 +52,20 @@ def duplicate_keys(df: DataFrame, table: str, keys: tuple[str, ...]) -> DataFram
         "row_count")
 
 
+#: duplicate keys that are sent whole to every task; a longer list is joined by a shuffle
+BROADCAST_KEYS = 1_000_000
+
+
 def unique_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Every declared unique and primary key of every given table.
 
-    One scan per table: each row emits one (key columns, key parts) pair per key set
-    (parts as an array, so composite keys cannot collide), rows with a NULL part are
-    exempt, and a single partially aggregated group-by counts all key sets at once.
+    Each row emits one (key columns, key parts) pair per key set (parts as an array, so composite keys cannot
+    collide), and rows with a NULL part are exempt. Almost all keys are held once, so the keys themselves are not
+    shuffled: a first scan counts 64-bit hashes of them, of all tables in one partially aggregated group-by, and a
+    second one groups the keys whose hash occurs twice. Keys are compared in full there; equal hashes of different
+    keys only add rows to it. The job of the first scan runs when this is called.
     """
-    parts = []
+    keyed = {}
     for t, df in tables.items():
         sets = [k for k in UNIQUE_KEYS.get(t, ()) if all(c in df.columns for c in k)]
         if not sets:
@@ -68,8 +75,15 @@ def unique_audit(tables: dict[str, DataFrame]) -> DataFrame:
             F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]),
                    F.array(*[F.col(c).cast("string") for c in k])).alias("key_parts"))
             for k in sets])
-        keyed = df.select(F.inline(pairs)).where(F.col("key_parts").isNotNull())
-        counted = keyed.groupBy("key_columns", "key_parts") \
+        keyed[t] = df.select(F.inline(pairs)).where(F.col("key_parts").isNotNull()) \
+            .withColumn("_hash", F.xxhash64(F.lit(t), "key_columns", "key_parts"))
+    hashes = reduce(DataFrame.unionByName, [k.select("_hash") for k in keyed.values()])
+    twice = pin(hashes.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_hash"))
+    if twice.count() <= BROADCAST_KEYS:
+        twice = F.broadcast(twice)
+    parts = []
+    for t, k in keyed.items():
+        counted = k.join(twice, "_hash", "left_semi").groupBy("key_columns", "key_parts") \
             .agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
         parts.append(counted.select(F.lit(t).alias("table_name"), "key_columns",
                                     F.array_join("key_parts", "|").alias("key_value"),

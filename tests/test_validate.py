@@ -81,6 +81,21 @@ def test_unique_audit_nulls_distinct(spark):
     assert [(r.key_value, r.row_count) for r in got] == [("R1", 2)]
 
 
+def test_unique_audit_shuffles_the_keys_of_repeated_hashes_alone(spark, monkeypatch):
+    links = spark.createDataFrame(
+        [("1", "a", "b|c"), ("2", "a|b", "c"), ("3", "s", "f"), ("3", "s", "f"), ("4", None, "f"), ("5", None, "f"), (None, "x", "y")],
+        "id string, session_id string, facilitator_id string")
+    users = spark.createDataFrame([("3", "m"), ("6", "m"), ("7", None), ("8", None)], "id string, email string")
+    want = [("session_facilitators", "id", "3", 2), ("session_facilitators", "session_id,facilitator_id", "s|f", 2), ("users", "email", "m", 2)]
+    for most in (C.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(C, "BROADCAST_KEYS", most)
+        got = C.unique_audit({"session_facilitators": links, "users": users})
+        assert sorted(rows(got, "table_name", "key_columns", "key_value", "row_count")) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        # below the group-by of each table's keys, a semi-join leaves those whose hash occurs twice
+        assert plan.count("LeftSemi") == 2
+
+
 def test_fk_audit_null_exempt(spark):
     from muster.schemas import ForeignKey
     parent = spark.createDataFrame([("p1",)], "id string")
