@@ -14,6 +14,8 @@ extracted when the query has a compound term.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,9 @@ TOKEN_CLASSES = {
     "word": _WORD,
     "uint": r"\p{N}+",
 }
+# a maximal run of letters and digits that no longer class can begin with, by the characters after it; the
+# last two classes give the same token there, but tried in their order every class would scan the run first
+_PLAIN = r"[\p{L}\p{N}]++(?![_@/+-]|://|\.\S)"
 #: classes that are read and not indexed
 SILENT_CLASSES = ("tag", "entity", "protocol")
 
@@ -83,7 +88,7 @@ def class_tokens(col: Column | str) -> Column:
     and empty texts have no tokens. One scan of the text by one pattern, no UDF.
     """
     c = F.col(col) if isinstance(col, str) else col
-    every = "|".join(f"(?:{p})" for p in TOKEN_CLASSES.values())
+    every = "|".join(f"(?:{p})" for p in [_PLAIN, *TOKEN_CLASSES.values()])
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(every), 0)
 
     def given(t: Column) -> Column:
@@ -93,7 +98,9 @@ def class_tokens(col: Column | str) -> Column:
         silent = is_a("tag") | is_a("entity") | is_a("protocol")
         path = F.locate("/", t)
         url = F.array(t, F.substring(t, F.lit(1), path - 1), F.substring(t, path, F.length(t)))
-        return (F.when(silent, F.array().cast("array<string>")).when(is_a("email"), F.array(t)).when(is_a("url"), url)
+        # most tokens are letters and digits alone and need no test of a class
+        return (F.when(~t.rlike(SEPARATOR_PATTERN), F.array(t))
+                .when(silent, F.array().cast("array<string>")).when(is_a("email"), F.array(t)).when(is_a("url"), url)
                 .when(is_a("hword"), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t)))
 
     return F.flatten(F.transform(found, given))
@@ -101,5 +108,30 @@ def class_tokens(col: Column | str) -> Column:
 
 def matches_all_class_terms(col: Column | str, q: str) -> Column:
     """Boolean column: every token of ``q`` by class is a token of ``col`` by class."""
-    wanted = class_tokens(F.lit(q))
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, class_tokens(col))) == 0)
+    return F.size(matching_class_queries(col, [q])) > 0
+
+
+def matching_class_queries(col: Column | str, queries: Sequence[str]) -> Column:
+    """array<string> of those of ``queries`` whose every token by class is a token of ``col`` by class.
+
+    A text is cut at most once for all queries, and only if it contains the tokens of one of them as
+    substrings: every token is a substring of the lower-case text.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+
+    def once(value: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of the value, which a lambda binds: it is computed once however often ``then`` uses it."""
+        return F.transform(F.array(value), then)[0]
+
+    # the queries are constants: their tokens are folded when the query is planned
+    asked = F.array(*[F.struct(F.lit(q).alias("q"), class_tokens(F.lit(q)).alias("wanted")) for q in queries])
+
+    def likely(low: Column) -> Column:
+        return F.filter(asked, lambda a: (F.size(a["wanted"]) > 0) & F.forall(a["wanted"], lambda w: F.contains(low, w)))
+
+    def held(some: Column) -> Column:
+        return F.when(F.size(some) > 0, once(class_tokens(c), lambda tokens: F.transform(
+            F.filter(some, lambda a: F.size(F.array_except(a["wanted"], tokens)) == 0), lambda a: a["q"]))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    return once(once(F.lower(F.coalesce(c, F.lit(""))), likely), held)

@@ -105,3 +105,28 @@ def test_classes_stay_in_the_jvm(spark):
     df = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").where(matches_all_class_terms("text", "2.0"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_plain_class_changes_no_token(spark, monkeypatch):
+    """Random texts of the characters that classes turn on, cut with and without the short cut for plain runs."""
+    import random
+
+    from muster.functions import text as X
+    rng = random.Random(7)
+    parts = ["a", "b1", "e5", "1", "2.0", "1e", "com", "é", "日", ".", "-", "_", "@", "/", ":", "://", "+", "~", "<", ">", "&amp;", ";", " ", " ", ",", "\u00a0", "\n"]
+    df = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(1, 14))),) for _ in range(4000)], "t string").repartition(4)
+    got = {r.t: r.x for r in df.select("t", X.class_tokens("t").alias("x")).collect()}
+    monkeypatch.setattr(X, "_PLAIN", "(?!)")
+    assert got == {r.t: r.x for r in df.select("t", X.class_tokens("t").alias("x")).collect()}
+
+
+def test_a_text_is_cut_once_for_all_queries(spark):
+    from muster.functions.text import matching_class_queries
+    texts = ["write to ann@mail.example.com, version 2.0", "2.0.1 of +1", "", None, "license 2.0 or +1"]
+    queries = ["2.0", "mail.example.com", "+1", "License 2.0", " - ", "+1 license"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", matching_class_queries("t", queries).alias("q"))
+    assert {r.t: r.q for r in got.collect()} == {
+        texts[0]: ["2.0"], texts[1]: ["+1"], "": [], None: [], texts[4]: ["2.0", "+1", "License 2.0", "+1 license"]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
