@@ -27,14 +27,17 @@ PENDING = "pending"  # fixed value: the status of an import job that has not run
 GENERATED = ("id", "created_at", "version", "activated")
 
 
-def _first_in_batch(rows: DataFrame, keys: tuple[str, ...], seq_col: str, eligible: Column,
-                    flag: str) -> DataFrame:
-    """Flag rows whose non-NULL key already appeared earlier (lower seq) in the batch."""
+def _key_state(checked: DataFrame, held: DataFrame, keys: tuple[str, ...], seq_col: str, j: int) -> DataFrame:
+    """One row per key of the eligible rows: the first row's ``seq`` (``_first{j}``), whether the base holds the key
+    (``_held{j}``).
+
+    The first is a partially aggregated ``min``, so a key repeated over the batch costs one row per task. The base's keys
+    are joined as they are: they are unique there, or nearly so.
+    """
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    firsts = rows.where(present & eligible).groupBy(*keys).agg(F.min(seq_col).alias("_first"))
-    out = rows.join(firsts, list(keys), "left")
-    return out.withColumn(flag, present & eligible & (F.col(seq_col) != F.col("_first"))) \
-        .drop("_first")
+    firsts = checked.where(present & F.col("_eligible")).groupBy(*keys).agg(F.min(seq_col).alias(f"_first{j}"))
+    known = firsts.join(held.select(*keys), list(keys), "left_semi").select(*keys, F.lit(True).alias(f"_held{j}"))
+    return firsts.join(known, list(keys), "left")
 
 
 def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
@@ -52,10 +55,11 @@ def bulk_insert(base: DataFrame, batch: DataFrame, table: str, as_of,
     ``created_at`` = ``as_of``, ``version`` = 1, an import job's ``status`` = ``pending``,
     NULL for other absent columns.
 
-    The in-batch uniqueness step reads the checked batch twice (the first row per key
+    The uniqueness step reads the checked batch once more per key (the first row per key
     is a partially aggregated ``min``, joined back). ``pin_batch=True`` writes the
     checked batch once to the shared checkpoint folder instead of recomputing its
-    rule, CHECK and foreign-key work; worth it for large batches with costly checks.
+    rule, CHECK and foreign-key work, and the judged batch so that rows and report do not
+    judge it twice; worth it for large batches.
     """
     inserted, report = insert_rows(base, batch, table, as_of, parents, id_expr, seq_col, rules, pin_batch)
     return base.select(*inserted.columns).unionByName(inserted), report
@@ -111,26 +115,26 @@ def insert_rows(base: DataFrame, batch: DataFrame, table: str, as_of,
         checked = checked.join(keys, checked[fk.column] == keys[f"_p{i}"], "left")
         fk_ok = fk_ok & (F.col(fk.column).isNull() | F.col(f"_p{i}").isNotNull())
     checked = checked.withColumn("_fk_ok", fk_ok)
+    eligible = F.col("valid") & F.col("_check_ok") & F.col("_num_ok") & F.col("_null_ok") & F.col("_fk_ok")
+    checked = checked.withColumn("_eligible", eligible)
     if pin_batch:
         checked = pin(checked)
-    eligible = F.col("valid") & F.col("_check_ok") & F.col("_num_ok") & F.col("_null_ok") & F.col("_fk_ok")
-    # keys (but for a generated id): against the base, then inside the batch
+    # keys (but for a generated id): against the base, then inside the batch; only eligible rows come so far
     dup = F.lit(False)
-    for j, keys in enumerate(k for k in UNIQUE_KEYS.get(table, ()) if own_id or k != ("id",)):
-        if not all(k in checked.columns for k in keys):
-            continue
-        held = base.select(*keys).where(
-            reduce(lambda a, b2: a & b2, [F.col(k).isNotNull() for k in keys])) \
-            .distinct().withColumn(f"_held{j}", F.lit(True))
-        checked = checked.join(held, list(keys), "left")
-        checked = _first_in_batch(checked, keys, seq_col, eligible, f"_later{j}")
-        dup = dup | F.coalesce(F.col(f"_held{j}"), F.lit(False)) | F.col(f"_later{j}")
+    states = [(k, _key_state(checked, base, k, seq_col, j)) for j, k in enumerate(
+        k for k in UNIQUE_KEYS.get(table, ()) if (own_id or k != ("id",)) and all(c in checked.columns for c in k))]
+    for j, (keys, state) in enumerate(states):
+        checked = checked.join(state, list(keys), "left")
+        dup = dup | F.coalesce(F.col(f"_held{j}"), F.lit(False)) | \
+            F.coalesce(F.col(seq_col) != F.col(f"_first{j}"), F.lit(False))
     outcome = outcome_column(
         (~F.col("valid"), "invalid"), (~F.col("_check_ok"), "check_violation"),
         (~F.col("_num_ok"), "numeric_overflow"), (~F.col("_null_ok"), "constraint_violation"),
         (~F.col("_fk_ok"), "fk_violation"),
         (dup, "duplicate"), default="created")
     decided = checked.withColumn("outcome", outcome)
+    if pin_batch:
+        decided = pin(decided)
     created = decided.where(F.col("outcome") == "created")
     row = []
     for f in schema.fields:

@@ -198,20 +198,21 @@ def bulk_insert(t):
 
 
 def _inserted_by_stream(t):
-    """The batch of ``bulk_insert`` in three files by sequence number, a micro-batch each; returns the stream's folder."""
+    """The batch of ``bulk_insert`` in three parts by sequence number, a micro-batch each; returns the stream's folder."""
     folder = f"{checkpoint_dir(t.spark).rstrip('/')}/inserts-{uuid.uuid4().hex}"
     batch = attendance_batch(t)
-    # first submissions in two files by order key, second ones in the third
+    # first submissions in two parts by order key, second ones in the third
     last = F.lit(1_000_000_000)
     middle = t.raw("orders").agg(F.expr("cast(avg(o_orderkey) AS bigint)")).scalar()
-    for part in (F.col("seq") < middle, F.col("seq").between(middle, last), F.col("seq") > last):
-        batch.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
-    rows = t.spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
     parents = {"officers": t.officers, "sessions": t.sessions}
-    run = run_insert_stream(rows, t.attendance, "attendance", AS_OF_TEXT, f"{folder}/out", lambda: parents)
-    run.awaitTermination()
-    if run.exception() is not None:
-        raise RuntimeError(str(run.exception()))
+    for part in (F.col("seq") < middle, F.col("seq").between(middle, last), F.col("seq") > last):
+        # a part arrives in as many files as it has tasks; the stream, started again, takes them as its next batch
+        batch.where(part).write.mode("append").parquet(f"{folder}/rows")
+        rows = t.spark.readStream.schema(batch.schema).parquet(f"{folder}/rows")
+        run = run_insert_stream(rows, t.attendance, "attendance", AS_OF_TEXT, f"{folder}/out", lambda: parents)
+        run.awaitTermination()
+        if run.exception() is not None:
+            raise RuntimeError(str(run.exception()))
     return f"{folder}/out"
 
 

@@ -6,7 +6,7 @@ its report are written to folders of its id. All three overwrite, and a batch ne
 a later one: a batch that runs again after a crash at any point gives the same rows and inserts nothing twice.
 
 The keys held so far are the key columns of the base and of the folders, joined to the batch; only those columns are
-read, and a hot key is one row after the map-side ``min`` of its batch. ``compact`` is the caller's: a
+read, and a hot key is one row after the map-side ``min`` of its batch. A batch is judged once, pinned, and written from there. ``compact`` is the caller's: a
 new base (``read_created`` added) and a new ``out_dir`` start a shorter list of folders.
 
 Equal to ``ingest.bulk_insert`` of all rows at once if batches come in the order of ``seq`` and the table has one
@@ -45,7 +45,8 @@ def insert_batch(batch: DataFrame, batch_id: int, base: DataFrame, table: str, a
     landed, created, report = (_folder(out_dir, layer, batch_id) for layer in _LAYERS)
     batch.write.mode("overwrite").parquet(landed)
     held = base.unionByName(_created_before(spark, base, out_dir, batch_id))
-    rows, said = insert_rows(held, spark.read.schema(batch.schema).parquet(landed), table, as_of, parents=parents(), **kw)
+    rows, said = insert_rows(held, spark.read.schema(batch.schema).parquet(landed), table, as_of, parents=parents(),
+                             pin_batch=True, **kw)  # judged once for both writes
     rows.write.mode("overwrite").parquet(created)
     said.write.mode("overwrite").parquet(report)
 

@@ -89,3 +89,24 @@ def test_a_batch_without_created_rows(spark, tables, tmp_path):
     out = run(spark, tables, str(tmp_path), [[row(1, "o1", "s1")], [row(2, "o1", "s1"), row(3, "o2", "s2")]])
     assert outcomes(read_report(spark, out)) == {1: "duplicate", 2: "duplicate", 3: "created"}
     assert read_created(base, out).count() == 1
+
+
+def test_a_pinned_batch_is_judged_once(spark, tables):
+    """Created rows and report come from the stored judgement, without its joins."""
+    base, parents = tables
+    batch = spark.createDataFrame([r for f in FILES for r in f], ROW)
+    got = I.insert_rows(base, batch, "attendance", AS_OF, parents=parents, pin_batch=True)
+    want = I.insert_rows(base, batch, "attendance", AS_OF, parents=parents)
+    for g, w in zip(got, want):
+        assert content(g) == content(w)
+        plan = g._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_keys_of_the_base_are_not_grouped(spark, tables):
+    """The base's keys meet the batch's as they are; only the batch is grouped by key."""
+    base, parents = tables
+    batch = spark.createDataFrame(FILES[0], ROW)
+    _, report = I.insert_rows(base.repartition(3), batch, "attendance", AS_OF, parents=parents)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # id; officer and session
