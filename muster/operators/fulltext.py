@@ -4,9 +4,10 @@ The index is two tables: ``terms`` (term, document frequency, parts) and ``posti
 of many rows is dealt over parts of about ``PART_ROWS`` ids by the hash of the id, so no task ever holds a
 hot term, and a reader who knows the id knows the part.
 
-A search answers a table of queries in one job. Every query is driven by its rarest term: that term's
-postings are its candidates. The other terms are verified by joining (term, part, id) of each candidate with
-the postings, a key without skew. The base table is not read. A query with a term that no
+A search answers a table of queries. The postings of all asked terms are gathered by id, once. Every query is driven by
+its rarest term: the ids that hold it are its candidates, and the other terms are verified among the id's own, in the same
+row. So the shuffle grows with the postings and not with the candidates, which grow with queries times
+rows. The base table is not read. A query with a term that no
 row has, or without terms, finds nothing.
 """
 
@@ -19,8 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.text import compound_tokens, text_tokens
+from muster.session import pin
 
 PART_ROWS = 100_000
+#: queries that are sent whole to every task; more are joined by a shuffle
+BROADCAST_QUERIES = 200_000
 
 
 def simple_terms(col: Column | str) -> Column:
@@ -46,7 +50,7 @@ class Postings:
             .repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         spark = df.sparkSession
         terms = spark.read.parquet(f"{path}/terms")
-        hot = terms.where("parts > 1").select("term", "parts")  # few: each has over part_rows rows
+        hot = F.broadcast(terms.where("parts > 1").select("term", "parts"))  # few: each has over part_rows rows
         part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0))
         found.join(hot, "term", "left").select("term", part.alias("part"), "id") \
             .repartition("term", "part").sortWithinPartitions("term", "part", "id").write.parquet(f"{path}/postings")
@@ -61,19 +65,15 @@ class Postings:
         asked = queries.select(F.col(query_col).alias("query"),
                                F.explode(F.array_distinct(self.tokens(F.col(text_col)))).alias("term"))
         known = asked.join(self.terms, "term", "left")
-        each = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "parts")
-        plan = known.groupBy("query").agg(F.array_sort(F.collect_set(each)).alias("terms")) \
-            .where(F.col("terms")[0]["df"] > 0)
-        drive = plan.select("query", F.col("terms")[0]["term"].alias("term"),
-                            F.explode(F.sequence(F.lit(0), F.col("terms")[0]["parts"] - 1)).alias("part"),
-                            F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1))).alias("rest"))
-        candidates = drive.join(self.postings, ["term", "part"]).select("query", "id", "rest")
-        whole = candidates.where(F.size("rest") == 0).select("query", "id").distinct()
-        wanted = candidates.where(F.size("rest") > 0).select("query", "id", F.size("rest").alias("need"),
-                                                             F.explode("rest").alias("t"))
-        wanted = wanted.select("query", "id", "need", F.col("t.term").alias("term"),
-                               F.when(F.col("t.parts") > 1, F.pmod(F.xxhash64("id"), F.col("t.parts")).cast("int"))
-                               .otherwise(F.lit(0)).alias("part"))
-        verified = (wanted.join(self.postings, ["term", "part", "id"])
-                    .groupBy("query", "id", "need").agg(F.count_distinct("term").alias("n")).where("n = need"))
-        return whole.unionByName(verified.select("query", "id"))
+        each = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")
+        plan = pin(known.groupBy("query").agg(F.array_sort(F.collect_set(each)).alias("terms"))
+                   .where(F.col("terms")[0]["df"] > 0).select("query", F.col("terms.term").alias("terms")))
+        drive = plan.select("query", F.col("terms")[0].alias("term"),
+                            F.slice("terms", 2, F.greatest(F.size("terms") - 1, F.lit(0))).alias("rest"))
+        wanted = plan.select(F.explode("terms").alias("term")).distinct()
+        if plan.count() <= BROADCAST_QUERIES:
+            drive, wanted = F.broadcast(drive), F.broadcast(wanted)
+        held = self.postings.join(wanted, "term", "left_semi").select("id", "term").repartition("id") \
+            .groupBy("id").agg(F.collect_set("term").alias("held"))
+        candidates = held.select("id", "held", F.explode("held").alias("term")).join(drive, "term")
+        return candidates.where(F.forall("rest", lambda t: F.array_contains("held", t))).select("query", "id")

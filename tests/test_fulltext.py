@@ -70,6 +70,19 @@ def test_no_row_of_a_hot_term_is_read_for_a_rare_one(index, spark):
     assert index.terms.where("term = 'hall'").first().df < index.terms.where("term = 'common'").first().df == 300
 
 
+def test_candidates_are_not_shuffled(index, spark, monkeypatch):
+    """The postings are dealt by id; what comes of queries times rows stays in its task."""
+    queries = spark.createDataFrame(QUERIES, "q string, terms string")
+    plan = index.search(queries, "q", "terms")._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    dealt = [line for line in final.splitlines() if " Exchange " in line]
+    assert len([x for x in dealt if "hashpartitioning(id" in x]) == 1 and not any("query" in x for x in dealt)
+    assert "SortMergeJoin" not in final
+    want = found(index, spark, QUERIES)
+    monkeypatch.setattr("muster.operators.fulltext.BROADCAST_QUERIES", 0)
+    assert found(index, spark, QUERIES) == want
+
+
 @pytest.mark.parametrize("text,want", [
     ("Mail joe.x@Example.com, now!", ["mail", "joe.x@example.com", "now"]),
     ("see https://www.example.com/a/b.html?x=1 or ftp://example.org",
