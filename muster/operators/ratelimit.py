@@ -20,7 +20,8 @@ Plan, built for a key that holds a third of all events:
 
 Both passes over the events read batches and keep the state of one bucket; no group is held as a
 list, nothing goes to the driver. A bucket of one event, the common case of sparse keys, needs
-no map: its summary is one shift.
+no map: its summary has NULLs for one, and a batch's buckets of that kind are summarised and
+folded together as arrays.
 """
 
 from __future__ import annotations
@@ -97,18 +98,26 @@ def apply_pieces(firsts, moves, values, level: int) -> int:
     return int(values[at]) + (level if moves[at] else 0)
 
 
-def _runs(pdf: pd.DataFrame, key: str) -> Iterator[tuple[object, int, slice]]:
-    """Contiguous (key, bucket) runs of a sorted batch."""
-    if not len(pdf):
-        return
-    keys, buckets = pdf[key], pdf["_b"].to_numpy()
-    missing = keys.isna().to_numpy()
-    values = keys.to_numpy()
-    same = (buckets[1:] == buckets[:-1]) & (missing[1:] == missing[:-1])
-    same &= missing[1:] | (values[1:] == values[:-1])
-    starts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(pdf)]])
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        yield (None if missing[a] else values[a]), int(buckets[a]), slice(int(a), int(b))
+def _texts(column: pd.Series) -> np.ndarray:
+    """A text column as objects, None where it is NULL."""
+    out = column.to_numpy(dtype=object).copy()
+    out[column.isna().to_numpy()] = None
+    return out
+
+
+def _runs(pdf: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the contiguous (key, bucket) runs of a sorted, non-empty batch start, and the places after their ends."""
+    buckets = pdf["_b"].to_numpy()
+    same = (buckets[1:] == buckets[:-1]) & (keys[1:] == keys[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    return starts, np.concatenate([starts[1:], [len(pdf)]])
+
+
+def _lone(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Runs of one event; not the batch's first and last, which may go on in its neighbours."""
+    lone = ends - starts == 1
+    lone[[0, -1]] = False
+    return lone
 
 
 def _summarise(key: str, cost: int, capacity: int):
@@ -120,13 +129,23 @@ def _summarise(key: str, cost: int, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = first = last = level = None
         for pdf in batches:
-            done, ts = [], pdf["_t"].to_numpy(dtype=np.int64)
-            for k, b, part in _runs(pdf, key):
-                if (k, b) != current:
+            if not len(pdf):
+                continue
+            keys, buckets, ts = _texts(pdf[key]), pdf["_b"].to_numpy(), pdf["_t"].to_numpy(dtype=np.int64)
+            starts, ends = _runs(pdf, keys)
+            lone = _lone(starts, ends)
+            at = starts[lone]
+            if len(at):
+                yield pd.DataFrame({key: keys[at], "_b": buckets[at], "first_t": ts[at], "last_t": ts[at],
+                                    "firsts": None, "moves": None, "changes": None})
+            done = []
+            for a, z in zip(starts[~lone].tolist(), ends[~lone].tolist(), strict=True):
+                ident = keys[a], int(buckets[a])
+                if ident != current:
                     if current is not None:
                         done.append(row(current, first, last, level))
-                    current, first, last, level = (k, b), int(ts[part.start]), None, LevelMap(cost, capacity)
-                for t in ts[part].tolist():
+                    current, first, last, level = ident, int(ts[a]), None, LevelMap(cost, capacity)
+                for t in ts[a:z].tolist():
                     if last is not None:
                         level.refill(max(0, t - last))
                     level.decide()
@@ -138,18 +157,21 @@ def _summarise(key: str, cost: int, capacity: int):
     return run
 
 
-def _walk(key: str, capacity: int):
+def _walk(key: str, cost: int, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, level, last = object(), 0, 0
         for pdf in batches:
             entries = []
             for k, first, end, firsts, moves, changes in zip(
-                    pdf[key], pdf["first_t"], pdf["last_t"], pdf["firsts"], pdf["moves"], pdf["changes"], strict=True):
-                k = None if pd.isna(k) else k
+                    _texts(pdf[key]).tolist(), pdf["first_t"].tolist(), pdf["last_t"].tolist(), pdf["firsts"],
+                    pdf["moves"], pdf["changes"], strict=True):
                 level = capacity if k != current else min(capacity, level + max(0, first - last))
                 current, last = k, end
                 entries.append(level)
-                level = apply_pieces(firsts, moves, changes, level)
+                if firsts is None:  # one event
+                    level -= cost if level >= cost else 0
+                else:
+                    level = apply_pieces(firsts, moves, changes, level)
             yield pdf[[key, "_b"]].assign(entry=entries)
     return run
 
@@ -158,13 +180,21 @@ def _fold(key: str, event_id: str, cost: int, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, level, last = None, 0, 0
         for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, buckets = _texts(pdf[key]), pdf["_b"].to_numpy()
             ts, entry = pdf["_t"].to_numpy(dtype=np.int64), pdf["entry"].to_numpy(dtype=np.int64)
-            out, levels = np.empty(len(pdf), bool), np.empty(len(pdf), np.int64)
-            for k, b, part in _runs(pdf, key):
-                at = part.start
-                if (k, b) != current:
-                    current, level, last = (k, b), int(entry[at]), int(ts[at])
-                for i, t in enumerate(ts[part].tolist(), at):
+            starts, ends = _runs(pdf, keys)
+            lone = _lone(starts, ends)
+            # as if every event were the only one of its bucket; longer runs are written over below
+            levels = np.minimum(capacity, entry)
+            out = levels >= cost
+            levels = levels - np.where(out, cost, 0)
+            for a, z in zip(starts[~lone].tolist(), ends[~lone].tolist(), strict=True):
+                ident = keys[a], int(buckets[a])
+                if ident != current:
+                    current, level, last = ident, int(entry[a]), int(ts[a])
+                for i, t in enumerate(ts[a:z].tolist(), a):
                     level = min(capacity, level + max(0, t - last))
                     last = t
                     ok = level >= cost
@@ -191,7 +221,7 @@ def token_bucket(events: DataFrame, key: str = "user_id", ts: str = "ts",
         _summarise("_k", cost, capacity),
         "_k string, _b long, first_t long, last_t long, firsts array<long>, moves array<boolean>, changes array<long>")
     entries = summaries.repartition("_k").sortWithinPartitions("_k", "_b").mapInPandas(
-        _walk("_k", capacity), "_k string, _b long, entry long") \
+        _walk("_k", cost, capacity), "_k string, _b long, entry long") \
         .withColumnsRenamed({"_k": "_key", "_b": "_bucket"})
     placed = laid.join(entries, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")))
     return placed.select(*order, "entry").sortWithinPartitions(*order).mapInPandas(

@@ -8,7 +8,7 @@ The SQL states the new values and the violations by hand.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
@@ -117,7 +117,9 @@ def _snapshot_sql(table: str, case: Case) -> str:
 def _updated(t, table: str):
     case = CASES[table]
     base = t.table(table)
-    patches = base.selectExpr(*_patch_columns(case))
+    # the digit is read from the key once per row, not once per column
+    once = replace(case, digit="_digit", values={c: v.replace(case.digit, "_digit") for c, v in case.values.items()})
+    patches = base.withColumn("_digit", F.expr(case.digit)).selectExpr(*_patch_columns(once))
     return M.table_update(base, patches, table, UPDATABLE[table], AS_OF_TEXT,
                           parents={p: t.table(p) for p in case.parents})
 

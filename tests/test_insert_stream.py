@@ -110,3 +110,14 @@ def test_keys_of_the_base_are_not_grouped(spark, tables):
     _, report = I.insert_rows(base.repartition(3), batch, "attendance", AS_OF, parents=parents)
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2  # id; officer and session
+
+
+def test_a_report_checks_the_batch_once(spark, tables):
+    """The numerics of a row are brought to their scale once, not again for the first row of every key."""
+    base, parents = tables
+    batch = spark.createDataFrame([r for f in FILES for r in f], ROW)
+    _, report = I.insert_rows(base.repartition(3), batch.repartition(3), "attendance", AS_OF, parents=parents)
+    got = outcomes(report)
+    assert got[2] == got[11] == got[20] == "created" and got[3] == got[49] == got[101] == "duplicate"
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("raise_error") == 1  # the check of seq

@@ -261,3 +261,17 @@ def test_duplicate_email_on_update(spark):
                                                  ("u3", "updated"), ("u4", "duplicate")]
     assert dict(rows(new, "id", "email")) == {"u1": "a@b.org", "u2": "c@d.org",
                                               "u3": "e@f.org", "u4": "z@y.org"}
+
+
+def test_a_report_joins_its_patches_to_the_base_once(spark):
+    """The winner per id comes from the joined rows, not from a second join of the same two tables."""
+    base = courses(spark)
+    p = patches(spark, [("c1", 1, 3, "Third", "elective", D(4), None), ("c1", 1, 1, "Wrong", "bogus", D(4), None),
+                        ("c1", 1, 2, "Second", "elective", D(4), None), ("c1", 9, 4, "Stale", "elective", D(4), None),
+                        (None, None, 1, "X", "elective", D(4), None), ("c2", 3, 1, "Big", "elective", D(4), None)])
+    new, rep = M.table_update(base, p, "courses", ["title", "category"], NOW)
+    assert sorted(rows(rep, "seq", "outcome", "version")) == [
+        (1, "check_violation", 1), (1, "not_found", None), (1, "updated", 4), (2, "updated", 2), (3, "conflict", 1), (4, "conflict", 1)]
+    assert sorted(rows(new, "id", "title")) == [("c1", "Second"), ("c2", "Big")]
+    plan = rep._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan

@@ -141,3 +141,27 @@ def test_null_keys_and_buckets_of_one_event(spark):
     got = decide(spark, ev)
     assert [got[i] for i in range(10)] == [True] * 4 + [False] + [True] + [False] * 4
     assert all(got[100 + i] for i in range(4))
+
+
+def test_buckets_of_one_event_need_no_map(monkeypatch):
+    import pandas as pd
+
+    from muster.operators import ratelimit as R
+    made = []
+
+    class Counted(R.LevelMap):
+        def __init__(self, *a):
+            made.append(a)
+            super().__init__(*a)
+
+    monkeypatch.setattr(R, "LevelMap", Counted)
+    # key None and text keys, a bucket of three events within a batch, one that goes on in the next batch
+    ev = [(None, b, b * 100) for b in range(50)] + [("7", 1, 5), ("7", 1, 6), ("7", 1, 7), ("7", 2, 100)] \
+        + [("8", b, b * 100) for b in range(60)] + [("9", 3, 300), ("9", 3, 301)]
+    pdf = pd.DataFrame(ev, columns=["_k", "_b", "_t"])
+    out = pd.concat(R._summarise("_k", 10, 40)(iter([pdf[:20], pdf[20:20], pdf[20:115], pdf[115:]])))
+    assert len(made) < 10
+    got = {(None if pd.isna(k) else k, b): (first, last, firsts is None)
+           for k, b, first, last, firsts in zip(out["_k"], out["_b"], out["first_t"], out["last_t"], out["firsts"])}
+    assert len(got) == len(out) == 50 + 2 + 60 + 1
+    assert got[("7", 1)] == (5, 7, False) and got[("9", 3)] == (300, 301, False) and got[("8", 9)] == (900, 900, True)
