@@ -9,7 +9,7 @@ query with no terms matches nothing.
 
 All of it is one JVM-side expression (``split`` / ``regexp_extract_all`` + ``forall``
 + ``array_contains``) and needs no UDF. Compound tokens of the text are only
-extracted when the query has a compound term.
+extracted when the query has a compound term, and only from texts with a joining hyphen.
 """
 
 from __future__ import annotations
@@ -22,18 +22,25 @@ from pyspark.sql import functions as F
 # fixed value: a token is a maximal run of letters and digits
 SEPARATOR_PATTERN = r"[^\p{L}\p{N}]+"
 # fixed value: a hyphenated compound is two or more such runs joined by single hyphens
-COMPOUND_PATTERN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+"
+# (a run is entered at its beginning and never given back, so a text without compounds is scanned once)
+COMPOUND_PATTERN = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)+"
+# what every compound holds; tried at hyphens alone (no look back over a hyphen: Java's fails past the 16-bit plane)
+JOINT_PATTERN = r"-[\p{L}\p{N}]"
+
+
 def compound_tokens(col: Column | str) -> Column:
     """array<string> of the hyphenated compounds of ``col``, lower-cased."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(COMPOUND_PATTERN), 0)
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low.rlike(JOINT_PATTERN), F.regexp_extract_all(low, F.lit(COMPOUND_PATTERN), 0)) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def text_tokens(col: Column | str) -> Column:
     """array<string> of the lower-case tokens of ``col`` (NULL text → no tokens)."""
     c = F.col(col) if isinstance(col, str) else col
     parts = F.split(F.lower(F.coalesce(c, F.lit(""))), SEPARATOR_PATTERN, -1)
-    return F.filter(parts, lambda x: x != F.lit(""))
+    return F.array_remove(parts, "")
 
 
 def matches_all_terms(col: Column | str, q: str) -> Column:

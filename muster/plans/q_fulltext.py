@@ -23,9 +23,9 @@ def fulltext_postings(t):
     docs = t.raw("documents")
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
     index = Postings.build(docs, "doc_id", "text", path)
-    words = F.concat(text_tokens("text"), compound_tokens("text"))
-    queries = docs.where("doc_id % 50 = 0").select("doc_id", F.concat_ws(
-        " ", *[F.try_element_at(words, F.lit(i)) for i in (3, 5, 40)]).alias("text"))
+    words = F.concat(text_tokens("text"), compound_tokens("text")).alias("words")
+    queries = docs.where("doc_id % 50 = 0").select("doc_id", words).select("doc_id", F.concat_ws(
+        " ", *[F.try_element_at("words", F.lit(i)) for i in (3, 5, 40)]).alias("text"))
     return index.search(queries, "doc_id", "text").select(F.col("query").alias("query_id"), F.col("id").alias("doc_id"))
 
 

@@ -83,6 +83,78 @@ def test_candidates_are_not_shuffled(index, spark, monkeypatch):
     assert found(index, spark, QUERIES) == want
 
 
+def test_a_text_is_cut_once(spark, tmp_path):
+    """Both tables are made of the terms of one pass over the texts; a batch gives one row for a term."""
+    from pyspark.sql import functions as F
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        cuts.add(1)
+        return text.split() if text else None
+
+    docs = spark.createDataFrame(DOCS, "id long, body string").coalesce(1)
+    index = Postings.build(docs, "id", "body", str(tmp_path / "once"), tokens=words, part_rows=40)
+    assert cuts.value == len(DOCS)
+    assert {r.term: (r.n, len(r.ids)) for r in spark.read.parquet(str(tmp_path / "once/blocks")).collect()}["common"] == (300, 300)
+    want = sorted({(w, i) for i, text in DOCS for w in set((text or "").split())} | {("hall", 7)})
+    assert sorted({(r.term, r.id) for r in index.postings.collect()}) == want
+    assert {(r.term, r.df) for r in index.terms.collect()} >= {("common", 300), ("hall", 2), ("Hall", 1)}
+
+
+def test_candidates_do_not_become_rows(index, spark):
+    """What is verified are numbers in a task's memory: the only join of a search is that of postings and asked terms."""
+    plan = index.search(spark.createDataFrame(QUERIES, "q string, terms string"), "q", "terms")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "array_contains" not in plan and plan.index("Generate explode(queries") < plan.index("MapInArrow")
+
+
+@pytest.mark.parametrize("cells,candidates,rows", [(1, 1, 1), (64, 5, 7), (1 << 20, 1 << 16, 1000)])
+def test_matching_in_pieces(monkeypatch, cells, candidates, rows):
+    """Random ids and queries against sets, whatever the pieces the work is cut in."""
+    import random
+
+    import pyarrow as pa
+
+    from muster.operators import fulltext as X
+    monkeypatch.setattr(X, "CELLS", cells)
+    monkeypatch.setattr(X, "CANDIDATES", candidates)
+    rng = random.Random(rows)
+    names = [f"t{i}" for i in range(12)]
+    queries = [(f"q{i}", rng.sample(names, rng.choice([1, 2, 3, 3, 6]))) for i in range(40)]
+    asked, terms = X._Asked.of(pa.table({"query": [q for q, _ in queries], "terms": [t for _, t in queries]}))
+    code = {t: i for i, t in enumerate(terms.to_pylist())}
+    held = [(i, rng.choices(names, k=rng.randint(1, 20))) for i in [None, "", "a", "b", "é", *(f"x{i:03}" for i in range(60))]]
+    flat = [(i, code[t]) for i, ts in held for t in ts if t in code]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "code": c} for i, c in flat[k:k + rows]], pa.schema([("id", pa.string()), ("code", pa.int64())]))
+               for k in range(0, len(flat), rows)]
+    got = [(q, r["id"]) for b in X._match(iter(batches), asked) for r in b.to_pylist() for q in r["queries"]]
+    want = [(q, i) for q, ts in queries for i, has in held if set(ts) <= set(has)]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
+
+
+def test_queries_in_groups(index, spark, monkeypatch):
+    want = found(index, spark, QUERIES)
+    monkeypatch.setattr("muster.operators.fulltext.BROADCAST_QUERIES", 5)
+    assert found(index, spark, QUERIES) == want
+
+
+def test_compounds_of_any_text(spark):
+    """Random texts against the pattern of a compound without what keeps its scan short."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from muster.functions.text import compound_tokens, text_tokens
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "1", "日", "𝒳", "-", "-", "-", " ", "_", ".", "\n", "\u0301", "--"]
+    df = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(0, 16))),) for _ in range(3000)] + [(None,)], "t string")
+    low = F.lower(F.coalesce("t", F.lit("")))
+    plain = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+"), 0)
+    words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), 0)
+    wrong = df.where((compound_tokens("t") != plain) | (text_tokens("t") != words))
+    assert wrong.count() == 0 and df.where(F.size(plain) > 0).count() > 500
+
+
 @pytest.mark.parametrize("text,want", [
     ("Mail joe.x@Example.com, now!", ["mail", "joe.x@example.com", "now"]),
     ("see https://www.example.com/a/b.html?x=1 or ftp://example.org",
