@@ -5,8 +5,9 @@ of many rows is dealt over parts of about ``PART_ROWS`` ids by the hash of the i
 hot term, and a reader who knows the id knows the part.
 
 A text is cut once. A task inverts a batch of texts at a time: one row for a term and the ids of the batch that hold
-it, kept as ``blocks`` in the index's folder for the two tables that are made of them. Such rows are shuffled and sorted
-in place of single postings, of which there are many times more.
+it, kept as ``blocks`` in the index's folder for the two tables that are made of them. Such lists are shuffled, sorted,
+stored (term, part, ids) and joined in place of single postings, of which there are many times more; a reader of
+``postings`` gets single ones.
 
 A search answers a table of queries. The postings of all asked terms are gathered by id, once. Every query is driven by
 its rarest term: the ids that hold it are its candidates, and the other terms are verified among the id's own, in the same
@@ -70,25 +71,20 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, ids, a part for each id or none for part 0) to a row for each term and part."""
+    """(term, ids, a part for each id) to a row for each term and part."""
     for batch in batches:
-        cold = pc.equal(pc.list_value_length(batch.column("parts")), 0)
-        whole = batch.filter(cold)
-        yield pa.RecordBatch.from_arrays([whole.column("term"), pa.array(np.zeros(whole.num_rows), pa.int32()), whole.column("ids")],
-                                         names=["term", "part", "ids"])
-        hot = batch.filter(pc.invert(cold))
-        if hot.num_rows:
-            part = hot.column("parts").flatten().to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(hot.num_rows), hot.column("parts").value_lengths().to_numpy())
-            most = part.max() + 1
-            key = row * most + part
-            order = np.argsort(key, kind="stable")
-            head = np.flatnonzero(np.diff(key[order], prepend=-1))
-            row, part = np.divmod(key[order[head]], most)
-            counts = np.diff(head, append=len(key))
-            yield pa.RecordBatch.from_arrays([hot.column("term").take(pa.array(row)), pa.array(part, pa.int32()),
-                                              _lists(counts, hot.column("ids").flatten().take(pa.array(order)))],
-                                             names=["term", "part", "ids"])
+        if not batch.num_rows:
+            continue
+        lists = batch.column("parts")
+        part = lists.flatten().to_numpy().astype(np.int64)
+        most = part.max() + 1
+        key = np.repeat(np.arange(batch.num_rows) * most, lists.value_lengths().to_numpy()) + part
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.diff(key[order], prepend=-1))
+        row, part = np.divmod(key[order[head]], most)
+        ids = batch.column("ids").flatten().take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(row)), pa.array(part, pa.int32()),
+                                          _lists(np.diff(head, append=len(key)), ids)], names=["term", "part", "ids"])
 
 
 @dataclass
@@ -182,9 +178,13 @@ class Postings:
     """An inverted index; ``tokens`` must be the expression it was built with."""
 
     terms: DataFrame
-    postings: DataFrame
+    lists: DataFrame
     tokens: Callable[[Column | str], Column] = simple_terms
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.lists.select("term", "part", F.explode("ids").alias("id"))
+
     @classmethod
     def build(cls, df: DataFrame, id_col: str, text_col: str, path: str, tokens=simple_terms,
               part_rows: int = PART_ROWS) -> Postings:
@@ -202,12 +202,11 @@ class Postings:
             .repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         terms = spark.read.parquet(f"{path}/terms")
         hot = F.broadcast(terms.where("parts > 1").select("term", F.col("parts").alias("of")))  # few: each has over part_rows rows
-        parts = F.when(F.col("of").isNotNull(), F.transform("ids", lambda i: F.pmod(F.xxhash64(i), F.col("of")).cast("int"))) \
-            .otherwise(F.array().cast("array<int>"))
+        parts = F.transform("ids", lambda i: F.pmod(F.xxhash64(i), F.col("of")).cast("int"))
         dealt = T.StructType().add("term", T.StringType()).add("part", T.IntegerType()).add("ids", T.ArrayType(id_type))
-        blocks.join(hot, "term", "left").select("term", "ids", parts.alias("parts")).mapInArrow(_deal, dealt) \
-            .repartition("term", "part").sortWithinPartitions("term", "part") \
-            .select("term", "part", F.explode("ids").alias("id")).write.parquet(f"{path}/postings")
+        blocks.join(hot, "term").select("term", "ids", parts.alias("parts")).mapInArrow(_deal, dealt) \
+            .unionByName(blocks.join(hot, "term", "left_anti").select("term", F.lit(0).alias("part"), "ids")) \
+            .repartition("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{path}/postings")
         return cls.open(spark, path, tokens)
 
     @classmethod
@@ -232,7 +231,8 @@ class Postings:
         asked, terms = _Asked.of(plan.toArrow())
         wanted = spark.createDataFrame(pa.table({"term": terms, "code": pa.array(np.arange(len(terms)), pa.int64())}))
         shared = spark.sparkContext.broadcast(asked)
-        matched = T.StructType().add("id", self.postings.schema["id"].dataType) \
+        matched = T.StructType().add("id", self.lists.schema["ids"].dataType.elementType) \
             .add("queries", T.ArrayType(plan.schema["query"].dataType))
-        held = self.postings.join(F.broadcast(wanted), "term").select("id", "code").repartition("id").sortWithinPartitions("id")
+        held = self.lists.join(F.broadcast(wanted), "term").select(F.explode("ids").alias("id"), "code") \
+            .repartition("id").sortWithinPartitions("id")
         return held.mapInArrow(lambda b: _match(b, shared.value), matched).select(F.explode("queries").alias("query"), "id")
