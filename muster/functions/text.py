@@ -32,7 +32,7 @@ def compound_tokens(col: Column | str) -> Column:
     """array<string> of the hyphenated compounds of ``col``, lower-cased."""
     c = F.col(col) if isinstance(col, str) else col
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(low.rlike(JOINT_PATTERN), F.regexp_extract_all(low, F.lit(COMPOUND_PATTERN), 0)) \
+    return F.when(F.contains(low, F.lit("-")) & low.rlike(JOINT_PATTERN), F.regexp_extract_all(low, F.lit(COMPOUND_PATTERN), 0)) \
         .otherwise(F.array().cast("array<string>"))
 
 

@@ -140,38 +140,22 @@ class _Asked:
 
 
 def _match(batches: Iterator[pa.RecordBatch], asked: _Asked) -> Iterator[pa.RecordBatch]:
-    """(id, number of a term it holds) in the order of the ids to (id, queries it matches)."""
+    """(id, numbers of the terms it holds) to (id, queries it matches), in rows of some queries each."""
     width = len(asked.drives)
     step = max(1, CELLS // max(1, width))
-    ids, codes = None, np.empty(0, np.int64)
-
-    def of_whole(ids: pa.Array, doc: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """All rows of some ids."""
-        heads = ids.take(pa.array(np.flatnonzero(np.diff(doc, prepend=-1))))
-        doc, codes = np.divmod(_distinct(doc * width + codes), width)  # an id's term counts once
-        for low in range(0, len(heads), step):
+    for batch in batches:
+        ids, lists = batch.column("id"), batch.column("codes")
+        key = np.repeat(np.arange(len(ids)) * width, lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
+        doc, code = np.divmod(_distinct(key), max(1, width))  # an id's term counts once
+        for low in range(0, len(ids), step):
             some = slice(*np.searchsorted(doc, [low, low + step]))
-            docs = min(step, len(heads) - low)
-            for d, q in asked.found(doc[some] - low, codes[some], docs):
+            docs = min(step, len(ids) - low)
+            for d, q in asked.found(doc[some] - low, code[some], docs):
                 counts = np.bincount(d, minlength=docs)
                 at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([heads.take(pa.array(at + low)), _lists(counts[at], asked.queries.take(pa.array(q)))],
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + low)), _lists(counts[at], asked.queries.take(pa.array(q)))],
                                                  names=["id", "queries"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column("id") if ids is None else pa.concat_arrays([ids, batch.column("id")])
-        codes = np.concatenate([codes, batch.column("code").to_numpy()])
-        same = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
-        doc = np.cumsum(np.diff(same, prepend=same[0]) != 0)
-        last = np.searchsorted(doc, doc[-1])  # the last id may go on in the next batch
-        if last:
-            yield from of_whole(ids[:last], doc[:last], codes[:last])
-            ids, codes = ids[last:], codes[last:]
-    if ids is not None:
-        yield from of_whole(ids, np.zeros(len(ids), np.int64), codes)
-
 
 @dataclass
 class Postings:
@@ -229,10 +213,11 @@ class Postings:
         """(query, id) for (query, terms), the rarest first; the queries are sent to every task."""
         spark = plan.sparkSession
         asked, terms = _Asked.of(plan.toArrow())
-        wanted = spark.createDataFrame(pa.table({"term": terms, "code": pa.array(np.arange(len(terms)), pa.int64())}))
+        wanted = spark.createDataFrame(pa.table({"term": terms, "code": pa.array(np.arange(len(terms)), pa.int32())}))
         shared = spark.sparkContext.broadcast(asked)
         matched = T.StructType().add("id", self.lists.schema["ids"].dataType.elementType) \
             .add("queries", T.ArrayType(plan.schema["query"].dataType))
+        # one row for an id: Arrow's writer takes several times as long for a row as for an element of a list
         held = self.lists.join(F.broadcast(wanted), "term").select(F.explode("ids").alias("id"), "code") \
-            .repartition("id").sortWithinPartitions("id")
+            .repartition("id").groupBy("id").agg(F.collect_list("code").alias("codes"))
         return held.mapInArrow(lambda b: _match(b, shared.value), matched).select(F.explode("queries").alias("query"), "id")

@@ -124,9 +124,9 @@ def test_matching_in_pieces(monkeypatch, cells, candidates, rows):
     asked, terms = X._Asked.of(pa.table({"query": [q for q, _ in queries], "terms": [t for _, t in queries]}))
     code = {t: i for i, t in enumerate(terms.to_pylist())}
     held = [(i, rng.choices(names, k=rng.randint(1, 20))) for i in [None, "", "a", "b", "é", *(f"x{i:03}" for i in range(60))]]
-    flat = [(i, code[t]) for i, ts in held for t in ts if t in code]
-    batches = [pa.RecordBatch.from_pylist([{"id": i, "code": c} for i, c in flat[k:k + rows]], pa.schema([("id", pa.string()), ("code", pa.int64())]))
-               for k in range(0, len(flat), rows)]
+    rows_of = [{"id": i, "codes": [code[t] for t in ts if t in code]} for i, ts in held]
+    batches = [pa.RecordBatch.from_pylist(rows_of[k:k + rows], pa.schema([("id", pa.string()), ("codes", pa.list_(pa.int32()))]))
+               for k in range(0, len(held), rows)]
     got = [(q, r["id"]) for b in X._match(iter(batches), asked) for r in b.to_pylist() for q in r["queries"]]
     want = [(q, i) for q, ts in queries for i, has in held if set(ts) <= set(has)]
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
