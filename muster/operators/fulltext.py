@@ -199,6 +199,10 @@ class Postings:
 
     def search(self, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
         """(query, id) of all rows that hold every term of a query, once each."""
+        return self.matches(queries, query_col, text_col).select(F.explode("queries").alias("query"), "id")
+
+    def matches(self, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
+        """The pairs of :meth:`search` as (id, queries); an id can have several rows, each with other queries."""
         asked = queries.select(F.col(query_col).alias("query"),
                                F.explode(F.array_distinct(self.tokens(F.col(text_col)))).alias("term"))
         known = asked.join(self.terms, "term", "left")
@@ -207,10 +211,10 @@ class Postings:
                    .where(F.col("terms")[0]["df"] > 0).select("query", F.col("terms.term").alias("terms")))
         groups = max(1, -(-plan.count() // max(1, BROADCAST_QUERIES)))
         group = F.pmod(F.xxhash64("query"), F.lit(groups))
-        return reduce(DataFrame.unionAll, [self._found(plan.where(group == i) if groups > 1 else plan) for i in range(groups)])
+        return reduce(DataFrame.unionAll, [self._matches(plan.where(group == i) if groups > 1 else plan) for i in range(groups)])
 
-    def _found(self, plan: DataFrame) -> DataFrame:
-        """(query, id) for (query, terms), the rarest first; the queries are sent to every task."""
+    def _matches(self, plan: DataFrame) -> DataFrame:
+        """(id, queries) for (query, terms), the rarest first; the queries are sent to every task."""
         spark = plan.sparkSession
         asked, terms = _Asked.of(plan.toArrow())
         wanted = spark.createDataFrame(pa.table({"term": terms, "code": pa.array(np.arange(len(terms)), pa.int32())}))
@@ -220,4 +224,4 @@ class Postings:
         # one row for an id: Arrow's writer takes several times as long for a row as for an element of a list
         held = self.lists.join(F.broadcast(wanted), "term").select(F.explode("ids").alias("id"), "code") \
             .repartition("id").groupBy("id").agg(F.collect_list("code").alias("codes"))
-        return held.mapInArrow(lambda b: _match(b, shared.value), matched).select(F.explode("queries").alias("query"), "id")
+        return held.mapInArrow(lambda b: _match(b, shared.value), matched)
